@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import decode_ids, encode_documents
 from .common import crc32_text, table
+from .packing import pack_documents
 from .sharding import shard_documents
 
 
@@ -22,6 +24,25 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_sharding": op1_sharding}
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = decode_ids(encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
+    )
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = pack_documents(table(spark, sf_dir, "documents"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+QUERIES = {
+    "op1_sharding": op1_sharding,
+    "op9_bpe": op9_bpe,
+    "op10_packing": op10_packing,
+}
 
 ORACLES: dict[str, str] = {}
