@@ -10,6 +10,7 @@ from .chat_format import format_conversations, message_events, read_loss, read_t
 from .common import crc32_text, table
 from .media_gif import feature, read_media, store_text
 from .packing import pack_documents
+from .quality_rules import quality_rules
 from .sharding import shard_documents
 
 
@@ -26,6 +27,11 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return quality_rules(docs, carry=["doc_id"]).withColumnRenamed("nats", "nats_per_byte")
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     planted = spark.range(2).select(
         F.lit(-7).cast("long").alias("conv_id"),
@@ -94,6 +100,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op3_quality_rules": op3_quality_rules,
     "op5_chat_format": op5_chat_format,
     "op7_media_gif": op7_media_gif,
     "op9_bpe": op9_bpe,
