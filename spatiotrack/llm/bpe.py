@@ -3,8 +3,8 @@
 Each task collects the different pieces of the texts that it holds, cuts them by the public
 pattern into words, and encodes all new words together. The words' bytes form one long list of
 tokens with links to the neighbours inside a word. An inverted index leads from a merge (by its
-rank) to the positions where its pair stands; a heap hands out the ranks in order; applying a merge
-touches the two neighbours of each position only and enters their new pairs into the index. If a
+rank) to all positions where its pair stands; the ranks come in order; applying a merge touches the
+two neighbours of each position only and enters their new pairs into the index. If a
 merge opens a pair of lower rank than its own, the order inside that word matters, and that word is
 encoded on its own. Encoded pieces are remembered up to a fixed number.
 
@@ -29,111 +29,143 @@ from .textsplit import PieceCache
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
+BLOCK = 512
+#: Text whose new words are merged together.
+REPLAY_BYTES = 16 << 20
+
+
 class MergeReplay:
+    """Rank-ordered merging of many words at once.
+
+    ``rank`` holds the merge that is open at each position, so the index of a block of ranks is one
+    selection and one sort; pairs that open inside the current block are added as they arise.
+    """
+
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        self.vocab = {i: b for b, i in ranks.items()}
-        self.byte = [ranks[bytes([b])] for b in range(256)]
-        self.pairs: dict[tuple[int, int], int] = {}
-
-    def pair(self, left: int, right: int) -> int:
-        """The id that a pair merges into, or -1."""
-        key = (left, right)
-        found = self.pairs.get(key)
-        if found is None:
-            if len(self.pairs) > 2_000_000:
-                self.pairs.clear()
-            found = self.pairs[key] = self.ranks.get(self.vocab[left] + self.vocab[right], -1)
-        return found
+        self.byte = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
+        pairs = {}
+        for whole, m in ranks.items():
+            for i in range(1, len(whole)):
+                left, right = ranks.get(whole[:i]), ranks.get(whole[i:])
+                if left is not None and right is not None:
+                    pairs[left << 20 | right] = m
+        self.pairs = pairs
+        self.keys = np.array(sorted(pairs), np.int64)
+        self.merged = np.array([pairs[int(k)] for k in self.keys], np.int32)
+
+    def open(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The id that each pair merges into, or -1."""
+        key = left.astype(np.int64) << 20 | right
+        at = self.keys.searchsorted(key)
+        at[at == len(self.keys)] = 0
+        return np.where(self.keys[at] == key, self.merged[at], -1)
 
     def single(self, word: bytes) -> list[int]:
         """One word, the lowest rank first and the leftmost of equals."""
-        t = [self.byte[b] for b in word]
+        t = [int(self.byte[b]) for b in word]
         while True:
-            best = min(((m, i) for i in range(len(t) - 1) if (m := self.pair(t[i], t[i + 1])) >= 0), default=None)
+            best = min(((m, i) for i in range(len(t) - 1) if (m := self.pairs.get(t[i] << 20 | t[i + 1], -1)) >= 0), default=None)
             if best is None:
                 return t
             m, i = best
             t[i : i + 2] = [m]
 
-    def encode(self, words: list[bytes]) -> list[list[int]]:
-        out: list[list[int] | None] = [[i] if (i := self.ranks.get(w)) is not None else None for w in words]
-        todo = [k for k, x in enumerate(out) if x is None]
-        tok: list[int] = []
-        right: list[int] = []
-        left: list[int] = []
-        starts, byte = [], self.byte
-        for k in todo:
-            a = len(tok)
-            starts.append(a)
-            tok.extend([byte[b] for b in words[k]])
-            n = len(tok)
-            left.append(-1)
-            left.extend(range(a, n - 1))
-            right.extend(range(a + 1, n))
-            right.append(-1)
-        known, pair = self.pairs, self.pair
-        index: dict[int, list[int]] = {}
-        for p, q in enumerate(right):
-            if q >= 0:
-                key = (tok[p], tok[q])
-                m = known.get(key)
-                if m is None:
-                    m = pair(*key)
-                if m >= 0:
-                    if m in index:
-                        index[m].append(p)
-                    else:
-                        index[m] = [p]
-        heap = list(index)
-        heapq.heapify(heap)
-        odd: list[int] = []
-        while heap:
-            m = heapq.heappop(heap)
-            places = index.pop(m, None)
-            if places is None:
+    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and where each word's ids start and end among them."""
+        whole = np.array([self.ranks.get(w, -1) for w in words], np.int64)
+        lengths = np.array([len(w) for w in words], np.int64)
+        lengths[whole >= 0] = 1
+        starts = np.concatenate([[0], np.cumsum(lengths)])
+        tok = np.empty(starts[-1], np.int32)
+        split = np.flatnonzero(whole < 0)
+        tok[starts[:-1][whole >= 0]] = whole[whole >= 0]
+        if len(split):
+            inside = np.ones(len(tok), bool)
+            inside[starts[:-1][whole >= 0]] = False
+            tok[inside] = self.byte[np.frombuffer(b"".join([words[k] for k in split]), np.uint8)]
+            self._replay(tok, starts, split, words)
+        alive = tok >= 0
+        return tok[alive], np.concatenate([[0], np.cumsum(alive)])[starts]
+
+    def _replay(self, tok: np.ndarray, starts: np.ndarray, split: np.ndarray, words: list[bytes]) -> None:
+        n = len(tok)
+        left, right = np.arange(-1, n - 1, dtype=np.int32), np.arange(1, n + 1, dtype=np.int32)
+        left[starts[:-1][np.diff(starts) > 0]] = -1
+        right[starts[1:][np.diff(starts) > 0] - 1] = -1
+        rank = np.full(n, -1, np.int32)
+        at = np.flatnonzero(right >= 0)
+        rank[at] = self.open(tok[at], tok[at + 1])
+        live = at
+        odd: list[np.ndarray] = []
+        last, edges = int(self.merged.max(initial=-1)), [*range(0, 4 * BLOCK, BLOCK // 4)]
+        edges += [*range(4 * BLOCK, last + 1, BLOCK), max(last, 4 * BLOCK) + 1]
+        for number, (low, high) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+            if number % 8 == 0:
+                live = live[tok[live] >= 0]
+            now = rank[live]
+            chosen = (now >= low) & (now < high)
+            places = live[chosen]
+            if not len(places):
                 continue
-            places.sort()
-            for p in places:
-                q = right[p]
-                if q < 0 or tok[p] < 0 or known.get((tok[p], tok[q])) != m:
+            order = np.argsort(now[chosen], kind="stable")
+            places, now = places[order], now[chosen][order]
+            first = np.flatnonzero(np.concatenate([[True], now[1:] != now[:-1]]))
+            index = {int(now[a]): places[a:b] for a, b in zip(first, [*first[1:], len(now)], strict=True)}
+            late: dict[int, list[int]] = {}
+            heap = list(index)
+            while heap:
+                m = heapq.heappop(heap)
+                p, added = index.pop(m, None), late.pop(m, None)
+                if added:
+                    p = np.unique(np.array(added) if p is None else np.concatenate([p, added]))
+                if p is None:
+                    continue
+                p = p[rank[p] == m]
+                if not len(p):
                     continue
-                tok[p], tok[q] = m, -1
-                r = right[p] = right[q]
-                if r >= 0:
-                    left[r] = p
-                    key = (m, tok[r])
-                    new = known.get(key)
-                    if new is None:
-                        new = pair(*key)
-                    if new >= 0:
-                        if new < m:
-                            odd.append(p)
-                        if new in index:
-                            index[new].append(p)
-                        else:
-                            index[new] = [p]
-                            heapq.heappush(heap, new)
-                o = left[p]
-                if o >= 0:
-                    key = (tok[o], m)
-                    new = known.get(key)
-                    if new is None:
-                        new = pair(*key)
-                    if new >= 0:
-                        if new < m:
-                            odd.append(p)
-                        if new in index:
-                            index[new].append(o)
-                        else:
-                            index[new] = [o]
-                            heapq.heappush(heap, new)
-        starts.append(len(tok))
-        for j, k in enumerate(todo):
-            out[k] = [x for x in tok[starts[j] : starts[j + 1]] if x >= 0]
-        for j in set(np.searchsorted(starts, odd, "right") - 1) if odd else ():
-            out[todo[j]] = self.single(words[todo[j]])
-        return out
+                if (rank[right[p]] == m).any():
+                    # Pairs that share a token, as in a run of equal characters: one at a time, from the left.
+                    rounds = [np.array([x], p.dtype) for x in np.sort(p)]
+                else:
+                    rounds = [p]
+                for p in rounds:
+                    if len(rounds) > 1 and rank[p[0]] != m:
+                        continue
+                    q = right[p]
+                    r = right[q]
+                    more = r >= 0
+                    pr, rr = p[more], r[more]
+                    twin = rank[rr] == m
+                    if twin.any():
+                        between = self.open(np.full(int(twin.sum()), m, np.int32), tok[rr[twin]])
+                        odd.append(pr[twin][(between >= 0) & (between < m)])
+                    tok[p], tok[q] = m, -1
+                    right[p] = r
+                    rank[q] = -1
+                    rank[p] = -1
+                    left[rr] = pr
+                    pl = p[left[p] >= 0]
+                    ll = left[pl]
+                    changed = np.concatenate([pr, ll])
+                    new = self.open(tok[changed], tok[np.concatenate([rr, pl])])
+                    rank[changed] = new
+                    soon = (new >= 0) & (new < high)
+                    if soon.any():
+                        for place, k in zip(changed[soon].tolist(), new[soon].tolist(), strict=True):
+                            if k < m:
+                                odd.append(np.array([place]))
+                            if k in late:
+                                late[k].append(place)
+                            else:
+                                late[k] = [place]
+                                heapq.heappush(heap, k)
+        if odd and len(places := np.unique(np.concatenate(odd))):
+            # A merge opened a lower rank: inside that word the order of single steps matters.
+            for k in np.unique(starts.searchsorted(places, "right") - 1):
+                ids = self.single(words[k])
+                tok[starts[k] : starts[k + 1]] = -1
+                tok[starts[k] : starts[k] + len(ids)] = ids
 
 
 _made: dict[str, tuple[PieceCache, np.ndarray, np.ndarray]] = {}
@@ -151,8 +183,10 @@ def _codec(path: str) -> tuple[PieceCache, np.ndarray, np.ndarray]:
         def encode(pieces: list[str]) -> list[bytes]:
             cut = [words.findall(p) for p in pieces]
             different = list({w for ws in cut for w in ws})
-            ids = {w: np.array(x, "<i4").tobytes() for w, x in zip(different, replay.encode([w.encode() for w in different]), strict=True)}
-            return [b"".join([ids[w] for w in ws]) for ws in cut]
+            ids, ends = replay.encode([w.encode() for w in different])
+            raw, ends = ids.astype("<i4").tobytes(), (4 * ends).tolist()
+            coded = {w: raw[a:b] for w, a, b in zip(different, ends[:-1], ends[1:], strict=True)}
+            return [coded[ws[0]] if len(ws) == 1 else b"".join([coded[w] for w in ws]) for ws in cut]
 
         size = max(ranks.values()) + 1
         lengths = np.zeros(size, np.int64)
@@ -168,8 +202,8 @@ def encoder(path: str):
     @F.arrow_udf("array<int>")
     def encode(texts: pa.Array) -> pa.Array:
         cache, parts = _codec(path)[0], [b""]
-        for a, b, _, _ in text_slices(texts):
-            parts += cache.encode_texts([t or "" for t in texts[a:b].to_pylist()])
+        for a, b, _, _ in text_slices(texts, REPLAY_BYTES):
+            parts += cache.encode_texts(texts[a:b])
         offsets = np.cumsum([len(x) // 4 for x in parts]).astype(np.int32)
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(parts), "<i4")))
 

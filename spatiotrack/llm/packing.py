@@ -61,7 +61,7 @@ def _tokenizer(vocabulary: str, end_id: int):
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1)
             for a, b, _, _ in text_slices(texts):
-                ids = [x + end for x in cache.encode_texts([t or "" for t in texts[a:b].to_pylist()])]
+                ids = [x + end for x in cache.encode_texts(texts[a:b])]
                 n = np.array([len(x) // 4 for x in ids], np.int64)
                 before = done + np.cumsum(n) - n
                 done += int(n.sum())

@@ -8,7 +8,9 @@ a time, and each different piece only once.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 
 _ODD = re.compile(r" (?=\s|\Z)")
 _CUT = re.compile(r" (?=\S)")
@@ -32,19 +34,26 @@ class PieceCache:
         self.plain: dict[str, bytes] = {}
         self.spaced: dict[str, bytes] = {}
 
-    def encode_texts(self, texts: list[str]) -> list[bytes]:
+    def encode_texts(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each text; all pieces not yet known are encoded together. A null is empty."""
         if len(self.spaced) + len(self.plain) > REMEMBERED:
             self.plain.clear()
             self.spaced.clear()
-        cut = [split(t) for t in texts]
-        new = {p for parts in cut for p in parts[1:]}.difference(self.spaced)
-        heads = {parts[0] for parts in cut}.difference(self.plain)
-        fresh = [" " + p for p in new] + list(heads)
-        found = self.encode(fresh)
+        new, heads = set(), set()
+        for t in self._few(texts):
+            parts = split(t)
+            heads.add(parts[0])
+            new.update(parts[1:])
+        new.difference_update(self.spaced)
+        heads.difference_update(self.plain)
+        found = self.encode([" " + p for p in new] + list(heads))
         spaced, plain = self.spaced, self.plain
         spaced.update(zip(new, found, strict=False))
         plain.update(zip(heads, found[len(new) :], strict=True))
-        out = [plain[parts[0]] + b"".join(map(spaced.__getitem__, parts[1:])) for parts in cut]
+        out = []
+        for t in self._few(texts):
+            parts = split(t)
+            out.append(plain[parts[0]] + b"".join([spaced[p] for p in parts[1:]]))
         for p in new:
             if len(p) > LONGEST:
                 del spaced[p]
@@ -52,3 +61,9 @@ class PieceCache:
             if len(p) > LONGEST:
                 del plain[p]
         return out
+
+    @staticmethod
+    def _few(texts: pa.Array) -> Iterator[str]:
+        for a in range(0, len(texts), 256):
+            for t in texts[a : a + 256].to_pylist():
+                yield t or ""
