@@ -9,6 +9,7 @@ from .bpe import decode_ids, encode_documents
 from .chat_format import format_conversations, message_events, read_loss, read_turns
 from .common import crc32_text, table
 from .media_gif import feature, read_media, store_text
+from .near_dedup import near_duplicates
 from .packing import pack_documents
 from .quality_rules import quality_rules
 from .sharding import shard_documents
@@ -32,6 +33,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(docs, carry=["doc_id"]).withColumnRenamed("nats", "nats_per_byte")
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     planted = spark.range(2).select(
         F.lit(-7).cast("long").alias("conv_id"),
@@ -101,6 +106,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op3_quality_rules": op3_quality_rules,
+    "op4_near_dedup": op4_near_dedup,
     "op5_chat_format": op5_chat_format,
     "op7_media_gif": op7_media_gif,
     "op9_bpe": op9_bpe,
