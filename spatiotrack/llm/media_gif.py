@@ -44,40 +44,40 @@ _W8 = _widths(258, 4200)
 
 def lzw_encode(data: bytes) -> bytes:
     """LZW of 8-bit samples, least significant bit first, a clear code whenever the table is full."""
-    codes: list[int] = [256]
+    # Codes are kept shifted by 8 bits, so that the key of a prefix and a byte is their union.
+    codes: list[int] = [256 << 8]
     breaks: list[int] = [0]
     add = codes.append
-    at, end = 0, len(data)
-    while at < end:
+    samples = iter(data)
+    prefix = next(samples) << 8
+    full = False
+    while True:
         table: dict[int, int] = {}
-        find, free = table.get, 258
-        prefix = data[at]
-        at += 1
-        for at in range(at, end):
-            byte = data[at]
-            key = prefix << 8 | byte
-            code = find(key)
-            if code is None:
+        insert, free = table.setdefault, 258 << 8
+        for byte in samples:
+            code = insert(prefix | byte, free)
+            if code != free:
+                prefix = code
+            else:
                 add(prefix)
-                table[key] = free
-                free += 1
-                prefix = byte
-                if free == 4096:
+                prefix = byte << 8
+                free += 256
+                if free == 4096 << 8:
+                    full = True
                     break
-            else:
-                prefix = code
-        else:
+        if not full:
             add(prefix)
             break
         # The table is full: clear, and start anew with the byte just read.
+        full = False
         breaks.append(len(codes))
-        add(256)
-    codes.append(257)
+        add(256 << 8)
+    add(257 << 8)
     # Between clear codes the width of a code follows from its number; a clear code counts as the last.
     edges = [b + 1 for b in breaks] + [len(codes)]
     bits = np.concatenate([_W8[: y - x] for x, y in zip(edges[:-1], edges[1:], strict=True)])
     bits = np.concatenate([[9], bits]).astype(np.int64)
-    value = np.array(codes, np.int64)
+    value = np.array(codes, np.int64) >> 8
     to = np.concatenate([[0], np.cumsum(bits)])
     place, shifted = to[:-1] >> 3, value << (to[:-1] & 7)
     size = int(to[-1] + 7) // 8
@@ -87,51 +87,62 @@ def lzw_encode(data: bytes) -> bytes:
     return out[:size].astype(np.uint8).tobytes()
 
 
+def _expand(code: np.ndarray, literals: int) -> np.ndarray:
+    """Samples of the codes between two clear codes.
+
+    The table entry made at code i is the output of code i and the sample after it. So a code above
+    the literals copies a stretch of earlier output; copies are followed to their literals by
+    doubling the step.
+    """
+    n = len(code)
+    parent = np.where(code < literals, n, code - literals - 2)
+    if ((parent >= np.arange(n)) & (parent < n) | (parent > n)).any() or (parent < 0).any():
+        raise ValueError("broken LZW stream")
+    length, step = np.ones(n + 1, np.int64), np.append(parent, n)
+    length[n] = 0
+    while (step != n).any():
+        length, step = length + length[step], step[step]
+    length = length[:n]
+    starts = np.concatenate([[0], np.cumsum(length)])
+    source = np.arange(starts[-1])
+    copied = parent < n
+    shift = np.where(copied, starts[:-1] - starts[np.minimum(parent, n - 1)], 0)
+    source -= np.repeat(shift, length)
+    while True:
+        further = source[source]
+        if np.array_equal(further, source):
+            break
+        source = further
+    out = np.zeros(starts[-1], np.uint8)
+    out[starts[:-1][~copied]] = code[~copied]
+    return out[source]
+
+
 def lzw_decode(data: bytes, bits: int, want: int) -> bytes:
     """Samples of an LZW code stream with ``bits`` bits a sample; stops at its end code or after ``want``."""
     clear, stop, first = 1 << bits, (1 << bits) + 1, (1 << bits) + 2
     raw = np.frombuffer(data + b"\0\0\0\0", np.uint8).astype(np.uint32)
     word = raw[:-3] | raw[1:-2] << np.uint32(8) | raw[2:-1] << np.uint32(16)
     total, at, have = len(data) * 8, 0, 0
-    out: list[bytes] = []
-    base = [bytes([i]) for i in range(clear)] + [b"", b""]
-    table, prev, number = list(base), b"", 0
-    fixed = _W8 if bits == 8 else None
+    out: list[np.ndarray] = []
     while at < total and have < want:
-        n = 4100
-        width = fixed[number : number + n] if fixed is not None and number + n <= len(fixed) else _widths(first, n, number)
-        place = at + np.concatenate([[0], np.cumsum(width)])
-        fits = int(np.searchsorted(place, total, "right")) - 1
-        if fits <= 0:
-            break
-        width, start = width[:fits], place[:fits]
-        code = word[start >> 3] >> (start & 7).astype(np.uint32) & ((1 << width) - 1).astype(np.uint32)
-        ends = np.flatnonzero((code == clear) | (code == stop))
-        used = int(ends[0]) if len(ends) else fits
-        free = len(table)
-        for c in code[:used].tolist():
-            if not prev:
-                entry = table[c]
-            else:
-                if c < free:
-                    entry = table[c]
-                else:
-                    entry = prev + prev[:1]
-                if free < 4096:
-                    table.append(prev + entry[:1])
-                    free += 1
-            out.append(entry)
-            prev = entry
-        number += used
-        if len(ends):
-            at = int(place[used + 1])
-            if code[used] == stop:
+        for n in (4100, total // (bits + 1) + 1):
+            width = _W8[:n] if bits == 8 and n <= len(_W8) else _widths(first, n)
+            place = at + np.concatenate([[0], np.cumsum(width)])
+            fits = int(np.searchsorted(place, total, "right")) - 1
+            start = place[:fits]
+            code = word[start >> 3] >> (start & 7).astype(np.uint32) & ((1 << width[:fits]) - 1).astype(np.uint32)
+            ends = np.flatnonzero((code == clear) | (code == stop))
+            if len(ends) or fits < n:
                 break
-            table, prev, number = list(base), b"", 0
-        else:
-            at = int(place[used])
-        have = sum(map(len, out)) if not len(ends) else have
-    return b"".join(out)[:want]
+        used = int(ends[0]) if len(ends) else fits
+        if used:
+            out.append(_expand(code[:used].astype(np.int64), clear))
+            have += len(out[-1])
+        if not len(ends) or code[used] == stop:
+            break
+        at = int(place[used + 1])
+    return b"".join(x.tobytes() for x in out)[:want]
 
 
 def _blocks(data: bytes) -> bytes:
