@@ -82,7 +82,8 @@ def pack_documents(df: DataFrame, length: int = LENGTH, end_id: int = END_ID, ke
     offsets = totals.select("__part", F.coalesce(F.sum("__total").over(earlier), F.lit(0)).alias("__base"))
 
     at = F.col("__base") + F.col("__before")
-    placed = tokens.join(offsets, "__part").withColumn("__at", at)
+    # One row of two longs for each partition that was read: 16 MB for a million partitions.
+    placed = tokens.join(F.broadcast(offsets), "__part").withColumn("__at", at)
     first, last = F.expr(f"__at div {length}"), F.expr(f"(__at + __n - 1) div {length}")
 
     def piece(k):
