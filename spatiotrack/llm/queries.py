@@ -11,6 +11,7 @@ from .common import crc32_text, table
 from .media_gif import feature, read_media, store_text
 from .near_dedup import near_duplicates
 from .packing import pack_documents
+from .quality_classifier import fit_classifier, held_out, score_documents
 from .quality_rules import quality_rules
 from .sharding import shard_documents
 
@@ -72,6 +73,13 @@ FROM c GROUP BY conv_id
 """
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    net = fit_classifier(docs, table(spark, sf_dir, "labels"))
+    scored = score_documents(docs, net)
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op7_media_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = store_text(table(spark, sf_dir, "documents").select("doc_id", "text"))
     read = read_media(stored)
@@ -108,6 +116,7 @@ QUERIES = {
     "op3_quality_rules": op3_quality_rules,
     "op4_near_dedup": op4_near_dedup,
     "op5_chat_format": op5_chat_format,
+    "op6_quality_classifier": op6_quality_classifier,
     "op7_media_gif": op7_media_gif,
     "op9_bpe": op9_bpe,
     "op10_packing": op10_packing,
