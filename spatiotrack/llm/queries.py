@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .bpe import decode_ids, encode_documents
 from .chat_format import format_conversations, message_events, read_loss, read_turns
 from .common import crc32_text, table
+from .license_scan import scan_licenses
 from .media_gif import feature, read_media, store_text
 from .near_dedup import near_duplicates
 from .packing import pack_documents
@@ -96,6 +97,10 @@ def op7_media_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = decode_ids(encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text")))
     return coded.select(
@@ -118,6 +123,7 @@ QUERIES = {
     "op5_chat_format": op5_chat_format,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_media_gif": op7_media_gif,
+    "op8_license_scan": op8_license_scan,
     "op9_bpe": op9_bpe,
     "op10_packing": op10_packing,
 }
