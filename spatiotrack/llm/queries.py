@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .bpe import decode_ids, encode_documents
 from .chat_format import format_conversations, message_events, read_loss, read_turns
 from .common import crc32_text, table
+from .html_extract import extract_text
 from .license_scan import scan_licenses
 from .media_gif import feature, read_media, store_text
 from .near_dedup import near_duplicates
@@ -30,6 +31,11 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = extract_text(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return quality_rules(docs, carry=["doc_id"]).withColumnRenamed("nats", "nats_per_byte")
@@ -118,6 +124,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op2_html_extraction": op2_html_extraction,
     "op3_quality_rules": op3_quality_rules,
     "op4_near_dedup": op4_near_dedup,
     "op5_chat_format": op5_chat_format,
