@@ -109,7 +109,7 @@ def bias_db(factor: Column) -> Column:
 
 
 def distance_label(m: Column, unit: str = "m") -> Column:
-    return F.concat(F.format_number(m * (1.0 if unit == "m" else 3.28084), "0.0"), F.lit(f" {unit}"))
+    return F.format_string(f"%.1f {unit}", m * (1.0 if unit == "m" else 3.28084))
 
 
 def error_hue(share: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("tracking", "calibration")
+MODULES = ("tracking", "calibration", "evaluation", "diagnostics")
 
 
 def queries() -> dict:
