@@ -13,11 +13,12 @@ Steps:
 
 1. Texts are nodes (named by their digest); equal texts are one node, combined before any shuffle.
 2. Signatures are cut into bands; a band's value names a bucket, and the smallest node of a bucket
-   is its hub. Every member is paired with its hub: a bucket of n gives n - 1 pairs.
-3. Pairs are verified by their exact multiset overlap; links are joined into components.
-4. Members left outside of their hub's component are paired with the other members of the bucket,
-   except where the triangle inequality of the Jaccard distance over the hub rules a link out, and
-   verified likewise. So each pair of a bucket is linked, verified or impossible.
+   is its hub. Each node is paired with the least of its hubs: n nodes give at most n pairs. Pairs
+   are verified by their exact multiset overlap, and links joined into components.
+3. Members left outside of the component of one of their hubs are verified against that hub.
+4. Members still outside are paired with the other members of the bucket, except where the triangle
+   inequality of the Jaccard distance over the hub rules a link out, and verified likewise. So each
+   pair of a bucket is linked, in one component already, verified or impossible.
 
 Every step is a join or an aggregation on nodes or buckets; components are found by alternating
 star contraction with written tables in between.
@@ -216,6 +217,17 @@ def _verify(pairs: DataFrame, texts: DataFrame, name: str) -> DataFrame:
     return materialize(two.select("u", "v", _overlap_udf()(F.col("left"), F.col("right")).alias("similarity")), name)
 
 
+def _links(verified: DataFrame, similarity: float) -> DataFrame:
+    return verified.filter(F.col("similarity") >= similarity).select("u", "v")
+
+
+def _placed(spokes: DataFrame, joined: DataFrame) -> DataFrame:
+    """Bucket members with the components of themselves and of their hub."""
+    rows = spokes.join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    hubs = joined.select(F.col("node").alias("hub"), F.col("root").alias("hub_root"))
+    return rows.join(hubs, "hub", "left").withColumn("hub_root", F.coalesce("hub_root", "hub")).select("bucket", "node", "root", "hub", "hub_root")
+
+
 def node_name(text: str):
     return F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
 
@@ -239,24 +251,34 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", simi
     texts = docs.join(wanted, same & docs["__key"].eqNullSafe(wanted["__key"])).select(docs["node"], docs["__key"], docs["body"])
     texts = materialize(texts.groupBy("node", "__key").agg(F.first("body").alias("body")).select("node", "body"), "dedup-texts")
 
-    pairs = members.filter("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct()
+    # One pair for each node first: most buckets then lie inside one component and need no more.
+    spokes = members.filter("node <> hub")
+    pairs = spokes.groupBy(F.col("node").alias("u")).agg(F.min("hub").alias("v"))
     first = _verify(pairs, texts, "dedup-verified")
-    links = first.filter(F.col("similarity") >= similarity)
-    joined = components(links.select("u", "v"))
-
-    # Members outside of their hub's component, against the rest of their bucket.
-    distance = first.select(F.col("u").alias("node"), F.col("v").alias("hub"), (1 - F.col("similarity")).alias("distance"))
-    placed = members.join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    hubs = joined.select(F.col("node").alias("hub"), F.col("root").alias("hub_root"))
-    placed = placed.join(hubs, "hub", "left").withColumn("hub_root", F.coalesce("hub_root", "hub"))
-    placed = placed.join(distance, ["node", "hub"], "left").withColumn("distance", F.coalesce("distance", F.lit(0.0)))
-    placed = materialize(placed.select("bucket", "node", "root", "hub", "distance", (F.col("root") != F.col("hub_root")).alias("outside")), "dedup-placed")
+    links = _links(first, similarity)
+    joined = components(links)
+
+    # Members outside of their hub's component, against that hub.
+    outside = _placed(spokes, joined).filter("root <> hub_root").select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct()
+    second = _verify(outside.join(first, ["u", "v"], "left_anti"), texts, "dedup-verified")
+    links = materialize(links.unionByName(_links(second, similarity)), "dedup-links")
+    joined = components(links)
+
+    # Buckets that are still mixed: all distances to the hub, then every pair they do not rule out.
+    placed = _placed(spokes, joined)
+    mixed = placed.filter("root <> hub_root").select("bucket").distinct()
+    placed = materialize(placed.join(mixed, "bucket", "left_semi"), "dedup-mixed")
+    known = first.unionByName(second)
+    rest = placed.select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct().join(known, ["u", "v"], "left_anti")
+    known = known.unionByName(_verify(rest, texts, "dedup-verified"))
+    distance = known.select(F.col("u").alias("node"), F.col("v").alias("hub"), (1 - F.col("similarity")).alias("distance"))
+    placed = placed.join(distance, ["node", "hub"]).withColumn("outside", F.col("root") != F.col("hub_root"))
     left = placed.filter("outside").select("bucket", F.col("node").alias("u"), F.col("root").alias("u_root"), F.col("distance").alias("u_distance"))
-    right = placed.filter("node <> hub").select("bucket", F.col("node").alias("v"), F.col("root").alias("v_root"), F.col("distance").alias("v_distance"), F.col("outside").alias("v_outside"))
+    right = placed.select("bucket", F.col("node").alias("v"), F.col("root").alias("v_root"), F.col("distance").alias("v_distance"), F.col("outside").alias("v_outside"))
     near = F.abs(F.col("u_distance") - F.col("v_distance")) <= 1 - similarity + 1e-9
     more = left.join(right, "bucket").filter((F.col("u_root") != F.col("v_root")) & near & (~F.col("v_outside") | (F.col("u") < F.col("v"))))
-    second = _verify(more.select("u", "v").distinct(), texts, "dedup-verified")
-    all_links = links.select("u", "v").unionByName(second.filter(F.col("similarity") >= similarity).select("u", "v"))
+    third = _verify(more.select("u", "v").distinct(), texts, "dedup-verified")
+    all_links = links.unionByName(_links(third, similarity))
     found = materialize(nodes.select("node", "rep").join(components(all_links), "node", "left").withColumn("root", F.coalesce("root", "node")), "dedup-classes")
     named = found.groupBy("root").agg(F.min("rep").alias("class_id"))
     classes = found.join(named, "root").select("node", "class_id")
