@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("tracking", "calibration", "evaluation", "diagnostics")
+MODULES = ("tracking", "calibration", "evaluation", "diagnostics", "zones")
 
 
 def queries() -> dict:
