@@ -16,8 +16,10 @@ Steps:
    is its hub. Each node is paired with the least of its hubs: n nodes give at most n pairs. Pairs
    are verified by their exact multiset overlap, and links joined into components.
 3. Members left outside of the component of one of their hubs are verified against that hub.
-4. Members still outside are paired with the other members of the bucket, except where the triangle
-   inequality of the Jaccard distance over the hub rules a link out, and verified likewise. So each
+4. In buckets that still hold several components, neighbours in a random order are verified, round
+   after round while that finds links: most of what belongs together is joined by few pairs.
+5. Members still outside are joined with the other members of mixed buckets on their rarest shingles
+   (a prefix filter, which no pair of sufficient similarity escapes), and verified likewise. So each
    pair of a bucket is linked, in one component already, verified or impossible.
 
 Every step is a join or an aggregation on nodes or buckets; components are found by alternating
@@ -33,7 +35,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Prefix, as_array, materialize, mix64, row_of, ship, text_slices, word_spans
@@ -44,6 +46,8 @@ ROWS = 7
 BANDS = 30
 #: Expected number of empty registers of a text at its first horizon: exp(-SLACK).
 SLACK = 4.0
+#: Rounds of neighbour pairs before the exact last step.
+TURNS = 2
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -184,6 +188,18 @@ def overlap(left: pa.Array, right: pa.Array) -> np.ndarray:
     return out
 
 
+def _shingle_udf():
+    def make(texts: pa.Array) -> pa.Array:
+        out, sizes = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)]
+        for _, _, raw, offsets in text_slices(texts, 1 << 20):
+            value, counts = shingles(raw, offsets)
+            out.append(value)
+            sizes.append(counts)
+        return pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(sizes)), pa.int32()), pa.array(np.concatenate(out).view(np.int64)))
+
+    return F.arrow_udf(make, "array<bigint>")
+
+
 def _overlap_udf():
     return F.arrow_udf(lambda a, b: pa.array(overlap(a, b)), "double")
 
@@ -228,6 +244,39 @@ def _placed(spokes: DataFrame, joined: DataFrame) -> DataFrame:
     return rows.join(hubs, "hub", "left").withColumn("hub_root", F.coalesce("hub_root", "hub")).select("bucket", "node", "root", "hub", "hub_root")
 
 
+def _mixed(spokes: DataFrame, joined: DataFrame) -> DataFrame:
+    """Members of the buckets that hold more than one component."""
+    placed = _placed(spokes, joined)
+    return placed.join(placed.filter("root <> hub_root").select("bucket").distinct(), "bucket", "left_semi")
+
+
+def _rare_pairs(loose: DataFrame, around: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (u, v) of a loose node and one around it in another component that can be similar enough.
+
+    Shingles are ordered from the rarest. With similarity s, two texts of n <= m shingles share at
+    least s / (1 + s) (n + m) of them; so one of the first m - ceil(s m) + 1 of the larger is among
+    the first n - ceil(2 s / (1 + s) n) + 1 of the smaller (prefix filter), and from the first shared
+    one on, both must hold that many (positional filter). No link escapes either.
+    """
+    spread = texts.join(around, "node", "left_semi").select("node", F.explode(_shingle_udf()(F.col("body"))).alias("h"))
+    counted = materialize(spread.groupBy("node", "h").agg(F.count(F.lit(1)).alias("w")), "dedup-shingles")
+    common = counted.groupBy("h").agg(F.count(F.lit(1)).alias("df"))
+    order = Window.partitionBy("node").orderBy("df", "h").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = counted.join(common, "h").withColumn("n", F.sum("w").over(Window.partitionBy("node"))).withColumn("at", F.sum("w").over(order) - F.col("w"))
+    room = lambda share: F.col("n") - F.ceil(F.lit(share) * F.col("n") - 1e-9)
+    rare = ranked.filter(F.col("at") <= room(similarity)).select("node", "h", "n", "at", (F.col("at") <= room(2 * similarity / (1 + similarity))).alias("short"))
+    rare = materialize(rare.join(around, "node"), "dedup-rare")
+    left = rare.join(loose.select("node"), "node", "left_semi").select("h", *[F.col(c).alias(f"a_{c}") for c in ("node", "root", "n", "at", "short")])
+    right = rare.select("h", *[F.col(c).alias(f"b_{c}") for c in ("node", "root", "n", "at", "short")])
+    apart = (F.col("a_root") != F.col("b_root")) & (F.least("a_n", "b_n") >= similarity * F.greatest("a_n", "b_n") - 1e-9)
+    met = left.filter("a_short").join(right, "h").filter(apart & (F.col("a_n") <= F.col("b_n")))
+    met = met.unionByName(left.join(right.filter("b_short"), "h").filter(apart & (F.col("a_n") > F.col("b_n"))))
+    pairs = met.groupBy("a_node", "b_node", "a_n", "b_n").agg(F.min("a_at").alias("i"), F.min("b_at").alias("j"))
+    shared = similarity / (1 + similarity) * (F.col("a_n") + F.col("b_n")) - 1e-9
+    pairs = pairs.filter(F.least(F.col("a_n") - F.col("i"), F.col("b_n") - F.col("j")) >= shared)
+    return pairs.select(F.greatest("a_node", "b_node").alias("u"), F.least("a_node", "b_node").alias("v")).distinct()
+
+
 def node_name(text: str):
     return F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
 
@@ -264,20 +313,28 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", simi
     links = materialize(links.unionByName(_links(second, similarity)), "dedup-links")
     joined = components(links)
 
-    # Buckets that are still mixed: all distances to the hub, then every pair they do not rule out.
-    placed = _placed(spokes, joined)
-    mixed = placed.filter("root <> hub_root").select("bucket").distinct()
-    placed = materialize(placed.join(mixed, "bucket", "left_semi"), "dedup-mixed")
+    # Mixed buckets: neighbours in a random order of each bucket, as long as that joins components.
     known = first.unionByName(second)
-    rest = placed.select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct().join(known, ["u", "v"], "left_anti")
-    known = known.unionByName(_verify(rest, texts, "dedup-verified"))
-    distance = known.select(F.col("u").alias("node"), F.col("v").alias("hub"), (1 - F.col("similarity")).alias("distance"))
-    placed = placed.join(distance, ["node", "hub"]).withColumn("outside", F.col("root") != F.col("hub_root"))
-    left = placed.filter("outside").select("bucket", F.col("node").alias("u"), F.col("root").alias("u_root"), F.col("distance").alias("u_distance"))
-    right = placed.select("bucket", F.col("node").alias("v"), F.col("root").alias("v_root"), F.col("distance").alias("v_distance"), F.col("outside").alias("v_outside"))
-    near = F.abs(F.col("u_distance") - F.col("v_distance")) <= 1 - similarity + 1e-9
-    more = left.join(right, "bucket").filter((F.col("u_root") != F.col("v_root")) & near & (~F.col("v_outside") | (F.col("u") < F.col("v"))))
-    third = _verify(more.select("u", "v").distinct(), texts, "dedup-verified")
+    for turn in range(TURNS):
+        placed = materialize(_mixed(spokes, joined), "dedup-mixed")
+        order = Window.partitionBy("bucket").orderBy(F.xxhash64(F.lit(turn), "bucket", "node"))
+        beside = [F.struct(F.lag("node", k).over(order).alias("v"), F.lag("root", k).over(order).alias("v_root")) for k in (1, 2)]
+        pairs = placed.select("node", "root", F.array(*beside).alias("n")).select("node", "root", F.inline("n"))
+        pairs = pairs.filter("root <> v_root").select(F.greatest("node", "v").alias("u"), F.least("node", "v").alias("v")).distinct()
+        tried = _verify(pairs.join(known, ["u", "v"], "left_anti"), texts, "dedup-verified")
+        found = _links(tried, similarity)
+        if not found.limit(1).count():
+            break
+        known = known.unionByName(tried)
+        links = materialize(links.unionByName(found), "dedup-links")
+        joined = components(links)
+
+    # What is still mixed: an exact join on rare shingles finds every link that is left.
+    placed = materialize(_mixed(spokes, joined), "dedup-mixed")
+    loose = placed.filter("root <> hub_root").select("node", "root").distinct()
+    around = placed.select("node", "root").unionByName(placed.select(F.col("hub").alias("node"), F.col("hub_root").alias("root"))).distinct()
+    more = _rare_pairs(loose, around, texts, similarity)
+    third = _verify(more.join(known, ["u", "v"], "left_anti"), texts, "dedup-verified")
     all_links = links.unionByName(_links(third, similarity))
     found = materialize(nodes.select("node", "rep").join(components(all_links), "node", "left").withColumn("root", F.coalesce("root", "node")), "dedup-classes")
     named = found.groupBy("root").agg(F.min("rep").alias("class_id"))
