@@ -261,16 +261,20 @@ def _rare_pairs(loose: DataFrame, around: DataFrame, texts: DataFrame, similarit
     spread = texts.join(around, "node", "left_semi").select("node", F.explode(_shingle_udf()(F.col("body"))).alias("h"))
     counted = materialize(spread.groupBy("node", "h").agg(F.count(F.lit(1)).alias("w")), "dedup-shingles")
     common = counted.groupBy("h").agg(F.count(F.lit(1)).alias("df"))
-    order = Window.partitionBy("node").orderBy("df", "h").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = counted.join(common, "h").withColumn("n", F.sum("w").over(Window.partitionBy("node"))).withColumn("at", F.sum("w").over(order) - F.col("w"))
+    order = Window.partitionBy("node").orderBy("df", "h")
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = counted.join(common, "h").withColumn("n", F.sum("w").over(Window.partitionBy("node"))).withColumn("at", F.sum("w").over(so_far) - F.col("w")).withColumn("back", F.lag("h").over(order))
     room = lambda share: F.col("n") - F.ceil(F.lit(share) * F.col("n") - 1e-9)
-    rare = ranked.filter(F.col("at") <= room(similarity)).select("node", "h", "n", "at", (F.col("at") <= room(2 * similarity / (1 + similarity))).alias("short"))
+    rare = ranked.filter(F.col("at") <= room(similarity)).select("node", "h", "n", "at", "back", (F.col("at") <= room(2 * similarity / (1 + similarity))).alias("short"))
     rare = materialize(rare.join(around, "node"), "dedup-rare")
-    left = rare.join(loose.select("node"), "node", "left_semi").select("h", *[F.col(c).alias(f"a_{c}") for c in ("node", "root", "n", "at", "short")])
-    right = rare.select("h", *[F.col(c).alias(f"b_{c}") for c in ("node", "root", "n", "at", "short")])
-    apart = (F.col("a_root") != F.col("b_root")) & (F.least("a_n", "b_n") >= similarity * F.greatest("a_n", "b_n") - 1e-9)
+    left = rare.join(loose.select("node"), "node", "left_semi").select("h", *[F.col(c).alias(f"a_{c}") for c in ("node", "root", "n", "at", "back", "short")])
+    right = rare.select("h", *[F.col(c).alias(f"b_{c}") for c in ("node", "root", "n", "at", "back", "short")])
+    # Two texts that also share the shingle before this one meet there already.
+    again = F.coalesce(F.col("a_back") == F.col("b_back"), F.lit(False))
+    apart = (F.col("a_root") != F.col("b_root")) & ~again & (F.least("a_n", "b_n") >= similarity * F.greatest("a_n", "b_n") - 1e-9)
     met = left.filter("a_short").join(right, "h").filter(apart & (F.col("a_n") <= F.col("b_n")))
     met = met.unionByName(left.join(right.filter("b_short"), "h").filter(apart & (F.col("a_n") > F.col("b_n"))))
+    met = DEBUG(met)
     pairs = met.groupBy("a_node", "b_node", "a_n", "b_n").agg(F.min("a_at").alias("i"), F.min("b_at").alias("j"))
     shared = similarity / (1 + similarity) * (F.col("a_n") + F.col("b_n")) - 1e-9
     pairs = pairs.filter(F.least(F.col("a_n") - F.col("i"), F.col("b_n") - F.col("j")) >= shared)
@@ -331,9 +335,12 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", simi
 
     # What is still mixed: an exact join on rare shingles finds every link that is left.
     placed = materialize(_mixed(spokes, joined), "dedup-mixed")
-    loose = placed.filter("root <> hub_root").select("node", "root").distinct()
-    around = placed.select("node", "root").unionByName(placed.select(F.col("hub").alias("node"), F.col("hub_root").alias("root"))).distinct()
-    more = _rare_pairs(loose, around, texts, similarity)
+    whole = placed.select("bucket", "node", "root").unionByName(placed.select("bucket", F.col("hub").alias("node"), F.col("hub_root").alias("root")).distinct())
+    # A link between components has an end outside of the bucket's largest one.
+    sizes = whole.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
+    largest = sizes.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("largest"))
+    loose = whole.join(largest, "bucket").filter("root <> largest").select("node", "root").distinct()
+    more = _rare_pairs(loose, whole.select("node", "root").distinct(), texts, similarity)
     third = _verify(more.join(known, ["u", "v"], "left_anti"), texts, "dedup-verified")
     all_links = links.unionByName(_links(third, similarity))
     found = materialize(nodes.select("node", "rep").join(components(all_links), "node", "left").withColumn("root", F.coalesce("root", "node")), "dedup-classes")

@@ -58,7 +58,9 @@ def subzones(spark: SparkSession) -> DataFrame:
 def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """event_id, device, tick, true_x, true_y, true_floor; one tick a second."""
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    e = table(spark, sf_dir, "events").select("event_id", "user_id", "ts").withColumn("tick", F.row_number().over(order))
+    # An explicit number: what follows makes twelve rows of each, so small partitions must not be merged.
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "ts").repartition(n, "user_id").withColumn("tick", F.row_number().over(order))
     u, t = F.col("user_id"), F.col("tick")
     return e.select(
         "event_id",
