@@ -274,7 +274,6 @@ def _rare_pairs(loose: DataFrame, around: DataFrame, texts: DataFrame, similarit
     apart = (F.col("a_root") != F.col("b_root")) & ~again & (F.least("a_n", "b_n") >= similarity * F.greatest("a_n", "b_n") - 1e-9)
     met = left.filter("a_short").join(right, "h").filter(apart & (F.col("a_n") <= F.col("b_n")))
     met = met.unionByName(left.join(right.filter("b_short"), "h").filter(apart & (F.col("a_n") > F.col("b_n"))))
-    met = DEBUG(met)
     pairs = met.groupBy("a_node", "b_node", "a_n", "b_n").agg(F.min("a_at").alias("i"), F.min("b_at").alias("j"))
     shared = similarity / (1 + similarity) * (F.col("a_n") + F.col("b_n")) - 1e-9
     pairs = pairs.filter(F.least(F.col("a_n") - F.col("i"), F.col("b_n") - F.col("j")) >= shared)
