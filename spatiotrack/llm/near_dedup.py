@@ -46,8 +46,8 @@ ROWS = 7
 BANDS = 30
 #: Expected number of empty registers of a text at its first horizon: exp(-SLACK).
 SLACK = 4.0
-#: Rounds of neighbour pairs before the exact last step.
-TURNS = 2
+#: Rounds of neighbour pairs before the exact last step, which finds whatever they leave.
+TURNS = 1
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -207,23 +207,24 @@ def _overlap_udf():
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, root): the least node of each component, for every node of ``edges`` (columns u, v).
 
-    Alternates large-star and small-star steps; a written table ends each round.
+    Alternates large-star and small-star steps until each component is a star around its least node;
+    a written table of no more files than twice the cores ends each round.
     """
-    now = materialize(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), name)
-    seen = None
+    files = 2 * edges.sparkSession.sparkContext.defaultParallelism
+    now = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct()
+    now = materialize(now.coalesce(files), name)
     while True:
+        ends = now.select(F.inline(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("up")), F.struct(F.col("v").alias("node"), F.lit(0).alias("up")))))
+        met = ends.groupBy("node").agg(F.sum("up").alias("ups"), F.min("up").alias("least"))
+        if not met.agg(F.count_if((F.col("ups") > 1) | ((F.col("ups") == 1) & (F.col("least") == 0)))).first()[0]:
+            return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
         large = both.join(least, "u").filter("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
         small = small.select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
-        now = materialize(small.filter("u <> v").distinct(), name)
-        mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == seen:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        seen = mark
+        now = materialize(small.filter("u <> v").distinct().coalesce(files), name)
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, name: str) -> DataFrame:
