@@ -27,8 +27,9 @@ star contraction with written tables in between.
 
 Edge cases: a null text counts as empty; all empty texts are one class; texts of one to four words
 have one shingle, all their words; a null doc_id is a row of its class like any other, and the
-class id (the least doc_id of the class) is null only if all of them are; repeated rows share a
-class; an empty table gives no rows; extra columns are ignored, or kept by ``deduplicate``.
+class id (the least doc_id of the class) is null only if all of them are; classes of unlike texts
+with the same least doc_id have the same class id, and stay apart in ``deduplicate``; repeated rows
+share a class; an empty table gives no rows; extra columns are ignored, or kept by ``deduplicate``.
 """
 
 from __future__ import annotations
@@ -286,7 +287,10 @@ def node_name(text: str):
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
-    """A row for each row of ``df``: key, ``node`` binary (the text's digest) and ``class_id``."""
+    """A row for each row of ``df``: key, ``node`` binary (the text's digest), ``class_id`` and ``root``.
+
+    ``root``, the least node of the class, names it; ``class_id`` is a label that classes can share.
+    """
     ship(df.sparkSession)
     docs = df.select(F.col(key).alias("__key"), node_name(text).alias("node"), F.col(text).alias("body"))
     signed = materialize(docs.select("__key", "node", _band_udf(rows, bands)(F.col("body")).alias("bands")), "dedup-signatures")
@@ -345,14 +349,14 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", simi
     all_links = links.unionByName(_links(third, similarity))
     found = materialize(nodes.select("node", "rep").join(components(all_links), "node", "left").withColumn("root", F.coalesce("root", "node")), "dedup-classes")
     named = found.groupBy("root").agg(F.min("rep").alias("class_id"))
-    classes = found.join(named, "root").select("node", "class_id")
-    return signed.select("__key", "node").join(classes, "node").select(F.col("__key").alias(key), "node", "class_id")
+    classes = found.join(named, "root").select("node", "class_id", "root")
+    return signed.select("__key", "node").join(classes, "node").select(F.col("__key").alias(key), "node", "class_id", "root")
 
 
 def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """One row of ``df`` for each class: the one with the least key, all columns kept."""
     found = near_duplicates(df, key, text, **how)
-    kept = found.filter(F.col(key).eqNullSafe(F.col("class_id"))).groupBy("class_id").agg(F.min("node").alias("__node"))
+    kept = found.filter(F.col(key).eqNullSafe(F.col("class_id"))).groupBy("root", "class_id").agg(F.min("node").alias("__node"))
     kept = kept.select(F.col("class_id").alias("__key"), "__node")
     rows = df.withColumn("__name", node_name(text))
     same = rows.join(kept, (F.col("__name") == F.col("__node")) & F.col(key).eqNullSafe(F.col("__key")))

@@ -197,6 +197,13 @@ def test_one_of_each_class_stays(spark, docs, none):
     assert near_dedup.near_duplicates(none).count() == 0 and near_dedup.deduplicate(none).count() == 0
 
 
+def test_unlike_texts_of_one_id_stay(spark):
+    texts = [words(60, 5000 + i) for i in range(5)]
+    rows = [(None, texts[0], "en", "s", 0), (None, texts[1], "en", "s", 0), (7, texts[2], "en", "s", 0), (7, texts[3], "en", "s", 0), (8, texts[3], "en", "s", 0), (9, texts[4], "en", "s", 0), (9, texts[4], "en", "s", 0)]
+    out = near_dedup.deduplicate(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert Counter((r.doc_id, r.text) for r in out) == Counter({(None, texts[0]): 1, (None, texts[1]): 1, (7, texts[2]): 1, (7, texts[3]): 1, (9, texts[4]): 1})
+
+
 def test_signatures_estimate_weighted_jaccard():
     rng = random.Random(1)
     a = [rng.choice("abcdefgh") for _ in range(400)]
