@@ -7,6 +7,10 @@ ids. Pass two cuts that sequence into windows of ``length`` ids; a document that
 end gives one boundary record (a piece) for each window that it touches. No row is shuffled, so no
 source, key or long document can be hot; only the last sequence needs padding.
 
+Ids are those of ``tokenizers`` with the JSON file of the vocabulary's name and
+``add_special_tokens=False``: its added tokens are taken out of a text first, and what lies between
+them is encoded piece by piece.
+
 Edge cases: a null or empty text is the end id alone; a text longer than a window spans several;
 repeated rows are packed each for itself; an empty table gives no pieces; other columns are not
 carried along, so their names cannot clash.
@@ -15,10 +19,14 @@ carried along, so their names cannot clash.
 from __future__ import annotations
 
 import base64
+import json
+import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,7 +37,7 @@ LENGTH = 2048
 END_ID = 1
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
-_caches: dict[str, PieceCache] = {}
+_caches: dict[str, Encoder] = {}
 
 
 def rank_path(name: str) -> str:
@@ -43,15 +51,52 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-def _cache(vocabulary: str) -> PieceCache:
-    """The tokenizer's ids: the rank file holds the ids of the JSON file of the same name."""
+def load_added(vocabulary: str) -> dict[str, int]:
+    """The added tokens of the JSON file of the same name, and their ids."""
+    with open(rank_path(os.path.splitext(vocabulary)[0] + ".json"), encoding="utf-8") as f:
+        added = json.load(f)["added_tokens"]
+    odd = [t["content"] for t in added if t["lstrip"] or t["rstrip"] or t["single_word"]]
+    if odd:
+        raise ValueError(f"added tokens with flags that are not supported: {odd}")
+    return {t["content"]: t["id"] for t in added}
+
+
+class Encoder:
+    """Ids of texts: added tokens by name, the parts between them by the rank file."""
+
+    def __init__(self, cache: PieceCache, added: dict[str, int]):
+        self.cache = cache
+        self.added = {k: np.array([v], "<u4").tobytes() for k, v in added.items()}
+        # Like the library: the leftmost, and there the longest, wins.
+        listed = sorted(self.added, key=len, reverse=True)
+        self.cut = re.compile("(" + "|".join(map(re.escape, listed)) + ")") if listed else None
+
+    def encode_texts(self, texts: pa.Array) -> list[bytes]:
+        has = np.zeros(len(texts), bool)
+        for name in self.added:
+            has |= pc.fill_null(pc.match_substring(texts, name), False).to_numpy(zero_copy_only=False)
+        if not has.any():
+            return self.cache.encode_texts(texts)
+        out: list = [None] * len(texts)
+        plain = np.flatnonzero(~has)
+        for i, ids in zip(plain, self.cache.encode_texts(texts.take(pa.array(plain))), strict=True):
+            out[i] = ids
+        for i in np.flatnonzero(has):
+            parts = self.cut.split(texts[int(i)].as_py())
+            between = iter(self.cache.encode_texts(pa.array(parts[::2], pa.string())))
+            out[i] = b"".join([self.added[p] if k % 2 else next(between) for k, p in enumerate(parts)])
+        return out
+
+
+def _cache(vocabulary: str) -> Encoder:
+    """The tokenizer's ids: the rank file holds the ids of the JSON file of the same name, without its added tokens."""
     if vocabulary not in _caches:
         import public_tokenizers
         import tiktoken
 
         enc = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=load_ranks(rank_path(vocabulary)), special_tokens={})
         one = enc.encode_ordinary
-        _caches[vocabulary] = PieceCache(lambda pieces: [np.array(one(p), "<u4").tobytes() for p in pieces])
+        _caches[vocabulary] = Encoder(PieceCache(lambda pieces: [np.array(one(p), "<u4").tobytes() for p in pieces]), load_added(vocabulary))
     return _caches[vocabulary]
 
 

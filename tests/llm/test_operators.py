@@ -377,6 +377,19 @@ def test_pieces_cover_all_ids(spark, docs, none):
     assert packing.pack_documents(none).count() == 0
 
 
+def test_added_tokens_have_the_ids_of_the_library():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(["<|endoftext|>", " ", "  ", "\n", "a", "b's", "é", "<|", "|>"]) for _ in range(rng.randint(0, 12))) for _ in range(3000)]
+    texts += ["a <|endoftext|> b", "<|endoftext|>", "", None, "<|endoftext|><|endoftext|>"]
+    got = packing._cache(packing.VOCABULARY).encode_texts(pa.array(texts))
+    assert np.frombuffer(got[3000], "<u4").tolist() == [64, 220, 50256, 275]
+    assert all(np.frombuffer(g, "<u4").tolist() == t.encode(x or "", add_special_tokens=False).ids for g, x in zip(got, texts, strict=True))
+
+
 def test_sequences_are_padded(spark, docs):
     seqs = packing.sequences(packing.pack_documents(docs)).collect()
     assert all(len(s.ids) == 4 * packing.LENGTH or s.used & (s.used - 1) == 0 for s in seqs)
