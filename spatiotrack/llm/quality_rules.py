@@ -1,13 +1,13 @@
 """Operator 3, quality rules: n-gram perplexity under a modified Kneser-Ney model.
 
-Counting: every task slides a window of ``ORDER`` bytes over its whole texts and combines equal
-n-grams before they are shuffled; Spark adds the counts of a language. A passage that recurs within
-a slice of texts (``CONTEXT`` equal bytes) counts once there, so that a large group of copies does
-not teach the model its own wording. Model: discounts, continuation
-counts and back-off weights of all orders become arrays sorted by a 64-bit hash of the n-gram, with
-a directory of the leading bits. Its size is bounded: where a corpus has more than ``MAX_GRAMS``
-different n-grams, the rarest of them are left to the back-off, so the broadcast never exceeds about
-24 bytes for each of ``MAX_GRAMS`` entries and their suffixes.
+Texts are dealt by their digest into chunks of about ``CHUNK_BYTES``, whatever the layout of the
+input; equal texts meet in one chunk and count once, so that copies do not teach the model their own
+wording. Counting: a window of ``ORDER`` bytes slides over each chunk's whole texts, and Spark adds up
+the different n-grams of all chunks, language by language; none is left out. Model: discounts,
+continuation counts, back-off weights and probabilities of all orders are Spark aggregations and
+joins over written tables. Scoring: the different n-grams of a chunk are joined with the model and
+meet the chunk's texts again, so no task holds more than a chunk and its n-grams. As every text is
+counted, every n-gram of a text is in the model.
 
 Verdict: each language has a lower and an upper band of nats a byte (the logarithm of perplexity)
 around the median of its different texts, ``LOWER`` and ``UPPER`` robust deviations away, and wider
@@ -17,8 +17,7 @@ Base rules: fewer than ``MIN_WORDS`` words, or over ``MAX_REPEAT`` per cent of t
 eight-word windows that occur twice or more.
 
 Edge cases: a null text is empty and fails the base rules; a null language is a language of its
-own; a text shorter than the order, or in a language that the model does not know, has no
-perplexity and no verdict from it; repeated rows get equal results; an empty table gives no rows;
+own; a text shorter than the order has no perplexity and no verdict from it; repeated rows get equal results; an empty table gives no rows;
 extra columns pass through, but the names in ``FEATURES`` and ``ADDED`` are replaced.
 """
 
@@ -28,14 +27,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Prefix, as_array, materialize, mix64, row_of, ship, text_slices, windows, word_spans
 
 ORDER = 5
-CONTEXT = 24
-MAX_GRAMS = 4_000_000
+#: Text that is counted and scored together.
+CHUNK_BYTES = 16 << 20
 MIN_WORDS = 20
 MAX_REPEAT = 30
 LOWER = 4.0
@@ -112,44 +111,43 @@ def grams(raw: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndarray,
     return value[rows[:n] == rows[order - 1 :]], counts
 
 
+def _unseen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows whose language and digest a task has not had yet: copies do not pile up in one chunk."""
+    seen: set[tuple] = set()
+    for batch in batches:
+        kept = []
+        for i, key in enumerate(zip(batch.column("lang").to_pylist(), batch.column("same").to_pylist(), strict=True)):
+            if key not in seen:
+                seen.add(key)
+                kept.append(i)
+        yield batch if len(kept) == len(batch) else batch.take(pa.array(kept, pa.int64()))
+
+
+def _different(chunk: pa.Table) -> Iterator[tuple[str, pa.Array, pa.Array]]:
+    """The languages of a chunk, with digests and texts, every different text once."""
+    rows: dict[str, dict[bytes, int]] = {}
+    for i, (lang, same) in enumerate(zip(chunk["lang"].to_pylist(), chunk["same"].to_pylist(), strict=True)):
+        rows.setdefault(lang, {}).setdefault(same, i)
+    texts, same = as_array(chunk["text"]), as_array(chunk["same"])
+    for lang, found in rows.items():
+        at = pa.array(list(found.values()), pa.int64())
+        yield lang, same.take(at), texts.take(at)
+
+
+COUNTED = "chunk long, lang string, gram long, n long"
+
+
 def _counter(order: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names: dict[str, int] = {}
-        keys, sums = [], []
-
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            k, s = np.concatenate(keys), np.concatenate(sums)
-            by = np.argsort(k, kind="stable")
-            k, s = k[by], s[by]
-            first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-            return k[first], np.add.reduceat(s, first)
-
-        for batch in batches:
-            langs = [x or NO_LANGUAGE for x in batch.column(0).to_pylist()]
-            code = np.array([names.setdefault(x, len(names)) for x in langs], np.uint64)
-            for a, b, raw, offsets in text_slices(batch.column(1)):
-                value, counts = grams(raw, offsets, order)
-                if not len(value):
-                    continue
-                value |= np.repeat(code[a:b], counts) << np.uint64(8 * order)
-                at = np.arange(len(raw))
-                at = at[at + order <= np.repeat(offsets[1:], np.diff(offsets))]
-                passage = Prefix(raw).spans(at, np.minimum(at + CONTEXT, np.repeat(offsets[1:], counts)))
-                _, once = np.unique(passage ^ mix64(value >> np.uint64(8 * order)), return_index=True)
-                k, s = np.unique(value[once], return_counts=True)
-                keys.append(k)
-                sums.append(s)
-            if sum(map(len, keys)) > 1_000_000:
-                k, s = merged()
-                keys, sums = [k], [s]
-        if keys and sum(map(len, keys)):
-            k, s = merged()
-            listed = pa.array(list(names))
-            for a in range(0, len(k), 100_000):
-                part = k[a : a + 100_000]
-                lang = listed.take(pa.array((part >> np.uint64(8 * order)).astype(np.int64)))
-                gram = (part & np.uint64((1 << 8 * order) - 1)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([lang, pa.array(gram), pa.array(s[a : a + 100_000].astype(np.int64))], ["lang", "gram", "n"])
+    def run(chunk: pa.Table) -> pa.Table:
+        out = []
+        for lang, _, texts in _different(chunk):
+            parts = [np.unique(grams(raw, offsets, order)[0], return_counts=True) for _, _, raw, offsets in text_slices(texts)]
+            keys = np.concatenate([k for k, _ in parts])
+            k, at = np.unique(keys, return_inverse=True)
+            n = np.bincount(at, weights=np.concatenate([c for _, c in parts]), minlength=len(k)).astype(np.int64)
+            number = chunk["chunk"][0].as_py()
+            out.append(pa.table({"chunk": pa.array(np.full(len(k), number), pa.int64()), "lang": pa.array([lang] * len(k), pa.string()), "gram": pa.array(k.astype(np.int64)), "n": pa.array(n)}))
+        return pa.concat_tables(out)
 
     return run
 
@@ -190,7 +188,10 @@ class HashArrays:
 
 
 class KneserNey:
-    """Interpolated modified Kneser-Ney over byte n-grams of one language."""
+    """Interpolated modified Kneser-Ney over byte n-grams of one language, in memory.
+
+    What ``language_models`` computes in Spark for any number of n-grams, for a small table.
+    """
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray, order: int):
         self.order = order
@@ -228,55 +229,102 @@ class KneserNey:
         return value
 
 
-def fit_language_models(df: DataFrame, text: str = "text", lang: str = "lang", order: int = ORDER, max_grams: int = MAX_GRAMS) -> dict[str, KneserNey]:
-    """A model for each language, counted over all rows."""
-    ship(df.sparkSession)
-    counted = df.select(F.col(lang).cast("string"), F.col(text)).mapInArrow(_counter(order), "lang string, gram long, n long")
-    summed = materialize(counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "ngram-counts")
-    different = summed.count()
-    if different > max_grams:
-        least = summed.agg(F.percentile_approx("n", 1 - max_grams / different, 10_000)).first()[0]
-        summed = summed.filter(F.col("n") > least)
-    got = summed.toArrow()
-    by = np.array(got.column("lang").to_pylist(), object)
-    gram, n = got.column("gram").to_numpy(), got.column("n").to_numpy()
-    return {name: KneserNey(gram[mask], n[mask], order) for name in sorted(set(by)) if (mask := by == name).any()}
-
-
-def score_documents(df: DataFrame, models: dict[str, KneserNey], text: str = "text", lang: str = "lang", order: int = ORDER) -> DataFrame:
-    """``df`` with the base features and ``nats`` double, the mean negative log-probability of a byte."""
-    spark = df.sparkSession
-    ship(spark)
-    shared = spark.sparkContext.broadcast(models)
-
-    def score(texts: pa.Array, langs: pa.Array) -> pa.Array:
-        texts, known = as_array(texts), shared.value
-        names = [x or NO_LANGUAGE for x in as_array(langs).to_pylist()]
-        features = text_features(texts)
-        nats = []
-        for a, b, raw, offsets in text_slices(texts):
-            keys, counts = grams(raw, offsets, order)
-            value = np.zeros(len(keys))
-            listed = {x: i for i, x in enumerate(dict.fromkeys(names[a:b]))}
-            code = np.array([listed[x] for x in names[a:b]])
-            for name, i in listed.items():
-                if len(listed) == 1:
-                    mask = slice(None)
-                else:
-                    mask = np.repeat(code == i, counts)
-                value[mask] = -known[name].log_probability(keys[mask]) if name in known else np.nan
-            ends = np.cumsum(counts)
-            sums = np.array([value[e - c : e].sum() for e, c in zip(ends, counts, strict=True)])
-            with np.errstate(invalid="ignore", divide="ignore"):
-                nats.append(sums / counts)
-        nats = np.concatenate(nats) if nats else np.zeros(0)
-        columns = [pa.array(features[k].astype(np.int64)) for k in FEATURES] + [pa.array(nats, mask=~np.isfinite(nats))]
-        return pa.StructArray.from_arrays(columns, [*FEATURES, "nats"])
-
-    kind = ", ".join(f"{k}: bigint" for k in FEATURES)
-    made = F.arrow_udf(score, f"struct<{kind}, nats: double>")(F.col(text), F.col(lang).cast("string"))
-    kept = [F.col(c) for c in df.columns if c not in (*FEATURES, "nats")]
-    return df.select(*kept, made.alias("__made")).select(*kept, "__made.*")
+def dealt(df: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+    """chunk, lang, same (digest) and text of the rows of ``df``; a chunk is named by the digest alone."""
+    size = df.agg(F.sum(F.octet_length(F.col(text)).cast("long"))).first()[0] or 0
+    chunks = max(1, -(-size // CHUNK_BYTES))
+    rows = df.select(language(lang).alias("lang"), digest(text).alias("same"), F.col(text).alias("text"))
+    rows = rows.select(F.pmod(F.xxhash64("same"), F.lit(chunks)).cast("long").alias("chunk"), "lang", "same", "text")
+    return rows.mapInArrow(_unseen, rows.schema)
+
+
+def language(lang: str):
+    return F.coalesce(F.col(lang).cast("string"), F.lit(NO_LANGUAGE))
+
+
+def digest(text: str):
+    return F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
+
+
+def count_grams(texts: DataFrame, order: int = ORDER) -> DataFrame:
+    """chunk, lang, gram, n: the n-grams of the different texts of each chunk."""
+    return materialize(texts.groupBy("chunk").applyInArrow(_counter(order), COUNTED), "ngram-chunks")
+
+
+def language_models(counted: DataFrame, order: int = ORDER) -> DataFrame:
+    """lang, gram, value: natural logarithm of the probability of every n-gram that was counted."""
+    tables = {order: materialize(counted.groupBy("lang", "gram").agg(F.sum("n").alias("c")), "ngram-counts")}
+    for n in range(order - 1, 0, -1):
+        shorter = F.col("gram").bitwiseAND(F.lit((1 << 8 * n) - 1))
+        tables[n] = materialize(tables[n + 1].groupBy("lang", shorter.alias("gram")).agg(F.count(F.lit(1)).alias("c")), "ngram-continuations")
+    below = None
+    for n in range(1, order + 1):
+        n1, n2, n3, n4 = (F.col(f"n{i}") for i in (1, 2, 3, 4))
+        one = F.lit(1)
+        y = F.when(n1 > 0, n1 / F.greatest(n1 + 2 * n2, one)).otherwise(0.5)
+        clip = lambda d, high: F.greatest(F.lit(0.1), F.least(F.lit(high), d))
+        counts = tables[n].groupBy("lang").agg(*[F.count_if(F.col("c") == i).alias(f"n{i}") for i in (1, 2, 3, 4)])
+        discounts = counts.select(
+            "lang",
+            clip(1 - 2 * y * n2 / F.greatest(n1, one), 0.95).alias("d1"),
+            clip(2 - 3 * y * n3 / F.greatest(n2, one), 1.95).alias("d2"),
+            clip(3 - 4 * y * n4 / F.greatest(n3, one), 2.95).alias("d3"),
+        )
+        # A context is followed by 256 different bytes at most.
+        context = Window.partitionBy("lang", F.shiftright("gram", 8))
+        c, d1, d2, d3 = F.col("c"), F.col("d1"), F.col("d2"), F.col("d3")
+        within = tables[n].select(
+            "lang", "gram", "c", F.sum("c").over(context).alias("total"),
+            *[F.sum((c == i).cast("long")).over(context).alias(f"k{i}") for i in (1, 2)], F.sum((c > 2).cast("long")).over(context).alias("k3"),
+        )
+        rows = within.join(discounts, "lang")
+        off = F.when(c == 1, d1).when(c == 2, d2).otherwise(d3)
+        gamma = (d1 * F.col("k1") + d2 * F.col("k2") + d3 * F.col("k3")) / F.col("total")
+        rows = rows.select("lang", "gram", ((c - off) / F.col("total")).alias("own"), gamma.alias("gamma"), F.col("gram").bitwiseAND(F.lit((1 << 8 * (n - 1)) - 1)).alias("short"))
+        if below is None:
+            below = rows.select("lang", "gram", (F.col("own") + F.col("gamma") / 256).alias("p"))
+        else:
+            lower = below.select("lang", F.col("gram").alias("short"), F.col("p").alias("lower"))
+            below = rows.join(lower, ["lang", "short"]).select("lang", "gram", (F.col("own") + F.col("gamma") * F.col("lower")).alias("p"))
+        below = materialize(below, "ngram-models")
+    return below.select("lang", "gram", F.log("p").cast("float").alias("value"))
+
+
+SCORED = "lang string, same binary, " + ", ".join(f"{k} long" for k in FEATURES) + ", nats double"
+
+
+def _scorer(order: int):
+    def run(chunk: pa.Table, known: pa.Table) -> pa.Table:
+        out = [pa.table({"lang": pa.array([], pa.string()), "same": pa.array([], pa.binary()), **{k: pa.array([], pa.int64()) for k in FEATURES}, "nats": pa.array([], pa.float64())})]
+        names = known["lang"].combine_chunks().dictionary_encode() if len(known) else pa.array([], pa.string()).dictionary_encode()
+        names = as_array(names)
+        code, listed = names.indices.to_numpy(), names.dictionary.to_pylist()
+        gram, value = known["gram"].to_numpy(), known["value"].to_numpy()
+        for lang, same, texts in _different(chunk):
+            mask = code == listed.index(lang) if lang in listed else np.zeros(len(gram), bool)
+            keys, values = gram[mask], value[mask]
+            by = np.argsort(keys)
+            keys, values = keys[by], values[by]
+            features, nats = text_features(texts), []
+            for _, _, raw, offsets in text_slices(texts):
+                found, counts = grams(raw, offsets, order)
+                each = -values[np.searchsorted(keys, found.astype(np.int64))].astype(np.float64) if len(found) else np.zeros(0)
+                ends = np.cumsum(counts)
+                sums = np.array([each[e - c : e].sum() for e, c in zip(ends, counts, strict=True)])
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    nats.append(sums / counts)
+            nats = np.concatenate(nats)
+            columns = {k: pa.array(features[k].astype(np.int64)) for k in FEATURES}
+            out.append(pa.table({"lang": pa.array([lang] * len(same), pa.string()), "same": same.cast(pa.binary()), **columns, "nats": pa.array(nats, mask=~np.isfinite(nats))}))
+        return pa.concat_tables(out)
+
+    return run
+
+
+def score_texts(texts: DataFrame, counted: DataFrame, models: DataFrame, order: int = ORDER) -> DataFrame:
+    """lang, same, the base features and ``nats``, the mean negative log-probability of a byte: a row for each different text."""
+    values = counted.select("chunk", "lang", "gram").join(models, ["lang", "gram"])
+    return materialize(texts.groupBy("chunk").cogroup(values.groupBy("chunk")).applyInArrow(_scorer(order), SCORED), "quality-texts")
 
 
 def bands(scored: DataFrame, identity: str, lang: str = "lang") -> DataFrame:
@@ -299,10 +347,13 @@ def judge(scored: DataFrame, text_bytes: str, identity: str, lang: str = "lang",
 
 def quality_rules(df: DataFrame, text: str = "text", lang: str = "lang", carry: list[str] | None = None) -> DataFrame:
     """Rows of ``df`` (columns ``carry``, all by default) with features, perplexity and verdict."""
-    models = fit_language_models(df, text, lang)
-    marked = df.withColumn("__bytes", F.octet_length(F.coalesce(F.col(text), F.lit("")))).withColumn("__same", F.xxhash64(F.col(text)))
-    scored = score_documents(marked, models, text, lang)
+    ship(df.sparkSession)
+    texts = dealt(df, text, lang)
+    counted = count_grams(texts)
+    scored = score_texts(texts, counted, language_models(counted))
     keep = [c for c in (carry if carry is not None else df.columns) if c not in (*FEATURES, *ADDED)]
-    wanted = list(dict.fromkeys([*keep, lang, "__bytes", "__same", *FEATURES, "nats"]))
-    judged = judge(materialize(scored.select(*wanted), "quality-scores"), "__bytes", "__same", lang)
+    marked = df.withColumn("__bytes", F.octet_length(F.coalesce(F.col(text), F.lit("")))).withColumn("__same", digest(text)).withColumn("__known", language(lang))
+    marked = marked.select(*dict.fromkeys([*keep, lang, "__bytes", "__same", "__known"]))
+    scored = scored.withColumnsRenamed({"lang": "__known", "same": "__same"})
+    judged = judge(materialize(marked.join(scored, ["__known", "__same"]), "quality-scores"), "__bytes", "__same", lang)
     return judged.select(*keep, *FEATURES, *ADDED)

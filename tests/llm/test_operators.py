@@ -143,6 +143,23 @@ def test_odd_texts_leave_the_bands(spark):
     assert not out[900] and sum(out.values()) >= 195
 
 
+def test_nats_equal_one_model_of_all_grams_in_any_layout(spark):
+    rows = [(i, words(30 + i, i % 20), ["en", "de", None][i % 3], "s", 1) for i in range(60)] + [(90, "only one short text", "xx", "s", 1)]
+    rows += [(100 + i, rows[0][1], "en", "s", 1) for i in range(20)] + [(200, "abc", "en", "s", 1), (201, None, None, "s", 1)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    want = {}
+    for lang in {r[2] for r in rows}:
+        texts = sorted({r[1] or "" for r in rows if r[2] == lang})
+        made = [quality_rules.grams(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]), quality_rules.ORDER)[0] for t in texts]
+        model = quality_rules.KneserNey(*np.unique(np.concatenate(made), return_counts=True), quality_rules.ORDER)
+        want.update({(lang, t): -model.log_probability(k).astype(float).mean() if len(k) else None for t, k in zip(texts, made, strict=True)})
+    for layout in (1, 5):
+        got = quality_rules.quality_rules(df.repartition(layout)).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            assert r.nats == (None if want[r.lang, r.text or ""] is None else pytest.approx(want[r.lang, r.text or ""], abs=1e-5))
+
+
 # 4
 def bag(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
