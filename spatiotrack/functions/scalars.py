@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from fractions import Fraction
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -108,8 +111,22 @@ def bias_db(factor: Column) -> Column:
     return F.round(-30 * F.log10(factor), 1)
 
 
+def _least_above(k: int) -> float:
+    """The least double that is not below k/20."""
+    return k / 20 if Fraction(k / 20) >= Fraction(k, 20) else math.nextafter(k / 20, 1.0)
+
+
 def distance_label(m: Column, unit: str = "m") -> Column:
-    return F.format_string(f"%.1f {unit}", m * (1.0 if unit == "m" else 3.28084))
+    """One decimal, rounded by the exact value of the double and half-way away from zero, as toFixed(1) does."""
+    value = m.cast("double") * (1.0 if unit == "m" else 3.28084)
+    size = F.abs(value)
+    # Doubles from 2**53 on are whole; what is left of smaller ones above their floor is exact.
+    plain = size < float(1 << 53)
+    whole = F.floor(F.when(plain, size))
+    part = size - whole
+    tenth = sum(((part >= _least_above(k)).cast("long") for k in range(1, 20, 2)), F.lit(0))
+    label = F.concat(F.when(value < 0, "-").otherwise(""), (whole + F.when(tenth == 10, 1).otherwise(0)).cast("string"), F.lit("."), (tenth % 10).cast("string"), F.lit(f" {unit}"))
+    return F.when(plain, label).otherwise(F.format_string(f"%.1f {unit}", value))
 
 
 def error_hue(share: Column) -> Column:

@@ -85,7 +85,7 @@ def crosstrack_metrics(samples: DataFrame, waypoints: list[tuple[float, float]],
 
 def score(samples: DataFrame, scales: DataFrame, truth: tuple[float, float] | None = None, waypoints: list[tuple[float, float]] | None = None) -> DataFrame:
     """All metrics, a row for each tracker and series (published, raw); the main floor's scale serves all samples."""
-    floors = main_floor(samples).join(F.broadcast(scales.limit(100_000)), F.col("main_floor") == F.col("floor"), "left").select("ent", "main_floor", F.coalesce("scale", F.lit(1.0)).alias("px_per_m"))
+    floors = main_floor(samples).join(scales, F.col("main_floor") == F.col("floor"), "left").select("ent", "main_floor", F.coalesce("scale", F.lit(1.0)).alias("px_per_m"))
     rows = samples.join(floors, "ent")
     out = None
     per = F.first("px_per_m").alias("px_per_m")

@@ -145,6 +145,13 @@ def p28_distance_label(spark, sf):
     return e.select("event_id", f.distance_label((F.col("event_id") % 4001) / 100.0).alias("label"))
 
 
+# All events: printf rounds by the exact value, but exact halves (x.25, x.75) to even.
+@query(sql("v AS (SELECT event_id, (event_id % 4001) / 100e0 AS m FROM events)", "SELECT event_id, printf('%.1f', CASE WHEN event_id % 4001 % 50 = 25 THEN m + 0.01e0 ELSE m END) || ' m' AS label FROM v"))
+def p28b_distance_label_all(spark, sf):
+    e = fx.table(spark, sf, "events")
+    return e.select("event_id", f.distance_label((F.col("event_id") % 4001) / 100.0).alias("label"))
+
+
 @query(sql("v AS (SELECT event_id, (event_id % 301 - 150) / 100e0 AS p, event_id % 8 = 0 AS stale FROM events), h AS (SELECT *, 240 - (greatest(-1e0, least(1e0, p)) + 1) * 120 AS hue FROM v)", "SELECT event_id, hue, CASE WHEN stale THEN 'stale' WHEN hue < 90 THEN 'red' WHEN hue > 150 THEN 'blue' ELSE 'green' END AS band FROM h"))
 def p29_error_colour(spark, sf):
     e = fx.table(spark, sf, "events").withColumn("hue", f.error_hue((F.col("event_id") % 301 - 150) / 100.0))

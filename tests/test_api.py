@@ -31,3 +31,22 @@ def test_calibration_improves_the_selftest(spark, sf):
     assert error(fitted.select(flat.columns)) < error(flat)
     mean = c.solve().groupBy("floor").agg(F.avg(F.log10("correction")).alias("m")).collect()
     assert all(abs(r.m) < 1e-3 for r in mean)
+
+
+def test_distance_labels_round_by_exact_value(spark):
+    from decimal import ROUND_HALF_UP, Decimal
+
+    from spatiotrack.functions import scalars
+
+    values = [k / 100 for k in range(4001)] + [-0.04, -0.25, 0.95, 9.95, 1e17, 123456.75]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").coalesce(1).select("v", scalars.distance_label(F.col("v")).alias("label")).collect()
+    assert {r.v: r.label for r in rows} == {v: f"{Decimal(v).quantize(Decimal('0.1'), ROUND_HALF_UP)} m" for v in values}
+
+
+def test_every_floor_has_its_scale(spark):
+    from spatiotrack.operators import evaluation
+
+    scales = spark.range(100_050, numPartitions=1).select(F.concat(F.lit("f"), "id").alias("floor"), F.lit(40.0).alias("scale"))
+    rows = [("a", i, float(i), "f100049", "z", 1.0 * i, 2.0, 1.0 * i, 2.0, 0.5, 0.5) for i in range(5)]
+    samples = spark.createDataFrame(rows, "ent string, seq int, updated double, floor string, zone string, x double, y double, raw_x double, raw_y double, rms_m double, conf double")
+    assert {r.px_per_m for r in evaluation.score(samples, scales).collect()} == {40.0}
