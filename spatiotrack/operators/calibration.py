@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -39,7 +41,7 @@ def ingest_dump(adverts: DataFrame, matches: DataFrame, s: Settings = DEFAULTS)
     return joined.filter("tx <> rx").select("dump", "tx", "rx", F.col("stamp"), F.col("distance").alias("distance_m"))
 
 
-def match_scanners(placed: DataFrame, scanners: DataFrame, rounds: int = 32) -> DataFrame:
+def match_scanners(placed: DataFrame, scanners: DataFrame) -> DataFrame:
     """slug, address, tier: by name, else by a hardware token that points at one free scanner only.
 
     placed (slug, uid), scanners (address, name). Tier two repeats until nothing new is found,
@@ -51,21 +53,23 @@ def match_scanners(placed: DataFrame, scanners: DataFrame, rounds: int = 32) ->
     waiting = placed.join(named.select("slug"), "slug", "left_anti").withColumn("token", F.coalesce("uid", f.scanner_token(F.col("slug")))).filter("token is not null")
     pairs = waiting.join(free, (f.scanner_token(F.col("name")) == F.col("token")) | f.token_matches(F.col("token"), F.col("address"))).select("slug", "address").distinct()
     # Candidates are links of a small layout: both sides are bounded by what is placed.
-    left = [(r[0], r[1]) for r in pairs.collect()]
+    by_slug: dict[str, set] = {}
+    by_address: dict[str, set] = {}
+    for slug, address in pairs.collect():
+        by_slug.setdefault(slug, set()).add(address)
+        by_address.setdefault(address, set()).add(slug)
     taken: dict[str, str] = {}
-    for _ in range(rounds):
-        by_slug: dict[str, set] = {}
-        for slug, address in left:
-            by_slug.setdefault(slug, set()).add(address)
-        found = None
-        for slug in sorted(by_slug):
-            if len(by_slug[slug]) == 1:
-                found = slug, next(iter(by_slug[slug]))
-                break
-        if found is None:
-            break
-        taken[found[0]] = found[1]
-        left = [(a, b) for a, b in left if a != found[0] and b != found[1]]
+    unique = sorted(slug for slug, found in by_slug.items() if len(found) == 1)
+    while unique:
+        slug = heapq.heappop(unique)
+        # Its one candidate may have gone to another slug since.
+        if not by_slug[slug]:
+            continue
+        taken[slug] = address = by_slug[slug].pop()
+        for other in by_address[address] - {slug}:
+            by_slug[other].discard(address)
+            if len(by_slug[other]) == 1:
+                heapq.heappush(unique, other)
     if not taken:
         return named
     more = placed.sparkSession.createDataFrame([(a, b, 2) for a, b in taken.items()], "slug string, address string, tier int")

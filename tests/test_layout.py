@@ -78,6 +78,16 @@ def test_scanner_tokens_match_once_taken(spark):
     assert got["hall"] == ("aa:bb:cc:a1:b2:c3", 1) and got["kitchen"][1] == 2
 
 
+def test_all_renamed_scanners_are_matched(spark):
+    # Forty of their own, and a chain in which each match makes the next one unique.
+    own = [(f"old_{i:02x}00{i:02x}", None, f"11:22:33:{i:02x}:00:{i:02x}") for i in range(40)]
+    chain = [(f"z{i:02d}", f"bb00{i:02x}", f"11:22:33:bb:00:{i + 3:02x}") for i in range(40)]
+    placed = spark.createDataFrame([(a, b) for a, b, _ in own + chain], "slug string, uid string")
+    scanners = spark.createDataFrame([(c, f"New {i}") for i, (_, _, c) in enumerate(own + chain)], "address string, name string")
+    got = {r.slug: r.address for r in match_scanners(placed, scanners).collect()}
+    assert got == {a: c for a, _, c in own + chain}
+
+
 def test_similar_names_are_suggested(spark):
     unmatched = spark.createDataFrame([("kitchen_probe", None), ("zzz", None)], "scanner string, uid string")
     free = spark.createDataFrame([("kitchen_prob",), ("garage",)], "scanner string")
