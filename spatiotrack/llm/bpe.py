@@ -1,37 +1,56 @@
 """Operator 9, byte-level BPE encoding and decoding: corpus-level merge replay.
 
-Each task collects the different pieces of the texts that it holds, cuts them by the public
-pattern into words, and encodes all new words together. The words' bytes form one long list of
-tokens with links to the neighbours inside a word. An inverted index leads from a merge (by its
-rank) to all positions where its pair stands; the ranks come in order; applying a merge touches the
-two neighbours of each position only and enters their new pairs into the index. If a
-merge opens a pair of lower rank than its own, the order inside that word matters, and that word is
-encoded on its own. Encoded pieces are remembered up to a fixed number.
+Every different piece of the whole corpus is encoded once, by Spark, in these steps:
+
+1. Rows are taken in slices of about ``SLICE_BYTES`` of text. A slice's different pieces (cut where
+   the public pattern always cuts, see ``textsplit``) are dealt by their stem into lists.
+2. The lists of all slices meet by stem, so that equal pieces of the whole corpus are in one place.
+   There they are cut by the public pattern into words, and all different words are merged together:
+   their bytes form one long list of tokens with links to the neighbours inside a word; an inverted
+   index leads from a merge (by its rank) to all positions where its pair stands; the ranks come in
+   order, and applying a merge touches the two neighbours of each position only and enters their new
+   pairs into the index. If a merge opens a pair of lower rank than its own, the order inside that
+   word matters, and that word is encoded on its own.
+3. Each list goes back to its slice with the ids of its pieces, and meets the slice's rows, which
+   travel as compressed blocks; ids are then looked up and joined.
+
+A slice and a group of lists are all that a task holds, however large a source or a group of copies
+is; equal pieces of a slice are combined before anything is shuffled. Nothing is broadcast or
+collected. Should a repeated task deal its rows otherwise, a piece without ids is encoded on the spot.
 
 Edge cases: a null text is empty and has no ids; any bytes can be encoded, since all 256 single
 bytes are in the vocabulary; repeated texts give equal ids; extra columns pass through, but ``ids``
-is replaced.
+is replaced, and so cannot be the text; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import heapq
+import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import as_array, ship, text_slices
+from .common import as_array, ship
 from .packing import load_ranks, rank_path
-from .textsplit import PieceCache
+from .textsplit import PieceCache, split
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
-
 BLOCK = 512
-#: Text whose new words are merged together.
-REPLAY_BYTES = 16 << 20
+#: Text whose pieces are looked up together.
+SLICE_BYTES = 32 << 20
+#: Text in one block of rows.
+ROW_BYTES = 2 << 20
+#: Bytes of different pieces that are merged together, as far as groups of stems go.
+REPLAY_BYTES = 8 << 20
 
 
 class MergeReplay:
@@ -198,16 +217,149 @@ def _codec(path: str) -> tuple[PieceCache, np.ndarray, np.ndarray]:
     return _made[path]
 
 
-def encoder(path: str):
-    @F.arrow_udf("array<int>")
-    def encode(texts: pa.Array) -> pa.Array:
-        cache, parts = _codec(path)[0], [b""]
-        for a, b, _, _ in text_slices(texts, REPLAY_BYTES):
-            parts += cache.encode_texts(texts[a:b])
-        offsets = np.cumsum([len(x) // 4 for x in parts]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(parts), "<i4")))
+#: A list of pieces (kind 0, without or with ids) or a block of rows (kind 1) of a slice.
+LISTS = "slice long, kind int, stem int, pieces binary, heads array<string>, ids binary"
+_STEM = " \t\n.,;:!?\"'()[]"
+
+
+def _rows(**columns: list) -> pa.RecordBatch:
+    kinds = {"slice": pa.int64(), "kind": pa.int32(), "stem": pa.int32(), "pieces": pa.binary(), "heads": pa.list_(pa.string()), "ids": pa.binary()}
+    return pa.RecordBatch.from_arrays([pa.array(columns[k], t) for k, t in kinds.items()], list(kinds))
+
+
+def _sliced(batches: Iterator[pa.RecordBatch], text: int, limit: int) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Runs of rows with the number of their slice, which depends on the rows of the task alone, not on its batches."""
+    task, done = TaskContext.get().partitionId() << 32, 0
+    for batch in batches:
+        sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        before = done + np.cumsum(sizes) - sizes
+        done += int(sizes.sum())
+        number = before // limit
+        cuts = [0, *(np.flatnonzero(np.diff(number)) + 1).tolist(), len(sizes)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if b > a:
+                yield task | int(number[a]), batch.slice(a, b - a)
+
+
+def _listed(stems: int, limit: int):
+    """Step 1: the different pieces of each slice, by stem."""
+
+    def lists(number: int, spaced: set[str], heads: set[str]) -> Iterator[pa.RecordBatch]:
+        by: dict[int, tuple[list, list]] = {}
+        for k, found in enumerate((spaced, heads)):
+            for p in found:
+                stem = zlib.crc32(p.strip(_STEM).encode()) % stems
+                if stem not in by:
+                    by[stem] = [], []
+                by[stem][k].append(p)
+        pack = zstandard.ZstdCompressor(level=3).compress
+        pieces = [pack("".join([" " + p for p in sorted(x)]).encode()) for x, _ in by.values()]
+        n = len(by)
+        yield _rows(slice=[number] * n, kind=[0] * n, stem=list(by), pieces=pieces, heads=[x for _, x in by.values()], ids=[None] * n)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, spaced, heads = -1, set(), set()
+        for number, rows in _sliced(batches, 0, limit):
+            if number != now and now >= 0:
+                yield from lists(now, spaced, heads)
+                spaced, heads = set(), set()
+            now = number
+            for a in range(0, len(rows), 256):
+                for t in rows.column(0)[a : a + 256].to_pylist():
+                    parts = split(t or "")
+                    heads.add(parts[0])
+                    spaced.update(parts[1:])
+        if now >= 0:
+            yield from lists(now, spaced, heads)
+
+    return run
+
+
+def _unpacked(raw: bytes) -> list[str]:
+    """The pieces of a list: a text of its own, which splits where they were joined."""
+    return split(zstandard.ZstdDecompressor().decompress(raw).decode())[1:]
+
+
+def _replayed(path: str):
+    """Step 2: lists with the ids of their pieces, first those with a space in front, then the heads."""
+
+    def coded(lists: list[tuple], encode) -> pa.RecordBatch:
+        spaced = [_unpacked(x[2]) for x in lists]
+        different = list(set().union(*spaced))
+        heads = list(set().union(*[x[3] for x in lists]))
+        ids = encode([" " + p for p in different] + heads)
+        of, of_head = dict(zip(different, ids, strict=False)), dict(zip(heads, ids[len(different) :], strict=True))
+        pack, out = zstandard.ZstdCompressor(level=3).compress, []
+        for found, (_, _, _, first) in zip(spaced, lists, strict=True):
+            each = [of[p] for p in found] + [of_head[p] for p in first]
+            lengths = np.array([len(x) // 4 for x in each], "<u4").tobytes()
+            out.append(pack(lengths + b"".join(each)))
+        n = len(lists)
+        return _rows(slice=[x[0] for x in lists], kind=[0] * n, stem=[x[1] for x in lists], pieces=[x[2] for x in lists], heads=[x[3] for x in lists], ids=out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, held, size, last = _codec(path)[0].encode, [], 0, None
+        for batch in batches:
+            columns = [batch.column(k).to_pylist() for k in ("slice", "stem", "pieces", "heads")]
+            for row in zip(*columns, strict=True):
+                if row[1] != last and size > REPLAY_BYTES:
+                    yield coded(held, encode)
+                    held, size = [], 0
+                last = row[1]
+                held.append(row)
+                size += 3 * len(row[2])
+        if held:
+            yield coded(held, encode)
+
+    return run
+
+
+def _blocks_of_rows(text: int, limit: int):
+    """Whole rows of each slice, as compressed Arrow streams of about ``ROW_BYTES`` of text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        how = pa.ipc.IpcWriteOptions(compression="zstd")
+        for number, rows in _sliced(batches, text, limit):
+            a = 0
+            sizes = pa.compute.fill_null(pa.compute.binary_length(rows.column(text)), 0).to_numpy(zero_copy_only=False)
+            ends = np.cumsum(sizes.astype(np.int64))
+            while a < len(rows):
+                b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + ROW_BYTES, "right")))
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, rows.schema, options=how) as out:
+                    out.write_batch(rows.slice(a, b - a))
+                yield _rows(slice=[number], kind=[1], stem=[0], pieces=[None], heads=[None], ids=[sink.getvalue().to_pybytes()])
+                a = b
+
+    return run
+
+
+def _joined(path: str, text: int, names: list[str]):
+    """Step 3: the rows of each slice with their ids; its lists come first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, cache, unpack = None, None, zstandard.ZstdDecompressor()
+        for batch in batches:
+            for i in range(len(batch)):
+                number, kind = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+                if number != now:
+                    now, cache = number, PieceCache(_codec(path)[0].encode, remember=None)
+                if kind == 0:
+                    spaced, heads = _unpacked(batch.column(3)[i].as_py()), batch.column(4)[i].as_py()
+                    raw = unpack.decompress(batch.column(5)[i].as_py())
+                    n = len(spaced) + len(heads)
+                    ends = (4 * (n + np.concatenate([[0], np.cumsum(np.frombuffer(raw, "<u4", n).astype(np.int64))]))).tolist()
+                    each = [raw[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+                    cache.spaced.update(zip(spaced, each, strict=False))
+                    cache.plain.update(zip(heads, each[len(spaced) :], strict=True))
+                    continue
+                for rows in pa.ipc.open_stream(pa.py_buffer(batch.column(5)[i].as_py())):
+                    parts = [b"", *cache.look_up(as_array(rows.column(text)))]
+                    offsets = np.cumsum([len(x) // 4 for x in parts]).astype(np.int32)
+                    ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(parts), "<i4")))
+                    yield pa.RecordBatch.from_arrays([*rows.columns, ids], names)
 
-    return encode
+    return run
 
 
 def decoder(path: str):
@@ -229,10 +381,18 @@ def decoder(path: str):
     return decode
 
 
-def encode_documents(df: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
+def encode_documents(df: DataFrame, text: str = "text", path: str | None = None, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """``df`` with ``ids`` array<int>."""
     ship(df.sparkSession)
-    return df.withColumn("ids", encoder(path or rank_path(VOCABULARY))(F.col(text)))
+    path = path or rank_path(VOCABULARY)
+    stems = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kept = df.select(*[F.col(f"`{c}`") for c in df.columns if c != "ids"])
+    at = kept.columns.index(text)
+    lists = kept.select(text).mapInArrow(_listed(stems, slice_bytes), LISTS)
+    coded = lists.repartition("stem").sortWithinPartitions("stem").mapInArrow(_replayed(path), LISTS)
+    met = coded.unionByName(kept.mapInArrow(_blocks_of_rows(at, slice_bytes), LISTS)).repartition("slice").sortWithinPartitions("slice", "kind")
+    schema = T.StructType([*kept.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    return met.mapInArrow(_joined(path, at, schema.names), schema)
 
 
 def decode_ids(df: DataFrame, ids: str = "ids", to: str = "decoded", path: str | None = None) -> DataFrame:

@@ -29,14 +29,15 @@ def split(text: str) -> list[str]:
 class PieceCache:
     """Encoded form of each piece, as little-endian 32-bit ids, for pieces with and without the space."""
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]]):
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], remember: int | None = REMEMBERED):
         self.encode = encode
+        self.remember = remember
         self.plain: dict[str, bytes] = {}
         self.spaced: dict[str, bytes] = {}
 
     def encode_texts(self, texts: pa.Array) -> list[bytes]:
         """Ids of each text; all pieces not yet known are encoded together. A null is empty."""
-        if len(self.spaced) + len(self.plain) > REMEMBERED:
+        if self.remember is not None and len(self.spaced) + len(self.plain) > self.remember:
             self.plain.clear()
             self.spaced.clear()
         new, heads = set(), set()
@@ -62,6 +63,17 @@ class PieceCache:
                 del plain[p]
         return out
 
+    def look_up(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each text whose pieces are mostly known: one pass, and those with other pieces again."""
+        out = []
+        for t in self._few(texts):
+            parts = split(t)
+            try:
+                out.append(self.plain[parts[0]] + b"".join([self.spaced[p] for p in parts[1:]]))
+            except KeyError:
+                out += self.encode_texts(pa.array([t], pa.string()))
+        return out
+
     @staticmethod
     def _few(texts: pa.Array) -> Iterator[str]:
         for a in range(0, len(texts), 256):

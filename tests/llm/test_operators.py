@@ -360,6 +360,25 @@ def test_ids_equal_the_library():
     assert all(np.frombuffer(g, "<i4").tolist() == enc.encode_ordinary(t or "") for g, t in zip(got, texts, strict=True))
 
 
+def test_ids_of_a_whole_corpus_equal_the_library_in_any_slices(spark):
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(["", "a", "the", "don't", "x,y", "été", "\n", "  q", "1234", "\x00", "日本語"]) for _ in range(rng.randint(0, 40))) for _ in range(300)] + [None, "", " ", "a" * 3000, " ".join(["same"] * 5000)] + ["copy of a text"] * 200
+    df = spark.createDataFrame([(i, t, "kept") for i, t in enumerate(texts)], "doc_id long, text string, slice string").repartition(3)
+    enc = tiktoken_of(bpe.VOCABULARY)
+    for limit in (200, 1 << 20):
+        got = bpe.encode_documents(clashing(df, "ids", "stem"), slice_bytes=limit).collect()
+        assert len(got) == len(texts)
+        for r in got:
+            assert r.ids == enc.encode_ordinary(texts[r.doc_id] or "") and r.slice == "kept" and r.stem == "clash"
+
+
+def test_pieces_that_are_in_no_list_are_encoded_on_the_spot(spark):
+    cache = bpe.PieceCache(bpe._codec(packing.rank_path(bpe.VOCABULARY))[0].encode, remember=None)
+    got = cache.look_up(pa.array(["never listed before", None, "x" * 100 + " y"]))
+    enc = tiktoken_of(bpe.VOCABULARY)
+    assert [np.frombuffer(g, "<i4").tolist() for g in got] == [enc.encode_ordinary(t) for t in ("never listed before", "", "x" * 100 + " y")]
+
+
 def test_decoded_bytes_are_the_text(spark, docs, none):
     for r in bpe.decode_ids(bpe.encode_documents(clashing(docs, "ids", "decoded"))).collect():
         assert bytes(r.decoded) == (r.text or "").encode()
