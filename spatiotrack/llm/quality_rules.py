@@ -27,14 +27,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Prefix, as_array, materialize, mix64, row_of, ship, text_slices, windows, word_spans
+from .common import Prefix, as_array, materialize, mix64, release, row_of, ship, text_slices, windows, word_spans
 
 ORDER = 5
 #: Text that is counted and scored together.
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 48 << 20
 MIN_WORDS = 20
 MAX_REPEAT = 30
 LOWER = 4.0
@@ -112,15 +113,20 @@ def grams(raw: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndarray,
 
 
 def _unseen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows whose language and digest a task has not had yet: copies do not pile up in one chunk."""
+    """Rows whose language and digest a task has not had yet: copies do not pile up in one chunk. Texts are compressed."""
     seen: set[tuple] = set()
+    pack = zstandard.ZstdCompressor(level=3).compress
     for batch in batches:
         kept = []
         for i, key in enumerate(zip(batch.column("lang").to_pylist(), batch.column("same").to_pylist(), strict=True)):
             if key not in seen:
                 seen.add(key)
                 kept.append(i)
-        yield batch if len(kept) == len(batch) else batch.take(pa.array(kept, pa.int64()))
+        rows = batch.take(pa.array(kept, pa.int64()))
+        for a in range(0, len(rows), 256):
+            some = rows.slice(a, 256)
+            texts = pa.array([pack((t or "").encode()) for t in some.column("text").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*some.columns[:3], texts], some.schema.names)
 
 
 def _different(chunk: pa.Table) -> Iterator[tuple[str, pa.Array, pa.Array]]:
@@ -128,10 +134,10 @@ def _different(chunk: pa.Table) -> Iterator[tuple[str, pa.Array, pa.Array]]:
     rows: dict[str, dict[bytes, int]] = {}
     for i, (lang, same) in enumerate(zip(chunk["lang"].to_pylist(), chunk["same"].to_pylist(), strict=True)):
         rows.setdefault(lang, {}).setdefault(same, i)
-    texts, same = as_array(chunk["text"]), as_array(chunk["same"])
+    packed, same, unpack = chunk["text"], as_array(chunk["same"]), zstandard.ZstdDecompressor().decompress
     for lang, found in rows.items():
-        at = pa.array(list(found.values()), pa.int64())
-        yield lang, same.take(at), texts.take(at)
+        at = list(found.values())
+        yield lang, same.take(pa.array(at, pa.int64())), pa.array([unpack(packed[i].as_py()).decode() for i in at], pa.string())
 
 
 COUNTED = "chunk long, lang string, gram long, n long"
@@ -235,7 +241,7 @@ def dealt(df: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     chunks = max(1, -(-size // CHUNK_BYTES))
     rows = df.select(language(lang).alias("lang"), digest(text).alias("same"), F.col(text).alias("text"))
     rows = rows.select(F.pmod(F.xxhash64("same"), F.lit(chunks)).cast("long").alias("chunk"), "lang", "same", "text")
-    return rows.mapInArrow(_unseen, rows.schema)
+    return rows.mapInArrow(_unseen, "chunk long, lang string, same binary, text binary")
 
 
 def language(lang: str):
@@ -257,7 +263,7 @@ def language_models(counted: DataFrame, order: int = ORDER) -> DataFrame:
     for n in range(order - 1, 0, -1):
         shorter = F.col("gram").bitwiseAND(F.lit((1 << 8 * n) - 1))
         tables[n] = materialize(tables[n + 1].groupBy("lang", shorter.alias("gram")).agg(F.count(F.lit(1)).alias("c")), "ngram-continuations")
-    below = None
+    below = longest = None
     for n in range(1, order + 1):
         n1, n2, n3, n4 = (F.col(f"n{i}") for i in (1, 2, 3, 4))
         one = F.lit(1)
@@ -286,7 +292,9 @@ def language_models(counted: DataFrame, order: int = ORDER) -> DataFrame:
         else:
             lower = below.select("lang", F.col("gram").alias("short"), F.col("p").alias("lower"))
             below = rows.join(lower, ["lang", "short"]).select("lang", "gram", (F.col("own") + F.col("gamma") * F.col("lower")).alias("p"))
-        below = materialize(below, "ngram-models")
+        made = materialize(below, "ngram-models")
+        release(tables[n], *([] if longest is None else [longest]))
+        below = longest = made
     return below.select("lang", "gram", F.log("p").cast("float").alias("value"))
 
 
@@ -350,7 +358,9 @@ def quality_rules(df: DataFrame, text: str = "text", lang: str = "lang", carry:
     ship(df.sparkSession)
     texts = dealt(df, text, lang)
     counted = count_grams(texts)
-    scored = score_texts(texts, counted, language_models(counted))
+    models = language_models(counted)
+    scored = score_texts(texts, counted, models)
+    release(counted)
     keep = [c for c in (carry if carry is not None else df.columns) if c not in (*FEATURES, *ADDED)]
     marked = df.withColumn("__bytes", F.octet_length(F.coalesce(F.col(text), F.lit("")))).withColumn("__same", digest(text)).withColumn("__known", language(lang))
     marked = marked.select(*dict.fromkeys([*keep, lang, "__bytes", "__same", "__known"]))

@@ -14,7 +14,7 @@ from .media_gif import feature, read_media, store_text
 from .near_dedup import near_duplicates
 from .packing import pack_documents
 from .quality_classifier import fit_classifier, held_out, score_documents
-from .quality_rules import quality_rules
+from .quality_rules import FEATURES, quality_rules
 from .sharding import shard_documents
 
 
@@ -38,7 +38,8 @@ def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    return quality_rules(docs, carry=["doc_id"]).withColumnRenamed("nats", "nats_per_byte")
+    out = quality_rules(docs, carry=["doc_id"])
+    return out.select("doc_id", *FEATURES, "base_failed", "kept", F.col("nats").alias("nats_per_byte"))
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
