@@ -33,7 +33,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -228,9 +227,16 @@ def _rows(**columns: list) -> pa.RecordBatch:
 
 
 def _sliced(batches: Iterator[pa.RecordBatch], text: int, limit: int) -> Iterator[tuple[int, pa.RecordBatch]]:
-    """Runs of rows with the number of their slice, which depends on the rows of the task alone, not on its batches."""
-    task, done = TaskContext.get().partitionId() << 32, 0
+    """Runs of rows with the number of their slice, which depends on the rows of the input's partition alone, not on its batches.
+
+    The last column holds the partition's number and is left out.
+    """
+    done = 0
     for batch in batches:
+        if not len(batch):
+            continue
+        task = batch.column(batch.num_columns - 1)[0].as_py() << 32
+        batch = batch.select(range(batch.num_columns - 1))
         sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         before = done + np.cumsum(sizes) - sizes
         done += int(sizes.sum())
@@ -387,10 +393,11 @@ def encode_documents(df: DataFrame, text: str = "text", path: str | None = None,
     path = path or rank_path(VOCABULARY)
     stems = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     kept = df.select(*[F.col(f"`{c}`") for c in df.columns if c != "ids"])
-    at = kept.columns.index(text)
-    lists = kept.select(text).mapInArrow(_listed(stems, slice_bytes), LISTS)
+    at, part = kept.columns.index(text), F.spark_partition_id().cast("long").alias("__part")
+    lists = kept.select(text, part).mapInArrow(_listed(stems, slice_bytes), LISTS)
     coded = lists.repartition("stem").sortWithinPartitions("stem").mapInArrow(_replayed(path), LISTS)
-    met = coded.unionByName(kept.mapInArrow(_blocks_of_rows(at, slice_bytes), LISTS)).repartition("slice").sortWithinPartitions("slice", "kind")
+    blocks = kept.select("*", part).mapInArrow(_blocks_of_rows(at, slice_bytes), LISTS)
+    met = coded.unionByName(blocks).repartition("slice").sortWithinPartitions("slice", "kind")
     schema = T.StructType([*kept.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
     return met.mapInArrow(_joined(path, at, schema.names), schema)
 

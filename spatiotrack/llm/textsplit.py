@@ -64,14 +64,17 @@ class PieceCache:
         return out
 
     def look_up(self, texts: pa.Array) -> list[bytes]:
-        """Ids of each text whose pieces are mostly known: one pass, and those with other pieces again."""
-        out = []
-        for t in self._few(texts):
+        """Ids of each text, in one pass where all pieces are known; texts with other pieces are encoded together."""
+        out, missing = [], []
+        for i, t in enumerate(self._few(texts)):
             parts = split(t)
             try:
                 out.append(self.plain[parts[0]] + b"".join([self.spaced[p] for p in parts[1:]]))
             except KeyError:
-                out += self.encode_texts(pa.array([t], pa.string()))
+                out.append(b"")
+                missing.append(i)
+        for i, ids in zip(missing, self.encode_texts(texts.take(pa.array(missing, pa.int64()))) if missing else [], strict=True):
+            out[i] = ids
         return out
 
     @staticmethod
