@@ -64,7 +64,7 @@ def test_shards_are_written(spark, docs, tmp_path):
 
 
 # 2
-PAGE = "<html><body><nav><a href=x>Home</a></nav><div class='cookie-notice'>We use cookies</div><article><h1>T {n}</h1><p>First &amp;  {n}\nline<p>Second<br><div class=comments>nice!</div></article><aside>more</aside><footer>&copy; us</footer></body>"
+PAGE = "<html><body><nav><a href=x>Home</a></nav><div class='cookie-notice'>We use cookies</div><article><h1>T {n}</h1><p>First &amp;  {n}\nline<p>Second {n}<br><div class=comments>nice!</div></article><aside>more</aside><footer>&copy; us</footer></body>"
 BARE = "<body><div class=top><a href=/>Home</a></div><div><p>Welcome to the site</p></div><div class=text><p>Text number {n} with many words of its own, {n} times</p><p>And more of {n}</p></div></body>"
 
 
@@ -75,7 +75,7 @@ def pages(spark, rows):
 def test_articles_without_their_surroundings(spark):
     rows = [(i, f"http://a.org/{i}", PAGE.replace("{n}", str(i))) for i in range(6)] + [(50, None, None), (51, "odd", ""), (52, "http://b.org/1", PAGE.replace("{n}", "9"))]
     got = {r.page_id: r.text for r in html_extract.extract_text(clashing(pages(spark, rows), "text")).collect()}
-    assert got[3] == "T 3\nFirst & 3 line\nSecond" and got[52] == "T 9\nFirst & 9 line\nSecond" and got[50] == got[51] == ""
+    assert got[3] == "T 3\nFirst & 3 line\nSecond 3" and got[52] == "T 9\nFirst & 9 line\nSecond 9" and got[50] == got[51] == ""
     assert html_extract.extract_text(pages(spark, [])).count() == 0
 
 
@@ -85,6 +85,58 @@ def test_template_text_is_dropped_where_no_article_is_marked(spark):
     assert got[5] == "Text number 5 with many words of its own, 5 times\nAnd more of 5"
 
 
+def test_template_text_is_dropped_inside_articles_whatever_its_length(spark):
+    line = " ".join(f"boilerplate{i}" for i in range(90))
+    page = "<body><nav><a href=/>Home</a></nav><article><p>Own words {n} of page {n}</p><p class=x>" + line + "</p><p>Share this</p><h2>Summary</h2><p>End {n}</p></article></body>"
+    rows = [(i, f"http://a.org/{i}", page.replace("{n}", str(i)).replace("Summary", "Summary" if i % 4 else f"Other {i}")) for i in range(8)]
+    # Copies of one page do not make its text a template.
+    rows += [(100 + i, f"http://c.org/{i}", page.replace("{n}", "7")) for i in range(9)]
+    got = {r.page_id: r.text for r in html_extract.extract_text(pages(spark, rows)).collect()}
+    assert got[3] == "Own words 3 of page 3\nSummary\nEnd 3" and got[4] == "Own words 4 of page 4\nOther 4\nEnd 4"
+    assert got[100] == f"Own words 7 of page 7\n{line}\nShare this\nSummary\nEnd 7"
+
+
+def test_hidden_is_an_attribute_not_a_word():
+    assert html_extract.extract("<div title='hidden gem'>seen</div><div hidden>not</div><p style='display: none'>nor this</p>", set(), set()) == "seen"
+
+
+def test_templates_equal_brute_force(spark):
+    rng = random.Random(12)
+    rows = []
+    for i in range(60):
+        parts = ["<nav><ul><li>Home</li><li>News</li></ul></nav>", f"<div class=main><h1>Title {i}</h1><p>{words(30, i)}</p></div>", "<div class=foot><p>Imprint</p></div>"]
+        if rng.random() < 0.3:
+            parts.insert(1, "<section><p>Now and then</p></section>")
+        if rng.random() < 0.5:
+            parts[-2], parts[-1] = parts[-1], parts[-2]
+        rows.append((i, f"http://h{i % 3}.org/{i}", "<body>" + "".join(parts) + "</body>"))
+    got = {(r.host, r.token): r["rank"] for r in html_extract.template_tokens(pages(spark, rows)).collect()}
+    want = {}
+    for k in range(3):
+        per_page = [{t[0]: t for t in html_extract.page_tokens(h)} for _, u, h in rows if u.startswith(f"http://h{k}")]
+        vectors = {}
+        for t in set().union(*per_page):
+            vector = tuple(p[t][6] if t in p else 0 for p in per_page)
+            sample = next(p[t] for p in per_page if t in p)
+            share = html_extract.ARTICLE_SHARE if sample[2] and sample[3] else html_extract.SHARE
+            if sum(map(bool, vector)) >= max(html_extract.LEAST_PAGES, share * len(per_page)):
+                vectors.setdefault(vector, []).append(t)
+        for members in vectors.values():
+            ranks = {t: set() for t in members}
+            for p in per_page:
+                for r, t in enumerate(sorted((t for t in members if t in p), key=lambda t: p[t][4])):
+                    ranks[t].add(r + 1)
+            ordered = {(f"h{k}.org", t): min(r) for t, r in ranks.items() if len(r) == 1}
+            if len(ordered) > 1:
+                want.update(ordered)
+    assert got == want and len(want) > 10
+
+
+def test_deep_pages_take_linear_time():
+    deep = "<div>" * 100_000 + "<p>text" + "</b>" * 100_000
+    assert html_extract.extract(deep, {1}, {2}) == "text" and len(html_extract.page_tokens(deep)) == 100_002
+
+
 def test_broken_markup_never_fails():
     for p in ("<", "<p", "a < b", "<!-- open", "<script>x", "</p></div>", "<p class='x", "<div><p>a</div>b", "\0<b>"):
         assert isinstance(html_extract.extract(p, set(), set()), str)
