@@ -58,6 +58,34 @@ def test_shards_are_gapless_and_grow_by_one(spark, docs, none):
     assert sharding.shard_documents(none).count() == 0
 
 
+def test_slots_depend_on_content_and_seed_alone(spark, docs):
+    def slots(df, **how):
+        return Counter((r.doc_id, r.text, r.shard, r.slot) for r in sharding.shard_documents(df, bucket_bytes=4096, **how).collect())
+
+    want = slots(docs)
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        assert slots(docs.repartition(5)) == want and slots(docs.coalesce(1)) == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    assert slots(docs, seed=18) != want
+
+
+def test_many_equal_records_are_scattered(spark):
+    rows = [(None, None, "en", "s", 0)] * 2500 + [(i, words(20, i), "en", "s", 0) for i in range(20)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    out = sharding.shard_documents(df.repartition(6), shards=2, bucket_bytes=256)
+    got = out.collect()
+    assert len(got) == len(rows) and Counter(r.text for r in got)[None] == 2500
+    by = {}
+    for r in got:
+        by.setdefault(r.shard, []).append(r.slot)
+    assert all(sorted(v) == list(range(len(v))) for v in by.values())
+    again = sharding.shard_documents(df.coalesce(1), shards=2, bucket_bytes=256).collect()
+    assert Counter((r.doc_id, r.shard, r.slot) for r in again) == Counter((r.doc_id, r.shard, r.slot) for r in got)
+
+
 def test_shards_are_written(spark, docs, tmp_path):
     sharding.write_shards(sharding.shard_documents(docs, 4), str(tmp_path / "s"))
     assert spark.read.parquet(str(tmp_path / "s")).count() == docs.count()
