@@ -45,11 +45,11 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 BLOCK = 512
 #: Text whose pieces are looked up together.
-SLICE_BYTES = 32 << 20
+SLICE_BYTES = 14 << 20
 #: Text in one block of rows.
-ROW_BYTES = 2 << 20
+ROW_BYTES = 4 << 20
 #: Bytes of different pieces that are merged together, as far as groups of stems go.
-REPLAY_BYTES = 8 << 20
+REPLAY_BYTES = 4 << 20
 
 
 class MergeReplay:
@@ -324,7 +324,7 @@ def _blocks_of_rows(text: int, limit: int):
     """Whole rows of each slice, as compressed Arrow streams of about ``ROW_BYTES`` of text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        how = pa.ipc.IpcWriteOptions(compression="zstd")
+        how = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))
         for number, rows in _sliced(batches, text, limit):
             a = 0
             sizes = pa.compute.fill_null(pa.compute.binary_length(rows.column(text)), 0).to_numpy(zero_copy_only=False)
