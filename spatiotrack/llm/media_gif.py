@@ -10,7 +10,8 @@ samples, so memory follows the longest single text.
 
 Edge cases: a null text is empty; the payload is padded with zeros to a positive multiple of the
 width, so even an empty text has one line of samples; equal texts give equal files; a value that is
-not a GIF raises ValueError; extra columns pass through.
+not a GIF, or is broken or cut short, gives a null and says why in the column of errors; a null value
+gives a null and no error; extra columns pass through, but the columns of results are replaced.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from .common import as_array, ship
 WIDTH = 64
 FRAME_ROWS = 1024
 DELAY_CS = 10
+#: A header can claim any size; a larger canvas or frame counts as broken.
+MOST_PIXELS = 1 << 26
 FRAME_TYPE = "struct<number:int,left:int,top:int,width:int,height:int,delay_ms:int,disposal:int,transparent:int,histogram:array<int>>"
 READ_TYPE = f"struct<payload:binary,width:int,height:int,frames:array<{FRAME_TYPE}>>"
 
@@ -171,6 +174,8 @@ def frames(gif: bytes):
     if gif[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("not a GIF")
     wide, high, flags = struct.unpack_from("<HHB", gif, 6)
+    if wide * high > MOST_PIXELS:
+        raise ValueError("GIF with too large a canvas")
     at, common = 13, None
     if flags & 0x80:
         n = 2 << (flags & 7)
@@ -206,6 +211,8 @@ def frames(gif: bytes):
         if palette is None:
             raise ValueError("GIF without a palette")
         stream, after = chain(at + 1)
+        if not 1 <= gif[at] <= 8 or w * h > MOST_PIXELS:
+            raise ValueError("broken GIF")
         flat = lzw_decode(stream, gif[at], w * h)
         at = after
         samples = np.frombuffer(flat + b"\0" * (w * h - len(flat)), np.uint8).reshape(h, w)
@@ -232,12 +239,18 @@ def histogram(canvas: np.ndarray) -> np.ndarray:
 
 
 def read_gif(gif: bytes) -> dict:
-    """What ``READ_TYPE`` says; the payload is every frame's samples as its palette shows them, one after the other."""
+    """What ``READ_TYPE`` says; the payload is every frame's samples as its palette shows them, one after the other.
+
+    Raises ValueError for anything that is not a whole GIF.
+    """
     out, parts = [], []
-    for fields, _, canvas in frames(gif):
-        area = canvas[fields["top"] : fields["top"] + fields["height"], fields["left"] : fields["left"] + fields["width"]]
-        parts.append(area[:, :, 0].tobytes())
-        out.append(fields | {"histogram": histogram(canvas)})
+    try:
+        for fields, _, canvas in frames(gif):
+            area = canvas[fields["top"] : fields["top"] + fields["height"], fields["left"] : fields["left"] + fields["width"]]
+            parts.append(area[:, :, 0].tobytes())
+            out.append(fields | {"histogram": histogram(canvas)})
+    except (IndexError, struct.error) as e:
+        raise ValueError("GIF cut short") from e
     wide, high = struct.unpack_from("<HH", gif, 6)
     return {"payload": b"".join(parts), "width": wide, "height": high, "frames": out}
 
@@ -256,11 +269,21 @@ def _store(texts: pa.Array) -> pa.Array:
 
 
 def _read(media: pa.Array) -> pa.Array:
-    read = [read_gif(m.as_py()) if m.is_valid else {"payload": b"", "width": 0, "height": 0, "frames": []} for m in as_array(media)]
-    return pa.StructArray.from_arrays(
-        [pa.array([r["payload"] for r in read], pa.binary()), pa.array([r["width"] for r in read], pa.int32()), pa.array([r["height"] for r in read], pa.int32()), _frames_array([r["frames"] for r in read])],
+    read, errors = [], []
+    for m in as_array(media):
+        try:
+            read.append(read_gif(m.as_py()) if m.is_valid else None)
+            errors.append(None)
+        except ValueError as e:
+            read.append(None)
+            errors.append(str(e))
+    some = [r or {"payload": b"", "width": 0, "height": 0, "frames": []} for r in read]
+    image = pa.StructArray.from_arrays(
+        [pa.array([r["payload"] for r in some], pa.binary()), pa.array([r["width"] for r in some], pa.int32()), pa.array([r["height"] for r in some], pa.int32()), _frames_array([r["frames"] for r in some])],
         ["payload", "width", "height", "frames"],
+        mask=pa.array([r is None for r in read], pa.bool_()),
     )
+    return pa.StructArray.from_arrays([image, pa.array(errors, pa.string())], ["image", "error"])
 
 
 def store_text(df: DataFrame, text: str = "text", to: str = "media") -> DataFrame:
@@ -269,9 +292,10 @@ def store_text(df: DataFrame, text: str = "text", to: str = "media") -> DataFram
 
 
 def read_media(df: DataFrame, media: str = "media", to: str = "image") -> DataFrame:
-    """``df`` with a struct column: payload, width, height and the timed frames with their histograms."""
+    """``df`` with a struct column ``to`` (payload, width, height and the timed frames with their histograms) and ``to``_error."""
     ship(df.sparkSession)
-    return df.withColumn(to, F.arrow_udf(_read, READ_TYPE)(F.col(media)))
+    both = df.withColumn("__read", F.arrow_udf(_read, f"struct<image:{READ_TYPE},error:string>")(F.col(media)))
+    return both.withColumns({to: F.col("__read.image"), f"{to}_error": F.col("__read.error")}).drop("__read")
 
 
 def feature(frames_column: Column) -> Column:
