@@ -7,9 +7,9 @@ over a chunk; the chunk maxima are averaged and maximised over the whole documen
 unit combines both into one probability. Tables and unit are learned together by Adam.
 
 Training data: at most ``SAMPLE`` labelled rows of each label, the first by a seeded hash of the
-id, never those whose crc32(doc_id) mod 3 is 1, and at most ``TRAIN_CHUNKS`` evenly spaced chunks
-of each; this bound is all that reaches the driver. Scores always read whole texts, in blocks, so a
-worker's memory does not follow the longest text.
+id, never those whose crc32(doc_id) mod 3 is 1, and no more rows than hold ``SAMPLE_BYTES`` of text
+together; these bounds are all that reaches the driver. Training reads their whole texts, as scoring
+does. Responses are held for blocks of a text only; what follows the longest text is its bytes.
 
 Edge cases: a null text is empty; empty texts get the score of a document without any filter's
 response; without labelled rows every score is 0.5; rows with a null label or id teach nothing;
@@ -23,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import as_array, ship, text_slices
@@ -32,8 +32,8 @@ WIDTH = 5
 FILTERS = 16
 CHUNK = 512
 HALF = CHUNK // 2
-SAMPLE = 2000
-TRAIN_CHUNKS = 12
+SAMPLE = 1500
+SAMPLE_BYTES = 64 << 20
 EPOCHS = 8
 BATCH = 32
 #: Bytes of padded text for which responses are held at a time.
@@ -60,8 +60,9 @@ def _padded(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     lengths = np.diff(offsets)
     total = int(halves.sum()) * HALF
     data, real = np.zeros(total + WIDTH, np.uint8), np.zeros(total, bool)
-    to = np.arange(len(raw)) + np.repeat(first * HALF - offsets[:-1], lengths)
-    data[to], real[to] = raw, True
+    for a, to, n in zip(offsets[:-1].tolist(), (first * HALF).tolist(), lengths.tolist(), strict=True):
+        data[to : to + n] = raw[a : a + n]
+        real[to : to + n] = True
     return data, real, halves, first
 
 
@@ -77,6 +78,21 @@ def _responses(net: Network, data: np.ndarray, real: np.ndarray) -> np.ndarray:
     return out.reshape(-1, HALF, len(net.bias))
 
 
+def _tops(net: Network, data: np.ndarray, real: np.ndarray, places: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+    """Largest response (half-chunk, filter), and where it is; block by block."""
+    tops, where = [], []
+    for a in range(0, len(real), BLOCK_BYTES):
+        b = min(a + BLOCK_BYTES, len(real))
+        response = _responses(net, data[a : b + WIDTH], real[a:b])
+        if places:
+            at = response.argmax(axis=1)
+            where.append(at)
+            tops.append(np.take_along_axis(response, at[:, None, :], axis=1)[:, 0, :])
+        else:
+            tops.append(response.max(axis=1))
+    return np.concatenate(tops), np.concatenate(where) if places else None
+
+
 def _chunks(halves: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First half of each chunk, its second half (the same for a text of one half), and its text."""
     counts = np.maximum(halves - 1, 1)
@@ -102,11 +118,7 @@ def predict(net: Network, texts: pa.Array) -> np.ndarray:
     out = [np.zeros(0)]
     for _, _, raw, offsets in text_slices(texts, 1 << 20):
         data, real, halves, first = _padded(raw, offsets)
-        tops = []
-        for a in range(0, len(real), BLOCK_BYTES):
-            b = min(a + BLOCK_BYTES, len(real))
-            tops.append(_responses(net, data[a : b + WIDTH], real[a:b]).max(axis=1))
-        pooled = _pool(np.concatenate(tops), halves, first)
+        pooled = _pool(_tops(net, data, real)[0], halves, first)
         out.append(_sigmoid(pooled.astype(np.float64) @ net.weights + net.offset))
     return np.concatenate(out)
 
@@ -130,9 +142,7 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = 11, epochs: int =
             raw = np.frombuffer(b"".join(texts[i] for i in chosen), np.uint8)
             offsets = np.concatenate([[0], np.cumsum([len(texts[i]) for i in chosen])])
             data, real, halves, first = _padded(raw, offsets)
-            response = _responses(net, data, real)
-            where = response.argmax(axis=1)
-            top = np.take_along_axis(response, where[:, None, :], axis=1)[:, 0, :]
+            top, where = _tops(net, data, real, places=True)
             start, second, text = _chunks(halves, first)
             left = top[start] >= top[second]
             chunk = np.where(left, top[start], top[second])
@@ -166,24 +176,12 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = 11, epochs: int =
     return net
 
 
-def _excerpt(texts: pa.Array) -> pa.Array:
-    """At most ``TRAIN_CHUNKS`` evenly spaced chunks of each text, for training only."""
-    out = []
-    for t in as_array(texts):
-        raw = (t.as_py() or "").encode()
-        n = -(-len(raw) // CHUNK)
-        if n > TRAIN_CHUNKS:
-            raw = b"".join(raw[i * CHUNK : (i + 1) * CHUNK] for i in np.linspace(0, n - 1, TRAIN_CHUNKS).astype(int))
-        out.append(raw)
-    return pa.array(out, pa.binary())
-
-
 def held_out(key: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit_classifier(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE, seed: int = 11) -> Network:
-    """Learn from at most ``sample`` rows of each label."""
+def fit_classifier(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES, seed: int = 11) -> Network:
+    """Learn from at most ``sample`` rows of each label, and ``sample_bytes`` of text."""
     ship(df.sparkSession)
     usable = labels.filter(~held_out(key) & F.col(key).isNotNull() & F.col(label).isin(0, 1)).groupBy(key).agg(F.min(label).alias("__label"))
     chosen = None
@@ -195,9 +193,11 @@ def fit_classifier(df: DataFrame, labels: DataFrame, key: str = "doc_id", text:
         return train([], np.zeros(0), seed)
     spark = df.sparkSession
     small = F.broadcast(spark.createDataFrame(ids, chosen.schema))  # 2 * sample rows at most
-    rows = df.select(key, text).join(small, key)
-    pieces = rows.select(key, "__label", F.arrow_udf(_excerpt, "binary")(F.col(text)).alias("__raw"))
-    got = pieces.groupBy(key, "__label").agg(F.min("__raw").alias("__raw")).orderBy(key).toArrow()
+    raw = F.coalesce(F.col(text), F.lit("")).cast("binary")
+    rows = df.select(key, text).join(small, key).groupBy(key, "__label").agg(F.min(raw).alias("__raw"))
+    # A window over 2 * sample rows at most.
+    so_far = F.sum(F.octet_length("__raw").cast("long")).over(Window.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key))
+    got = rows.withColumn("__bytes", so_far).filter(F.col("__bytes") <= sample_bytes).orderBy(key).select("__raw", "__label").toArrow()
     return train([bytes(x) for x in got.column("__raw").to_pylist()], got.column("__label").to_numpy().astype(float), seed)
 
 
