@@ -17,7 +17,8 @@ Steps:
    are verified by their exact multiset overlap, and links joined into components.
 3. Members left outside of the component of one of their hubs are verified against that hub.
 4. In buckets that still hold several components, neighbours in a random order are verified, round
-   after round while that finds links: most of what belongs together is joined by few pairs.
+   after round while that finds links: most of what belongs together is joined by few pairs. Large
+   buckets are split into parts, so that no task orders a whole one; step 5 sees what parts hide.
 5. Members still outside are joined with the other members of mixed buckets on their rarest shingles
    (a prefix filter, which no pair of sufficient similarity escapes), and verified likewise. So each
    pair of a bucket is linked, in one component already, verified or impossible.
@@ -38,6 +39,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Prefix, as_array, materialize, mix64, row_of, ship, text_slices, word_spans
 
@@ -49,6 +51,8 @@ BANDS = 30
 SLACK = 4.0
 #: Rounds of neighbour pairs before the exact last step, which finds whatever they leave.
 TURNS = 1
+#: Members of a bucket that are put into one random order; a larger bucket is split at random into parts of this size.
+ORDERED = 4096
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -243,7 +247,7 @@ def _placed(spokes: DataFrame, joined: DataFrame) -> DataFrame:
     """Bucket members with the components of themselves and of their hub."""
     rows = spokes.join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
     hubs = joined.select(F.col("node").alias("hub"), F.col("root").alias("hub_root"))
-    return rows.join(hubs, "hub", "left").withColumn("hub_root", F.coalesce("hub_root", "hub")).select("bucket", "node", "root", "hub", "hub_root")
+    return rows.join(hubs, "hub", "left").withColumn("hub_root", F.coalesce("hub_root", "hub")).select("bucket", "held", "node", "root", "hub", "hub_root")
 
 
 def _mixed(spokes: DataFrame, joined: DataFrame) -> DataFrame:
@@ -298,7 +302,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", simi
     nodes = materialize(nodes, "dedup-nodes")
 
     spread = nodes.select("node", F.explode("bands").alias("bucket"))
-    buckets = spread.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("__last")).filter("hub <> __last").drop("__last")
+    buckets = spread.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("__last"), F.count(F.lit(1)).alias("held")).filter("hub <> __last").drop("__last")
     members = materialize(spread.join(buckets, "bucket"), "dedup-members")
 
     linked = members.select(F.explode(F.array("node", "hub")).alias("node")).distinct()
@@ -325,7 +329,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", simi
     known = first.unionByName(second)
     for turn in range(TURNS):
         placed = materialize(_mixed(spokes, joined), "dedup-mixed")
-        order = Window.partitionBy("bucket").orderBy(F.xxhash64(F.lit(turn), "bucket", "node"))
+        part = F.pmod(F.xxhash64(F.lit(turn), "node", F.lit("part")), F.ceil(F.col("held") / ORDERED))
+        order = Window.partitionBy("bucket", part).orderBy(F.xxhash64(F.lit(turn), "bucket", "node"))
         beside = [F.struct(F.lag("node", k).over(order).alias("v"), F.lag("root", k).over(order).alias("v_root")) for k in (1, 2)]
         pairs = placed.select("node", "root", F.array(*beside).alias("n")).select("node", "root", F.inline("n"))
         pairs = pairs.filter("root <> v_root").select(F.greatest("node", "v").alias("u"), F.least("node", "v").alias("v")).distinct()
@@ -360,5 +365,8 @@ def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text", **how) -
     kept = kept.select(F.col("class_id").alias("__key"), "__node")
     rows = df.withColumn("__name", node_name(text))
     same = rows.join(kept, (F.col("__name") == F.col("__node")) & F.col(key).eqNullSafe(F.col("__key")))
-    once = same.groupBy("__name", "__key").agg(F.first(F.struct(*[F.col(c) for c in df.columns])).alias("__row"))
+    row = F.struct(*[F.col(c) for c in df.columns])
+    # Of rows that are equal in key and text, the least in the other columns, where those can be compared.
+    comparable = not any(isinstance(f.dataType, (T.MapType, T.VariantType)) for f in df.schema)
+    once = same.groupBy("__name", "__key").agg((F.min(row) if comparable else F.first(row)).alias("__row"))
     return once.select("__row.*")
