@@ -9,8 +9,10 @@ functions, and each minimum is a band of one row: windows of resemblance s meet
 least ``CONTAINMENT`` of the template's different shingles occur in the document near the place
 that the window points to.
 
-Everything runs as DataFrame expressions: documents are not shuffled, and only hits are joined with
-the template library, whose size is checked (``MAX_TEMPLATE_SHINGLES``).
+Everything runs as DataFrame expressions. Where the library is small (its shingles are counted, see
+``SMALL_LIBRARY``), its minima are part of the plan: documents are not shuffled, and only hits are
+joined with the templates. A larger library is a table: the windows' minima of documents and templates
+are joined by level and band, and hits fetch shingles by row. Both ways give equal results.
 
 Edge cases: a null text, and a text of fewer than five words, has no match; a repeated row has
 matches of its own, under a row id that is dropped; several places with the same template give the
@@ -22,10 +24,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 SHINGLE = 5
 BANDS = 4
 CONTAINMENT = 0.8
-MAX_TEMPLATE_SHINGLES = 20_000
+SMALL_LIBRARY = 20_000
 #: Window size in shingles, step in a document, least shingles of a template that uses it.
 LEVELS = ((1, 1, 1), (4, 2, 5), (16, 8, 23))
 
@@ -47,7 +51,9 @@ TEMPLATES = [
 ]
 
 
-def template_table(spark: SparkSession, templates: list[tuple[str, str, str]]) -> DataFrame:
+def template_table(spark: SparkSession, templates: list[tuple[str, str, str]] | DataFrame) -> DataFrame:
+    if isinstance(templates, DataFrame):
+        return templates.select("template", "license", "text")
     rows = [F.struct(F.lit(a).alias("template"), F.lit(b).alias("license"), F.lit(c).alias("text")) for a, b, c in templates]
     return spark.range(1).select(F.inline(F.array(*rows)))
 
@@ -89,7 +95,7 @@ def _arrays() -> list[tuple[int, int, int]]:
     return [(size, j, step) for size, step, _ in LEVELS for j in range(1 if size == 1 else BANDS)]
 
 
-def template_windows(spark: SparkSession, templates: list[tuple[str, str, str]]) -> DataFrame:
+def template_windows(spark: SparkSession, templates: list[tuple[str, str, str]] | DataFrame) -> DataFrame:
     """template, license, t_sh, level, band, t_start, value: all windows of each template."""
     base = with_shingles(template_table(spark, templates), "text", ["template", "license"]).filter("sh is not null")
     made = with_minima(base, ["template", "license"], (1, 1))
@@ -105,18 +111,8 @@ def template_windows(spark: SparkSession, templates: list[tuple[str, str, str]])
     return made.select("template", "license", F.col("sh").alias("t_sh"), level.alias("__level"), F.inline(F.concat(*windows))).filter("level = __level").drop("__level")
 
 
-def scan_licenses(df: DataFrame, templates: list[tuple[str, str, str]] | None = None, key: str = "doc_id", text: str = "text", containment: float = CONTAINMENT) -> DataFrame:
-    """A row for each row of ``df`` and template found in it: key, template, license, containment, first_word."""
-    spark = df.sparkSession
-    windows = template_windows(spark, TEMPLATES if templates is None else templates)
-    found = windows.groupBy("level", "band").agg(F.collect_set("value")).collect()
-    if sum(len(r[2]) for r in found) > MAX_TEMPLATE_SHINGLES * BANDS:
-        raise ValueError("the template library is too large to broadcast")
-    known = {(r[0], r[1]): r[2] for r in found}
-
-    numbered = df.select(F.col(key).alias("__key"), F.col(text).alias("__text"), F.monotonically_increasing_id().alias("__row"))
-    made = with_minima(with_shingles(numbered, "__text", ["__row", "__key"]), ["__row", "__key"], (LEVELS[1][1], LEVELS[2][1]))
-    arrays = [(size, j, step) for size, j, step in _arrays() if (size, j) in known]
+def _small_library(made: DataFrame, windows: DataFrame, arrays: list[tuple[int, int, int]], known: dict) -> DataFrame:
+    """Hits (row, key, sh, and a template's window), the library's minima being literals of the plan."""
     literal = {x: F.array(*[F.lit(v) for v in sorted(known[x])]) for x in known}
     names = [f"a{size}_{j}" for size, j, _ in arrays]
     shared = [F.array_intersect(f"a{size}_{j}", literal[size, j]).alias(f"c{size}_{j}") for size, j, _ in arrays]
@@ -131,7 +127,39 @@ def scan_licenses(df: DataFrame, templates: list[tuple[str, str, str]] | None =
 
     # Outer, so that no filter is inferred from the array, which would compute it twice.
     spread = made.select("__row", "__key", "sh", F.inline_outer(F.concat(*[hits(*x) for x in arrays])))
-    joined = spread.join(F.broadcast(windows), ["level", "band", "value"])
+    return spread.join(F.broadcast(windows), ["level", "band", "value"])
+
+
+def _large_library(made: DataFrame, windows: DataFrame, arrays: list[tuple[int, int, int]]) -> DataFrame:
+    """The same hits by joins of tables; shingles are fetched for hits only."""
+    made = materialize(made, "license-windows")
+
+    def listed(size: int, j: int, step: int) -> Column:
+        return F.transform(F.col(f"a{size}_{j}"), lambda v, i: F.struct(F.lit(size).alias("level"), F.lit(j).alias("band"), (i * step).alias("start"), v.alias("value")))
+
+    spread = made.select("__row", F.explode(F.concat(*[listed(*x) for x in arrays])).alias("w")).select("__row", "w.*")
+    hits = spread.join(windows.drop("t_sh"), ["level", "band", "value"])
+    shingles = windows.select("template", "license", "t_sh").dropDuplicates(["template", "license"])
+    return hits.join(shingles, ["template", "license"]).join(made.select("__row", "__key", "sh"), "__row")
+
+
+def scan_licenses(
+    df: DataFrame, templates: list[tuple[str, str, str]] | DataFrame | None = None, key: str = "doc_id", text: str = "text", containment: float = CONTAINMENT, small_library: int = SMALL_LIBRARY
+) -> DataFrame:
+    """A row for each row of ``df`` and template found in it: key, template, license, containment, first_word.
+
+    ``templates`` are rows or a table (template, license, text).
+    """
+    spark = df.sparkSession
+    windows = template_windows(spark, TEMPLATES if templates is None else templates)
+    numbered = df.select(F.col(key).alias("__key"), F.col(text).alias("__text"), F.monotonically_increasing_id().alias("__row"))
+    made = with_minima(with_shingles(numbered, "__text", ["__row", "__key"]), ["__row", "__key"], (LEVELS[1][1], LEVELS[2][1]))
+    if windows.select("level", "band", "value").distinct().count() <= small_library * BANDS:
+        found = windows.groupBy("level", "band").agg(F.collect_set("value")).collect()
+        known = {(r[0], r[1]): r[2] for r in found}
+        joined = _small_library(made, windows, [x for x in _arrays() if x[:2] in known], known)
+    else:
+        joined = _large_library(made, materialize(windows, "license-templates"), _arrays())
     n = F.size("t_sh")
     room = F.greatest(F.lit(8), (n / 4).cast("int"))
     begin = F.greatest(F.col("start") - F.col("t_start") - room, F.lit(0))
