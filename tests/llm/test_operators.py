@@ -301,6 +301,18 @@ def test_unlike_texts_of_one_id_stay(spark):
     assert Counter((r.doc_id, r.text) for r in out) == Counter({(None, texts[0]): 1, (None, texts[1]): 1, (7, texts[2]): 1, (7, texts[3]): 1, (9, texts[4]): 1})
 
 
+def test_large_buckets_are_split_without_losing_links(spark):
+    texts = near_copies()
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA)
+    ordered, near_dedup.ORDERED = near_dedup.ORDERED, 2
+    try:
+        got = [r.class_id for r in near_dedup.near_duplicates(df).orderBy("doc_id").collect()]
+    finally:
+        near_dedup.ORDERED = ordered
+    want = classes(texts)
+    assert [want.index(c) for c in want] == got
+
+
 def test_signatures_estimate_weighted_jaccard():
     rng = random.Random(1)
     a = [rng.choice("abcdefgh") for _ in range(400)]
@@ -560,6 +572,42 @@ def test_licenses_inside_texts(spark, none):
     assert license_scan.scan_licenses(none).count() == 0
 
 
+def test_a_large_library_gives_the_same_licenses(spark):
+    notice = dict((a, c) for a, _, c in license_scan.TEMPLATES)
+    rng = random.Random(31)
+    rows = [(i, words(rng.randint(0, 60), i) + " " + rng.choice(list(notice.values())) + " " + words(rng.randint(0, 60), i + 500), "en", "s", 0) for i in range(60)] + [(100, None, None, None, None), (101, "x", "en", "s", 0)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    small = license_scan.scan_licenses(df).collect()
+    table = spark.createDataFrame([(a, b, c) for a, b, c in license_scan.TEMPLATES], "template string, license string, text string")
+    large = license_scan.scan_licenses(df, table, small_library=0).collect()
+    assert Counter(small) == Counter(large) and len(small) >= 60
+
+
+def test_license_matches_equal_brute_force(spark):
+    """Every template whose shingles a text contains to 0.8 within a window of its length is found, and no other."""
+    rng = random.Random(32)
+
+    def shingles(text):
+        w = re.findall(r"[^\W_]+", text.lower())
+        return [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+
+    rows, want = [], set()
+    for i in range(80):
+        name, _, notice = rng.choice(license_scan.TEMPLATES)
+        w = notice.split()
+        for _ in range(rng.choice([0, 0, 1, 2])):
+            w[rng.randrange(len(w))] = f"changed{rng.randrange(1000)}"
+        text = words(30, i) + " " + " ".join(w) + " " + words(30, i + 900)
+        rows.append((i, text, "en", "s", 0))
+        have = set(shingles(text))
+        for other, _, body in license_scan.TEMPLATES:
+            t = set(shingles(body))
+            if t and len(t & have) >= 0.8 * len(t):
+                want.add((i, other))
+    got = {(r.doc_id, r.template) for r in license_scan.scan_licenses(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == want
+
+
 # 9 and 10
 def tiktoken_of(name):
     import public_tokenizers
