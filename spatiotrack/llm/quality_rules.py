@@ -35,7 +35,7 @@ from .common import Prefix, as_array, materialize, mix64, release, row_of, ship,
 
 ORDER = 5
 #: Text that is counted and scored together.
-CHUNK_BYTES = 48 << 20
+CHUNK_BYTES = 24 << 20
 MIN_WORDS = 20
 MAX_REPEAT = 30
 #: Chosen on the labelled documents of the 0.1 scale that pass the base rules: 0.4 per cent of those
