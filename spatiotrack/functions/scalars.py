@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import unicodedata
 from fractions import Fraction
 
 from pyspark.sql import Column
@@ -11,6 +12,14 @@ from pyspark.sql import functions as F
 from ..constants import DEFAULTS, DISTANCE_MARK, NO_READING, OFFLINE_STATES, UNIT_METRES, Settings
 
 
+#: Letters that consist of an ASCII letter and a mark, by Unicode's own decomposition.
+_MARKED = [chr(c) for c in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)) if (d := unicodedata.normalize("NFKD", chr(c)))[0].isascii() and d[0].islower() and all(map(unicodedata.combining, d[1:]))]
+#: And letters that stand for one or two without being made of them.
+_SINGLE = {"ø": "o", "đ": "d", "ł": "l", "ħ": "h", "ı": "i", "ð": "d"}
+DIGRAPHS = {"ß": "ss", "æ": "ae", "œ": "oe", "þ": "th"}
+ACCENTS = ("".join([*_MARKED, *_SINGLE]), "".join([*(unicodedata.normalize("NFKD", c)[0] for c in _MARKED), *_SINGLE.values()]))
+
+
 def number(state: Column) -> Column:
     """A reading's number, null where the state is no number."""
     return state.try_cast("double")
@@ -69,15 +78,18 @@ def address_tail(address: Column) -> Column:
 
 
 def token_matches(token: Column, address: Column) -> Column:
-    """Same vendor part, and the last byte of the address at most three above the token's."""
-    tail, tok = address_tail(address), F.right(token, F.lit(6))
+    """Same vendor part, and the last byte of the address at most three above the token's; any case, hexadecimal only."""
+    tail, tok = address_tail(address), F.right(F.lower(token), F.lit(6))
     gap = F.pmod(F.conv(F.right(tail, F.lit(2)), 16, 10).cast("int") - F.conv(F.right(tok, F.lit(2)), 16, 10).cast("int"), F.lit(256))
-    return F.coalesce((F.length(tok) == 6) & (F.left(tail, F.lit(4)) == F.left(tok, F.lit(4))) & (gap <= 3), F.lit(False))
+    return F.coalesce(tok.rlike("^[0-9a-f]{6}$") & (F.left(tail, F.lit(4)) == F.left(tok, F.lit(4))) & (gap <= 3), F.lit(False))
 
 
 def slugify(name: Column) -> Column:
-    """Lower case, everything but ASCII letters and digits to single underscores, none at the ends."""
-    return F.regexp_replace(F.regexp_replace(F.lower(name), "[^a-z0-9]+", "_"), "^_+|_+$", "")
+    """Lower case, accents dropped, everything else but ASCII letters and digits to single underscores, none at the ends."""
+    plain = F.translate(F.lower(name), *ACCENTS)
+    for letter, two in DIGRAPHS.items():
+        plain = F.replace(plain, F.lit(letter), F.lit(two))
+    return F.regexp_replace(F.regexp_replace(plain, "[^a-z0-9]+", "_"), "^_+|_+$", "")
 
 
 def looks_online(state: Column) -> Column:

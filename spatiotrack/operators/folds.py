@@ -17,31 +17,38 @@ def _ordered(df: DataFrame, key: str, *order: str) -> DataFrame:
 
 
 def elect_floors(scores: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
-    """Election over (device, tick, floor_seq, conf): floor_seq (null: nothing published) and probs map<int, double>."""
+    """Election over (device, tick, floor_seq, conf): floor_seq (null: nothing published) and probs map<int, double>.
+
+    A column ``valid`` array<int>, if there is one, holds the floors of the layout at that tick: a
+    device whose floor was renamed or deleted starts anew, and other floors lose what they had.
+    """
+    known = "valid" in scores.columns
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        device, tick, track, now = None, None, Track(), {}
+        device, tick, track, now, valid = None, None, Track(), {}, None
         block: list[tuple] = []
 
         def close() -> None:
             if now:
-                floor = elect(track, now, None, s)
+                floor = elect(track, {k: c for k, c in now.items() if valid is None or k in valid}, valid, s)
                 block.append((device, tick, floor, dict(track.probs)))
 
         for b in batches:
-            for d, t, k, c in b[["device", "tick", "floor_seq", "conf"]].itertuples(index=False, name=None):
+            for d, t, k, c, *floors in b[columns].itertuples(index=False, name=None):
                 if d != device or t != tick:
                     close()
                     if d != device:
                         track = Track()
                     device, tick, now = d, t, {}
+                    valid = set(floors[0]) if floors and floors[0] is not None else None
                 now[k] = c
             yield pd.DataFrame(block, columns=["device", "tick", "floor_seq", "probs"]).astype({"floor_seq": "Int32"})
             block = []
         close()
         yield pd.DataFrame(block, columns=["device", "tick", "floor_seq", "probs"]).astype({"floor_seq": "Int32"})
 
-    rows = _ordered(scores.select("device", "tick", "floor_seq", "conf"), "device", "tick", "floor_seq")
+    columns = ["device", "tick", "floor_seq", "conf", *(["valid"] if known else [])]
+    rows = _ordered(scores.select(*columns), "device", "tick", "floor_seq")
     return rows.mapInPandas(run, "device string, tick int, floor_seq int, probs map<int, double>")
 
 

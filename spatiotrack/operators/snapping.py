@@ -9,10 +9,8 @@ candidates are generated with numpy for a batch of points, the valid ones kept,
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -137,30 +135,31 @@ class Region:
 
 
 def _snapper(margin: float):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        regions: dict = {}
-        for b in batches:
-            x, y = b["x"].to_numpy(float).copy(), b["y"].to_numpy(float).copy()
-            for floor, rows in b.groupby("floor_seq").indices.items():
-                if floor not in regions:
-                    zs = b["__zones"].iloc[rows[0]]
-                    rings = [(z["no_go"], np.array([[e["ax"], e["ay"], e["bx"], e["by"]] for e in z["edges"]], float)) for z in zs]
-                    regions[floor] = Region([r for bad, r in rings if not bad], [r for bad, r in rings if bad], margin)
-                moved = regions[floor].snap(np.stack([x[rows], y[rows]], axis=1))
-                x[rows], y[rows] = moved[:, 0], moved[:, 1]
-            yield b.drop(columns="__zones").assign(x=x, y=y)
-
-    return run
+    def run(floor: pa.Array, px: pa.Array, py: pa.Array, zones: pa.Array) -> pa.Array:
+        x, y = (c.to_numpy(zero_copy_only=False).astype(float).copy() for c in (px, py))
+        there = ~np.asarray(zones.is_null())
+        floors = floor.fill_null(-1).to_numpy(zero_copy_only=False)
+        for k in np.unique(floors[there]):
+            rows = np.flatnonzero(there & (floors == k))
+            rings = [(z["no_go"], np.array([[e["ax"], e["ay"], e["bx"], e["by"]] for e in z["edges"]], float)) for z in zones[int(rows[0])].as_py()]
+            region = Region([r for bad, r in rings if not bad], [r for bad, r in rings if bad], margin)
+            moved = region.snap(np.stack([x[rows], y[rows]], axis=1))
+            x[rows], y[rows] = moved[:, 0], moved[:, 1]
+        return pa.StructArray.from_arrays([pa.array(x), pa.array(y)], ["x", "y"], mask=pa.array(~there))
+
+    return F.arrow_udf(run, "struct<x:double,y:double>")
 
 
 def snap_into_zones(points: DataFrame, zones: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
-    """``points`` (floor_seq, x, y and others) moved to the nearest valid place."""
+    """``points`` (floor_seq, x, y and others) moved to the nearest valid place, in one pass.
+
+    Zones reach Python only for rows of floors that have a forbidden one.
+    """
     prepared = zn.small(zn.prepared_zones(zones, s).withColumnRenamed("zones", "__zones"))
     joined = points.join(prepared, "floor_seq", "left")
     hard = F.coalesce(F.exists("__zones", lambda z: z["no_go"]), F.lit(False))
-    plain = zn.snap_plain(F.col("x"), F.col("y"), F.col("__zones"))
-    easy = joined.filter(~hard).select(*[c for c in points.columns if c not in ("x", "y")], F.when(F.col("__zones").isNull(), F.struct("x", "y")).otherwise(plain).alias("__p"))
-    easy = easy.select(*[F.col("__p")[c].alias(c) if c in ("x", "y") else F.col(c) for c in points.columns])
-    numpy_rows = joined.filter(hard).select(*points.columns, "__zones")
-    kinds = ", ".join(f"`{c.name}` {c.dataType.simpleString()}" for c in points.schema)
-    return easy.unionByName(numpy_rows.mapInPandas(_snapper(s.snap_margin_px), kinds))
+    forbidden = F.when(hard, F.transform("__zones", lambda z: F.struct(z["no_go"].alias("no_go"), z["edges"].alias("edges"))))
+    moved = joined.withColumn("__moved", _snapper(s.snap_margin_px)(F.col("floor_seq"), F.col("x"), F.col("y"), forbidden))
+    plain = F.when(F.col("__zones").isNull(), F.struct("x", "y")).otherwise(zn.snap_plain(F.col("x"), F.col("y"), F.col("__zones")))
+    placed = moved.withColumn("__p", F.coalesce("__moved", plain))
+    return placed.select(*[F.col("__p")[c].alias(c) if c in ("x", "y") else F.col(c) for c in points.columns])

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,31 +57,44 @@ def trilaterate(x: np.ndarray, y: np.ndarray, r: np.ndarray, w: np.ndarray, lowe
     return p
 
 
-def _solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+_ARRAYS = ("__x", "__y", "__r", "__w")
+_LIMITS = ("minx", "miny", "maxx", "maxy", "min_radius")
+_MADE = ("fx", "fy", "error_sum", "weight_sum")
+
+
+def _padded(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of a list column side by side, and which places they fill."""
+    sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(int)
+    there = np.arange(width) < sizes[:, None]
+    out = np.zeros(there.shape)
+    out[there] = column.flatten().to_numpy(zero_copy_only=False)
+    return out, there
+
+
+def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        lists = b["points"].tolist()
-        n, k = len(lists), max((len(v) for v in lists), default=0)
-        data = np.zeros((4, n, max(k, 1)))
-        for i, v in enumerate(lists):
-            for j, q in enumerate(v):
-                data[0, i, j], data[1, i, j], data[2, i, j], data[3, i, j] = q["x"], q["y"], q["r"], max(q["w"], 1e-12)
-        lower = b[["minx", "miny"]].fillna(-np.inf).to_numpy(float)
-        upper = b[["maxx", "maxy"]].fillna(np.inf).to_numpy(float)
-        fixes = trilaterate(*data, lower, upper, b["min_radius"].to_numpy(float)) if n else np.zeros((0, 2))
-        few = np.array([len(v) < 3 for v in lists], bool)
-        fixes[few] = np.nan
-        out = b.drop(columns=["points", "minx", "miny", "maxx", "maxy", "min_radius"])
-        out["fx"], out["fy"] = fixes[:, 0], fixes[:, 1]
-        yield out
+        keys = [n for n in b.schema.names if n not in (*_ARRAYS, *_LIMITS)]
+        sizes = b.column("__x").value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        width = max(int(sizes.max(initial=0)), 1)
+        (x, there), y, r, w = _padded(b.column("__x"), width), *[_padded(b.column(c), width)[0] for c in _ARRAYS[1:]]
+        x0, y0, x1, y1, least = (b.column(c).to_numpy(zero_copy_only=False).astype(float) for c in _LIMITS)
+        lower = np.nan_to_num(np.stack([x0, y0], axis=1), nan=-np.inf, posinf=np.inf, neginf=-np.inf)
+        upper = np.nan_to_num(np.stack([x1, y1], axis=1), nan=np.inf, posinf=np.inf, neginf=-np.inf)
+        p = trilaterate(x, y, r, np.where(there, np.maximum(w, 1e-12), 0.0), lower, upper, least) if len(b) else np.zeros((0, 2))
+        errors = np.where(there, w * (np.hypot(x - p[:, :1], y - p[:, 1:]) - r) ** 2, 0.0)
+        few = sizes < 3
+        made = [pa.array(c.astype(float), mask=few) for c in (p[:, 0], p[:, 1], errors.sum(axis=1), np.where(there, w, 0.0).sum(axis=1))]
+        yield pa.RecordBatch.from_arrays([*[b.column(n) for n in keys], *made], [*keys, *_MADE])
 
 
 def solve(problems: DataFrame) -> DataFrame:
     """Problems: any key columns, points (array of structs with x, y, r, w), minx, miny, maxx, maxy (null: unbounded), min_radius.
 
-    Keys and fx, fy; null with fewer than three points.
+    Keys, fx, fy, and of the points at the fix the weighted sum of squared errors and the sum of
+    weights; null with fewer than three points.
     """
-    keys = [c for c in problems.columns if c not in ("points", "minx", "miny", "maxx", "maxy", "min_radius")]
+    keys = [c for c in problems.columns if c not in ("points", *_LIMITS)]
     kinds = ", ".join(f"`{k}` {problems.schema[k].dataType.simpleString()}" for k in keys)
-    typed = problems.select(*keys, F.transform("points", lambda p: F.struct(*[p[c].cast("double").alias(c) for c in ("x", "y", "r", "w")])).alias("points"), *[F.col(c).cast("double").alias(c) for c in ("minx", "miny", "maxx", "maxy", "min_radius")])
-    made = typed.mapInPandas(_solve, f"{kinds}, fx double, fy double")
-    return made.select(*keys, *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in ("fx", "fy")])
+    arrays = [F.col(f"points.{c[2:]}").cast("array<double>").alias(c) for c in _ARRAYS]
+    typed = problems.select(*keys, *arrays, *[F.col(c).cast("double").alias(c) for c in _LIMITS])
+    return typed.mapInArrow(_solve, ", ".join([kinds, *[f"{c} double" for c in _MADE]]))

@@ -97,13 +97,16 @@ def smooth(t: Track, floor: int, now: float, x: float, y: float, scale: float, s
 FIX = "device string, tick int, floor_seq int, x double, y double, raw_x double, raw_y double, rms_m double, conf double, floors map<int, double>"
 
 
-def step(t: Track, tick: int, solved: dict[int, tuple], s: Settings = DEFAULTS) -> tuple | None:
-    """``solved``: floor -> (rank, fx, fy, rms_m, conf, scale, minx, miny, maxx, maxy). The published fix, or None."""
+def step(t: Track, tick: int, solved: dict[int, tuple], s: Settings = DEFAULTS, valid: set[int] | None = None) -> tuple | None:
+    """``solved``: floor -> (rank, fx, fy, rms_m, conf, scale, minx, miny, maxx, maxy). The published fix, or None.
+
+    ``valid``: the floors of the layout; a device whose floor is no longer there starts anew.
+    """
     now = tick * s.tick_s
     if t.updated is not None and now - t.updated > s.stale_s:
         t.probs, t.incumbent, t.rival, t.rival_count, t.dark, t.kalman, t.updated = {}, None, None, 0, 0, None, None
     running = {k: v for k, v in solved.items() if v[0] <= s.candidates or k == t.incumbent}
-    floor = elect(t, {k: v[4] for k, v in running.items()}, None, s)
+    floor = elect(t, {k: v[4] for k, v in running.items()}, valid, s)
     if floor is None:
         return None
     _, fx, fy, rms, conf, scale, x0, y0, x1, y1 = running[floor]
@@ -151,7 +154,8 @@ def _fold(s: Settings):
 def hypotheses(rows: DataFrame, zones: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
     """Every solvable floor of every device and tick: its fix, score and solver bounds.
 
-    One shuffle by device, tick and floor; the fit and its score come from the same row.
+    One shuffle by device serves the jump gate, the grouping and the rank; the fit and its score come
+    from the same row.
     """
     weighted = rd.with_jump_weights(rows, s)
     grouped = weighted.groupBy("device", "tick", "floor_seq", "scale").agg(
@@ -164,26 +168,21 @@ def hypotheses(rows: DataFrame, zones: DataFrame, s: Settings = DEFAULTS) -> Dat
     j = grouped.join(zn.small(box), "floor_seq", "left")
     x0, y0, x1, y1 = F.least("rx0", "zminx"), F.least("ry0", "zminy"), F.greatest("rx1", "zmaxx"), F.greatest("ry1", "zmaxy")
     m = s.bounds_margin * F.greatest(x1 - x0, y1 - y0, F.lit(1.0))
-    j = j.select("device", "tick", "floor_seq", "scale", "nearest_m", "points", (x0 - m).alias("minx"), (y0 - m).alias("miny"), (x1 + m).alias("maxx"), (y1 + m).alias("maxy"))
-    keep = j.select("device", "tick", "floor_seq", "scale", "nearest_m", F.col("points").alias("used"), F.col("minx").alias("bx0"), F.col("miny").alias("by0"), F.col("maxx").alias("bx1"), F.col("maxy").alias("by1"), "points", "minx", "miny", "maxx", "maxy", f.min_weight_radius(F.col("scale"), s).alias("min_radius"))
-    fixed = solve(keep)
-
-    def squared(p):
-        dx, dy = p["x"] - F.col("fx"), p["y"] - F.col("fy")
-        e = F.sqrt(dx * dx + dy * dy) - p["r"]
-        return p["w"] * e * e
-
-    n = F.size("used")
-    num = F.aggregate("used", F.lit(0.0), lambda acc, p: acc + squared(p))
-    den = F.aggregate("used", F.lit(0.0), lambda acc, p: acc + p["w"])
-    rms = F.sqrt(num / den) * F.sqrt(n / F.greatest(n - 2.0, F.lit(1.0))) / F.when(F.col("scale") > 0, F.col("scale")).otherwise(1.0)
+    # The rank needs only distances, so it is taken here, where rows still lie by device.
+    rank = F.row_number().over(Window.partitionBy("device", "tick").orderBy("nearest_m", "floor_seq"))
+    bounds = [(x0 - m).alias("minx"), (y0 - m).alias("miny"), (x1 + m).alias("maxx"), (y1 + m).alias("maxy")]
+    j = j.select("device", "tick", "floor_seq", "scale", rank.alias("rank"), F.size("points").alias("n"), "points", *bounds)
+    kept = [F.col(c).alias(f"b_{c}") for c in ("minx", "miny", "maxx", "maxy")]
+    fixed = solve(j.select("*", *kept, f.min_weight_radius(F.col("scale"), s).alias("min_radius")))
+
+    n = F.col("n")
+    rms = F.sqrt(F.col("error_sum") / F.col("weight_sum")) * F.sqrt(n / F.greatest(n - 2.0, F.lit(1.0))) / F.when(F.col("scale") > 0, F.col("scale")).otherwise(1.0)
     scored = fixed.withColumn("rms_m", rms)
     conf = 0.5 * F.least(F.lit(1.0), n / s.coverage_n) + 0.5 * f.fit_quality(F.col("rms_m"), s)
     scored = scored.join(zn.small(prepared), "floor_seq", "left")
     dead = F.coalesce(zn.in_no_go(F.col("fx"), F.col("fy"), F.col("zones")), F.lit(False))
     scored = scored.withColumn("conf", conf * F.when(dead, s.no_go_penalty).otherwise(1.0))
-    rank = F.row_number().over(Window.partitionBy("device", "tick").orderBy("nearest_m", "floor_seq"))
-    return scored.select("device", "tick", "floor_seq", rank.alias("rank"), "fx", "fy", "rms_m", "conf", "scale", F.col("bx0").alias("minx"), F.col("by0").alias("miny"), F.col("bx1").alias("maxx"), F.col("by1").alias("maxy"))
+    return scored.select("device", "tick", "floor_seq", "rank", "fx", "fy", "rms_m", "conf", "scale", *[F.col(f"b_{c}").alias(c) for c in ("minx", "miny", "maxx", "maxy")])
 
 
 def fold_fixes(solved: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
@@ -205,5 +204,9 @@ def track(states: DataFrame, receivers: DataFrame, zones: DataFrame, subzones: D
 
 
 def publish(fixes: DataFrame) -> DataFrame:
-    """Rounded as published, with the device's state after each tick."""
-    return fixes.select(*[F.bround(c, n).alias(c) if (n := {"raw_x": 2, "raw_y": 2, "rms_m": 3, "conf": 3}.get(c)) else F.col(c) for c in fixes.columns])
+    """Rounded as published: raw positions to 2 places, error, confidence and floor probabilities to 3."""
+    places = {"raw_x": 2, "raw_y": 2, "rms_m": 3, "conf": 3}
+    rounded = {c: F.bround(c, n) for c, n in places.items() if c in fixes.columns}
+    if "floors" in fixes.columns:
+        rounded["floors"] = F.transform_values("floors", lambda _, p: F.bround(p, 3))
+    return fixes.withColumns(rounded)

@@ -13,13 +13,14 @@ from pyspark.sql import functions as F
 from ..constants import DEFAULTS, UNKNOWN, Settings
 from ..functions import geometry as g
 
-#: A layout with more rows than this is joined by a shuffle on the floor.
-BROADCAST_ROWS = 100_000
+#: A layout with more text than this is joined by a shuffle on the floor.
+BROADCAST_BYTES = 32 << 20
 
 
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``limit`` rows."""
-    return F.broadcast(df) if len(df.take(limit + 1)) <= limit else df
+def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` marked for broadcast if its rows, written out, have at most ``limit`` bytes; Spark adds them up."""
+    size = df.select(F.octet_length(F.to_json(F.struct("*"))).cast("long").alias("n")).agg(F.sum("n")).first()[0]
+    return F.broadcast(df) if (size or 0) <= limit else df
 
 
 def prepared_zones(zones: DataFrame, s: Settings = DEFAULTS) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..functions import scalars as f
+from ..operators import calibration as cal
 from ..operators import diagnostics as dg
 from ..operators import links as lk
 from ..sources import fixtures as fx
@@ -126,7 +127,43 @@ def p11_token_match(spark, sf):
     return _names(spark, sf).select("k", f.token_matches(F.right("slug", F.lit(6)), F.col("mac")).alias("same"))
 
 
-@query(sql(NAMES, "SELECT k, regexp_replace(regexp_replace(lower(name), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS slug FROM nm"))
+# Tokens as users type them: upper case, too short, with letters that are no hexadecimal digits.
+TYPED = NAMES + ", tp AS (SELECT k, mac, CASE k % 5 WHEN 0 THEN upper(right(slug, 6)) WHEN 1 THEN left(right(slug, 6), 4) || 'zz' WHEN 2 THEN right(slug, 5) WHEN 3 THEN NULL ELSE 'id-' || upper(right(slug, 6)) END AS token FROM nm), tm AS (SELECT k, lower(right(token, 6)) AS tok, right(regexp_replace(lower(mac), '[^0-9a-f]', '', 'g'), 6) AS tail FROM tp)"
+
+
+@query(sql(TYPED, "SELECT k, CASE WHEN regexp_full_match(tok, '[0-9a-f]{6}') THEN left(tok, 4) = left(tail, 4) AND (CAST('0x' || right(tail, 2) AS INTEGER) - CAST('0x' || right(tok, 2) AS INTEGER) + 256) % 256 <= 3 ELSE false END AS same FROM tm"))
+def p11b_typed_tokens(spark, sf):
+    k, tok = F.col("k"), F.right("slug", F.lit(6))
+    typed = F.when(k % 5 == 0, F.upper(tok)).when(k % 5 == 1, F.concat(F.left(tok, F.lit(4)), F.lit("zz"))).when(k % 5 == 2, F.right("slug", F.lit(5))).when(k % 5 == 4, F.concat(F.lit("id-"), F.upper(tok)))
+    return _names(spark, sf).select("k", f.token_matches(typed, F.col("mac")).alias("same"))
+
+
+# Scanners by supplier: names in step, renamed with a hardware token in the slug, or a typed token; every fourth has none that fits.
+SCANNERS = """
+sc AS (SELECT s_suppkey AS k, printf('%06x', s_suppkey * 16) AS tail FROM supplier),
+pm AS (SELECT k, CASE WHEN k % 4 = 0 THEN 'probe_buro_' || k WHEN k % 4 = 1 THEN 'old_' || k || '_' || printf('%06x', k * 16 - k % 3) ELSE 'room_' || k END AS slug,
+  CASE WHEN k % 4 = 2 THEN upper(printf('%06x', k * 16 - k % 3)) WHEN k % 4 = 3 THEN 'zz' || printf('%04x', k) END AS uid, 'aa:bb:cc:' || tail[1:2] || ':' || tail[3:4] || ':' || tail[5:6] AS address FROM sc)"""
+
+
+def _scanners(spark, sf):
+    k = F.col("s_suppkey")
+    hexa = lambda c, n=6: F.lpad(F.lower(F.hex(c)), n, "0")
+    tail = hexa(k * 16)
+    part = lambda i: F.upper(F.substring(tail, i, 2))
+    s = fx.table(spark, sf, "supplier")
+    scanners = s.select(F.concat(F.lit("AA:BB:CC:"), part(1), F.lit(":"), part(3), F.lit(":"), part(5)).alias("address"), F.concat(F.lit("Probe Büro "), k).alias("name"))
+    near = hexa(k * 16 - k % 3)
+    slug = F.when(k % 4 == 0, F.concat(F.lit("probe_buro_"), k)).when(k % 4 == 1, F.concat(F.lit("old_"), k, F.lit("_"), near)).otherwise(F.concat(F.lit("room_"), k))
+    uid = F.when(k % 4 == 2, F.upper(near)).when(k % 4 == 3, F.concat(F.lit("zz"), hexa(k, 4)))
+    return s.select(slug.alias("slug"), uid.alias("uid")), scanners
+
+
+@query(sql(SCANNERS, "SELECT slug, address, CASE WHEN k % 4 = 0 THEN 1 ELSE 2 END AS tier FROM pm WHERE k % 4 <> 3"))
+def j8_match_scanners(spark, sf):
+    return cal.match_scanners(*_scanners(spark, sf)).select("slug", "address", "tier")
+
+
+@query(sql(NAMES, "SELECT k, regexp_replace(regexp_replace(strip_accents(lower(name)), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS slug FROM nm"))
 def p12_slugify(spark, sf):
     return _names(spark, sf).select("k", f.slugify(F.col("name")).alias("slug"))
 
