@@ -186,17 +186,17 @@ class MergeReplay:
                 tok[starts[k] : starts[k] + len(ids)] = ids
 
 
-_made: dict[str, tuple[PieceCache, np.ndarray, np.ndarray]] = {}
+_made: dict[str, PieceCache] = {}
+_bytes: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _codec(path: str) -> tuple[PieceCache, np.ndarray, np.ndarray]:
-    """Piece cache, all tokens' bytes in order of id, and where each id's bytes start."""
+def _codec(path: str) -> PieceCache:
+    """Encoder of pieces; only the tasks that merge make one."""
     if path not in _made:
         import public_tokenizers
         import regex
 
-        ranks = load_ranks(path)
-        replay, words = MergeReplay(ranks), regex.compile(public_tokenizers.PATTERN)
+        replay, words = MergeReplay(load_ranks(path)), regex.compile(public_tokenizers.PATTERN)
 
         def encode(pieces: list[str]) -> list[bytes]:
             cut = [words.findall(p) for p in pieces]
@@ -206,14 +206,20 @@ def _codec(path: str) -> tuple[PieceCache, np.ndarray, np.ndarray]:
             coded = {w: raw[a:b] for w, a, b in zip(different, ends[:-1], ends[1:], strict=True)}
             return [coded[ws[0]] if len(ws) == 1 else b"".join([coded[w] for w in ws]) for ws in cut]
 
-        size = max(ranks.values()) + 1
-        lengths = np.zeros(size, np.int64)
+        _made[path] = PieceCache(encode)
+    return _made[path]
+
+
+def _tokens(path: str) -> tuple[np.ndarray, np.ndarray]:
+    """All tokens' bytes in order of id, and where each id's bytes start."""
+    if path not in _bytes:
+        ranks = load_ranks(path)
+        lengths = np.zeros(max(ranks.values()) + 1, np.int64)
         for b, i in ranks.items():
             lengths[i] = len(b)
         by_id = sorted(ranks.items(), key=lambda x: x[1])
-        ends = np.concatenate([[0], np.cumsum(lengths)])
-        _made[path] = PieceCache(encode), np.frombuffer(b"".join(b for b, _ in by_id), np.uint8), ends
-    return _made[path]
+        _bytes[path] = np.frombuffer(b"".join(b for b, _ in by_id), np.uint8), np.concatenate([[0], np.cumsum(lengths)])
+    return _bytes[path]
 
 
 #: A list of pieces (kind 0, without or with ids) or a block of rows (kind 1) of a slice.
@@ -304,7 +310,7 @@ def _replayed(path: str):
         return _rows(slice=[x[0] for x in lists], kind=[0] * n, stem=[x[1] for x in lists], pieces=[x[2] for x in lists], heads=[x[3] for x in lists], ids=out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, held, size, last = _codec(path)[0].encode, [], 0, None
+        encode, held, size, last = _codec(path).encode, [], 0, None
         for batch in batches:
             columns = [batch.column(k).to_pylist() for k in ("slice", "stem", "pieces", "heads")]
             for row in zip(*columns, strict=True):
@@ -340,8 +346,8 @@ def _blocks_of_rows(text: int, limit: int):
     return run
 
 
-def _joined(path: str, text: int, names: list[str]):
-    """Step 3: the rows of each slice with their ids; its lists come first."""
+def _joined(path: str, text: int, names: list[str], decode: bool):
+    """Step 3: the rows of each slice with their ids, and what these decode to; its lists come first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, cache, unpack = None, None, zstandard.ZstdDecompressor()
@@ -349,7 +355,7 @@ def _joined(path: str, text: int, names: list[str]):
             for i in range(len(batch)):
                 number, kind = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
                 if number != now:
-                    now, cache = number, PieceCache(_codec(path)[0].encode, remember=None)
+                    now, cache = number, PieceCache(lambda pieces: _codec(path).encode(pieces), remember=None)
                 if kind == 0:
                     spaced, heads = _unpacked(batch.column(3)[i].as_py()), batch.column(4)[i].as_py()
                     raw = unpack.decompress(batch.column(5)[i].as_py())
@@ -363,46 +369,48 @@ def _joined(path: str, text: int, names: list[str]):
                     parts = [b"", *cache.look_up(as_array(rows.column(text)))]
                     offsets = np.cumsum([len(x) // 4 for x in parts]).astype(np.int32)
                     ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(parts), "<i4")))
-                    yield pa.RecordBatch.from_arrays([*rows.columns, ids], names)
+                    yield pa.RecordBatch.from_arrays([*rows.columns, ids, *([decoded(path, ids)] if decode else [])], names)
 
     return run
 
 
-def decoder(path: str):
-    @F.arrow_udf("binary")
-    def decode(ids: pa.Array) -> pa.Array:
-        _, blob, ends = _codec(path)
-        ids = as_array(ids)
-        out = []
-        for a in range(0, len(ids), 256):
-            some = ids[a : a + 256]
-            flat, n = some.flatten().to_numpy(zero_copy_only=False).astype(np.int64), some.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-            lengths = ends[flat + 1] - ends[flat]
-            to = np.concatenate([[0], np.cumsum(lengths)])
-            raw = blob[np.repeat(ends[flat] - to[:-1], lengths) + np.arange(to[-1])].tobytes()
-            cuts = to[np.concatenate([[0], np.cumsum(n)])]
-            out += [raw[x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
-        return pa.array(out, pa.binary())
+def decoded(path: str, ids: pa.Array) -> pa.Array:
+    """The bytes of each list of ids; a null list has none."""
+    blob, ends = _tokens(path)
+    ids = as_array(ids)
+    out = []
+    for a in range(0, len(ids), 256):
+        some = ids[a : a + 256]
+        flat, n = some.flatten().to_numpy(zero_copy_only=False).astype(np.int64), some.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        lengths = ends[flat + 1] - ends[flat]
+        to = np.concatenate([[0], np.cumsum(lengths)])
+        raw = blob[np.repeat(ends[flat] - to[:-1], lengths) + np.arange(to[-1])].tobytes()
+        cuts = to[np.concatenate([[0], np.cumsum(n)])]
+        out += [raw[x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+    return pa.array(out, pa.binary())
 
-    return decode
 
+def encode_documents(df: DataFrame, text: str = "text", path: str | None = None, slice_bytes: int = SLICE_BYTES, decode_to: str | None = None) -> DataFrame:
+    """``df`` with ``ids`` array<int>, and with the bytes that these decode to in column ``decode_to`` if it is given.
 
-def encode_documents(df: DataFrame, text: str = "text", path: str | None = None, slice_bytes: int = SLICE_BYTES) -> DataFrame:
-    """``df`` with ``ids`` array<int>."""
+    Decoding in the same pass spares a second set of Python workers.
+    """
     ship(df.sparkSession)
     path = path or rank_path(VOCABULARY)
     stems = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    kept = df.select(*[F.col(f"`{c}`") for c in df.columns if c != "ids"])
+    kept = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in ("ids", decode_to)])
     at, part = kept.columns.index(text), F.spark_partition_id().cast("long").alias("__part")
     lists = kept.select(text, part).mapInArrow(_listed(stems, slice_bytes), LISTS)
     coded = lists.repartition("stem").sortWithinPartitions("stem").mapInArrow(_replayed(path), LISTS)
     blocks = kept.select("*", part).mapInArrow(_blocks_of_rows(at, slice_bytes), LISTS)
     met = coded.unionByName(blocks).repartition("slice").sortWithinPartitions("slice", "kind")
-    schema = T.StructType([*kept.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    return met.mapInArrow(_joined(path, at, schema.names), schema)
+    made = [T.StructField("ids", T.ArrayType(T.IntegerType())), *([T.StructField(decode_to, T.BinaryType())] if decode_to else [])]
+    schema = T.StructType([*kept.schema.fields, *made])
+    return met.mapInArrow(_joined(path, at, schema.names, bool(decode_to)), schema)
 
 
 def decode_ids(df: DataFrame, ids: str = "ids", to: str = "decoded", path: str | None = None) -> DataFrame:
     """``df`` with the decoded bytes in column ``to``; a null list decodes to no bytes."""
     ship(df.sparkSession)
-    return df.withColumn(to, decoder(path or rank_path(VOCABULARY))(F.col(ids)))
+    path = path or rank_path(VOCABULARY)
+    return df.withColumn(to, F.arrow_udf(lambda x: decoded(path, x), "binary")(F.col(ids)))

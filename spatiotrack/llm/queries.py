@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import decode_ids, encode_documents
+from .bpe import encode_documents
 from .chat_format import format_conversations, message_events, read_loss, read_turns
 from .common import crc32_text, table
 from .html_extract import extract_text
@@ -109,7 +109,7 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = decode_ids(encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    coded = encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), decode_to="decoded")
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -622,7 +622,7 @@ def test_ids_equal_the_library():
     texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(3000)] + ["a" * 3000, " " * 500, "ab" * 999, None, "", "<|endoftext|>"]
     texts += ["".join(rng.choice("aab") for _ in range(rng.randint(5, 40))) for _ in range(2000)]
     enc = tiktoken_of(bpe.VOCABULARY)
-    got = bpe._codec(packing.rank_path(bpe.VOCABULARY))[0].encode_texts(pa.array(texts))
+    got = bpe._codec(packing.rank_path(bpe.VOCABULARY)).encode_texts(pa.array(texts))
     assert all(np.frombuffer(g, "<i4").tolist() == enc.encode_ordinary(t or "") for g, t in zip(got, texts, strict=True))
 
 
@@ -632,14 +632,15 @@ def test_ids_of_a_whole_corpus_equal_the_library_in_any_slices(spark):
     df = spark.createDataFrame([(i, t, "kept") for i, t in enumerate(texts)], "doc_id long, text string, slice string").repartition(3)
     enc = tiktoken_of(bpe.VOCABULARY)
     for limit in (200, 1 << 20):
-        got = bpe.encode_documents(clashing(df, "ids", "stem"), slice_bytes=limit).collect()
+        got = bpe.encode_documents(clashing(df, "ids", "stem"), slice_bytes=limit, decode_to="decoded").collect()
         assert len(got) == len(texts)
         for r in got:
             assert r.ids == enc.encode_ordinary(texts[r.doc_id] or "") and r.slice == "kept" and r.stem == "clash"
+            assert bytes(r.decoded) == (texts[r.doc_id] or "").encode()
 
 
 def test_pieces_that_are_in_no_list_are_encoded_on_the_spot(spark):
-    cache = bpe.PieceCache(bpe._codec(packing.rank_path(bpe.VOCABULARY))[0].encode, remember=None)
+    cache = bpe.PieceCache(bpe._codec(packing.rank_path(bpe.VOCABULARY)).encode, remember=None)
     got = cache.look_up(pa.array(["never listed before", None, "x" * 100 + " y"]))
     enc = tiktoken_of(bpe.VOCABULARY)
     assert [np.frombuffer(g, "<i4").tolist() for g in got] == [enc.encode_ordinary(t) for t in ("never listed before", "", "x" * 100 + " y")]
