@@ -53,6 +53,10 @@ class Settings:
     window: int = 720
     persisted: int = 200
     state_max_age_s: float = 21600.0
+    manual_failures: int = 6
+    solve_after_s: float = 300.0
+    solve_every_s: float = 900.0
+    selftest_every_s: float = 1800.0
     least_samples: int = 5
     least_true_m: float = 0.3
     least_pairs: int = 4

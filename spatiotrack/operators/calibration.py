@@ -14,6 +14,9 @@ from ..functions import scalars as f
 from .solver import solve
 from .zones import small
 
+#: Candidate links of one layout that are matched in the driver.
+MOST_CANDIDATES = 1_000_000
+
 
 # Samples.
 def rolling_window(samples: DataFrame, keep: int) -> DataFrame:
@@ -52,7 +55,9 @@ def match_scanners(placed: DataFrame, scanners: DataFrame) -> DataFrame:
     free = s.join(named.select("address"), "address", "left_anti").join(placed.select(F.col("slug").alias("name")), "name", "left_anti")
     waiting = placed.join(named.select("slug"), "slug", "left_anti").withColumn("token", F.coalesce("uid", f.scanner_token(F.col("slug")))).filter("token is not null")
     pairs = waiting.join(free, (f.scanner_token(F.col("name")) == F.col("token")) | f.token_matches(F.col("token"), F.col("address"))).select("slug", "address").distinct()
-    # Candidates are links of a small layout: both sides are bounded by what is placed.
+    # Candidates are links of one layout, a few for each placed receiver; what goes to the driver is counted first.
+    if pairs.count() > MOST_CANDIDATES:
+        raise ValueError(f"more than {MOST_CANDIDATES} candidates: match one site's layout at a time")
     by_slug: dict[str, set] = {}
     by_address: dict[str, set] = {}
     for slug, address in pairs.collect():
@@ -258,12 +263,9 @@ def selftest(samples: DataFrame, receivers: DataFrame, zones: DataFrame, s: Sett
     placed = receivers.select(F.col("scanner").alias("target"), "floor_seq", "floor", F.col("x").alias("known_x"), F.col("y").alias("known_y"), "scale")
     j = placed.join(points, "target", "left").join(small(selftest_bounds(receivers, zones, s)), "floor_seq", "left")
     j = j.withColumn("points", F.coalesce("points", F.expr("filter(points, p -> false)"))).withColumn("heard_by", F.coalesce(F.size("points"), F.lit(0)))
-    some = solve(j.filter("heard_by >= 3").withColumn("min_radius", f.min_weight_radius(F.col("scale"), s)))
+    solved = solve(j.withColumn("min_radius", f.min_weight_radius(F.col("scale"), s)))
     error = F.sqrt(F.pow(F.col("fx") - F.col("known_x"), 2) + F.pow(F.col("fy") - F.col("known_y"), 2)) / F.col("scale")
-    done = some.select("floor_seq", "floor", F.col("target").alias("scanner"), "heard_by", F.round("fx", 1).alias("est_x"), F.round("fy", 1).alias("est_y"), F.round(error, 3).alias("error_m"))
-    none = F.lit(None).cast("double")
-    rest = j.filter("heard_by < 3").select("floor_seq", "floor", F.col("target").alias("scanner"), F.greatest("heard_by", F.lit(0)).alias("heard_by"), none.alias("est_x"), none.alias("est_y"), none.alias("error_m"))
-    return done.unionByName(rest)
+    return solved.select("floor_seq", "floor", F.col("target").alias("scanner"), F.greatest("heard_by", F.lit(0)).alias("heard_by"), F.round("fx", 1).alias("est_x"), F.round("fy", 1).alias("est_y"), F.round(error, 3).alias("error_m"))
 
 
 def selftest_summary(errors: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..constants import DEFAULTS, DISTANCE_PLATFORM, Settings
 from ..functions import scalars as f
-
+from .zones import small
 
 
 def sensors_now(states: DataFrame) -> DataFrame:
@@ -56,7 +57,7 @@ def beacon_links(sensors: DataFrame) -> DataFrame:
 def suggest(unmatched: DataFrame, free: DataFrame) -> DataFrame:
     """A scanner to re-link each unmatched placement to: a unique shared hardware token, else the most similar name (0.55 or more).
 
-    Both sides are bounded by a layout; similarity runs over one row a placement with all free names.
+    Similarity runs over one row a placement with all free names; these are broadcast while they are small.
     """
     names = free.agg(F.sort_array(F.collect_set("scanner")).alias("__free"))
 
@@ -73,7 +74,7 @@ def suggest(unmatched: DataFrame, free: DataFrame) -> DataFrame:
                 out.append(top[2] if top[0] >= 0.55 else None)
             yield pd.DataFrame({"scanner": b["scanner"], "suggested": out})
 
-    rows = unmatched.select("scanner", F.coalesce("uid", f.scanner_token(F.col("scanner"))).alias("token")).join(F.broadcast(names), how="cross")
+    rows = unmatched.select("scanner", F.coalesce("uid", f.scanner_token(F.col("scanner"))).alias("token")).join(small(names), how="cross")
     return rows.mapInPandas(best, "scanner string, suggested string")
 
 
@@ -97,21 +98,29 @@ def device_online(entities: DataFrame) -> DataFrame:
 
 
 def dump_ages(dumps: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
-    """Which dumps re-anchor the ages: dump, newest, anchored.
+    """Which dumps re-anchor the ages: dump, newest, anchored (and source, if dumps have one).
 
     A dump counts unless its newest stamp lies in the minute up to the last accepted one. The fold
-    runs over one row a dump (the newest stamp), never over its adverts.
+    runs over one row a dump (the newest stamp), sorted by source and dump, never over its adverts,
+    and carries one number from row to row; each source is a fold of its own.
     """
-    per = dumps.groupBy("dump").agg(F.max("last_seen").alias("newest"))
-    ordered = per.agg(F.sort_array(F.collect_list(F.struct("dump", "newest"))).alias("__d"))
-    zero = F.struct(F.lit(None).cast("double").alias("prev"), F.expr("cast(array() as array<struct<dump: bigint, newest: double, anchored: boolean>>)").alias("out"))
+    keys = ["source"] if "source" in dumps.columns else []
+    per = dumps.groupBy(*keys, "dump").agg(F.max("last_seen").cast("double").alias("newest"))
 
-    def merge(acc: Column, d: Column) -> Column:
-        keep = ~F.coalesce((acc["prev"] - 60 < d["newest"]) & (d["newest"] <= acc["prev"]), F.lit(False))
-        row = F.struct(d["dump"].alias("dump"), d["newest"].alias("newest"), keep.alias("anchored"))
-        return F.struct(F.when(keep, d["newest"]).otherwise(acc["prev"]).alias("prev"), F.concat(acc["out"], F.array(row)).alias("out"))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        source, before = None, None
+        for b in batches:
+            out = []
+            for key, newest in zip(b["source"] if keys else [None] * len(b), b["newest"], strict=True):
+                if key != source:
+                    source, before = key, None
+                keep = not (before is not None and before - 60 < newest <= before)
+                before = newest if keep else before
+                out.append(keep)
+            yield b.assign(anchored=out)
 
-    return ordered.select(F.inline(F.aggregate("__d", zero, merge, lambda acc: acc["out"])))
+    ordered = (per.repartition(*keys) if keys else per.coalesce(1)).sortWithinPartitions(*keys, "dump")
+    return ordered.mapInPandas(run, ", ".join(f"`{c.name}` {c.dataType.simpleString()}" for c in per.schema) + ", anchored boolean")
 
 
 def receiver_status(receivers: DataFrame, ages: DataFrame, status_sensors: DataFrame, devices: DataFrame, readings: DataFrame, override: DataFrame | None = None, s: Settings = DEFAULTS) -> DataFrame:
@@ -158,8 +167,14 @@ def report_now(report: DataFrame, placed: DataFrame) -> DataFrame:
 def problem_order(linking: DataFrame) -> DataFrame:
     """Rows with problems first: unmatched, silent, live; then floor and id."""
     k = F.when(F.col("status") == "unmatched", 0).when(F.col("status") == "silent", 1).otherwise(2)
-    w = Window.orderBy(k, "floor", "scanner")
-    return linking.withColumn("place", F.row_number().over(w))
+    rows = linking.withColumn("__k", k)
+    # A place is the number of rows in earlier groups and the place in the own one: only counts meet in one task.
+    counts = rows.groupBy("__k", "floor").agg(F.count(F.lit(1)).alias("__n"))
+    earlier = Window.orderBy("__k", "floor").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select(F.col("__k").alias("__bk"), F.col("floor").alias("__bf"), F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    own = F.row_number().over(Window.partitionBy("__k", "floor").orderBy("scanner"))
+    j = rows.withColumn("__own", own).join(before, (F.col("__k") == F.col("__bk")) & F.col("floor").eqNullSafe(F.col("__bf")))
+    return j.withColumn("place", (F.col("__before") + F.col("__own")).cast("int")).select(*linking.columns, "place")
 
 
 def picker(sensors: DataFrame, placed: DataFrame, typed: str = "") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..constants import DEFAULTS, Settings
 from ..functions import scalars as f
+from .zones import small
 
 
 def receiver_links(matrix: DataFrame, receivers: DataFrame, raw: bool = False, s: Settings = DEFAULTS) -> DataFrame:
@@ -16,8 +17,8 @@ def receiver_links(matrix: DataFrame, receivers: DataFrame, raw: bool = False, s
     share = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), value / F.col("true_m") - 1))
     rows = matrix.filter((F.col("true_m") > 0) & value.isNotNull()).select("floor", F.least("tx", "rx").alias("a"), F.greatest("tx", "rx").alias("b"), "tx", "true_m", value.alias("v"), share.alias("p"))
     merged = rows.groupBy("floor", "a", "b").agg(F.min_by("true_m", "tx").alias("true_m"), F.avg("v").alias("detected"), F.max_by("p", F.struct(F.abs("p"), F.when(F.col("tx") == F.col("a"), 1).otherwise(0))).alias("worst"))
-    a = F.broadcast(ends.select(F.col("scanner").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("height").alias("ah"), "scale"))
-    b = F.broadcast(ends.select(F.col("scanner").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), F.col("height").alias("bh")))
+    a = small(ends.select(F.col("scanner").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("height").alias("ah"), "scale"))
+    b = small(ends.select(F.col("scanner").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), F.col("height").alias("bh")))
     j = merged.join(a, "a").join(b, "b")
     dx, dy = (F.col("ax") - F.col("bx")) / F.col("scale"), (F.col("ay") - F.col("by")) / F.col("scale")
     dh = F.coalesce(F.col("ah") - F.col("bh"), F.lit(0.0))

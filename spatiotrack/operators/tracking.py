@@ -34,6 +34,7 @@ class Track:
     # Both axes share the covariance, so position and velocity of each and three scalars suffice.
     kalman: list | None = None  # floor, time, x, vx, y, vy, p00, p01, p11
     updated: float | None = None
+    tick: int | None = None
 
 
 def elect(t: Track, scores: dict[int, float], valid: set[int] | None = None, s: Settings = DEFAULTS) -> int | None:

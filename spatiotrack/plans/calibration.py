@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as f
 from ..operators import calibration as cal
 from ..sources import fixtures as fx
+from ..streaming import calibration as sc
 from .common import RECEIVERS, sql
 
 QUERIES: dict = {}
@@ -191,3 +192,45 @@ def a11_selftest_summary(spark, sf):
 def a16_sample_counts(spark, sf):
     c = _samples(spark, sf).groupBy("tx", "rx").agg(F.count(F.lit(1)).alias("n"))
     return c.agg(F.count(F.lit(1)).alias("pairs"), F.sum("n").alias("samples"), F.min("n").alias("least"), F.max("n").alias("most"))
+
+
+# Manual runs: each user's events are the calls of one, a third of them failed in stretches.
+CALLS = "cl AS (SELECT user_id AS run, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INTEGER) AS k FROM events), ca AS (SELECT run, k * 10e0 AS moment, NOT ((k // 8 + run) % 3 = 0 AND k % 8 < 5 + run % 3) AS ok FROM cl)"
+
+
+def _calls(spark, sf):
+    t = fx.truth(spark, sf)
+    k, run = F.col("tick"), F.col("device")
+    return t.select(run.alias("run"), (k * 10.0).alias("at"), (~(((F.floor(k / 8) + run) % 3 == 0) & (k % 8 < 5 + run % 3))).alias("ok"))
+
+
+@query(sql(CALLS + ", g AS (SELECT *, count(*) FILTER (ok) OVER (PARTITION BY run ORDER BY moment) AS good FROM ca), h AS (SELECT *, count(*) FILTER (NOT ok) OVER (PARTITION BY run, good ORDER BY moment) AS failed FROM g), b AS (SELECT *, min(CASE WHEN failed >= 6 THEN moment END) OVER (PARTITION BY run) AS broken FROM h)", "SELECT run, CASE WHEN max(broken) IS NOT NULL THEN 'error' ELSE 'done' END AS state, max(moment) AS ended_at, count(*) FILTER (ok) AS dumps FROM b WHERE broken IS NULL OR moment <= broken GROUP BY run"))
+def st15_manual_runs(spark, sf):
+    return sc.manual_runs(_calls(spark, sf))
+
+
+@query(sql(CALLS + """,
+n AS (SELECT run, moment, moment - min(moment) OVER (PARTITION BY run) AS age FROM ca),
+s AS (SELECT run, min(moment) AS moment FROM n WHERE age >= 300 GROUP BY run
+  UNION ALL SELECT run, moment FROM (SELECT s.run, (SELECT min(n.moment) FROM n WHERE n.run = s.run AND n.moment >= s.moment + 900) AS moment FROM s) WHERE moment IS NOT NULL)""", "SELECT CAST(run AS VARCHAR) AS run, moment FROM s", recursive=True))
+def st16_solve_times(spark, sf):
+    return sc.solve_times(_calls(spark, sf)).withColumnRenamed("at", "moment")
+
+
+@query(sql(CALLS + """,
+s AS (SELECT run, min(moment) AS moment FROM ca GROUP BY run
+  UNION ALL SELECT run, moment FROM (SELECT s.run, (SELECT min(c.moment) FROM ca c WHERE c.run = s.run AND c.moment >= s.moment + 1800) AS moment FROM s) WHERE moment IS NOT NULL)""", "SELECT CAST(run AS VARCHAR) AS run, moment FROM s", recursive=True))
+def st18_selftest_times(spark, sf):
+    return sc.due_times(_calls(spark, sf), 1800.0).withColumnRenamed("at", "moment")
+
+
+CHANGE = ERRORS + ", ol AS (SELECT CASE WHEN rec_seq % 5 <> 4 THEN ((rec_seq * 29) % 19) / 8e0 END AS error_m FROM rec), a AS (SELECT round(quantile_cont(error_m, 0.5), 3) AS cep50_m, round(quantile_cont(error_m, 0.95), 3) AS cep95_m, round(avg(error_m), 3) AS mean_m, round(max(error_m), 3) AS max_m FROM er), b AS (SELECT round(quantile_cont(error_m, 0.5), 3) AS cep50_m, round(quantile_cont(error_m, 0.95), 3) AS cep95_m, round(avg(error_m), 3) AS mean_m, round(max(error_m), 3) AS max_m FROM ol), m AS (UNPIVOT a ON cep50_m, cep95_m, mean_m, max_m INTO NAME metric VALUE now_m), n AS (UNPIVOT b ON cep50_m, cep95_m, mean_m, max_m INTO NAME metric VALUE baseline_m)"
+
+
+@query(sql(CHANGE, "SELECT metric, now_m, baseline_m, round(now_m - baseline_m, 3) AS change_m, CASE WHEN round(now_m - baseline_m, 3) < 0 THEN 'improved' WHEN round(now_m - baseline_m, 3) > 0 THEN 'worse' ELSE 'same' END AS verdict FROM m JOIN n USING (metric)"))
+def k10_selftest_change(spark, sf):
+    k = F.col("rec_seq")
+    r = fx.receivers(spark)
+    rows = lambda error: r.select("floor", "scanner", k.alias("place"), error.alias("error_m"))
+    new, old = rows(F.when(k % 6 != 5, ((k * 37) % 23) / 8.0)), rows(F.when(k % 5 != 4, ((k * 29) % 19) / 8.0))
+    return sc.selftest_change(cal.selftest_summary(new), cal.selftest_summary(old))

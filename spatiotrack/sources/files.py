@@ -17,8 +17,13 @@ LAYOUT = f"floor array<{FLOOR}>, tracker_height double, position_timeout double,
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
-    """A new folder in the place that driver and executors share; a local one only where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(os.environ.get("TMPDIR", "/tmp"), "checkpoints")
+    """A new folder in the place that driver and executors share; a local one only where all run on one machine."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = os.path.join(os.environ.get("TMPDIR", "/tmp"), "checkpoints")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

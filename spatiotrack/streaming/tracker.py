@@ -2,7 +2,9 @@
 
 Ranges are computed by the batch functions, which hold no state. The keyed processor solves all
 floors of all new ticks of a device at once, then folds tick by tick through the same ``step`` as
-the batch chain. A device that publishes nothing for ``stale_s`` of event time is pruned by a timer.
+the batch chain. A tick that comes at or behind the last one folded, late but inside the watermark, is
+dropped: the fold cannot be undone, and the newer fix is out. A device that publishes nothing for
+``stale_s`` of event time is pruned by a timer.
 """
 
 from __future__ import annotations
@@ -28,15 +30,15 @@ NAMES = [c.split()[0] for c in OUT.split(", ")]
 
 
 def dump(t: Track, last: dict) -> str:
-    return json.dumps([{str(k): v for k, v in t.probs.items()}, t.incumbent, t.rival, t.rival_count, t.dark, t.kalman, t.updated, [[*k, v] for k, v in last.items()]])
+    return json.dumps([{str(k): v for k, v in t.probs.items()}, t.incumbent, t.rival, t.rival_count, t.dark, t.kalman, t.updated, [[*k, v] for k, v in last.items()], t.tick])
 
 
 def load(text: str) -> tuple[Track, dict]:
-    probs, incumbent, rival, count, dark, kalman, updated, last = json.loads(text)
-    return Track({int(k): v for k, v in probs.items()}, incumbent, rival, count, dark, kalman, updated), {tuple(v[:3]): v[3] for v in last}
+    probs, incumbent, rival, count, dark, kalman, updated, last, tick = json.loads(text)
+    return Track({int(k): v for k, v in probs.items()}, incumbent, rival, count, dark, kalman, updated, tick), {tuple(v[:3]): v[3] for v in last}
 
 
-def advance(track: Track, last: dict, rows: pd.DataFrame, boxes: dict, dead: dict, s: Settings = DEFAULTS) -> tuple[list[tuple], dict]:
+def advance(track: Track, last: dict, rows: pd.DataFrame, boxes: dict, dead: dict, s: Settings = DEFAULTS, floors: set[int] | None = None) -> tuple[list[tuple], dict]:
     """Fixes of one device's new rows (tick, floor_seq, rec_seq, x, y, r, slant, scale), in order of tick."""
     problems, spans = [], []
     for tick, at in rows.groupby("tick", sort=True):
@@ -76,12 +78,12 @@ def advance(track: Track, last: dict, rows: pd.DataFrame, boxes: dict, dead: dic
             if any(bool(Region._inside(np.array([[fx, fy]]), ring)[0]) and Region._distance(np.array([[fx, fy]]), ring).min() > 1e-9 for ring in dead.get(floor, ())):
                 conf *= s.no_go_penalty
             solved[floor] = (rank, fx, fy, float(rms), float(conf), scale, *bounds[i])
-        if solved and (fix := step(track, int(tick), solved, s)):
+        if solved and (fix := step(track, int(tick), solved, s, floors)):
             out.append((int(tick), *fix[:-1]))
     return out, last
 
 
-def processor(boxes: dict, dead: dict, s: Settings = DEFAULTS):
+def processor(boxes: dict, dead: dict, s: Settings = DEFAULTS, floors: set[int] | None = None):
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         device = key[0]
         if state.hasTimedOut:
@@ -90,9 +92,15 @@ def processor(boxes: dict, dead: dict, s: Settings = DEFAULTS):
             return
         track, last = load(state.get[0]) if state.exists else (Track(), {})
         rows = pd.concat(list(batches))
-        fixes, last = advance(track, last, rows, boxes, dead, s)
+        if track.tick is not None:
+            rows = rows[rows["tick"] > track.tick]
+        if len(rows):
+            fixes, last = advance(track, last, rows, boxes, dead, s, floors)
+            track.tick = int(rows["tick"].max())
+        else:
+            fixes = []
         state.update((dump(track, last),))
-        seen = track.updated if track.updated is not None else float(rows["tick"].max()) * s.tick_s
+        seen = track.updated if track.updated is not None else track.tick * s.tick_s
         state.setTimeoutTimestamp(max(int((seen + s.stale_s) * 1000), state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame([(device, *fix, False) for fix in fixes], columns=NAMES)
 
@@ -111,16 +119,26 @@ def zone_frames(zones: DataFrame) -> tuple[dict, dict]:
     return boxes, dead
 
 
-def track_stream(readings: DataFrame, zones: DataFrame, s: Settings = DEFAULTS, late: str = "30 seconds") -> DataFrame:
-    """Fixes of a stream of readings (device, tick, ts, floor_seq, rec_seq, x, y, r, slant, scale); pruned devices give a row too."""
+def track_stream(readings: DataFrame, zones: DataFrame, s: Settings = DEFAULTS, late: str = "30 seconds", floors: set[int] | None = None) -> DataFrame:
+    """Fixes of a stream of readings (device, tick, ts, floor_seq, rec_seq, x, y, r, slant, scale); pruned devices give a row too.
+
+    ``floors``: those of today's layout; a query restarted with another layout makes devices on
+    floors that are gone start anew.
+    """
     boxes, dead = zone_frames(zones)
     rows = readings.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
-    return rows.groupBy("device").applyInPandasWithState(processor(boxes, dead, s), OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return rows.groupBy("device").applyInPandasWithState(processor(boxes, dead, s, floors), OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
 
+def first_seen(states: DataFrame, forget: str | None = None) -> DataFrame:
+    """The first appearance of each distance sensor on a stream.
 
-def first_seen(states: DataFrame) -> DataFrame:
-    """The first appearance of each distance sensor on a stream."""
-    return states.filter(F.col("entity_id").contains("_distance_to_")).dropDuplicates(["entity_id"]).select("entity_id", f.device_of(F.col("entity_id")).alias("device"))
+    State is one id for each sensor that there is. Where sensors come and go for ever, ``forget`` (a
+    delay of the watermark on ``ts``) bounds it: a sensor counts as new again after that time.
+    """
+    own = states.filter(F.col("entity_id").contains("_distance_to_"))
+    once = own.dropDuplicates(["entity_id"]) if forget is None else own.withWatermark("ts", forget).dropDuplicatesWithinWatermark(["entity_id"])
+    return once.select("entity_id", f.device_of(F.col("entity_id")).alias("device"))
 
 
 def recorder(fixes: DataFrame, late: str = "5 minutes") -> DataFrame:
