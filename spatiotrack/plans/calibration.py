@@ -8,7 +8,7 @@ from ..functions import scalars as f
 from ..operators import calibration as cal
 from ..sources import fixtures as fx
 from ..streaming import calibration as sc
-from .common import RECEIVERS, sql
+from .common import EDGES, RECEIVERS, solved, sql
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -173,7 +173,17 @@ def j11_selftest_points(spark, sf):
     return cal.selftest_points(_samples(spark, sf), fx.receivers(spark)).select("target", "rx", "x", "y", F.round("r", 5).alias("r"))
 
 
-@query()
+SELFTEST = SAMPLES + "," + EDGES + """,
+mt AS (SELECT tx, rx, quantile_cont(distance_m, 0.5) AS m FROM sm WHERE distance_m > 0 GROUP BY 1, 2 HAVING count(*) >= 3),
+hr AS (SELECT tx, o.rec_seq, o.x, o.y, m * o.correction AS d, o.height - t.height AS dz FROM mt JOIN rec t ON t.scanner = tx JOIN rec o ON o.scanner = rx AND o.floor_seq = t.floor_seq),
+hp AS (SELECT tx, rec_seq, x, y, 40 * CASE WHEN dz IS NULL THEN d ELSE sqrt(greatest(d * d - dz * dz, 0e0)) END AS r, 1e0 AS w FROM hr),
+ext AS (SELECT floor_seq, min(x) AS ex0, min(y) AS ey0, max(x) AS ex1, max(y) AS ey1 FROM (SELECT floor_seq, x, y FROM rec UNION ALL SELECT floor_seq, ax, ay FROM zed) GROUP BY 1),
+eb AS (SELECT floor_seq, ex0 - m AS x0, ey0 - m AS y0, ex1 + m AS x1, ey1 + m AS y1 FROM (SELECT *, 0.1e0 * greatest(ex1 - ex0, ey1 - ey0, 1e0) AS m FROM ext)),
+hg AS (SELECT tx AS id, count(*) AS n, avg(x) AS sx, avg(y) AS sy, """ + ", ".join(f"max(CASE WHEN rec_seq % 4 = {i} THEN r END) AS r{i}, max(CASE WHEN rec_seq % 4 = {i} THEN w END) AS w{i}" for i in range(4)) + """ FROM hp GROUP BY 1),
+hb AS (SELECT hg.*, x0, y0, x1, y1 FROM hg JOIN rec ON scanner = id JOIN eb USING (floor_seq) WHERE n >= 3),""" + solved("hb")
+
+
+@query(sql(SELFTEST, "SELECT floor, scanner, CAST(coalesce(hg.n, 0) AS INTEGER) AS heard_by, round(fx, 1) AS est_x, round(fy, 1) AS est_y, round(sqrt((fx - x) * (fx - x) + (fy - y) * (fy - y)) / 40e0, 3) AS error_m FROM rec LEFT JOIN hg ON hg.id = scanner LEFT JOIN so ON so.id = scanner", recursive=True))
 def m4_selftest(spark, sf):
     return cal.selftest(_samples(spark, sf), fx.receivers(spark), fx.zones(spark)).drop("floor_seq")
 

@@ -109,3 +109,39 @@ pz AS (SELECT id, px, py, floor_seq, {keys},
 
 def sql(ctes: str, select: str, recursive: bool = False) -> str:
     return f"WITH {'RECURSIVE ' if recursive else ''}{ctes.strip()}\n{select.strip()}"
+
+
+def solved(problems: str, name: str = "so", steps: int = 60) -> str:
+    """CTE: the bounded weighted fix of each row of ``problems``, by damped Gauss-Newton steps written out for four receivers.
+
+    problems: id, r0..r3 and w0..w3 (null where a receiver is missing), sx, sy (start), x0, y0, x1, y1
+    (bounds). Receivers stand at the four corners of the fixture's floors. Result: id, fx, fy, num, den.
+    """
+    at = [(f"{200 + (i % 2) * 1600}e0", f"{200 + (i // 2) * 1000}e0") for i in range(4)]
+    add = lambda part: "(" + " + ".join(part(i, *at[i]) for i in range(4)) + ")"
+    d = lambda px, py, x, y: f"sqrt(({px} - {x}) * ({px} - {x}) + ({py} - {y}) * ({py} - {y}))"
+    cost = lambda px, py: add(lambda i, x, y: f"v{i} * ({d(px, py, x, y)} - q{i}) * ({d(px, py, x, y)} - q{i})")
+    gone = ", ".join(f"CASE WHEN r{i} IS NULL THEN 0e0 ELSE greatest(w{i}, 1e-12) / (greatest(r{i}, 20e0) * greatest(r{i}, 20e0)) END AS v{i}, coalesce(r{i}, 0e0) AS q{i}, CASE WHEN r{i} IS NULL THEN 0e0 ELSE w{i} END AS m{i}" for i in range(4))
+    state = ", ".join(["id", *[f"v{i}, q{i}, m{i}" for i in range(4)], "x0", "y0", "x1", "y1"])
+    unit = ", ".join(f"greatest({d('px', 'py', x, y)}, 1e-12) AS d{i}" for i, (x, y) in enumerate(at))
+    ux, uy = (lambda i, x, y: f"(px - {x}) / d{i}"), (lambda i, x, y: f"(py - {y}) / d{i}")
+    clip = lambda v, lo, hi: f"least(greatest({v}, {lo}), {hi})"
+    return f"""
+{name}_i AS (SELECT id, {gone}, x0, y0, x1, y1, {clip("sx", "x0", "x1")} AS px, {clip("sy", "y0", "y1")} AS py FROM {problems}),
+{name}_r AS (
+  SELECT {state}, px, py, 1e-3 AS damping, {cost("px", "py")} AS now, 0 AS k FROM {name}_i
+  UNION ALL
+  SELECT {state}, CASE WHEN then_cost <= now THEN tx ELSE px END, CASE WHEN then_cost <= now THEN ty ELSE py END,
+    CASE WHEN then_cost <= now THEN greatest(damping / 5, 1e-12) ELSE least(damping * 6, 1e8) END, least(now, then_cost), k + 1
+  FROM (SELECT *, {cost("tx", "ty")} AS then_cost
+    FROM (SELECT *, {clip("px - (c2 * hx - b2 * hy) / det", "x0", "x1")} AS tx, {clip("py - (a2 * hy - b2 * hx) / det", "y0", "y1")} AS ty
+      FROM (SELECT *, greatest(a2 * c2 - b2 * b2, 1e-300) AS det
+        FROM (SELECT *, a + damping * (a + c) + 1e-300 AS a2, c + damping * (a + c) + 1e-300 AS c2, CASE WHEN held_x OR held_y THEN 0e0 ELSE b END AS b2,
+            CASE WHEN held_x THEN 0e0 ELSE gx END AS hx, CASE WHEN held_y THEN 0e0 ELSE gy END AS hy
+          FROM (SELECT *, (px <= x0 AND gx > 0) OR (px >= x1 AND gx < 0) AS held_x, (py <= y0 AND gy > 0) OR (py >= y1 AND gy < 0) AS held_y
+            FROM (SELECT *, {add(lambda i, x, y: f"v{i} * {ux(i, x, y)} * (d{i} - q{i})")} AS gx, {add(lambda i, x, y: f"v{i} * {uy(i, x, y)} * (d{i} - q{i})")} AS gy,
+                {add(lambda i, x, y: f"v{i} * {ux(i, x, y)} * {ux(i, x, y)}")} AS a, {add(lambda i, x, y: f"v{i} * {ux(i, x, y)} * {uy(i, x, y)}")} AS b, {add(lambda i, x, y: f"v{i} * {uy(i, x, y)} * {uy(i, x, y)}")} AS c
+              FROM (SELECT *, {unit} FROM {name}_r WHERE k < {steps}))))))
+  )
+),
+{name} AS (SELECT id, px AS fx, py AS fy, {add(lambda i, x, y: f"m{i} * ({d('px', 'py', x, y)} - q{i}) * ({d('px', 'py', x, y)} - q{i})")} AS num, m0 + m1 + m2 + m3 AS den FROM {name}_r WHERE k = {steps})"""

