@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Prefix, as_array, materialize, mix64, row_of, ship, text_slices, word_spans
+from .common import Prefix, Scratch, as_array, materialize, mix64, row_of, ship, text_slices, word_spans
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -209,7 +209,7 @@ def _overlap_udf():
     return F.arrow_udf(lambda a, b: pa.array(overlap(a, b)), "double")
 
 
-def components(edges: DataFrame, name: str = "components") -> DataFrame:
+def components(edges: DataFrame, name: str = "components", keep=materialize) -> DataFrame:
     """(node, root): the least node of each component, for every node of ``edges`` (columns u, v).
 
     Alternates large-star and small-star steps until each component is a star around its least node;
@@ -217,7 +217,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """
     files = 2 * edges.sparkSession.sparkContext.defaultParallelism
     now = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct()
-    now = materialize(now.coalesce(files), name)
+    now = keep(now.coalesce(files), name)
     while True:
         ends = now.select(F.inline(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("up")), F.struct(F.col("v").alias("node"), F.lit(0).alias("up")))))
         met = ends.groupBy("node").agg(F.sum("up").alias("ups"), F.min("up").alias("least"))
@@ -229,14 +229,14 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
         small = small.select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
-        now = materialize(small.filter("u <> v").distinct().coalesce(files), name)
+        now = keep(small.filter("u <> v").distinct().coalesce(files), name)
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, name: str) -> DataFrame:
+def _verify(pairs: DataFrame, texts: DataFrame, keep) -> DataFrame:
     """Pairs (u, v) with their similarity; ``texts`` has a row (node, body) for each node in them."""
     one = pairs.join(texts.select(F.col("node").alias("u"), F.col("body").alias("left")), "u")
     two = one.join(texts.select(F.col("node").alias("v"), F.col("body").alias("right")), "v")
-    return materialize(two.select("u", "v", _overlap_udf()(F.col("left"), F.col("right")).alias("similarity")), name)
+    return keep(two.select("u", "v", _overlap_udf()(F.col("left"), F.col("right")).alias("similarity")), "dedup-verified")
 
 
 def _links(verified: DataFrame, similarity: float) -> DataFrame:
@@ -256,7 +256,7 @@ def _mixed(spokes: DataFrame, joined: DataFrame) -> DataFrame:
     return placed.join(placed.filter("root <> hub_root").select("bucket").distinct(), "bucket", "left_semi")
 
 
-def _rare_pairs(loose: DataFrame, around: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+def _rare_pairs(loose: DataFrame, around: DataFrame, texts: DataFrame, similarity: float, keep) -> DataFrame:
     """Pairs (u, v) of a loose node and one around it in another component that can be similar enough.
 
     Shingles are ordered from the rarest. With similarity s, two texts of n <= m shingles share at
@@ -265,14 +265,14 @@ def _rare_pairs(loose: DataFrame, around: DataFrame, texts: DataFrame, similarit
     one on, both must hold that many (positional filter). No link escapes either.
     """
     spread = texts.join(around, "node", "left_semi").select("node", F.explode(_shingle_udf()(F.col("body"))).alias("h"))
-    counted = materialize(spread.groupBy("node", "h").agg(F.count(F.lit(1)).alias("w")), "dedup-shingles")
+    counted = keep(spread.groupBy("node", "h").agg(F.count(F.lit(1)).alias("w")), "dedup-shingles")
     common = counted.groupBy("h").agg(F.count(F.lit(1)).alias("df"))
     order = Window.partitionBy("node").orderBy("df", "h")
     so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = counted.join(common, "h").withColumn("n", F.sum("w").over(Window.partitionBy("node"))).withColumn("at", F.sum("w").over(so_far) - F.col("w")).withColumn("back", F.lag("h").over(order))
     room = lambda share: F.col("n") - F.ceil(F.lit(share) * F.col("n") - 1e-9)
     rare = ranked.filter(F.col("at") <= room(similarity)).select("node", "h", "n", "at", "back", (F.col("at") <= room(2 * similarity / (1 + similarity))).alias("short"))
-    rare = materialize(rare.join(around, "node"), "dedup-rare")
+    rare = keep(rare.join(around, "node"), "dedup-rare")
     left = rare.join(loose.select("node"), "node", "left_semi").select("h", *[F.col(c).alias(f"a_{c}") for c in ("node", "root", "n", "at", "back", "short")])
     right = rare.select("h", *[F.col(c).alias(f"b_{c}") for c in ("node", "root", "n", "at", "back", "short")])
     # Two texts that also share the shingle before this one meet there already.
@@ -296,63 +296,66 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", simi
     ``root``, the least node of the class, names it; ``class_id`` is a label that classes can share.
     """
     ship(df.sparkSession)
+    scratch = Scratch()
+    keep = scratch.keep
     docs = df.select(F.col(key).alias("__key"), node_name(text).alias("node"), F.col(text).alias("body"))
     signed = materialize(docs.select("__key", "node", _band_udf(rows, bands)(F.col("body")).alias("bands")), "dedup-signatures")
     nodes = signed.groupBy("node").agg(F.min("__key").alias("rep"), F.first("bands").alias("bands"))
-    nodes = materialize(nodes, "dedup-nodes")
+    nodes = keep(nodes, "dedup-nodes")
 
     spread = nodes.select("node", F.explode("bands").alias("bucket"))
     buckets = spread.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("__last"), F.count(F.lit(1)).alias("held")).filter("hub <> __last").drop("__last")
-    members = materialize(spread.join(buckets, "bucket"), "dedup-members")
+    members = keep(spread.join(buckets, "bucket"), "dedup-members")
 
     linked = members.select(F.explode(F.array("node", "hub")).alias("node")).distinct()
     wanted = nodes.join(linked, "node", "left_semi").select("node", F.col("rep").alias("__key"))
     # Only one row of each group of equal texts is fetched; keys and digests spread the rows evenly.
     same = docs["node"] == wanted["node"]
     texts = docs.join(wanted, same & docs["__key"].eqNullSafe(wanted["__key"])).select(docs["node"], docs["__key"], docs["body"])
-    texts = materialize(texts.groupBy("node", "__key").agg(F.first("body").alias("body")).select("node", "body"), "dedup-texts")
+    texts = keep(texts.groupBy("node", "__key").agg(F.first("body").alias("body")).select("node", "body"), "dedup-texts")
 
     # One pair for each node first: most buckets then lie inside one component and need no more.
     spokes = members.filter("node <> hub")
     pairs = spokes.groupBy(F.col("node").alias("u")).agg(F.min("hub").alias("v"))
-    first = _verify(pairs, texts, "dedup-verified")
+    first = _verify(pairs, texts, keep)
     links = _links(first, similarity)
-    joined = components(links)
+    joined = components(links, keep=keep)
 
     # Members outside of their hub's component, against that hub.
     outside = _placed(spokes, joined).filter("root <> hub_root").select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct()
-    second = _verify(outside.join(first, ["u", "v"], "left_anti"), texts, "dedup-verified")
-    links = materialize(links.unionByName(_links(second, similarity)), "dedup-links")
-    joined = components(links)
+    second = _verify(outside.join(first, ["u", "v"], "left_anti"), texts, keep)
+    links = keep(links.unionByName(_links(second, similarity)), "dedup-links")
+    joined = components(links, keep=keep)
 
     # Mixed buckets: neighbours in a random order of each bucket, as long as that joins components.
     known = first.unionByName(second)
     for turn in range(TURNS):
-        placed = materialize(_mixed(spokes, joined), "dedup-mixed")
+        placed = keep(_mixed(spokes, joined), "dedup-mixed")
         part = F.pmod(F.xxhash64(F.lit(turn), "node", F.lit("part")), F.ceil(F.col("held") / ORDERED))
         order = Window.partitionBy("bucket", part).orderBy(F.xxhash64(F.lit(turn), "bucket", "node"))
         beside = [F.struct(F.lag("node", k).over(order).alias("v"), F.lag("root", k).over(order).alias("v_root")) for k in (1, 2)]
         pairs = placed.select("node", "root", F.array(*beside).alias("n")).select("node", "root", F.inline("n"))
         pairs = pairs.filter("root <> v_root").select(F.greatest("node", "v").alias("u"), F.least("node", "v").alias("v")).distinct()
-        tried = _verify(pairs.join(known, ["u", "v"], "left_anti"), texts, "dedup-verified")
+        tried = _verify(pairs.join(known, ["u", "v"], "left_anti"), texts, keep)
         found = _links(tried, similarity)
         if not found.limit(1).count():
             break
         known = known.unionByName(tried)
-        links = materialize(links.unionByName(found), "dedup-links")
-        joined = components(links)
+        links = keep(links.unionByName(found), "dedup-links")
+        joined = components(links, keep=keep)
 
     # What is still mixed: an exact join on rare shingles finds every link that is left.
-    placed = materialize(_mixed(spokes, joined), "dedup-mixed")
+    placed = keep(_mixed(spokes, joined), "dedup-mixed")
     whole = placed.select("bucket", "node", "root").unionByName(placed.select("bucket", F.col("hub").alias("node"), F.col("hub_root").alias("root")).distinct())
     # A link between components has an end outside of the bucket's largest one.
     sizes = whole.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
     largest = sizes.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("largest"))
     loose = whole.join(largest, "bucket").filter("root <> largest").select("node", "root").distinct()
-    more = _rare_pairs(loose, whole.select("node", "root").distinct(), texts, similarity)
-    third = _verify(more.join(known, ["u", "v"], "left_anti"), texts, "dedup-verified")
+    more = _rare_pairs(loose, whole.select("node", "root").distinct(), texts, similarity, keep)
+    third = _verify(more.join(known, ["u", "v"], "left_anti"), texts, keep)
     all_links = links.unionByName(_links(third, similarity))
-    found = materialize(nodes.select("node", "rep").join(components(all_links), "node", "left").withColumn("root", F.coalesce("root", "node")), "dedup-classes")
+    found = materialize(nodes.select("node", "rep").join(components(all_links, keep=keep), "node", "left").withColumn("root", F.coalesce("root", "node")), "dedup-classes")
+    scratch.clear()
     named = found.groupBy("root").agg(F.min("rep").alias("class_id"))
     classes = found.join(named, "root").select("node", "class_id", "root")
     return signed.select("__key", "node").join(classes, "node").select(F.col("__key").alias(key), "node", "class_id", "root")

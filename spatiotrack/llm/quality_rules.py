@@ -46,7 +46,8 @@ SHORT_BYTES = 1500.0
 LEAST_DEVIATION = 0.02
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 ADDED = ("nats", "base_failed", "kept")
-NO_LANGUAGE = ""
+#: The name of the language of rows that have none; no language code looks like it.
+NO_LANGUAGE = "\0"
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True

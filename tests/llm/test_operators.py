@@ -726,3 +726,26 @@ def test_pipeline_keeps_columns_and_one_of_each_class(spark, sf):
     assert len(set(classes(texts))) == len(texts)
     pieces = cp.run(spark, sf)
     assert {r.doc_id for r in pieces.select("doc_id").distinct().collect()} == {r.doc_id for r in docs.collect()}
+
+
+def test_pipeline_on_odd_tables(spark, sf, docs, none):
+    import corpus_pipeline as cp
+
+    odd = clashing(docs, "score", "kept", "n_words", "node")
+    for name, stage in cp.STAGES[:-1]:
+        out = stage(spark, odd, sf)
+        assert out.columns == odd.columns, name
+        rows = out.collect()
+        assert rows and all((r.score, r.kept, r.n_words, r.node) == ("clash",) * 4 for r in rows), name
+        assert stage(spark, none, sf).count() == 0, name
+    kept = cp.rules(spark, docs, sf).collect()
+    assert all(len((r.text or "").split()) >= 20 for r in kept) and len([r for r in kept if r.text == BASE[0][1]]) == 4
+    assert {r.doc_id for r in cp.packing(spark, docs, sf).select("doc_id").distinct().collect()} == {r[0] for r in BASE + ODD}
+    assert cp.packing(spark, none, sf).count() == 0
+
+
+def test_null_and_empty_languages_are_two(spark):
+    rows = [(i, words(60, i), None if i % 2 else "", "s", 1) for i in range(40)]
+    together = {r.doc_id: r.nats for r in quality_rules.quality_rules(spark.createDataFrame(rows, SCHEMA)).collect()}
+    apart = {r.doc_id: r.nats for r in quality_rules.quality_rules(spark.createDataFrame([r for r in rows if r[2] is None], SCHEMA)).collect()}
+    assert all(together[k] == pytest.approx(v, abs=1e-9) for k, v in apart.items())
