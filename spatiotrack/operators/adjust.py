@@ -1,7 +1,7 @@
 """Clean-up of hand-drawn zones: square boxy rooms, weld shared walls, remove overlaps, clamp sub-zones.
 
 Floors (and parents of sub-zones) are independent, so Spark deals out one group each; a group is one
-floor plan, a few dozen rings. Clusters of coordinates and the change report are also offered as
+floor plan, a few dozen rings, as the clean-up of a ring depends on its neighbours'. Clusters of coordinates and the change report are also offered as
 column expressions.
 """
 
@@ -84,12 +84,21 @@ def weld(rings: list[np.ndarray], fixed: list[bool], s: Settings = DEFAULTS) ->
     owner = np.concatenate([np.full(len(r), i) for i, r in enumerate(rings)])
     start = np.cumsum([0] + [len(r) for r in rings])
     p = np.concatenate(rings)
-    gap = np.hypot(p[:, None, 0] - p[None, :, 0], p[:, None, 1] - p[None, :, 1])
-    a, b = np.nonzero((gap <= tol) & (owner[:, None] < owner[None, :]))
+    # Pairs of vertices that are near in x, from a sweep; only those are measured.
+    by_x = np.argsort(p[:, 0], kind="stable")
+    last = np.searchsorted(p[by_x, 0], p[by_x, 0] + tol, "right")
+    many = last - np.arange(len(p)) - 1
+    i = np.repeat(np.arange(len(p)), many)
+    j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many)
+    a, b = by_x[i], by_x[j]
+    a, b = np.where(owner[a] < owner[b], a, b), np.where(owner[a] < owner[b], b, a)
+    gap = np.hypot(*(p[a] - p[b]).T)
+    near = (gap <= tol) & (owner[a] != owner[b])
+    a, b, gap = a[near], b[near], gap[near]
     group = np.arange(len(p))
     members = {i: [i] for i in range(len(p))}
     # Nearest pairs first; a corner never holds two vertices of one ring.
-    for k in np.argsort(gap[a, b], kind="stable"):
+    for k in np.lexsort((b, a, gap)):
         x, y = group[a[k]], group[b[k]]
         if x == y or set(owner[members[x]]) & set(owner[members[y]]):
             continue

@@ -73,8 +73,23 @@ def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Where telemetry that was written once is read from, a folder for each scale.
+TELEMETRY = "spatiotrack.telemetry"
+
+
+def write_telemetry(spark: SparkSession, sf_dir: str, folder: str) -> None:
+    """Write the telemetry of one scale, as a tracking system would have it in store, and read it from there from now on."""
+    derive_states(spark, sf_dir).write.mode("overwrite").parquet(f"{folder}/{sf_dir.strip('/').replace('/', '-')}")
+    spark.conf.set(TELEMETRY, folder)
+
+
 def sensor_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The telemetry stream: event_id, tick, ts, entity_id, state (text), unit."""
+    """The telemetry stream: event_id, tick, ts, entity_id, state (text), unit; derived from events unless it was written before."""
+    folder = spark.conf.get(TELEMETRY, None)
+    return spark.read.parquet(f"{folder}/{sf_dir.strip('/').replace('/', '-')}") if folder else derive_states(spark, sf_dir)
+
+
+def derive_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = F.broadcast(receivers(spark).select("rec_seq", "floor_seq", "x", "y", "height", "correction"))
     j = truth(spark, sf_dir).join(r, (F.col("event_id") + F.col("rec_seq") * 7) % 5 != 0)
     dx, dy = F.col("x") - F.col("true_x"), F.col("y") - F.col("true_y")
