@@ -260,8 +260,7 @@ def _fold_scores(spark, sf):
     return t.filter((e + k * 5) % 4 != 0).select(F.concat(F.lit("dev"), "device").alias("device"), "tick", k, conf.alias("conf"))
 
 
-ELECTION_SQL = sql(
-    SCORES + """,
+ELECTION = """
 piv AS (SELECT device, tick, max(conf) FILTER (floor_seq = 0) AS c0, max(conf) FILTER (floor_seq = 1) AS c1, max(conf) FILTER (floor_seq = 2) AS c2, row_number() OVER (PARTITION BY device ORDER BY tick) AS n FROM fl GROUP BY device, tick),
 f AS (
   SELECT device, CAST(0 AS BIGINT) AS n, CAST(NULL AS INTEGER) AS tick, CAST(NULL AS DOUBLE) AS p0, CAST(NULL AS DOUBLE) AS p1, CAST(NULL AS DOUBLE) AS p2, CAST(NULL AS INTEGER) AS inc, CAST(NULL AS INTEGER) AS rival, 0 AS cnt, 0 AS dark, CAST(NULL AS INTEGER) AS floor FROM (SELECT DISTINCT device FROM piv)
@@ -300,7 +299,9 @@ f AS (
                     SELECT f.device, piv.n, piv.tick, f.p0, f.p1, f.p2, f.inc, f.rival, f.cnt, f.dark, c0, c1, c2, coalesce(c0, 0) + coalesce(c1, 0) + coalesce(c2, 0) AS total,
                       coalesce(CASE f.inc WHEN 0 THEN c0 IS NULL AND f.p0 IS NOT NULL WHEN 1 THEN c1 IS NULL AND f.p1 IS NOT NULL WHEN 2 THEN c2 IS NULL AND f.p2 IS NOT NULL END, false) AS missing
                     FROM f JOIN piv ON piv.device = f.device AND piv.n = f.n + 1)))))))))
-)""",
+)"""
+ELECTION_SQL = sql(
+    SCORES + "," + ELECTION,
     "SELECT device, tick, floor, round(p0, 4) AS p0, round(p1, 4) AS p1, round(p2, 4) AS p2 FROM f WHERE n > 0",
     recursive=True,
 )
@@ -315,9 +316,7 @@ def st4_floor_election(spark, sf):
     return out.select("device", "tick", F.col("floor_seq").alias("floor"), *[F.round(F.col("probs")[F.lit(k)], 4).alias(f"p{k}") for k in range(3)])
 
 
-KALMAN_SQL = sql(
-    RECORDING + """,
-o AS (SELECT ent, CAST(updated AS DOUBLE) + (CASE WHEN event_id % 31 = 0 THEN 0e0 ELSE 0e0 END) AS t, raw_x AS zx, raw_y AS zy, floor_seq, row_number() OVER (PARTITION BY ent ORDER BY updated, event_id) AS n FROM rc),
+KALMAN = """
 k AS (
   SELECT ent, n, t, floor_seq, zx AS x, 0e0 AS vx, zy AS y, 0e0 AS vy, 3600e0 AS p00, 0e0 AS p01, 1600e0 AS p11 FROM o WHERE n = 1
   UNION ALL
@@ -329,7 +328,10 @@ k AS (
     FROM (SELECT *, x + dt * vx AS mx, y + dt * vy AS my, p00 + 2 * dt * p01 + dt * dt * p11 + dt * dt * dt * dt / 4 * 400e0 AS q00, p01 + dt * p11 + dt * dt * dt / 2 * 400e0 AS q01, p11 + dt * dt * 400e0 AS q11
       FROM (SELECT o.ent, o.n, o.t, o.zx, o.zy, o.floor_seq, o.floor_seq <> k.floor_seq OR o.t - k.t > 30 AS fresh, least(greatest(o.t - k.t, 1e-3), 10e0) AS dt, k.x, k.vx, k.y, k.vy, k.p00, k.p01, k.p11
         FROM k JOIN o ON o.ent = k.ent AND o.n = k.n + 1)))
-)""",
+)"""
+KALMAN_SQL = sql(
+    RECORDING + """,
+o AS (SELECT ent, CAST(updated AS DOUBLE) + (CASE WHEN event_id % 31 = 0 THEN 0e0 ELSE 0e0 END) AS t, raw_x AS zx, raw_y AS zy, floor_seq, row_number() OVER (PARTITION BY ent ORDER BY updated, event_id) AS n FROM rc),""" + KALMAN,
     "SELECT ent, CAST(n AS INTEGER) AS n, round(x, 3) AS x, round(y, 3) AS y FROM k",
     recursive=True,
 )
@@ -364,6 +366,20 @@ def m1_trilaterate(spark, sf):
     return h.select("device", "tick", "floor_seq", F.round("fx", 2).alias("fx"), F.round("fy", 2).alias("fy"), F.round("rms_m", 4).alias("rms_m"), F.round("conf", 4).alias("conf"))
 
 
+PUBLISHED = FIXES + """,
+cf AS (SELECT fs.*, x0, y0, x1, y1, (0.5e0 * least(1e0, fs.n / 5e0) + 0.5e0 / (1 + (rms_m / 2e0) * (rms_m / 2e0))) * (CASE WHEN id IN (SELECT id FROM dead) THEN 0.15e0 ELSE 1e0 END) AS conf FROM fs JOIN pb USING (id)),
+fl AS (SELECT device, tick, floor_seq, conf FROM cf),""" + ELECTION + """,
+ch AS (SELECT cf.* FROM f JOIN cf ON cf.device = f.device AND cf.tick = f.tick AND cf.floor_seq = f.floor WHERE f.n > 0),
+o AS (SELECT device AS ent, CAST(tick AS DOUBLE) AS t, fx AS zx, fy AS zy, floor_seq, row_number() OVER (PARTITION BY device ORDER BY tick) AS n FROM ch),""" + KALMAN
+
+
+@query(sql(PUBLISHED, "SELECT ch.device, ch.tick, ch.floor_seq, round(least(greatest(k.x, x0), x1), 2) AS x, round(least(greatest(k.y, y0), y1), 2) AS y, round(fx, 2) AS raw_x, round(fy, 2) AS raw_y, round(rms_m, 4) AS rms_m, round(conf, 4) AS conf FROM ch JOIN k ON k.ent = ch.device AND k.t = ch.tick", recursive=True))
+def st_published_fixes(spark, sf):
+    """Solved, elected, smoothed and clipped fixes: the chain up to where zones come in."""
+    fixes = tk.fold_fixes(tk.hypotheses(_readings(spark, sf), fx.zones(spark)))
+    return fixes.select("device", "tick", "floor_seq", *[F.round(c, 2).alias(c) for c in ("x", "y", "raw_x", "raw_y")], F.round("rms_m", 4).alias("rms_m"), F.round("conf", 4).alias("conf"))
+
+
 @query()
 def tracking(spark, sf):
     """The flagship: states in, published fixes out."""
