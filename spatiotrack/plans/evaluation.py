@@ -90,10 +90,29 @@ def a10_means(spark, sf):
     return r.groupBy("ent").agg(F.round(F.avg("rms_m"), 4).alias("rms_m_mean"), F.round(F.avg("conf"), 4).alias("conf_mean"))
 
 
-@query()
+def _series(name: str, x: str, y: str) -> str:
+    """Metres of one series of a recording, all metrics of ``score``; every floor of the fixture has 40 pixels a metre."""
+    d1, d2 = _D1.replace("x", "@").replace("ma@", "max").replace("y", y).replace("@", x), _D2.replace("x", "@").replace("y", y).replace("@", x)
+    return f"""
+{name}_c AS (SELECT *, {x} / 40e0 AS mx, {y} / 40e0 AS my, least({d1}, {d2}) / 40 AS ct FROM rc),
+{name}_g AS (SELECT *, avg(mx) OVER (PARTITION BY ent) AS cx, avg(my) OVER (PARTITION BY ent) AS cy, lag(mx) OVER w AS px, lag(my) OVER w AS py, lag(floor) OVER w AS pf, row_number() OVER w AS k FROM {name}_c WINDOW w AS (PARTITION BY ent ORDER BY updated, event_id)),
+{name}_h AS (SELECT *, sqrt((mx - cx) * (mx - cx) + (my - cy) * (my - cy)) AS radial, CASE WHEN k > 1 AND floor = pf THEN sqrt((mx - px) * (mx - px) + (my - py) * (my - py)) END AS step FROM {name}_g),
+{name} AS (SELECT ent, '{name}' AS series, any_value(cx) AS cx, any_value(cy) AS cy, quantile_cont(radial, 0.5) AS cep50, quantile_cont(radial, 0.95) AS cep95, quantile_cont(step, 0.5) AS step_median, quantile_cont(step, 0.95) AS step_p95, max(step) AS step_max,
+  sqrt((any_value(cx) - 25) * (any_value(cx) - 25) + (any_value(cy) - 17.5e0) * (any_value(cy) - 17.5e0)) AS bias, sqrt(avg(ct * ct)) AS crosstrack_rms, quantile_cont(ct, 0.95) AS crosstrack_p95 FROM {name}_h GROUP BY 1)"""
+
+
+_SCORED = ("cx", "cy", "cep50", "cep95", "step_median", "step_p95", "step_max", "bias", "crosstrack_rms", "crosstrack_p95")
+SCORE = LAG + f""",
+hd AS (SELECT ent, count(*) AS n, round(max(updated) - min(updated), 1) AS duration_s, CAST(sum(CASE WHEN n > 1 AND floor IS DISTINCT FROM pf THEN 1 ELSE 0 END) AS BIGINT) AS floor_flaps, CAST(sum(CASE WHEN n > 1 AND zone IS DISTINCT FROM pz THEN 1 ELSE 0 END) AS BIGINT) AS zone_flaps, round(avg(rms_m), 3) AS rms_m_mean, round(avg(conf), 3) AS conf_mean FROM lg GROUP BY 1),
+fc AS (SELECT ent, floor, count(*) AS n, min(struct_pack(a := updated, b := event_id)) AS f FROM rc GROUP BY 1, 2),
+mf AS (SELECT ent, floor AS main_floor FROM (SELECT *, row_number() OVER (PARTITION BY ent ORDER BY n DESC, f) AS k FROM fc) WHERE k = 1),{_series("published", "x", "y")},{_series("raw", "raw_x", "raw_y")}"""
+
+
+@query(sql(SCORE, "SELECT ent, n, duration_s, floor_flaps, zone_flaps, rms_m_mean, conf_mean, main_floor, 40e0 AS px_per_m, " + ", ".join(f"round({c}, 4) AS {c}" for c in _SCORED) + ", series, 'm' AS units FROM hd JOIN mf USING (ent) JOIN (SELECT * FROM published UNION ALL SELECT * FROM raw) USING (ent)"))
 def score_recording(spark, sf):
     scales = fx.receivers(spark).select("floor", "scale").distinct()
-    return ev.score(_rec(spark, sf), scales, (1000.0, 700.0), WAY)
+    out = ev.score(_rec(spark, sf), scales, (1000.0, 700.0), WAY)
+    return out.withColumns({c: F.round(c, 4) for c in _SCORED})
 
 
 @query(sql(RECORDING + ", b AS (SELECT ent, avg(sqrt((x - true_x) * (x - true_x) + (y - true_y) * (y - true_y))) AS v, avg(sqrt((raw_x - true_x) * (raw_x - true_x) + (raw_y - true_y) * (raw_y - true_y))) AS w FROM rc GROUP BY 1)", "SELECT ent, round(v - w, 5) AS delta, CASE WHEN v < w THEN 'improved' WHEN v > w THEN 'worse' ELSE 'same' END AS verdict FROM b"))
