@@ -224,6 +224,27 @@ def g4_snap_no_go(spark, sf):
     return snap_into_zones(points, fx.zones(spark)).select("event_id", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
 
 
+# On the floor with a forbidden square, which lies well inside the east zone: the nearest valid point of
+# the west zone is its clamp; of the east zone the clamp, or the way out of the square grown by three.
+MOVED = RECORDING + """,
+p AS (SELECT event_id, x, y, greatest(200e0, least(900e0, x)) AS wx, greatest(200e0, least(1200e0, y)) AS wy, greatest(950e0, least(1800e0, x)) AS ex, greatest(200e0, least(1200e0, y)) AS ey, greatest(1300e0, least(1600e0, x)) AS vx, greatest(500e0, least(800e0, y)) AS vy FROM rc WHERE floor_seq = 1),
+q AS (SELECT *, sqrt((x - wx) * (x - wx) + (y - wy) * (y - wy)) AS west, sqrt((x - ex) * (x - ex) + (y - ey) * (y - ey)) AS east, sqrt((x - vx) * (x - vx) + (y - vy) * (y - vy)) AS near FROM p),
+r AS (SELECT event_id, least(west, CASE WHEN east > 0 OR near >= 3 THEN east WHEN near > 0 THEN 3 - near ELSE least(x - 1297, 1603 - x, y - 497, 803 - y) END) AS moved FROM q)"""
+
+
+@query(sql(MOVED, "SELECT event_id, round(moved, 4) AS moved, true AS valid FROM r"))
+def g4_snap_no_go_moved(spark, sf):
+    """How far points move on a floor with a forbidden zone, and that they end where they may be."""
+    from ..operators.snapping import snap_into_zones
+
+    points = fx.recording(spark, sf).filter("floor_seq = 1").select("event_id", "floor_seq", "x", "y", F.col("x").alias("x0"), F.col("y").alias("y0"))
+    out = snap_into_zones(points, fx.zones(spark)).join(zn.small(zn.prepared_zones(fx.zones(spark))), "floor_seq")
+    x, y = F.col("x"), F.col("y")
+    inside = F.exists("zones", lambda z: ~z["no_go"] & (g.distance(x, y, z["edges"]) <= 1e-6))
+    clear = F.forall("zones", lambda z: ~z["no_go"] | (g.distance(x, y, z["edges"]) >= 3 - 1e-6))
+    return out.select("event_id", F.round(F.sqrt((x - F.col("x0")) ** 2 + (y - F.col("y0")) ** 2), 4).alias("moved"), (inside & clear).alias("valid"))
+
+
 @query(sql(EDGES, "SELECT floor_seq, zone_seq, zone, round(abs(sum(ax * bz - bx * ay)) / 2, 6) AS area, min(ax) AS minx, min(ay) AS miny, max(ax) AS maxx, max(ay) AS maxy, round(0.05e0 * (max(ax) - min(ax) + max(ay) - min(ay)) / 2, 6) AS buffer FROM zed GROUP BY ALL"))
 def g1_zone_shapes(spark, sf):
     z = fx.zones(spark)

@@ -130,7 +130,10 @@ def s17_placed_slugs(spark, sf):
     return files.placed_slugs(_layout(spark))
 
 
-@query()
+S4_ROWS = ", ".join(f"({floor}, {seq}, '{name}', {drawn}, {no_go}, {len(ring.split(','))})" for floor, seq, name, ring, drawn, no_go in fx.ZONES)
+
+
+@query(sql(f"z AS (SELECT * FROM (VALUES {S4_ROWS}) AS t(floor_seq, zone_seq, zone, poly, no_go, vertices))", "SELECT * FROM z"))
 def s4_layout_zones(spark, sf):
     return files.zones(_layout(spark)).select("floor_seq", "zone_seq", "zone", "poly", "no_go", F.size("ring").alias("vertices"))
 
