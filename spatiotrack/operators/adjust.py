@@ -11,6 +11,7 @@ from dataclasses import replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -140,16 +141,18 @@ def _largest(rings: list[np.ndarray]) -> np.ndarray | None:
     return max(rings, key=lambda r: abs(rg.signed_area(r)), default=None)
 
 
-def adjust_group(originals: list[np.ndarray], s: Settings = DEFAULTS, straighten: bool = True, fixed: list[np.ndarray] = (), clamp: np.ndarray | None = None) -> tuple[list[np.ndarray], list[bool], list[str]]:
-    """Finished rings, whether each was squared, and a note for each ('' if none)."""
-    made = [square(r, s) if straighten else (r, False) for r in originals]
+def adjust_group(
+    originals: list[np.ndarray], s: Settings = DEFAULTS, straighten: bool = True, fixed: list[np.ndarray] = (), clamp: np.ndarray | None = None, made: list[tuple[np.ndarray, bool]] | None = None
+) -> tuple[list[np.ndarray], list[bool], list[str]]:
+    """Finished rings, whether each was squared, and a note for each ('' if none); ``made``: the squared rings, if they are known."""
+    made = made or [square(r, s) if straighten else (r, False) for r in originals]
     rings, squared = [m[0] for m in made], [m[1] for m in made]
     notes = [""] * len(originals)
     welded = weld([*rings, *fixed], [False] * len(rings) + [True] * len(fixed), s)[: len(rings)]
     area = lambda r: abs(rg.signed_area(r)) if len(r) >= 3 else 0.0
     for i, r in enumerate(welded):
         if area(r) < 0.5 * area(originals[i]):
-            welded[i], notes[i] = originals[i], "left unchanged (adjusting would distort it)"
+            welded[i], notes[i] = originals[i], "kept as drawn: over half of its area would be lost"
     done: list[np.ndarray] = []
     out = list(welded)
     for i in sorted(range(len(welded)), key=lambda i: -area(welded[i])):
@@ -168,7 +171,7 @@ def adjust_group(originals: list[np.ndarray], s: Settings = DEFAULTS, straighten
             if inner is not None and area(inner) > 1:
                 out[i] = rg.tidy(inner)
             else:
-                notes[i] = "falls outside of its parent"
+                notes[i] = "not inside its parent zone"
     return out, squared, notes
 
 
@@ -184,10 +187,34 @@ def _rows(group: pd.DataFrame, old: list[np.ndarray], new: list[np.ndarray], squ
     return pd.DataFrame({"floor_seq": group.floor_seq, "seq": group.seq, "name": group.name_, "squared": squared, "note": notes, "old": [points(r) for r in old], "ring": [points(r) for r in new]})
 
 
+SQUARED = "struct<axis_deg:double,fill:double,squared:boolean,ring:array<struct<x:double,y:double>>>"
+
+
+def squared_rings(zones: DataFrame, s: Settings = DEFAULTS, ring: str = "ring", to: str = "square") -> DataFrame:
+    """``zones`` with a struct: main axis (degrees from 0 to 90), share of the smallest rectangle that the ring fills, whether it was squared, the ring that results.
+
+    One ring a row, whatever floor it is on; null for a ring of fewer than three points.
+    """
+
+    def one(points) -> dict | None:
+        r = _array(points or [])
+        if len(r) < 3:
+            return None
+        axis, box = rg.smallest_rectangle(r)
+        out, did = square(r, s)
+        return {"axis_deg": float(np.degrees(axis) % 90), "fill": float(abs(rg.signed_area(r)) / box) if box else 0.0, "squared": did, "ring": [{"x": float(x), "y": float(y)} for x, y in out]}
+
+    kind = pa.struct([("axis_deg", pa.float64()), ("fill", pa.float64()), ("squared", pa.bool_()), ("ring", pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))])
+    made = F.arrow_udf(lambda rings: pa.array([one(r) for r in rings.to_pylist()], kind), SQUARED)
+    return zones.withColumn(to, made(F.col(ring)))
+
+
 def adjust_zones(zones: DataFrame, options: dict | None = None, straighten: bool = True) -> DataFrame:
     """Cleaned main zones: see RESULT; a ring of fewer than three points is passed through."""
     s = settings(options)
     z = clean_rings(zones).select("floor_seq", F.col("zone_seq").alias("seq"), F.col("zone").alias("name_"), "ring")
+    # Squaring a ring needs no other ring, so it is done row by row before floors are put together.
+    z = squared_rings(z, s) if straighten else z.withColumn("square", F.lit(None).cast(SQUARED))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("seq")
@@ -195,7 +222,8 @@ def adjust_zones(zones: DataFrame, options: dict | None = None, straighten: bool
         use = [i for i, r in enumerate(old) if len(r) >= 3]
         new, squared, notes = list(old), [False] * len(old), ["" if len(r) >= 3 else "skipped (invalid polygon)" for r in old]
         if use:
-            rings, did, said = adjust_group([old[i] for i in use], s, straighten)
+            made = [(_array(q["ring"]), q["squared"]) for q in group["square"].iloc[use]] if straighten else None
+            rings, did, said = adjust_group([old[i] for i in use], s, straighten, made=made)
             for k, i in enumerate(use):
                 new[i], squared[i], notes[i] = rings[k], did[k], said[k]
         return _rows(group, old, new, squared, notes)

@@ -82,6 +82,20 @@ def z1_clean_rings(spark, sf):
     return c.select("k", F.size("ring").alias("n"), third.alias("third_x"))
 
 
+# Rectangles turned by 5 to 84 degrees, and right triangles, which fill half of their rectangle.
+@query(sql("v AS (SELECT p_partkey AS k, 100 + p_partkey % 50 AS w, 60 + p_partkey % 30 AS h FROM part)", "SELECT k, CASE WHEN k % 7 <> 0 THEN CAST(k % 80 + 5 AS DOUBLE) END AS axis_deg, CASE WHEN k % 7 = 0 THEN 0.5e0 ELSE 1e0 END AS fill, k % 7 <> 0 AS squared, CAST(CASE WHEN k % 7 = 0 THEN 3 ELSE 4 END AS INTEGER) AS vertices, CASE WHEN k % 7 = 0 THEN w * h / 2e0 ELSE w * h * 1e0 END AS area FROM v"))
+def z6_squared_rooms(spark, sf):
+    k = F.col("k")
+    turn = F.radians(k % 80 + 5)
+    w, h = 100 + k % 50, 60 + k % 30
+    at = lambda x, y: F.struct((500 + x * F.cos(turn) - y * F.sin(turn)).alias("x"), (400 + x * F.sin(turn) + y * F.cos(turn)).alias("y"))
+    zero = F.lit(0.0)
+    ring = F.when(k % 7 == 0, F.array(at(zero, zero), at(w, zero), at(zero, h))).otherwise(F.array(at(zero, zero), at(w, zero), at(w, h), at(zero, h)))
+    z = ad.squared_rings(fx.table(spark, sf, "part").select(F.col("p_partkey").alias("k")).withColumn("ring", ring))
+    q = F.col("square")
+    return z.select("k", F.when(k % 7 != 0, F.round(q["axis_deg"], 3)).alias("axis_deg"), F.round(q["fill"], 4).alias("fill"), q["squared"].alias("squared"), F.size(q["ring"]).alias("vertices"), F.round(g.area(q["ring"]), 2).alias("area"))
+
+
 @query()
 def z11_adjust_zones(spark, sf):
     r = ad.change_report(ad.adjust_zones(_rooms(spark, sf)))
