@@ -95,8 +95,8 @@ def as_array(x: pa.Array | pa.ChunkedArray) -> pa.Array:
     return pa.concat_arrays(x.chunks) if isinstance(x, pa.ChunkedArray) else x
 
 
-def text_slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, offsets) of runs of rows with about ``limit`` bytes; null is empty.
+def text_slices(texts: pa.Array, limit: int = SLICE_BYTES, most: int = 1 << 30) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, bytes, offsets) of runs of ``most`` rows or about ``limit`` bytes; null is empty.
 
     A row is never cut: a longer text makes a slice of its own.
     """
@@ -111,7 +111,7 @@ def text_slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int
     a = 0
     while a < n:
         b = int(np.searchsorted(offsets, offsets[a] + limit, "right")) - 1
-        b = min(max(b, a + 1), n)
+        b = min(max(b, a + 1), a + most, n)
         yield a, b, raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
         a = b
 

@@ -49,6 +49,8 @@ ROWS = 7
 BANDS = 30
 #: Expected number of empty registers of a text at its first horizon: exp(-SLACK).
 SLACK = 4.0
+#: Texts that are signed together: each has some thousand points, however short it is.
+SIGNED_TEXTS = 256
 #: Rounds of neighbour pairs before the exact last step, which finds whatever they leave.
 TURNS = 1
 #: Members of a bucket that are put into one random order; a larger bucket is split at random into parts of this size.
@@ -160,7 +162,7 @@ def band_values(sig: np.ndarray, rows: int, bands: int) -> np.ndarray:
 def _band_udf(rows: int, bands: int):
     def make(texts: pa.Array) -> pa.Array:
         out, sizes = [np.zeros(0, np.int64)], [0]
-        for _, _, raw, offsets in text_slices(texts, 1 << 20):
+        for _, _, raw, offsets in text_slices(texts, 1 << 20, SIGNED_TEXTS):
             sig = signatures(raw, offsets, rows * bands)
             some = (sig != 0).any(axis=1)
             out.append(band_values(sig[some], rows, bands).ravel())
