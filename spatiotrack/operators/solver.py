@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-STEPS = 60
+STEPS = 300
 
 
 def trilaterate(x: np.ndarray, y: np.ndarray, r: np.ndarray, w: np.ndarray, lower: np.ndarray, upper: np.ndarray, min_radius: np.ndarray) -> np.ndarray:
@@ -26,10 +26,11 @@ def trilaterate(x: np.ndarray, y: np.ndarray, r: np.ndarray, w: np.ndarray, lowe
     p = np.clip(p, lower, upper)
 
     def cost(q: np.ndarray) -> np.ndarray:
+        """Of the problems that are left: the arrays shrink below."""
         return (weight * (np.hypot(x - q[:, :1], y - q[:, 1:]) - r) ** 2).sum(axis=1)
 
-    damping = np.full(len(p), 1e-3)
-    now = cost(p)
+    out, left = p.copy(), np.arange(len(p))
+    damping, now = np.full(len(p), 1e-3), cost(p)
     for _ in range(STEPS):
         dx, dy = p[:, :1] - x, p[:, 1:] - y
         d = np.maximum(np.hypot(dx, dy), 1e-12)
@@ -52,9 +53,16 @@ def trilaterate(x: np.ndarray, y: np.ndarray, r: np.ndarray, w: np.ndarray, lowe
         p = np.where(better[:, None], trial, p)
         now = np.where(better, then, now)
         damping = np.where(better, np.maximum(damping / 5, 1e-12), np.minimum(damping * 6, 1e8))
-        if not ((moved > 1e-9) & ((damping < 1e8) | better)).any():
-            break
-    return p
+        going = (moved > 1e-10) & ((damping < 1e8) | better)
+        # Problems that have settled are put aside; a few slow ones do not keep all of them busy.
+        if not going.all():
+            out[left[~going]] = p[~going]
+            if not going.any():
+                return out
+            left, p, now, damping, lower, upper = left[going], p[going], now[going], damping[going], lower[going], upper[going]
+            x, y, r, weight = x[going], y[going], r[going], weight[going]
+    out[left] = p
+    return out
 
 
 _ARRAYS = ("__x", "__y", "__r", "__w")

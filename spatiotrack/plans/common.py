@@ -111,7 +111,7 @@ def sql(ctes: str, select: str, recursive: bool = False) -> str:
     return f"WITH {'RECURSIVE ' if recursive else ''}{ctes.strip()}\n{select.strip()}"
 
 
-def solved(problems: str, name: str = "so", steps: int = 60) -> str:
+def solved(problems: str, name: str = "so", steps: int = 300) -> str:
     """CTE: the bounded weighted fix of each row of ``problems``, by damped Gauss-Newton steps written out for four receivers.
 
     problems: id, r0..r3 and w0..w3 (null where a receiver is missing), sx, sy (start), x0, y0, x1, y1

@@ -381,10 +381,10 @@ dead AS (SELECT DISTINCT id FROM pz WHERE no_go AND odd AND d > 1e-9)"""
 )
 
 
-@query(sql(FIXES, "SELECT device, tick, floor_seq, round(fx, 3) AS fx, round(fy, 3) AS fy, round(rms_m, 4) AS rms_m, round((0.5e0 * least(1e0, n / 5e0) + 0.5e0 / (1 + (rms_m / 2e0) * (rms_m / 2e0))) * (CASE WHEN id IN (SELECT id FROM dead) THEN 0.15e0 ELSE 1e0 END), 4) AS conf FROM fs", recursive=True))
+@query(sql(FIXES, "SELECT device, tick, floor_seq, round(fx, 1) AS fx, round(fy, 1) AS fy, round(rms_m, 4) AS rms_m, round((0.5e0 * least(1e0, n / 5e0) + 0.5e0 / (1 + (rms_m / 2e0) * (rms_m / 2e0))) * (CASE WHEN id IN (SELECT id FROM dead) THEN 0.15e0 ELSE 1e0 END), 4) AS conf FROM fs", recursive=True))
 def m1_trilaterate(spark, sf):
     h = tk.hypotheses(_readings(spark, sf), fx.zones(spark))
-    return h.select("device", "tick", "floor_seq", F.round("fx", 3).alias("fx"), F.round("fy", 3).alias("fy"), F.round("rms_m", 4).alias("rms_m"), F.round("conf", 4).alias("conf"))
+    return h.select("device", "tick", "floor_seq", F.round("fx", 1).alias("fx"), F.round("fy", 1).alias("fy"), F.round("rms_m", 4).alias("rms_m"), F.round("conf", 4).alias("conf"))
 
 
 PUBLISHED = FIXES + """,
