@@ -32,6 +32,8 @@ BUCKET_BYTES = 8 << 20
 #: Buckets are dealt over as many partitions, or one each where there are fewer.
 PARTITIONS = 10_000
 REPEATS = 1000
+#: Buckets whose first slots are broadcast.
+MOST_OFFSETS = 1_000_000
 RESERVED = ("shard", "slot", "grown_shard", "__identity", "__copy", "__bucket", "__part")
 
 
@@ -80,6 +82,8 @@ def shard_documents(df: DataFrame, shards: int = 16, seed: int = 17, key: str =
     counts = placed.groupBy("shard", "__bucket").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy("shard").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__from"))
+    # One row of two longs a bucket, and the number of buckets is known; beyond, records are shuffled to meet them.
+    offsets = F.broadcast(offsets) if first <= MOST_OFFSETS else offsets
 
     record = F.struct("__identity", *[F.col(c) for c in cols])
     dealt = placed.withColumn("__part", (F.col("__bucket") % partitions).cast("int")).repartitionById(partitions, F.col("__part"))
