@@ -82,3 +82,17 @@ class PieceCache:
         for a in range(0, len(texts), 256):
             for t in texts[a : a + 256].to_pylist():
                 yield t or ""
+
+
+def blocks(text: str | bytes, space: str | bytes, limit: int) -> Iterator[str | bytes]:
+    """Parts of a text of about ``limit`` characters, cut at spaces, which are left out; a longer word is never cut."""
+    a = 0
+    while len(text) - a > limit:
+        b = text.rfind(space, a, a + limit)
+        if b <= a:
+            b = text.find(space, a + limit)
+            if b < 0:
+                break
+        yield text[a:b]
+        a = b + 1
+    yield text[a:] if a else text
