@@ -1,8 +1,11 @@
 """Clean-up of hand-drawn zones: square boxy rooms, weld shared walls, remove overlaps, clamp sub-zones.
 
-Floors (and parents of sub-zones) are independent, so Spark deals out one group each; a group is one
-floor plan, a few dozen rings, as the clean-up of a ring depends on its neighbours'. Clusters of coordinates and the change report are also offered as
-column expressions.
+No step puts a floor together. Squaring looks at one ring a row. Corners meet corners and walls by
+joins on grid cells; clusters of corners grow in rounds in which mutually nearest ones merge, which
+gives what taking all pairs from the nearest on would give. Overlaps are found by joins of boxes on
+cells of their own size, and are cut off in rounds: a ring's turn comes when all larger rings that
+overlap it are final, and a row of the cutting step holds one ring and those. The number of rounds
+is the length of the longest chain of corners, or of overlapping rings, not the number of rings.
 """
 
 from __future__ import annotations
@@ -10,7 +13,6 @@ from __future__ import annotations
 from dataclasses import replace
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,6 +20,7 @@ from pyspark.sql import functions as F
 from ..constants import DEFAULTS, Settings
 from ..functions import geometry as g
 from ..functions import rings as rg
+from ..sources.files import WorkTables
 
 
 def settings(options: dict | None, s: Settings = DEFAULTS) -> Settings:
@@ -79,114 +82,10 @@ def square(r: np.ndarray, s: Settings = DEFAULTS) -> tuple[np.ndarray, bool]:
     return out, True
 
 
-def weld(rings: list[np.ndarray], fixed: list[bool], s: Settings = DEFAULTS) -> list[np.ndarray]:
-    """Rings whose near vertices meet and whose vertices lie on near walls; fixed rings attract and stay."""
-    tol = s.tolerance_px
-    owner = np.concatenate([np.full(len(r), i) for i, r in enumerate(rings)])
-    start = np.cumsum([0] + [len(r) for r in rings])
-    p = np.concatenate(rings)
-    # Pairs of vertices that are near in x, from a sweep; only those are measured.
-    by_x = np.argsort(p[:, 0], kind="stable")
-    last = np.searchsorted(p[by_x, 0], p[by_x, 0] + tol, "right")
-    many = last - np.arange(len(p)) - 1
-    i = np.repeat(np.arange(len(p)), many)
-    j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many)
-    a, b = by_x[i], by_x[j]
-    a, b = np.where(owner[a] < owner[b], a, b), np.where(owner[a] < owner[b], b, a)
-    gap = np.hypot(*(p[a] - p[b]).T)
-    near = (gap <= tol) & (owner[a] != owner[b])
-    a, b, gap = a[near], b[near], gap[near]
-    group = np.arange(len(p))
-    members = {i: [i] for i in range(len(p))}
-    # Nearest pairs first; a corner never holds two vertices of one ring.
-    for k in np.lexsort((b, a, gap)):
-        x, y = group[a[k]], group[b[k]]
-        if x == y or set(owner[members[x]]) & set(owner[members[y]]):
-            continue
-        members[x] += members.pop(y)
-        group[members[x]] = x
-    to = p.copy()
-    held = np.array(fixed)[owner]
-    for m in members.values():
-        if len(m) < 2:
-            continue
-        m = np.array(sorted(m))
-        at = p[m[held[m]][0]] if held[m].any() else p[m].mean(axis=0)
-        to[m[~held[m]]] = at
-    ends = np.concatenate([np.roll(r, -1, axis=0) for r in rings])
-    d = ends - p
-    size = np.maximum(np.hypot(d[:, 0], d[:, 1]), 1e-300)
-    inserts: dict[int, list] = {}
-    for i in np.flatnonzero(~held & (to == p).all(axis=1)):
-        along = ((p[i] - p) * d).sum(axis=1) / size
-        foot = p + (np.clip(along, 0, size) / size)[:, None] * d
-        off = np.hypot(*(p[i] - foot).T)
-        off[(owner == owner[i]) | (off > tol) | (along <= tol) | (along >= size - tol)] = np.inf
-        k = int(off.argmin())
-        if np.isfinite(off[k]):
-            to[i] = foot[k]
-            if not held[k]:
-                inserts.setdefault(k, []).append(foot[k])
-    out = []
-    for j in range(len(rings)):
-        walk = []
-        for k in range(start[j], start[j + 1]):
-            walk.append(to[k])
-            walk += sorted(inserts.get(k, []), key=lambda q, o=to[k]: float(np.hypot(*(q - o))))
-        out.append(dedupe(np.array(walk), s.min_edge_px))
-    return out
-
-
-def _largest(rings: list[np.ndarray]) -> np.ndarray | None:
-    return max(rings, key=lambda r: abs(rg.signed_area(r)), default=None)
-
-
-def adjust_group(
-    originals: list[np.ndarray], s: Settings = DEFAULTS, straighten: bool = True, fixed: list[np.ndarray] = (), clamp: np.ndarray | None = None, made: list[tuple[np.ndarray, bool]] | None = None
-) -> tuple[list[np.ndarray], list[bool], list[str]]:
-    """Finished rings, whether each was squared, and a note for each ('' if none); ``made``: the squared rings, if they are known."""
-    made = made or [square(r, s) if straighten else (r, False) for r in originals]
-    rings, squared = [m[0] for m in made], [m[1] for m in made]
-    notes = [""] * len(originals)
-    welded = weld([*rings, *fixed], [False] * len(rings) + [True] * len(fixed), s)[: len(rings)]
-    area = lambda r: abs(rg.signed_area(r)) if len(r) >= 3 else 0.0
-    for i, r in enumerate(welded):
-        if area(r) < 0.5 * area(originals[i]):
-            welded[i], notes[i] = originals[i], "kept as drawn: over half of its area would be lost"
-    done: list[np.ndarray] = []
-    out = list(welded)
-    for i in sorted(range(len(welded)), key=lambda i: -area(welded[i])):
-        parts = [rg.turned(welded[i])]
-        for other in done:
-            parts = [q for part in parts for q in rg.clip(part, other, keep_inside=False)]
-        left = _largest(parts)
-        if left is not None and len(left) >= 3:
-            out[i] = rg.tidy(left) if len(parts) != 1 or not np.array_equal(left, rg.turned(welded[i])) else welded[i]
-            done.append(rg.turned(out[i]))
-    if clamp is not None:
-        for i, r in enumerate(out):
-            if (rg.inside(r, clamp) | (rg.boundary_distance(r, clamp) < rg.EPS)).all():
-                continue
-            inner = _largest(rg.clip(r, clamp, keep_inside=True))
-            if inner is not None and area(inner) > 1:
-                out[i] = rg.tidy(inner)
-            else:
-                notes[i] = "not inside its parent zone"
-    return out, squared, notes
-
-
-RESULT = "floor_seq int, seq int, name string, squared boolean, note string, old array<struct<x:double,y:double>>, ring array<struct<x:double,y:double>>"
-
-
 def _array(ring) -> np.ndarray:
     return np.array([[q["x"], q["y"]] for q in ring], float).reshape(-1, 2)
 
 
-def _rows(group: pd.DataFrame, old: list[np.ndarray], new: list[np.ndarray], squared: list[bool], notes: list[str]) -> pd.DataFrame:
-    points = lambda r: [{"x": round(float(x), 3), "y": round(float(y), 3)} for x, y in r]
-    return pd.DataFrame({"floor_seq": group.floor_seq, "seq": group.seq, "name": group.name_, "squared": squared, "note": notes, "old": [points(r) for r in old], "ring": [points(r) for r in new]})
-
-
 SQUARED = "struct<axis_deg:double,fill:double,squared:boolean,ring:array<struct<x:double,y:double>>>"
 
 
@@ -209,44 +108,278 @@ def squared_rings(zones: DataFrame, s: Settings = DEFAULTS, ring: str = "ring",
     return zones.withColumn(to, made(F.col(ring)))
 
 
+
+POINTS = "array<struct<x:double,y:double>>"
+_POINTS = pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))
+
+#: A fixed ring's number, after those of all movable ones.
+FIXED = 1 << 30
+#: Side of the cells that walls are entered in, in tolerances.
+CELL = 4
+
+
+def _points(r: np.ndarray | None) -> list[dict] | None:
+    return None if r is None else [{"x": float(x), "y": float(y)} for x, y in r]
+
+
+def ring_map(fn, kind: str = POINTS, arrow: pa.DataType = _POINTS):
+    """Column function that calls ``fn`` with the rings of one row."""
+    return F.arrow_udf(lambda *columns: pa.array([fn(*row) for row in zip(*[c.to_pylist() for c in columns], strict=True)], arrow), kind)
+
+
+def _corner(ring: str = "seq", vertex: str = "vertex"):
+    return F.shiftleft(F.col(ring).cast("long"), 32) + F.col(vertex)
+
+
+def corner_clusters(rings: DataFrame, work: WorkTables, s: Settings = DEFAULTS) -> DataFrame:
+    """Corners (grp, seq, vertex, v, x, y, fixed) of ``rings`` (grp, seq, fixed, ring) with the cluster they are in.
+
+    Pairs of corners of different rings within the tolerance merge from the nearest pair on, unless a
+    ring would have two corners in one cluster. A pair that is the first one left of both its clusters
+    has none before it that could change either, so all such pairs merge at once, round by round; pairs
+    that conflict never cease to and go. Corners at the very same place merge without any pair.
+    """
+    v = rings.select("grp", "seq", "fixed", F.posexplode("ring").alias("vertex", "p")).select("grp", "seq", "vertex", _corner().alias("v"), "p.x", "p.y", "fixed")
+    turn = v.withColumn("__k", F.row_number().over(Window.partitionBy("grp", "x", "y", "seq").orderBy("vertex")))
+    v = work.keep(turn.withColumn("c", F.min("v").over(Window.partitionBy("grp", "x", "y", "__k"))).drop("__k"), "corners")
+
+    places = v.filter("v = c").select("grp", "c", "x", "y")
+    pairs = near_pairs(places, s.tolerance_px).select("grp", "d", F.col("ca").alias("a"), F.col("cb").alias("b"), "ca", "cb")
+    pairs = work.keep(pairs, "corner-pairs")
+    ends = pairs.select("grp", F.explode(F.array("ca", "cb")).alias("c")).distinct()
+    rest, held = v.join(ends, ["grp", "c"], "left_anti"), work.keep(v.join(ends, ["grp", "c"], "left_semi"), "corners-near")
+    rest = work.keep(rest, "corners-apart")
+    while not pairs.isEmpty():
+        rings_of = held.select("grp", "c", "seq")
+        shared = pairs.select("grp", "a", "b", "ca", "cb").join(rings_of.withColumnRenamed("c", "ca"), ["grp", "ca"]).join(rings_of.withColumnRenamed("c", "cb"), ["grp", "cb", "seq"], "left_semi")
+        left = work.keep(pairs.join(shared.select("grp", "a", "b").distinct(), ["grp", "a", "b"], "left_anti"), "corner-pairs")
+        first = left.select("grp", F.explode(F.array("ca", "cb")).alias("c"), F.struct("d", "a", "b", "ca", "cb").alias("e")).groupBy("grp", "c").agg(F.min("e").alias("e"))
+        chosen = first.groupBy("grp", "e").count().filter("count = 2")
+        merged = work.keep(chosen.select("grp", F.greatest("e.ca", "e.cb").alias("old"), F.least("e.ca", "e.cb").alias("new")), "corner-merges")
+
+        def renamed(df: DataFrame, column: str, merged: DataFrame = merged) -> DataFrame:
+            to = merged.select("grp", F.col("old").alias(column), F.col("new").alias("__new"))
+            return df.join(to, ["grp", column], "left").withColumn(column, F.coalesce("__new", column)).drop("__new")
+
+        after = work.keep(renamed(renamed(left, "ca"), "cb").filter("ca <> cb"), "corner-pairs")
+        now = work.keep(renamed(held, "c"), "corners-near")
+        work.drop(pairs, left, held, merged)
+        pairs, held = after, now
+    return rest.unionByName(held)
+
+
+def near_pairs(places: DataFrame, tolerance: float) -> DataFrame:
+    """Pairs of different places (grp, c, x, y) within the tolerance: grp, d, ca < cb.
+
+    An equi-join on grid cells of the tolerance's size, each place in its own and the eight around it.
+    """
+    cell = lambda c: F.floor(F.col(c) / tolerance)
+    near = F.array(*[F.struct((cell("x") + i).alias("cx"), (cell("y") + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    a = places.select("grp", F.col("c").alias("ca"), F.col("x").alias("ax"), F.col("y").alias("ay"), cell("x").alias("cx"), cell("y").alias("cy"))
+    b = places.select("grp", F.col("c").alias("cb"), F.col("x").alias("bx"), F.col("y").alias("by"), F.inline(near))
+    dx, dy = F.col("ax") - F.col("bx"), F.col("ay") - F.col("by")
+    found = a.join(b, ["grp", "cx", "cy"]).filter("ca < cb").withColumn("d", F.sqrt(dx * dx + dy * dy))
+    return found.filter((F.col("d") <= tolerance) & ((dx != 0) | (dy != 0))).select("grp", "d", "ca", "cb")
+
+
+def welded_corners(clusters: DataFrame) -> DataFrame:
+    """``clusters`` with to_x, to_y: a cluster's first fixed corner, else its mean; fixed corners stay."""
+    whole = Window.partitionBy("grp", "c").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    wall = F.min(F.when(F.col("fixed"), F.struct("v", "x", "y"))).over(whole)
+    many = F.count("*").over(whole) > 1
+    at = lambda c: F.when(~F.col("fixed") & many, F.coalesce(F.col("__wall")[c], F.avg(c).over(whole))).otherwise(F.col(c)).alias(f"to_{c}")
+    return clusters.withColumn("__wall", wall).select("*", at("x"), at("y")).drop("__wall")
+
+
+def walls_near(corners: DataFrame, rings: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
+    """Each of ``corners`` (grp, seq, v, x, y) that lies near the inside of another ring's wall: the nearest such wall.
+
+    Result: grp, seq, v, d, wall_seq, wall (the vertex at which it starts), wall_fixed, x, y (the foot). Walls are
+    entered in all cells that a point within the tolerance of them may be in, a corner is in one cell.
+    """
+    tol, cell = s.tolerance_px, s.tolerance_px * CELL
+    e = rings.select("grp", F.col("seq").alias("wall_seq"), F.col("fixed").alias("wall_fixed"), F.posexplode(g.edges(F.col("ring"))).alias("wall", "e")).select("grp", "wall_seq", "wall_fixed", "wall", "e.*")
+    low, high = F.least("ax", "bx"), F.greatest("ax", "bx")
+    e = e.withColumn("cx", F.explode(F.sequence(F.floor((low - tol) / cell), F.floor((high + tol) / cell))))
+    # The stretch of the wall that points of this column of cells may be near to.
+    slope = F.when(F.col("bx") != F.col("ax"), (F.col("by") - F.col("ay")) / (F.col("bx") - F.col("ax")))
+    y_at = lambda x: F.col("ay") + slope * (x - F.col("ax"))
+    y1 = F.coalesce(y_at(F.greatest(low, F.col("cx") * cell - tol)), F.col("ay"))
+    y2 = F.coalesce(y_at(F.least(high, (F.col("cx") + 1) * cell + tol)), F.col("by"))
+    e = e.withColumn("cy", F.explode(F.sequence(F.floor((F.least(y1, y2) - tol) / cell - 1e-9), F.floor((F.greatest(y1, y2) + tol) / cell + 1e-9))))
+    p = corners.select("grp", "seq", "v", "x", "y", F.floor(F.col("x") / cell).alias("cx"), F.floor(F.col("y") / cell).alias("cy"))
+    j = p.join(e, ["grp", "cx", "cy"]).filter("seq <> wall_seq")
+    dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
+    j = j.withColumn("size", F.greatest(F.sqrt(dx * dx + dy * dy), F.lit(1e-300)))
+    j = j.withColumn("along", ((F.col("x") - F.col("ax")) * dx + (F.col("y") - F.col("ay")) * dy) / F.col("size"))
+    j = j.filter((F.col("along") > tol) & (F.col("along") < F.col("size") - tol))
+    j = j.withColumn("fx", F.col("ax") + F.col("along") / F.col("size") * dx).withColumn("fy", F.col("ay") + F.col("along") / F.col("size") * dy)
+    gx, gy = F.col("x") - F.col("fx"), F.col("y") - F.col("fy")
+    j = j.withColumn("d", F.sqrt(gx * gx + gy * gy)).filter(F.col("d") <= tol)
+    best = j.groupBy("grp", "seq", "v").agg(F.min(F.struct("d", "wall_seq", "wall", "wall_fixed", F.col("fx").alias("x"), F.col("fy").alias("y"))).alias("b"))
+    return best.select("grp", "seq", "v", "b.*")
+
+
+def weld(rings: DataFrame, work: WorkTables, s: Settings = DEFAULTS) -> DataFrame:
+    """grp, seq, welded: movable rings of ``rings`` (grp, seq, fixed, ring) whose near corners meet, and whose other corners lie on near walls.
+
+    Fixed rings attract and stay, and get no corner.
+    """
+    to = work.keep(welded_corners(corner_clusters(rings, work, s)), "corners-welded")
+    still = to.filter("not fixed and to_x = x and to_y = y")
+    feet = work.keep(walls_near(still, rings, s), "corners-on-walls")
+    own = feet.select("grp", "v", F.col("x").alias("__fx"), F.col("y").alias("__fy"))
+    moved = to.join(own, ["grp", "v"], "left").withColumn("to_x", F.coalesce("__fx", "to_x")).withColumn("to_y", F.coalesce("__fy", "to_y"))
+    corners = moved.filter("not fixed").select("grp", "seq", F.col("vertex").alias("k"), F.lit(0.0).alias("along"), F.lit(-1).cast("long").alias("v"), F.struct(F.col("to_x").alias("x"), F.col("to_y").alias("y")).alias("p"))
+    start = moved.filter("not fixed").select("grp", F.col("seq").alias("wall_seq"), F.col("vertex").alias("wall"), "to_x", "to_y")
+    gx, gy = F.col("x") - F.col("to_x"), F.col("y") - F.col("to_y")
+    added = feet.filter("not wall_fixed").join(start, ["grp", "wall_seq", "wall"]).select("grp", F.col("wall_seq").alias("seq"), F.col("wall").alias("k"), F.sqrt(gx * gx + gy * gy).alias("along"), "v", F.struct("x", "y").alias("p"))
+    walk = F.transform(F.sort_array(F.collect_list(F.struct("k", "along", "v", "p"))), lambda w: w["p"])
+    thin = ring_map(lambda r: _points(dedupe(_array(r), s.min_edge_px)))
+    return corners.unionByName(added).groupBy("grp", "seq").agg(walk.alias("welded")).withColumn("welded", thin("welded"))
+
+
+def _largest(rings: list[np.ndarray]) -> np.ndarray | None:
+    return max(rings, key=lambda r: abs(rg.signed_area(r)), default=None)
+
+
+def overlap_area(a: list, b: list) -> float:
+    return float(sum(rg.signed_area(r) for r in rg.clip(_array(a), _array(b), keep_inside=True)))
+
+
+def overlaps(shapes: DataFrame, least: float = rg.EPS) -> DataFrame:
+    """grp, seq, larger: pairs of rings (grp, seq, place, ring) of which more than ``least`` is common, the one with the higher place first.
+
+    A box is entered in the cells, at most four, of a grid as coarse as itself, and looked for in the same
+    way in all coarser grids of its floor; a pair counts in the cell where its common box begins.
+    """
+    box = g.bounds(F.col("ring"))
+    b = shapes.select("grp", "seq", "place", "ring", box.alias("b")).select("grp", "seq", "place", "ring", "b.*")
+    side = F.greatest(F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny"), F.lit(1.0))
+    b = b.withColumn("level", F.ceil(F.log2(side)).cast("int"))
+    tops = b.groupBy("grp").agg(F.max("level").alias("__top"))
+
+    def cells(df: DataFrame, level: str) -> DataFrame:
+        size = F.pow(F.lit(2.0), F.col(level))
+        steps = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / size), F.floor(F.col(hi) / size)))
+        return df.withColumn("cx", steps("minx", "maxx")).withColumn("cy", steps("miny", "maxy"))
+
+    names = ["place", "seq", "ring", "minx", "miny", "maxx", "maxy", "level"]
+    own = cells(b, "level").select("grp", "cx", "cy", F.col("level").alias("at"), *[F.col(c).alias(f"o_{c}") for c in names])
+    seek = cells(b.join(tops, "grp").withColumn("at", F.explode(F.sequence("level", "__top"))), "at").select("grp", "cx", "cy", "at", *names)
+    # Of rings of one level, each pair is met from both sides: once is enough.
+    j = own.join(seek, ["grp", "at", "cx", "cy"]).filter("o_level > level or o_place < place")
+    x, y, size = F.greatest("minx", "o_minx"), F.greatest("miny", "o_miny"), F.pow(F.lit(2.0), F.col("at"))
+    j = j.filter((x < F.least("maxx", "o_maxx")) & (y < F.least("maxy", "o_maxy")) & (F.floor(x / size) == F.col("cx")) & (F.floor(y / size) == F.col("cy")))
+    common = ring_map(overlap_area, "double", pa.float64())
+    j = j.filter(common("ring", "o_ring") > least)
+    first = F.col("place") < F.col("o_place")
+    return j.select("grp", F.when(first, F.col("o_seq")).otherwise(F.col("seq")).alias("seq"), F.when(first, F.col("seq")).otherwise(F.col("o_seq")).alias("larger"))
+
+
+def _cut(ring: list, others: list) -> list | None:
+    """The largest part of a ring without the others; null if nothing is left."""
+    parts = [rg.turned(_array(ring))]
+    for other in others or []:
+        parts = [q for part in parts for q in rg.clip(part, _array(other["ring"]), keep_inside=False)]
+    left = _largest(parts)
+    return None if left is None or len(left) < 3 else _points(rg.tidy(left))
+
+
+def without_overlaps(shapes: DataFrame, work: WorkTables) -> DataFrame:
+    """grp, seq, ring: rings (grp, seq, ring) less what larger ones (of equals: earlier ones) hold; none is dropped.
+
+    A ring of which nothing would be left stays as it is and takes nothing from others, and so does the
+    copy of an earlier ring.
+    """
+    area = g.area(F.col("ring"))
+    shapes = shapes.withColumn("__area", area)
+    # The place in the order, as one number that compares like (area descending, seq).
+    place = F.struct((-F.col("__area")).alias("a"), F.col("seq").alias("s"))
+    same = F.row_number().over(Window.partitionBy("grp", "ring").orderBy("seq"))
+    shapes = work.keep(shapes.select("grp", "seq", "ring", place.alias("place"), same.alias("__copy")), "rings-welded")
+    first = shapes.filter("__copy = 1 and size(ring) >= 3")
+    pairs = work.keep(overlaps(first), "ring-overlaps")
+    pending = first.join(pairs.select("grp", "seq").distinct(), ["grp", "seq"], "left_semi").select("grp", "seq", "place", "ring")
+    free = first.join(pairs.select("grp", "seq").distinct(), ["grp", "seq"], "left_anti").select("grp", "seq", "place", "ring", F.lit(True).alias("cuts"))
+    final = work.keep(free, "rings-final")
+    pending = work.keep(pending, "rings-pending")
+    while not pending.isEmpty():
+        waits = pairs.join(pending.select("grp", F.col("seq").alias("larger")), ["grp", "larger"], "left_semi").select("grp", "seq").distinct()
+        ready = pending.join(waits, ["grp", "seq"], "left_anti")
+        holders = final.filter("cuts").select("grp", F.col("seq").alias("larger"), F.col("place").alias("__place"), F.col("ring").alias("__ring"))
+        taken = pairs.join(holders, ["grp", "larger"]).groupBy("grp", "seq").agg(F.sort_array(F.collect_list(F.struct(F.col("__place").alias("place"), F.col("__ring").alias("ring")))).alias("others"))
+        cut = ready.join(taken, ["grp", "seq"], "left").withColumn("left", ring_map(_cut)("ring", "others"))
+        done = work.keep(cut.select("grp", "seq", "place", F.coalesce("left", "ring").alias("ring"), F.col("left").isNotNull().alias("cuts")), "rings-final")
+        after = work.keep(pending.join(done, ["grp", "seq"], "left_anti"), "rings-pending")
+        work.drop(pending)
+        final, pending = final.unionByName(done), after
+    rest = shapes.filter("__copy > 1 or size(ring) < 3").select("grp", "seq", "ring")
+    return final.select("grp", "seq", "ring").unionByName(rest)
+
+
+def _clamped(ring: list, clamp: list | None) -> dict:
+    """A ring's largest part inside ``clamp``, and whether there is one of more than a square pixel."""
+    r = _array(ring)
+    if clamp is None or len(clamp) < 3 or len(r) < 3:
+        return {"ring": ring, "ok": True}
+    wall = rg.turned(_array(clamp))
+    if (rg.inside(r, wall) | (rg.boundary_distance(r, wall) < rg.EPS)).all():
+        return {"ring": ring, "ok": True}
+    inner = _largest(rg.clip(r, wall, keep_inside=True))
+    if inner is None or abs(rg.signed_area(inner)) <= 1:
+        return {"ring": ring, "ok": False}
+    return {"ring": _points(rg.tidy(inner)), "ok": True}
+
+
+def _adjusted(rows: DataFrame, straighten: bool, s: Settings, walls: DataFrame | None = None) -> DataFrame:
+    """RESULT of ``rows`` (grp, floor_seq, seq, name, ring); ``walls`` (grp, wall): a fixed ring of each group that also clamps."""
+    work = WorkTables()
+    z = squared_rings(rows, s) if straighten else rows.withColumn("square", F.lit(None).cast(SQUARED))
+    z = work.keep(z.withColumn("squared", F.coalesce(F.col("square.squared"), F.lit(False))).withColumn("made", F.coalesce(F.col("square.ring"), F.col("ring"))).drop("square"), "rings-squared")
+    usable = z.filter(F.size("ring") >= 3)
+    rings = usable.select("grp", "seq", F.lit(False).alias("fixed"), F.col("made").alias("ring"))
+    if walls is not None:
+        rings = rings.unionByName(walls.select("grp", F.lit(FIXED).alias("seq"), F.lit(True).alias("fixed"), F.col("wall").alias("ring")))
+    half = usable.select("grp", "seq", "ring").join(weld(rings, work, s), ["grp", "seq"])
+    keeps = F.coalesce((F.size("welded") >= 3) & (g.area(F.col("welded")) >= 0.5 * g.area(F.col("ring"))), F.lit(False))
+    # Written once before it is used twice: higher-order functions that a plan holds twice were seen to disagree.
+    half = work.keep(half.withColumn("kept", keeps), "rings-half")
+    done = without_overlaps(half.select("grp", "seq", F.when(F.col("kept"), F.col("welded")).otherwise(F.col("ring")).alias("ring")), work)
+    note = F.when(~F.col("kept"), "kept as drawn: over half of its area would be lost").otherwise("")
+    done = done.join(half.select("grp", "seq", "kept"), ["grp", "seq"]).withColumn("note", note)
+    if walls is not None:
+        clamp = ring_map(_clamped, f"struct<ring:{POINTS},ok:boolean>", pa.struct([("ring", _POINTS), ("ok", pa.bool_())]))
+        done = done.join(walls.select("grp", "wall"), "grp", "left").withColumn("clamp", clamp("ring", "wall"))
+        done = done.withColumn("ring", F.col("clamp.ring")).withColumn("note", F.when(F.col("clamp.ok"), F.col("note")).otherwise("not inside its parent zone"))
+    done = work.keep(done.select("grp", "seq", F.col("ring").alias("new"), "note"), "rings-adjusted")
+    work.keep_only(z, done)
+    tidy = lambda c: F.transform(c, lambda p: F.struct(F.round(p["x"], 3).alias("x"), F.round(p["y"], 3).alias("y")))
+    out = z.join(done, ["grp", "seq"], "left")
+    skipped = F.when(F.size("ring") < 3, "skipped (invalid polygon)").otherwise("")
+    return out.select("floor_seq", "seq", "name", "squared", F.coalesce("note", skipped).alias("note"), tidy(F.col("ring")).alias("old"), tidy(F.coalesce("new", "ring")).alias("ring"))
+
+
 def adjust_zones(zones: DataFrame, options: dict | None = None, straighten: bool = True) -> DataFrame:
-    """Cleaned main zones: see RESULT; a ring of fewer than three points is passed through."""
-    s = settings(options)
-    z = clean_rings(zones).select("floor_seq", F.col("zone_seq").alias("seq"), F.col("zone").alias("name_"), "ring")
-    # Squaring a ring needs no other ring, so it is done row by row before floors are put together.
-    z = squared_rings(z, s) if straighten else z.withColumn("square", F.lit(None).cast(SQUARED))
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("seq")
-        old = [_array(r) for r in group.ring]
-        use = [i for i, r in enumerate(old) if len(r) >= 3]
-        new, squared, notes = list(old), [False] * len(old), ["" if len(r) >= 3 else "skipped (invalid polygon)" for r in old]
-        if use:
-            made = [(_array(q["ring"]), q["squared"]) for q in group["square"].iloc[use]] if straighten else None
-            rings, did, said = adjust_group([old[i] for i in use], s, straighten, made=made)
-            for k, i in enumerate(use):
-                new[i], squared[i], notes[i] = rings[k], did[k], said[k]
-        return _rows(group, old, new, squared, notes)
-
-    return z.groupBy("floor_seq").applyInPandas(run, RESULT)
+    """Cleaned main zones: floor_seq, seq, name, squared, note, old, ring; a ring of fewer than three points is passed through."""
+    rows = clean_rings(zones).select(F.col("floor_seq").cast("string").alias("grp"), "floor_seq", F.col("zone_seq").alias("seq"), F.col("zone").alias("name"), "ring")
+    return _adjusted(rows, straighten, settings(options))
 
 
 def adjust_subzones(zones: DataFrame, subzones: DataFrame, options: dict | None = None, straighten: bool = True) -> DataFrame:
-    """Cleaned sub-zones, per parent: welded to its walls and to each other, clamped inside it."""
-    s = settings(options)
-    parents = clean_rings(zones).select("floor_seq", F.coalesce("zone_id", "zone").alias("pid"), F.col("zone").alias("pname"), F.col("ring").alias("pring"))
-    subs = clean_rings(subzones.withColumn("poly", F.lit(True))).select("floor_seq", F.col("sub_seq").alias("seq"), F.col("sub_zone").alias("name_"), "parent", "ring")
-    j = subs.join(parents, (subs["floor_seq"] == parents["floor_seq"]) & ((subs["parent"] == parents["pid"]) | (subs["parent"] == parents["pname"])), "left").drop(parents["floor_seq"])
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("seq")
-        old = [_array(r) for r in group.ring]
-        wall = group.pring.iloc[0]
-        parent = rg.turned(_array(wall)) if wall is not None and len(wall) >= 3 else None
-        new, squared, notes = adjust_group(old, s, straighten, [parent] if parent is not None else [], parent)
-        return _rows(group, old, new, squared, notes)
-
-    return j.filter(F.size("ring") >= 3).groupBy("floor_seq", "parent").applyInPandas(run, RESULT)
+    """Cleaned sub-zones, per parent: welded to its walls and to each other, clamped inside it; see adjust_zones for the columns.
+
+    A parent is named by its id, or by its name where it has no id or no zone has that id; of several the last.
+    Sub-zones of fewer than three points are left out.
+    """
+    group = lambda parent: F.to_json(F.struct("floor_seq", F.col(parent).alias("parent")))
+    z = clean_rings(zones).filter(F.size("ring") >= 3)
+    named = z.select("floor_seq", "zone_seq", "ring", F.inline(F.array(F.struct(F.coalesce("zone_id", "zone").alias("parent"), F.lit(1).alias("by_id")), F.struct(F.col("zone").alias("parent"), F.lit(0).alias("by_id")))))
+    walls = named.groupBy("floor_seq", "parent").agg(F.max_by("ring", F.struct("by_id", "zone_seq")).alias("wall"))
+    subs = clean_rings(subzones.withColumn("poly", F.lit(True))).filter(F.size("ring") >= 3)
+    rows = subs.select(group("parent").alias("grp"), "floor_seq", F.col("sub_seq").alias("seq"), F.col("sub_zone").alias("name"), "ring")
+    used = walls.join(subs.select("floor_seq", "parent").distinct(), ["floor_seq", "parent"], "left_semi").select(group("parent").alias("grp"), "wall")
+    return _adjusted(rows, straighten, settings(options), used)
 
 
 def change_report(result: DataFrame) -> DataFrame:

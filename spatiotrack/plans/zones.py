@@ -96,6 +96,90 @@ def z6_squared_rooms(spark, sf):
     return z.select("k", F.when(k % 7 != 0, F.round(q["axis_deg"], 3)).alias("axis_deg"), F.round(q["fill"], 4).alias("fill"), q["squared"].alias("squared"), F.size(q["ring"]).alias("vertices"), F.round(g.area(q["ring"]), 2).alias("area"))
 
 
+# Six rooms a floor, in two rows, with integer wobble; on every third floor the second row is shifted, so that its corners lie on walls.
+ROOMS6 = """rm AS (SELECT p_partkey // 6 AS f, p_partkey % 6 AS seq, p_partkey AS k, (p_partkey % 6) % 3 AS cx, (p_partkey % 6) // 3 AS cy FROM part),
+vx AS (SELECT f, seq, i, seq * 4 + i AS v, CAST(cx * 204 + CASE WHEN f % 3 = 0 THEN cy * 100 ELSE 0 END + CASE WHEN i IN (1, 2) THEN 200 ELSE 0 END + (k * (7 + i * 5)) % 9 - 4 AS DOUBLE) AS x,
+  CAST(cy * 154 + CASE WHEN i IN (2, 3) THEN 150 ELSE 0 END + (k * (11 + i * 3)) % 7 - 3 AS DOUBLE) AS y FROM rm, range(4) AS t(i))"""
+
+
+def _rooms6(spark, sf):
+    """grp, floor_seq, seq, fixed, ring."""
+    k, f = F.col("p_partkey"), F.expr("cast(p_partkey div 6 as int)")
+    cx, cy = (k % 6) % 3, F.expr("(p_partkey % 6) div 3")
+    shift = F.when(f % 3 == 0, cy * 100).otherwise(0)
+    corner = lambda i: F.struct((cx * 204 + shift + (200 if i in (1, 2) else 0) + (k * (7 + i * 5)) % 9 - 4).cast("double").alias("x"), (cy * 154 + (150 if i in (2, 3) else 0) + (k * (11 + i * 3)) % 7 - 3).cast("double").alias("y"))
+    return fx.table(spark, sf, "part").select(f.cast("string").alias("grp"), f.alias("floor_seq"), (k % 6).cast("int").alias("seq"), F.lit(False).alias("fixed"), F.array(*[corner(i) for i in range(4)]).alias("ring"))
+
+
+# All pairs of a floor from the nearest on, one at a time; labels are a list with one entry for each corner.
+KRUSKAL = (
+    ROOMS6
+    + """,
+pr AS (SELECT a.f, a.v AS a, b.v AS b, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d FROM vx a JOIN vx b ON a.f = b.f AND a.seq < b.seq),
+ed AS (SELECT f, a, b, row_number() OVER (PARTITION BY f ORDER BY d, a, b) AS k FROM pr WHERE d <= 22),
+st AS (SELECT f, 0 AS k, list(v ORDER BY v) AS lab FROM vx GROUP BY f
+  UNION ALL
+  SELECT f, k, CASE WHEN la = lb OR list_has_any(list_transform(list_filter(range(len(lab)), lambda v: lab[v + 1] = la), lambda v: v // 4), list_transform(list_filter(range(len(lab)), lambda v: lab[v + 1] = lb), lambda v: v // 4))
+    THEN lab ELSE list_transform(lab, lambda l: CASE WHEN l = greatest(la, lb) THEN least(la, lb) ELSE l END) END
+  FROM (SELECT st.f, ed.k, lab, lab[a + 1] AS la, lab[b + 1] AS lb FROM st JOIN ed ON ed.f = st.f AND ed.k = st.k + 1)),
+lb AS (SELECT f, arg_max(lab, k) AS lab FROM st GROUP BY f),
+cl AS (SELECT vx.*, lab[v + 1] AS c FROM vx JOIN lb USING (f)),
+wd AS (SELECT *, count(*) OVER (PARTITION BY f, c) AS corners, avg(x) OVER (PARTITION BY f, c) AS to_x, avg(y) OVER (PARTITION BY f, c) AS to_y FROM cl)"""
+)
+
+
+@query(sql(KRUSKAL, "SELECT CAST(f AS INTEGER) AS floor_seq, CAST(seq AS INTEGER) AS seq, CAST(i AS INTEGER) AS vertex, corners, round(to_x, 6) AS to_x, round(to_y, 6) AS to_y FROM wd", recursive=True))
+def z7_welded_corners(spark, sf):
+    """Where each corner goes, and how many corners meet there."""
+    to = ad.welded_corners(ad.corner_clusters(_rooms6(spark, sf), files.WorkTables()))
+    corners = F.count("*").over(Window.partitionBy("grp", "c"))
+    return to.select(F.col("grp").cast("int").alias("floor_seq"), "seq", "vertex", corners.alias("corners"), F.round("to_x", 6).alias("to_x"), F.round("to_y", 6).alias("to_y"))
+
+
+@query(
+    sql(
+        ROOMS6
+        + """,
+eg AS (SELECT a.f, a.seq AS wall_seq, a.i AS wall, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS bz FROM vx a JOIN vx b ON a.f = b.f AND a.seq = b.seq AND b.i = (a.i + 1) % 4),
+al AS (SELECT p.f, p.seq, p.i, p.x, p.y, e.*, greatest(sqrt((bx - ax) * (bx - ax) + (bz - ay) * (bz - ay)), 1e-300) AS size FROM vx p JOIN eg e ON p.f = e.f AND p.seq <> e.wall_seq),
+ag AS (SELECT *, ((x - ax) * (bx - ax) + (y - ay) * (bz - ay)) / size AS along FROM al),
+ft AS (SELECT *, ax + along / size * (bx - ax) AS fx, ay + along / size * (bz - ay) AS fy FROM ag WHERE along > 22 AND along < size - 22),
+nr AS (SELECT *, sqrt((x - fx) * (x - fx) + (y - fy) * (y - fy)) AS d FROM ft),
+bs AS (SELECT *, row_number() OVER (PARTITION BY f, seq, i ORDER BY d, wall_seq, wall) AS k FROM nr WHERE d <= 22)""",
+        "SELECT CAST(f AS INTEGER) AS floor_seq, CAST(seq AS INTEGER) AS seq, CAST(i AS INTEGER) AS vertex, CAST(wall_seq AS INTEGER) AS wall_seq, CAST(wall AS INTEGER) AS wall, round(d, 6) AS d, round(fx, 6) AS x, round(fy, 6) AS y FROM bs WHERE k = 1",
+    )
+)
+def z8_corners_on_walls(spark, sf):
+    """For each corner near the inside of another room's wall: the wall, and the point on it."""
+    rooms = _rooms6(spark, sf)
+    corners = rooms.select("grp", "seq", F.posexplode("ring").alias("v", "p")).select("grp", "seq", "v", "p.*")
+    near = ad.walls_near(corners.withColumn("v", F.col("seq") * 4 + F.col("v")), rooms)
+    return near.select(F.col("grp").cast("int").alias("floor_seq"), "seq", (F.col("v") % 4).alias("vertex"), "wall_seq", "wall", F.round("d", 6).alias("d"), F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+# Rectangles that reach into their neighbour, to the right on even floors, downwards on odd ones. SQL gives every square of ten
+# pixels to the largest room that holds it: areas are disjoint, and nothing is lost.
+OVERLAPPING = """rc AS (SELECT p_partkey // 6 AS f, p_partkey % 6 AS seq, (p_partkey % 6) % 3 * 20 AS x0, (p_partkey % 6) // 3 * 15 AS y0,
+  CASE WHEN (p_partkey // 6) % 2 = 0 THEN 20 + (p_partkey * 13) % 5 ELSE 20 - (p_partkey * 7) % 4 END AS w, CASE WHEN (p_partkey // 6) % 2 = 0 THEN 15 - (p_partkey * 7) % 4 ELSE 15 + (p_partkey * 13) % 5 END AS h FROM part),
+sq AS (SELECT f, seq, w * h AS area, x0 + u AS x, y0 + t AS y FROM rc, range(25) AS a(u), range(20) AS b(t) WHERE u < w AND t < h),
+ow AS (SELECT f, x, y, arg_min(seq, (-area, seq)) AS seq FROM sq GROUP BY ALL),
+af AS (SELECT f, seq, count(*) * 100e0 AS after FROM ow GROUP BY ALL)"""
+
+
+@query(sql(OVERLAPPING, "SELECT CAST(f AS INTEGER) AS floor_seq, CAST(seq AS INTEGER) AS seq, w * h * 100e0 AS area_before, after AS area_after FROM rc JOIN af USING (f, seq)"))
+def z9_overlaps_removed(spark, sf):
+    """Areas of rooms before and after the larger ones took what they share."""
+    k, f = F.col("p_partkey"), F.expr("cast(p_partkey div 6 as int)")
+    over, under = (k * 13) % 5 * 10, (k * 7) % 4 * 10
+    x, y = (k % 6) % 3 * 200, F.expr("(p_partkey % 6) div 3") * 150
+    w, h = F.when(f % 2 == 0, 200 + over).otherwise(200 - under), F.when(f % 2 == 0, 150 - under).otherwise(150 + over)
+    at = lambda px, py: F.struct(px.cast("double").alias("x"), py.cast("double").alias("y"))
+    rooms = fx.table(spark, sf, "part").select(f.cast("string").alias("grp"), (k % 6).cast("int").alias("seq"), F.array(at(x, y), at(x + w, y), at(x + w, y + h), at(x, y + h)).alias("ring"))
+    after = ad.without_overlaps(rooms, files.WorkTables()).select("grp", "seq", F.round(g.area(F.col("ring")), 3).alias("area_after"))
+    before = rooms.select("grp", "seq", F.round(g.area(F.col("ring")), 3).alias("area_before"))
+    return before.join(after, ["grp", "seq"]).select(F.col("grp").cast("int").alias("floor_seq"), "seq", "area_before", "area_after")
+
+
 @query()
 def z11_adjust_zones(spark, sf):
     r = ad.change_report(ad.adjust_zones(_rooms(spark, sf)))
@@ -104,7 +188,14 @@ def z11_adjust_zones(spark, sf):
 
 @query()
 def z12_adjust_subzones(spark, sf):
-    return ad.change_report(ad.adjust_subzones(fx.zones(spark), fx.subzones(spark)))
+    """Two sub-zones of each room, one near its upper wall, one that reaches over its right wall."""
+    rooms = _rooms(spark, sf)
+    p = F.col("ring")[0]
+    at = lambda x, y: F.struct((p["x"] + x).alias("x"), (p["y"] + y).alias("y"))
+    box = lambda x, y, w, h: F.array(at(x, y), at(x + w, y), at(x + w, y + h), at(x, y + h))
+    subs = rooms.select("floor_seq", F.col("zone_id").alias("parent"), "zone_seq", F.posexplode(F.array(box(5, 6, 80, 60), box(92, 40, 130, 70))).alias("i", "ring"))
+    subs = subs.select("floor_seq", (F.col("zone_seq") * 2 + F.col("i")).alias("sub_seq"), F.concat("parent", F.lit("s"), "i").alias("sub_zone"), "parent", "ring")
+    return ad.change_report(ad.adjust_subzones(rooms, subs))
 
 
 @query()

@@ -27,6 +27,32 @@ def work_folder(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+class WorkTables:
+    """Tables that an operator writes into the shared folder on its way; whatever it drops is deleted there."""
+
+    def __init__(self):
+        self.paths: dict[int, tuple[DataFrame, str]] = {}
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """``df`` as written and read back: lineage is cut by files that outlive any executor."""
+        path = work_folder(df.sparkSession, name)
+        df.write.parquet(path)
+        out = df.sparkSession.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = out, path
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for df in tables:
+            _, path = self.paths.pop(id(df))
+            spark = df.sparkSession
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+    def keep_only(self, *tables: DataFrame) -> None:
+        stay = {id(t) for t in tables}
+        self.drop(*[df for key, (df, _) in list(self.paths.items()) if key not in stay])
+
+
 def parse_layout(texts: DataFrame, column: str = "value") -> DataFrame:
     """Layouts of JSON texts; a broken text has no floors instead of failing."""
     parsed = F.from_json(F.col(column), LAYOUT, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__broken"})
