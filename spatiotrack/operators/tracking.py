@@ -158,7 +158,11 @@ def hypotheses(rows: DataFrame, zones: DataFrame, s: Settings = DEFAULTS) -> Dat
     One shuffle by device serves the jump gate, the grouping and the rank; the fit and its score come
     from the same row.
     """
-    weighted = rd.with_jump_weights(rows, s)
+    return solved_hypotheses(rd.with_jump_weights(rows, s), zones, s)
+
+
+def solved_hypotheses(weighted: DataFrame, zones: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
+    """The same of readings that have their jump weights."""
     grouped = weighted.groupBy("device", "tick", "floor_seq", "scale").agg(
         F.min("slant").alias("nearest_m"), F.sort_array(F.collect_list(F.struct("rec_seq", "x", "y", "r", "w"))).alias("points"),
         F.min("x").alias("rx0"), F.min("y").alias("ry0"), F.max("x").alias("rx1"), F.max("y").alias("ry1"),
@@ -195,7 +199,11 @@ def fold_fixes(solved: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
 def track(states: DataFrame, receivers: DataFrame, zones: DataFrame, subzones: DataFrame | None = None, height: float | None = None, s: Settings = DEFAULTS) -> DataFrame:
     """Published fixes: position snapped into the zones, zone, nearest zone, sub-zone, parent zone."""
     rows = rd.readings(states, receivers, height, s)
-    fixes = fold_fixes(hypotheses(rows, zones, s), s)
+    return placed_in_zones(fold_fixes(hypotheses(rows, zones, s), s), zones, subzones, s)
+
+
+def placed_in_zones(fixes: DataFrame, zones: DataFrame, subzones: DataFrame | None = None, s: Settings = DEFAULTS) -> DataFrame:
+    """Fixes moved into the zones, with zone, nearest zone and, of sub-zones, sub-zone and parent zone."""
     snapped = snap_into_zones(fixes, zones, s)
     located = zn.locate(snapped, zones)
     if subzones is None:

@@ -242,19 +242,3 @@ def st22_on_floor(spark, sf):
 @query(sql(RECORDING + ", lf AS (SELECT ent, max(updated) AS updated FROM rc GROUP BY 1), g AS (SELECT ent FROM lf WHERE 400 - updated > 300)", "SELECT 'sensor.' || ent || '_' || s AS entity_id, 'unknown' AS state, CASE WHEN s = 'bps_sub_zone' THEN 'unknown' END AS parent_zone FROM g, (VALUES ('bps_zone'), ('bps_floor'), ('bps_nearest_zone'), ('bps_sub_zone')) AS t(s)"))
 def d15_cleared_states(spark, sf):
     return publishing.cleared_states(st8_stale_trackers(spark, sf))
-
-
-@query()
-def st_stream_tracking(spark, sf):
-    """The tracking chain on a stream, run to the end of what is there."""
-    from ..operators import readings as rd
-    from ..sources.files import work_folder
-    from ..streaming import tracker
-
-    rows = rd.readings(fx.sensor_states(spark, sf), fx.receivers(spark)).select("device", "tick", F.timestamp_seconds("tick").alias("ts"), "floor_seq", "rec_seq", "x", "y", "r", "slant", "scale")
-    source, sink = work_folder(spark, "stream-source"), work_folder(spark, "stream-sink")
-    rows.repartitionByRange(4, "tick").write.parquet(source)
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1000).parquet(source)
-    tracker.run_to_end(tracker.track_stream(stream, fx.zones(spark)), sink, sink + "-state")
-    out = spark.read.schema(tracker.OUT).parquet(sink).filter("not pruned")
-    return out.select("device", "tick", "floor_seq", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"), F.round("rms_m", 5).alias("rms_m"))

@@ -406,3 +406,41 @@ def tracking(spark, sf):
     """The flagship: states in, published fixes out."""
     fixes = tk.track(_states(spark, sf), fx.receivers(spark), fx.zones(spark), fx.subzones(spark))
     return tk.publish(fixes).drop("floors")
+
+
+# The zone of a fix is that in which it lies, or the nearest one, as it is moved there.
+LIVE = (
+    PUBLISHED
+    + """,
+sm AS (SELECT ch.device, ch.tick, ch.floor_seq, ch.id, least(greatest(k.x, x0), x1) AS px, least(greatest(k.y, y0), y1) AS py, fx, fy, rms_m, conf FROM ch JOIN k ON k.ent = ch.device AND k.t = ch.tick),"""
+    + point_zones("sm").replace("pe AS", "pe2 AS").replace("pz AS", "pz2 AS").replace("FROM pe ", "FROM pe2 ")
+    + """,
+zn AS (SELECT id, arg_min(zone, (CASE WHEN odd THEN 0e0 ELSE d END, zone_seq)) AS zone FROM pz2 WHERE NOT no_go GROUP BY id)"""
+)
+
+
+@query(sql(LIVE, "SELECT device, tick, floor_seq, round(fx, 2) AS raw_x, round(fy, 2) AS raw_y, round(rms_m, 4) AS rms_m, round(conf, 4) AS conf, zone FROM sm JOIN zn USING (id)", recursive=True))
+def st_stream_tracking(spark, sf):
+    """The live chain from raw states to zones, in three micro-batches, run to the end of what is there."""
+    fixes = live_fixes(spark, sf)
+    return fixes.select("device", "tick", "floor_seq", *[F.round(c, 2).alias(c) for c in ("raw_x", "raw_y")], F.round("rms_m", 4).alias("rms_m"), F.round("conf", 4).alias("conf"), "zone")
+
+
+def live_fixes(spark, sf, parts: int = 3):
+    """Fixes of the live chain over the telemetry, which arrives in ``parts``."""
+    from types import SimpleNamespace
+
+    from ..sources.files import work_folder
+    from ..streaming.live import LiveTracker
+
+    states = fx.sensor_states(spark, sf).select("tick", "entity_id", "state", "unit")
+    source, folder = work_folder(spark, "stream-source"), work_folder(spark, "stream-sink")
+    receivers = fx.receivers(spark)
+    plan = SimpleNamespace(floors=receivers.select("floor_seq", "floor").distinct(), receivers=receivers, zones=fx.zones(spark), subzones=fx.subzones(spark), tracker_height=lambda: None)
+    live = LiveTracker(spark, lambda: plan, folder)
+    last = states.agg(F.max("tick")).first()[0] or 0
+    for k in range(parts):
+        # What has come so far is one micro-batch each time.
+        states.filter(F.col("tick").between(k * (last + 1) // parts + (k > 0), (k + 1) * (last + 1) // parts)).write.mode("append").parquet(source)
+        live.start(spark.readStream.schema(states.schema).parquet(source), folder + "-state", available_now=True).awaitTermination()
+    return live.fixes()

@@ -27,6 +27,11 @@ def work_folder(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def drop_path(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 class WorkTables:
     """Tables that an operator writes into the shared folder on its way; whatever it drops is deleted there."""
 
@@ -44,9 +49,7 @@ class WorkTables:
     def drop(self, *tables: DataFrame) -> None:
         for df in tables:
             _, path = self.paths.pop(id(df))
-            spark = df.sparkSession
-            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            drop_path(df.sparkSession, path)
 
     def keep_only(self, *tables: DataFrame) -> None:
         stay = {id(t) for t in tables}

@@ -93,15 +93,14 @@ def test_only_forbidden_zones_push_off():
 
 
 def test_stream_equals_batch(spark, sf):
-    from spatiotrack.operators import readings as rd
-    from spatiotrack.plans.evaluation import st_stream_tracking
-
-    rows = rd.readings(fx.sensor_states(spark, sf), fx.receivers(spark))
-    batch = tk.fold_fixes(tk.hypotheses(rows, fx.zones(spark))).select("device", "tick", "floor_seq", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
-    stream = st_stream_tracking(spark, sf).select("device", "tick", "floor_seq", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
-    a, b = {tuple(r)[:3]: r for r in batch.collect()}, {tuple(r)[:3]: r for r in stream.collect()}
-    assert a.keys() == b.keys()
-    assert max(abs(a[k].x - b[k].x) + abs(a[k].y - b[k].y) for k in a) < 0.01
+    from spatiotrack.plans.tracking import live_fixes, tracking
+
+    batch, stream = tracking(spark, sf), tk.publish(live_fixes(spark, sf))
+    a, b = {(r.device, r.tick): r for r in batch.collect()}, {(r.device, r.tick): r for r in stream.collect()}
+    assert a.keys() == b.keys() and a
+    for k, want in a.items():
+        for c in batch.columns:
+            assert want[c] == b[k][c] if not isinstance(want[c], float) else want[c] == pytest.approx(b[k][c], abs=2e-3), (k, c)
 
 
 def test_tracking_finds_most_devices(spark, sf):
