@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as f
 from ..operators import calibration as cal
+from ..sources import files
 from ..sources import fixtures as fx
 from ..streaming import calibration as sc
 from .common import EDGES, RECEIVERS, solved, sql
@@ -130,6 +131,18 @@ def w6_rolling_window(spark, sf):
     return cal.rolling_window(_samples(spark, sf), 720).select("tx", "rx", "seq", F.round("distance_m", 6).alias("distance_m"))
 
 
+@query(sql(SAMPLES, "SELECT tx, rx, seq, round(distance_m, 6) AS distance_m FROM (SELECT *, row_number() OVER (PARTITION BY tx, rx ORDER BY seq DESC) AS n FROM sm) WHERE n <= 40"))
+def st16_bounded_window(spark, sf):
+    """The window of a job whose samples came in seven batches, compacted every third; what is left is what was read."""
+    samples = _samples(spark, sf).select(F.col("seq").cast("double").alias("dump"), "tx", "rx", F.lit(0.0).alias("stamp"), "distance_m")
+    window = sc.RollingWindow(files.Parts(spark, files.work_folder(spark, "window")), 40, every=3)
+    ends = samples.agg(F.min("dump"), F.max("dump")).first()
+    step = ((ends[1] or 0) - (ends[0] or 0) + 1) / 7
+    for k in range(7):
+        window.add(samples.filter((F.col("dump") >= (ends[0] or 0) + k * step) & (F.col("dump") < (ends[0] or 0) + (k + 1) * step)), k)
+    return window.read(6).select("tx", "rx", F.col("dump").cast("int").alias("seq"), F.round("distance_m", 6).alias("distance_m"))
+
+
 @query(sql(SAMPLES, "SELECT tx, rx, count(*) AS kept, min(seq) AS oldest FROM (SELECT *, row_number() OVER (PARTITION BY tx, rx ORDER BY seq DESC) AS n FROM sm) WHERE n <= 200 GROUP BY 1, 2"))
 def k6_persisted_samples(spark, sf):
     return cal.rolling_window(_samples(spark, sf), 200).groupBy("tx", "rx").agg(F.count(F.lit(1)).alias("kept"), F.min("seq").alias("oldest"))

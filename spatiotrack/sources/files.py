@@ -56,6 +56,49 @@ class WorkTables:
         self.drop(*[df for key, (df, _) in list(self.paths.items()) if key not in stay])
 
 
+class Parts:
+    """Tables of a streaming job under one folder, a part for each micro-batch that writes one.
+
+    A batch reads parts from before it and overwrites its own, so one that is run again after a failure does the same.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+
+    def path(self, name: str, batch: int) -> str:
+        return f"{self.folder}/{name}/batch={batch}"
+
+    def write(self, df: DataFrame, name: str, batch: int) -> None:
+        df.write.mode("overwrite").parquet(self.path(name, batch))
+
+    def batches(self, name: str) -> list[int]:
+        """Those whose part is committed."""
+        jvm = self.spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}/batch=*/_SUCCESS")
+        found = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at)
+        return sorted(int(d.getPath().getParent().getName().split("=")[1]) for d in found or [])
+
+    def newest(self, name: str, before: int, schema: str) -> DataFrame:
+        """The newest part before a batch; without one, no rows."""
+        earlier = [b for b in self.batches(name) if b < before]
+        return self.spark.read.schema(schema).parquet(self.path(name, earlier[-1])) if earlier else self.spark.createDataFrame([], schema)
+
+    def some(self, name: str, batches: list[int], schema: str) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(*[self.path(name, b) for b in batches]) if batches else self.spark.createDataFrame([], schema)
+
+    def forget(self, name: str, before: int) -> None:
+        """Delete parts of batches before ``before``."""
+        for b in self.batches(name):
+            if b < before:
+                drop_path(self.spark, self.path(name, b))
+
+    def forget_replaced(self, name: str, batch: int) -> None:
+        """Delete all but a batch's own part and the one before, which it would need to be run again."""
+        earlier = [b for b in self.batches(name) if b < batch]
+        if earlier:
+            self.forget(name, earlier[-1])
+
+
 def parse_layout(texts: DataFrame, column: str = "value") -> DataFrame:
     """Layouts of JSON texts; a broken text has no floors instead of failing."""
     parsed = F.from_json(F.col(column), LAYOUT, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__broken"})

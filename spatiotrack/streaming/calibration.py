@@ -129,42 +129,72 @@ def manual_calibration(dumps: DataFrame, receivers: DataFrame, floor: str, start
     return ("done", solved) if solved.limit(1).count() else ("error", None)
 
 
+class RollingWindow:
+    """The newest ``keep`` samples of each directed pair, over batches without end.
+
+    A batch writes its own samples as a part. Every ``every`` batches the window so far and the parts
+    since are compacted into a new window, and what both replace is deleted. A read takes one window, at
+    most ``keep`` rows a pair, and the parts of fewer than ``every`` batches, however long the job has run.
+    """
+
+    SAMPLE = "dump double, tx string, rx string, stamp double, distance_m double"
+
+    def __init__(self, parts: files.Parts, keep: int, every: int = 20):
+        self.parts, self.keep, self.every = parts, keep, every
+
+    def _newest(self, rows: DataFrame) -> DataFrame:
+        return cal.rolling_window(rows.withColumn("seq", F.struct("dump", "stamp")), self.keep)
+
+    def _since(self, batch: int) -> tuple[int, list[int]]:
+        """The window before ``batch`` (-1: none) and the batches with parts from there on, itself included."""
+        window = max((b for b in self.parts.batches("window") if b < batch), default=-1)
+        return window, [b for b in self.parts.batches("samples") if window < b <= batch]
+
+    def read(self, batch: int) -> DataFrame:
+        """The window after ``batch``, with ``seq``."""
+        _, since = self._since(batch)
+        return self._newest(self.parts.newest("window", batch, self.SAMPLE).unionByName(self.parts.some("samples", since, self.SAMPLE)))
+
+    def add(self, samples: DataFrame, batch: int) -> None:
+        self.parts.write(samples.select("dump", "tx", "rx", "stamp", "distance_m"), "samples", batch)
+        window, since = self._since(batch)
+        if len(since) >= self.every:
+            self.parts.write(self.read(batch).drop("seq"), "window", batch)
+            # The window before and its parts stay once more, as this batch may be run again.
+            self.parts.forget("window", window)
+            self.parts.forget("samples", window + 1)
+
+
+CORRECTION = "floor string, scanner string, correction double"
+
+
 class ContinuousCalibration:
     """A ``foreachBatch`` handler: samples every dump, and on the dumps' clock solves, tests and writes.
 
     Each batch reads the layout anew, so receivers placed, moved or linked since are known at once;
     if the layout cannot be read, or has no receivers, the batch keeps its samples out and waits.
-    Corrections of a floor are written only if it has none or one changed by ``write_epsilon``.
-    Under ``folder``: samples, corrections, selftest and state, one part for each batch.
+    Corrections of a floor change only if it has none or one changed by ``write_epsilon``. Under
+    ``folder``: samples and window, corrections (each part holds all in force), selftest and state.
+    Nothing that a batch reads grows with time.
     """
 
-    def __init__(self, spark: SparkSession, layout: str, folder: str, s: Settings = DEFAULTS):
-        self.spark, self.layout, self.folder, self.s = spark, layout, folder.rstrip("/"), s
-
-    def _path(self, name: str, batch: int) -> str:
-        return f"{self.folder}/{name}/batch={batch}"
-
-    def table(self, name: str, before: int | None = None) -> DataFrame | None:
-        """All parts of a table, those of earlier batches only where ``before`` is given; None if there is none."""
-        from pyspark.errors import AnalysisException
+    def __init__(self, spark: SparkSession, layout: str, folder: str, s: Settings = DEFAULTS, compact_every: int = 20):
+        self.spark, self.layout, self.s = spark, layout, s
+        self.parts = files.Parts(spark, folder)
+        self.window = RollingWindow(self.parts, s.window, compact_every)
 
-        try:
-            rows = self.spark.read.option("basePath", f"{self.folder}/{name}").parquet(f"{self.folder}/{name}")
-        except AnalysisException:
-            return None
-        return rows if before is None else rows.filter(F.col("batch") < before)
+    def table(self, name: str) -> DataFrame | None:
+        """All parts of a table that are still there; None if there is none."""
+        there = self.parts.batches(name)
+        return self.spark.read.option("basePath", f"{self.parts.folder}/{name}").parquet(*[self.parts.path(name, b) for b in there]) if there else None
 
-    def corrections(self, before: int | None = None) -> DataFrame | None:
-        """Those in force: of each floor the newest part."""
-        rows = self.table("corrections", before)
-        if rows is None:
-            return None
-        newest = rows.groupBy("floor").agg(F.max("batch").alias("batch"))
-        return rows.join(newest, ["floor", "batch"], "left_semi")
+    def corrections(self) -> DataFrame | None:
+        """Those in force."""
+        there = self.parts.batches("corrections")
+        return self.parts.some("corrections", there[-1:], CORRECTION) if there else None
 
     def _state(self, batch: int) -> dict:
-        rows = self.table("state", batch)
-        last = rows.orderBy(F.desc("batch")).select("text").first() if rows is not None else None
+        last = self.parts.newest("state", batch, "text string").first()
         return json.loads(last[0]) if last else {}
 
     def __call__(self, dumps: DataFrame, batch: int) -> None:
@@ -175,22 +205,21 @@ class ContinuousCalibration:
             return
         state = self._state(batch)
         state.setdefault("started", dumps.agg(F.min("dump")).first()[0])
-        samples_of(dumps.filter("devices is not null"), receivers, s).write.mode("overwrite").parquet(self._path("samples", batch))
-        samples = self.table("samples", batch + 1).withColumn("seq", F.struct("dump", "stamp"))
-        window = cal.rolling_window(samples, s.window)
+        self.window.add(samples_of(dumps.filter("devices is not null"), receivers, s), batch)
         if now - state["started"] >= s.solve_after_s and now - state.get("solved", float("-inf")) >= s.solve_every_s:
             state["solved"] = now
-            found = solve_floors(window, receivers, s).select("floor", "scanner", "correction")
-            before = self.corrections(batch)
-            if before is not None:
-                found = found.join(cal.worth_writing(found, before, s).select("floor"), "floor", "left_semi")
-            found.write.mode("overwrite").parquet(self._path("corrections", batch))
+            found = solve_floors(self.window.read(batch), receivers, s).select("floor", "scanner", "correction")
+            before = self.parts.newest("corrections", batch, CORRECTION)
+            changed = found.join(cal.worth_writing(found, before, s).select("floor"), "floor", "left_semi")
+            self.parts.write(changed.unionByName(before.join(changed.select("floor").distinct(), "floor", "left_anti")), "corrections", batch)
+            self.parts.forget_replaced("corrections", batch)
         if now - state.get("tested", float("-inf")) >= s.selftest_every_s:
             state["tested"] = now
             layout = files.read_layout(spark, self.layout)
-            errors = cal.selftest(window, files.selftest_receivers(layout), files.zones(layout), s)
-            errors.withColumn("at", F.lit(float(now))).write.mode("overwrite").parquet(self._path("selftest", batch))
-        spark.createDataFrame([(json.dumps(state),)], "text string").coalesce(1).write.mode("overwrite").parquet(self._path("state", batch))
+            errors = cal.selftest(self.window.read(batch), files.selftest_receivers(layout), files.zones(layout), s)
+            self.parts.write(errors.withColumn("at", F.lit(float(now))), "selftest", batch)
+        self.parts.write(spark.createDataFrame([(json.dumps(state),)], "text string").coalesce(1), "state", batch)
+        self.parts.forget_replaced("state", batch)
 
     def start(self, dumps: DataFrame, checkpoint: str, available_now: bool = False):
         writer = dumps.writeStream.foreachBatch(self).option("checkpointLocation", checkpoint)

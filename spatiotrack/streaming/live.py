@@ -26,7 +26,7 @@ from ..constants import DEFAULTS, Settings
 from ..operators import readings as rd
 from ..operators import tracking as tk
 from ..operators.zones import small
-from ..sources.files import WorkTables, drop_path
+from ..sources.files import Parts, WorkTables
 
 GATE = "device string, tick int, floor string, rec_seq int, x double, y double, r double, slant double, scale double"
 STATE = "device string, updated double, track string"
@@ -113,32 +113,14 @@ class LiveTracker:
     """
 
     def __init__(self, spark: SparkSession, layout: Callable, folder: str, s: Settings = DEFAULTS):
-        self.spark, self.layout, self.folder, self.s = spark, layout, folder.rstrip("/"), s
-
-    def _path(self, name: str, batch: int) -> str:
-        return f"{self.folder}/{name}/batch={batch}"
-
-    def _batches(self, name: str) -> list[int]:
-        jvm = self.spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
-        there = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        # A part counts once its writer has committed it.
-        done = there.globStatus(jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}/batch=*/_SUCCESS"))
-        return sorted(int(d.getPath().getParent().getName().split("=")[1]) for d in done or [])
-
-    def _before(self, name: str, batch: int, schema: str) -> DataFrame:
-        """The newest part before ``batch``; older ones are deleted."""
-        earlier = [b for b in self._batches(name) if b < batch]
-        for old in earlier[:-1]:
-            drop_path(self.spark, self._path(name, old))
-        return self.spark.read.schema(schema).parquet(self._path(name, earlier[-1])) if earlier else self.spark.createDataFrame([], schema)
+        self.spark, self.layout, self.parts, self.s = spark, layout, Parts(spark, folder), s
 
     def fixes(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/fixes").drop("batch")
+        return self.spark.read.parquet(f"{self.parts.folder}/fixes").drop("batch")
 
     def __call__(self, states: DataFrame, batch: int) -> None:
-        s, spark, work, plan = self.s, self.spark, WorkTables(), self.layout()
-        gate, carried = self._before("gate", batch, GATE), self._before("state", batch, STATE)
+        s, work, parts, plan = self.s, WorkTables(), self.parts, self.layout()
+        gate, carried = parts.newest("gate", batch, GATE), parts.newest("state", batch, STATE)
         # The floors of one layout document: a name and a number each.
         floors = {r["floor"]: r["floor_seq"] for r in plan.floors.select("floor", "floor_seq").collect()}
 
@@ -159,11 +141,13 @@ class LiveTracker:
         folded = work.keep(ordered.mapInPandas(_fold(floors, now, s), STEP), "live-steps")
 
         fixes = folded.filter(F.col("kind") == _FIX).select("device", "tick", "floor_seq", "x", "y", "raw_x", "raw_y", "rms_m", "conf", "floors")
-        tk.placed_in_zones(fixes, plan.zones, plan.subzones, s).write.mode("overwrite").parquet(self._path("fixes", batch))
-        folded.filter(F.col("kind") == _PRUNED).select("device").write.mode("overwrite").parquet(self._path("pruned", batch))
+        parts.write(tk.placed_in_zones(fixes, plan.zones, plan.subzones, s), "fixes", batch)
+        parts.write(folded.filter(F.col("kind") == _PRUNED).select("device"), "pruned", batch)
         kept = gate.unionByName(new.drop("floor_seq")).join(newest, ["device", "tick"], "left_semi").filter(F.col("tick") * s.tick_s >= now - s.stale_s)
-        kept.select(*[c.split()[0] for c in GATE.split(", ")]).write.mode("overwrite").parquet(self._path("gate", batch))
-        folded.filter(F.col("kind") == _CARRIED).select("device", "updated", "track").write.mode("overwrite").parquet(self._path("state", batch))
+        parts.write(kept.select(*[c.split()[0] for c in GATE.split(", ")]), "gate", batch)
+        parts.write(folded.filter(F.col("kind") == _CARRIED).select("device", "updated", "track"), "state", batch)
+        for name in ("gate", "state"):
+            parts.forget_replaced(name, batch)
         work.keep_only()
 
     def start(self, states: DataFrame, checkpoint: str, available_now: bool = False):

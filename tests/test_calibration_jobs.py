@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import random
 
 from pyspark.sql import functions as F
 
@@ -10,6 +11,7 @@ from spatiotrack.operators import calibration as cal
 from spatiotrack.operators import diagnostics as dg
 from spatiotrack.operators.folds import elect_floors
 from spatiotrack.operators.tracking import Track, elect, publish, step
+from spatiotrack.sources import files
 from spatiotrack.streaming import calibration as sc
 from spatiotrack.streaming import tracker
 
@@ -87,6 +89,26 @@ def test_continuous_job_solves_on_schedule_and_sees_new_receivers(spark, tmp_pat
     assert job.table("samples").agg(F.max("batch")).first()[0] == 3
 
 
+def test_the_window_is_bounded_over_many_batches(spark, tmp_path):
+    parts = files.Parts(spark, str(tmp_path / "w"))
+    window, rng, rows = sc.RollingWindow(parts, keep=6, every=5), random.Random(1), []
+    for k in range(60):
+        new = [(float(k), rng.choice("ab"), rng.choice("cd"), float(i), rng.random()) for i in range(4)]
+        rows += new
+        window.add(spark.createDataFrame(new, window.SAMPLE).coalesce(1), k)
+        if k % 17 == 9:  # a batch that is run again
+            window.add(spark.createDataFrame(new, window.SAMPLE).coalesce(1), k)
+        assert len(parts.batches("samples")) <= 2 * 5 and len(parts.batches("window")) <= 2
+        if k % 7 == 3 or k == 59:
+            want = set()
+            for pair in {r[1:3] for r in rows}:
+                want |= set(sorted(r for r in rows if r[1:3] == pair)[-6:])
+            got = window.read(k)
+            assert {tuple(r) for r in got.drop("seq").collect()} == want and got.count() == len(want)
+    # At most a window and the parts since are read.
+    assert len(got.inputFiles()) <= 5 + 4 * 4
+
+
 def test_selftest_baseline_is_kept_and_compared(spark, tmp_path):
     rows = spark.createDataFrame([(0, "f", n, 3, 1.0, 2.0, e) for n, e in zip("abcd", (0.5, 1.0, 1.5, 2.0), strict=True)], "floor_seq int, floor string, scanner string, heard_by int, est_x double, est_y double, error_m double")
     sc.save_selftest(rows, str(tmp_path / "base"))
