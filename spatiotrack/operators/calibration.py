@@ -110,54 +110,103 @@ def log_ratios(pairs: DataFrame) -> DataFrame:
     return pairs.select("floor", "tx", "rx", F.log10(F.col("measured_m") / F.col("true_m")).alias("y"), (1 / (1 + F.col("true_m"))).alias("weight"))
 
 
-def fit_biases(tx: np.ndarray, rx: np.ndarray, y: np.ndarray, weight: np.ndarray, n: int, s: Settings = DEFAULTS) -> tuple[np.ndarray, np.ndarray]:
-    """Receive and send biases (log10) by projected damped Gauss-Newton within [-1, 1].
+class BiasFit:
+    """The fit of one floor: residuals, gradient and normal equations in receive and send biases (log10).
 
     Equations: each pair (long readings are cheap, short ones dear), differences of the two
-    directions of a pair, and a gauge that keeps the mean send bias at zero.
+    directions of a pair, and a gauge that keeps the mean send bias at zero. An equation touches two
+    unknowns, or four, so each adds to that many cells squared of the normal equations and no matrix has a row
+    for each pair: n receivers take 4 n**2 cells, whatever the number of pairs.
     """
-    m = len(y)
-    pick = np.zeros((m, 2 * n))
-    pick[np.arange(m), rx] = 1
-    pick[np.arange(m), n + tx] = 1
-    where = {(a, b): k for k, (a, b) in enumerate(zip(tx.tolist(), rx.tolist(), strict=True))}
-    twice = [(k, where[b, a]) for (a, b), k in where.items() if a < b and (b, a) in where]
-    ab, ba = (np.array(v, int) for v in zip(*twice, strict=True)) if twice else (np.zeros(0, int), np.zeros(0, int))
-    differences, wanted = pick[ab] - pick[ba], y[ab] - y[ba]
-    gauge = np.concatenate([np.zeros(n), np.full(n, s.gauge_weight / n)])
-
-    def parts(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        e = y - pick @ v
+
+    def __init__(self, tx: np.ndarray, rx: np.ndarray, y: np.ndarray, weight: np.ndarray, n: int, s: Settings = DEFAULTS):
+        self.tx, self.rx, self.y, self.weight, self.n, self.s = tx + n, rx, y, weight, n, s
+        key, back = tx.astype(np.int64) * n + rx, rx.astype(np.int64) * n + tx
+        order = np.argsort(key)
+        at = np.searchsorted(key[order], back)
+        at[at == len(key)] = 0
+        both = np.flatnonzero((key[order][at] == back) & (tx < rx))
+        ab, ba = both, order[at[both]]
+        #: Unknowns of each difference, and the sign of each.
+        self.ends, self.signs = np.stack([self.rx[ab], self.tx[ab], self.rx[ba], self.tx[ba]]), np.array([1.0, 1.0, -1.0, -1.0])
+        self.wanted = y[ab] - y[ba]
+        self.gauge = s.gauge_weight / n
+        fixed = np.zeros((2 * n, 2 * n))
+        for i in range(4):
+            for j in range(4):
+                self._add(fixed, self.ends[i], self.ends[j], np.full(len(ab), s.diff_weight**2 * self.signs[i] * self.signs[j]))
+        fixed[n:, n:] += self.gauge**2
+        self.fixed = fixed
+
+    @staticmethod
+    def _add(h: np.ndarray, i: np.ndarray, j: np.ndarray, values: np.ndarray) -> None:
+        np.add.at(h.reshape(-1), i.astype(np.int64) * len(h) + j, values)
+
+    def _pairs(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Residual of each pair, and the size of its slope in either bias."""
+        s, e = self.s, self.y - v[self.rx] - v[self.tx]
         up, down = np.maximum(e, 0), np.maximum(-e, 0)
-        res = (s.positive_scale * np.log1p(up / s.positive_scale) - s.negative_slope * s.negative_scale * np.log1p(down / s.negative_scale)) * weight
-        slope = np.where(e >= 0, 1 / (1 + up / s.positive_scale), s.negative_slope / (1 + down / s.negative_scale)) * weight
-        rest = s.diff_weight * (differences @ v - wanted)
-        res = np.concatenate([res, rest, [gauge @ v]])
-        return res, np.vstack([-slope[:, None] * pick, s.diff_weight * differences, gauge])
-
-    v, damping = np.zeros(2 * n), 1e-3
-    res, jac = parts(v)
-    now = res @ res
-    for _ in range(400):
-        grad = jac.T @ res
-        free = ~(((v <= -1) & (grad > 0)) | ((v >= 1) & (grad < 0)))
-        if np.abs(grad[free]).max(initial=0.0) < 1e-12:
-            break
-        h = jac[:, free].T @ jac[:, free]
-        step = np.zeros(2 * n)
-        step[free] = np.linalg.solve(h + damping * np.diag(np.diag(h) + 1e-9), -grad[free])
-        trial = np.clip(v + step, -1, 1)
-        new, new_jac = parts(trial)
-        then = new @ new
-        if then < now:
-            small_step = np.abs(trial - v).max() < 1e-13
-            v, res, jac, now, damping = trial, new, new_jac, then, max(damping / 4, 1e-12)
-            if small_step:
-                break
-        else:
-            damping *= 5
-            if damping > 1e10:
+        res = (s.positive_scale * np.log1p(up / s.positive_scale) - s.negative_slope * s.negative_scale * np.log1p(down / s.negative_scale)) * self.weight
+        return res, np.where(e >= 0, 1 / (1 + up / s.positive_scale), s.negative_slope / (1 + down / s.negative_scale)) * self.weight
+
+    def _differences(self, v: np.ndarray) -> np.ndarray:
+        return self.s.diff_weight * (self.signs @ v[self.ends] - self.wanted)
+
+    def cost(self, v: np.ndarray) -> float:
+        res, rest = self._pairs(v)[0], self._differences(v)
+        return float(res @ res + rest @ rest + (self.gauge * v[self.n :].sum()) ** 2)
+
+    def gradient(self, v: np.ndarray) -> np.ndarray:
+        """Half the gradient of the cost."""
+        res, slope = self._pairs(v)
+        rest, sizes = self.s.diff_weight * self._differences(v), 2 * self.n
+        out = -np.bincount(self.rx, slope * res, sizes) - np.bincount(self.tx, slope * res, sizes)
+        for ends, sign in zip(self.ends, self.signs, strict=True):
+            out += np.bincount(ends, sign * rest, sizes)
+        out[self.n :] += self.gauge**2 * v[self.n :].sum()
+        return out
+
+    def normal(self, v: np.ndarray) -> np.ndarray:
+        slope = self._pairs(v)[1] ** 2
+        h = self.fixed.copy()
+        for i, j in ((self.rx, self.rx), (self.tx, self.tx), (self.rx, self.tx), (self.tx, self.rx)):
+            self._add(h, i, j, slope)
+        return h
+
+    def solve(self, steps: int = 400) -> np.ndarray:
+        """Projected damped Gauss-Newton within [-1, 1]."""
+        v, damping = np.zeros(2 * self.n), 1e-3
+        now, grad, h = self.cost(v), self.gradient(v), self.normal(v)
+        inner = lambda v, grad: np.flatnonzero(~(((v <= -1) & (grad > 0)) | ((v >= 1) & (grad < 0))))
+        steepest = lambda v, grad: np.abs(grad[inner(v, grad)]).max(initial=0.0)
+        for _ in range(steps):
+            free = inner(v, grad)
+            if steepest(v, grad) < 1e-12:
                 break
+            part = h[np.ix_(free, free)]
+            part[np.diag_indices_from(part)] += damping * (part.diagonal() + 1e-9)
+            step = np.zeros(2 * self.n)
+            step[free] = np.linalg.solve(part, -grad[free])
+            trial = np.clip(v + step, -1, 1)
+            then = self.cost(trial)
+            slope = self.gradient(trial)
+            # Where the cost no longer tells steps apart, as it is rounded, the gradient does.
+            if then < now - 1e-12 * now or (then <= now + 1e-12 * now and steepest(trial, slope) < steepest(v, grad)):
+                small_step = np.abs(trial - v).max() < 1e-15
+                v, now, grad, damping = trial, then, slope, max(damping / 4, 1e-12)
+                if small_step:
+                    break
+                h = self.normal(v)
+            else:
+                damping *= 5
+                if damping > 1e10:
+                    break
+        return v
+
+
+def fit_biases(tx: np.ndarray, rx: np.ndarray, y: np.ndarray, weight: np.ndarray, n: int, s: Settings = DEFAULTS) -> tuple[np.ndarray, np.ndarray]:
+    """Receive and send biases (log10) of ``n`` receivers from pairs of their numbers."""
+    v = BiasFit(tx, rx, y, weight, n, s).solve()
     return v[:n], v[n:]
 
 
@@ -177,10 +226,36 @@ def _fit(s: Settings):
 
 
 def calibrate(pairs: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
-    """floor, scanner, rx_log, tx_log: one small dense fit per floor (a floor's receivers squared, never its samples)."""
+    """floor, scanner, rx_log, tx_log: one fit a floor, of its pairs' medians (receivers squared at most, never its samples)."""
     return pairs.select("floor", "tx", "rx", "true_m", "measured_m").groupBy("floor").applyInPandas(_fit(s), "floor string, scanner string, rx_log double, tx_log double")
 
 
+def settled(biases: DataFrame, pairs: DataFrame, s: Settings = DEFAULTS, near: float = 1e-9) -> DataFrame:
+    """floor, scanner, rx_settled, tx_settled: whether the cost's gradient is zero in a bias, or points out of the bound that the bias is at.
+
+    Written as joins and sums over pairs, apart from the fit itself.
+    """
+    rx = small(biases.select("floor", F.col("scanner").alias("rx"), F.col("rx_log").alias("__r")))
+    tx = small(biases.select("floor", F.col("scanner").alias("tx"), F.col("tx_log").alias("__t")))
+    p = log_ratios(pairs).join(rx, ["floor", "rx"]).join(tx, ["floor", "tx"]).withColumn("e", F.col("y") - F.col("__r") - F.col("__t"))
+    up, down = F.greatest("e", F.lit(0.0)), F.greatest(-F.col("e"), F.lit(0.0))
+    res = (s.positive_scale * F.log1p(up / s.positive_scale) - s.negative_slope * s.negative_scale * F.log1p(down / s.negative_scale)) * F.col("weight")
+    slope = F.when(F.col("e") >= 0, 1 / (1 + up / s.positive_scale)).otherwise(s.negative_slope / (1 + down / s.negative_scale)) * F.col("weight")
+    back = p.select("floor", F.col("tx").alias("rx"), F.col("rx").alias("tx"), F.col("e").alias("__e"))
+    # The difference of the two directions counts once for a pair, with either sign in its ends.
+    p = p.withColumn("g", -slope * res).join(back, ["floor", "tx", "rx"], "left").withColumn("g", F.col("g") - s.diff_weight**2 * F.coalesce(F.col("e") - F.col("__e"), F.lit(0.0)))
+    share = p.select("floor", "g", F.inline(F.array(F.struct(F.col("rx").alias("scanner"), F.lit("rx").alias("side")), F.struct(F.col("tx").alias("scanner"), F.lit("tx").alias("side")))))
+    grad = share.groupBy("floor", "scanner").pivot("side", ["rx", "tx"]).agg(F.sum("g"))
+    whole = Window.partitionBy("floor")
+    j = biases.join(grad, ["floor", "scanner"], "left").withColumn("__mean", F.avg("tx_log").over(whole)).withColumn("__n", F.count("*").over(whole))
+    gauge = s.gauge_weight**2 * F.col("__mean") / F.col("__n")
+
+    def rests(bias: str, g) -> F.Column:
+        return (F.abs(g) < near) | ((F.col(bias) <= -1) & (g > 0)) | ((F.col(bias) >= 1) & (g < 0))
+
+    return j.select("floor", "scanner", rests("rx_log", F.coalesce("rx", F.lit(0.0))).alias("rx_settled"), rests("tx_log", F.coalesce("tx", F.lit(0.0)) + gauge).alias("tx_settled"))
+
+
 def corrections(biases: DataFrame, pairs: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
     """floor, scanner, correction (geometric mean 1 before clamping), db, pairs, low_confidence."""
     mean = F.avg(-F.col("rx_log")).over(Window.partitionBy("floor"))

@@ -78,6 +78,13 @@ def m3_calibration(spark, sf):
     return c.select("floor", "scanner", "correction", "db", "pairs", "low_confidence")
 
 
+@query(sql(SAMPLES + ", ends AS (SELECT floor, tx AS scanner FROM pr UNION SELECT floor, rx FROM pr), many AS (SELECT floor FROM pr GROUP BY 1 HAVING count(*) >= 4)", "SELECT floor, scanner, true AS rx_settled, true AS tx_settled FROM ends JOIN many USING (floor)"))
+def m3_settled(spark, sf):
+    """The fit's biases are a minimum: the gradient of the cost, summed over pairs by joins, is zero in each or points out of its bound."""
+    pairs = _pairs(spark, sf)
+    return cal.settled(cal.calibrate(pairs), pairs)
+
+
 FACTORS = RECEIVERS + ", fb AS (SELECT floor, scanner, 0.02e0 * ((rec_seq * 7) % 11) - 0.1e0 AS rx_log, 0.01e0 * ((rec_seq * 5) % 7) AS tx_log FROM rec), ft AS (SELECT *, pow(10e0, -rx_log - avg(-rx_log) OVER (PARTITION BY floor)) AS raw FROM fb), fc AS (SELECT *, round(least(5e0, greatest(0.2e0, raw)), 4) AS correction FROM ft)"
 
 
