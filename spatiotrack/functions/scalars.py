@@ -84,6 +84,14 @@ def token_matches(token: Column, address: Column) -> Column:
     return F.coalesce(tok.rlike("^[0-9a-f]{6}$") & (F.left(tail, F.lit(4)) == F.left(tok, F.lit(4))) & (gap <= 3), F.lit(False))
 
 
+def token_tails(token: Column) -> Column:
+    """The address tails that a token matches: the same vendor part, the last byte up to three above; none for a token that is not hexadecimal."""
+    tok = F.right(F.lower(token), F.lit(6))
+    last = F.conv(F.right(tok, F.lit(2)), 16, 10).cast("int")
+    tails = F.array(*[F.concat(F.left(tok, F.lit(4)), F.lpad(F.lower(F.hex(F.pmod(last + i, F.lit(256)))), 2, "0")) for i in range(4)])
+    return F.when(tok.rlike("^[0-9a-f]{6}$"), tails)
+
+
 def slugify(name: Column) -> Column:
     """Lower case, accents dropped, everything else but ASCII letters and digits to single underscores, none at the ends."""
     plain = F.translate(F.lower(name), *ACCENTS)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -11,12 +9,10 @@ from pyspark.sql import functions as F
 
 from ..constants import DEFAULTS, Settings
 from ..functions import scalars as f
+from ..sources.files import WorkTables
 from .solver import solve
 from .zones import small
 
-#: Candidate links of one layout that are matched in the driver.
-MOST_CANDIDATES = 1_000_000
-
 
 # Samples.
 def rolling_window(samples: DataFrame, keep: int) -> DataFrame:
@@ -47,38 +43,31 @@ def ingest_dump(adverts: DataFrame, matches: DataFrame, s: Settings = DEFAULTS)
 def match_scanners(placed: DataFrame, scanners: DataFrame) -> DataFrame:
     """slug, address, tier: by name, else by a hardware token that points at one free scanner only.
 
-    placed (slug, uid), scanners (address, name). Tier two repeats until nothing new is found,
-    since a scanner that is taken can make another slug's candidate unique.
+    placed (slug, uid), scanners (address, name). Candidates come from equi-joins on name tokens and on the
+    four address tails that a token fits. Tier two peels them in rounds: every slug with one candidate
+    left takes it, of several that want the same the least, and what is taken goes from all others, which
+    can leave another slug with one. It ends when no slug has just one; nothing passes through the driver.
     """
     s = scanners.select(F.lower("address").alias("address"), f.slugify(F.col("name")).alias("name"))
     named = placed.join(s, placed["slug"] == s["name"]).select("slug", "address", F.lit(1).alias("tier"))
     free = s.join(named.select("address"), "address", "left_anti").join(placed.select(F.col("slug").alias("name")), "name", "left_anti")
     waiting = placed.join(named.select("slug"), "slug", "left_anti").withColumn("token", F.coalesce("uid", f.scanner_token(F.col("slug")))).filter("token is not null")
-    pairs = waiting.join(free, (f.scanner_token(F.col("name")) == F.col("token")) | f.token_matches(F.col("token"), F.col("address"))).select("slug", "address").distinct()
-    # Candidates are links of one layout, a few for each placed receiver; what goes to the driver is counted first.
-    if pairs.count() > MOST_CANDIDATES:
-        raise ValueError(f"more than {MOST_CANDIDATES} candidates: match one site's layout at a time")
-    by_slug: dict[str, set] = {}
-    by_address: dict[str, set] = {}
-    for slug, address in pairs.collect():
-        by_slug.setdefault(slug, set()).add(address)
-        by_address.setdefault(address, set()).add(slug)
-    taken: dict[str, str] = {}
-    unique = sorted(slug for slug, found in by_slug.items() if len(found) == 1)
-    while unique:
-        slug = heapq.heappop(unique)
-        # Its one candidate may have gone to another slug since.
-        if not by_slug[slug]:
-            continue
-        taken[slug] = address = by_slug[slug].pop()
-        for other in by_address[address] - {slug}:
-            by_slug[other].discard(address)
-            if len(by_slug[other]) == 1:
-                heapq.heappush(unique, other)
-    if not taken:
-        return named
-    more = placed.sparkSession.createDataFrame([(a, b, 2) for a, b in taken.items()], "slug string, address string, tier int")
-    return named.unionByName(more)
+    by_name = waiting.join(free.withColumn("token", f.scanner_token(F.col("name"))), "token").select("slug", "address")
+    by_address = waiting.withColumn("tail", F.explode(f.token_tails(F.col("token")))).join(free.withColumn("tail", f.address_tail(F.col("address"))), "tail").select("slug", "address")
+    work = WorkTables()
+    pairs = work.keep(by_name.unionByName(by_address).distinct(), "scanner-pairs")
+    more = None
+    while not pairs.isEmpty():
+        lone = pairs.groupBy("slug").agg(F.min("address").alias("address"), F.count("*").alias("n")).filter("n = 1")
+        taken = work.keep(lone.groupBy("address").agg(F.min("slug").alias("slug")), "scanner-taken")
+        if taken.isEmpty():
+            break
+        # A slug whose one candidate went to another has no pair left, and goes too.
+        after = work.keep(pairs.join(taken.select("address"), "address", "left_anti").join(taken.select("slug"), "slug", "left_anti"), "scanner-pairs")
+        work.drop(pairs)
+        pairs, more = after, taken if more is None else more.unionByName(taken)
+    work.drop(pairs)
+    return named if more is None else named.unionByName(more.select("slug", "address", F.lit(2).alias("tier")))
 
 
 # Pairs and fit.

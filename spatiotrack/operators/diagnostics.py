@@ -6,11 +6,13 @@ import difflib
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import DEFAULTS, DISTANCE_PLATFORM, Settings
 from ..functions import scalars as f
+from ..sources.files import WorkTables
 from .zones import small
 
 
@@ -54,33 +56,66 @@ def beacon_links(sensors: DataFrame) -> DataFrame:
     return sensors.groupBy("device").agg(F.sort_array(F.collect_list(heard)).alias("receivers"))
 
 
-def suggest(unmatched: DataFrame, free: DataFrame) -> DataFrame:
-    """A scanner to re-link each unmatched placement to: a unique shared hardware token, else the most similar name (0.55 or more).
+#: Similarities at which candidates are looked for, one after the other; the last is the least that counts.
+LEVELS = (0.9, 0.75, 0.65, 0.55)
+
+
+def _letters(names: DataFrame, name: str) -> DataFrame:
+    """name, n, sym: each letter with the number of its occurrence, so that common letters are a set's overlap."""
+    letters = F.filter(F.split(F.col(name), ""), lambda c: c != "")
+    counted = F.transform(letters, lambda c, i: F.concat(c, F.size(F.filter(F.slice(letters, 1, i + 1), lambda o: o == c)).cast("string")))
+    return names.select(name, F.char_length(name).alias("n"), F.explode(counted).alias("sym"))
 
-    Similarity runs over one row a placement with all free names; these are broadcast while they are small.
+
+def similar_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """a, b, ratio of names (columns a of ``left``, b of ``right``) that are at least ``least`` similar; no pair is missed.
+
+    Twice the common letters over all letters bounds the ratio. With k = least / (2 - least), a pair within the
+    bound shares k n letters of each name of length n, so if letters are ordered from the rarest, the first
+    n - ceil(k n) + 1 of both names share one: an equi-join on those finds every candidate. The ratio
+    itself is computed for candidates alone, after the bound.
     """
-    names = free.agg(F.sort_array(F.collect_set("scanner")).alias("__free"))
+    share = least / (2 - least)
+    sides = _letters(left, "a"), _letters(right, "b")
+    common = small(sides[0].select("sym").unionByName(sides[1].select("sym")).groupBy("sym").agg(F.count("*").alias("df")))
 
-    def best(batches):
-        for b in batches:
-            out = []
-            for slug, token, options in zip(b["scanner"], b["token"], b["__free"], strict=True):
-                same = [o for o in options if isinstance(token, str) and token and _token(o) == token]
-                if len(same) == 1:
-                    out.append(same[0])
-                    continue
-                rated = [(difflib.SequenceMatcher(None, slug, o).ratio(), -i, o) for i, o in enumerate(options)]
-                top = max(rated, default=(0.0, 0, None))
-                out.append(top[2] if top[0] >= 0.55 else None)
-            yield pd.DataFrame({"scanner": b["scanner"], "suggested": out})
+    def rare(rows: DataFrame, name: str) -> DataFrame:
+        at = F.row_number().over(Window.partitionBy(name).orderBy("df", "sym"))
+        return rows.join(common, "sym").withColumn("at", at).filter(F.col("at") <= F.col("n") - F.ceil(share * F.col("n") - 1e-9) + 1).select("sym", name, F.col("n").alias(f"n_{name}"))
+
+    met = rare(sides[0], "a").join(rare(sides[1], "b"), "sym").filter((F.least("n_a", "n_b") >= share * F.greatest("n_a", "n_b") - 1e-9)).select("a", "b").distinct()
+
+    def rate(a: pa.Array, b: pa.Array) -> pa.Array:
+        out = []
+        for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True):
+            m = difflib.SequenceMatcher(None, x, y)
+            r = m.quick_ratio()
+            out.append(m.ratio() if r >= least else r)
+        return pa.array(out, pa.float64())
 
-    rows = unmatched.select("scanner", F.coalesce("uid", f.scanner_token(F.col("scanner"))).alias("token")).join(small(names), how="cross")
-    return rows.mapInPandas(best, "scanner string, suggested string")
+    return met.withColumn("ratio", F.arrow_udf(rate, "double")("a", "b")).filter(F.col("ratio") >= least)
 
 
-def _token(slug: str) -> str | None:
-    last = slug.rsplit("_", 1)[-1].lower()
-    return last if 5 <= len(last) <= 12 and all(c in "0123456789abcdef" for c in last) else None
+def suggest(unmatched: DataFrame, free: DataFrame) -> DataFrame:
+    """A scanner to re-link each unmatched placement to: a unique shared hardware token, else the most similar name (0.55 or more, of equals the first).
+
+    Names are looked for at a high similarity first: whoever has one there needs no other, as the most similar
+    is among those found. What is left goes on to the next level.
+    """
+    work = WorkTables()
+    options = work.keep(free.select("scanner").distinct(), "relink-free")
+    rows = work.keep(unmatched.select("scanner", F.coalesce("uid", f.scanner_token(F.col("scanner"))).alias("token")), "relink-rows")
+    tokens = options.select(f.scanner_token(F.col("scanner")).alias("token"), F.col("scanner").alias("option")).groupBy("token").agg(F.min("option").alias("option"), F.max("option").alias("__last"))
+    found = work.keep(rows.join(tokens.filter("token <> '' and option = __last"), "token").select("scanner", F.col("option").alias("suggested")).distinct(), "relink-found")
+    left = work.keep(rows.select(F.col("scanner").alias("a")).distinct().join(found.select(F.col("scanner").alias("a")), "a", "left_anti"), "relink-left")
+    for level in LEVELS:
+        if left.isEmpty():
+            break
+        pairs = similar_pairs(left, options.select(F.col("scanner").alias("b")), level)
+        best = work.keep(pairs.groupBy("a").agg(F.min(F.struct(-F.col("ratio"), "b"))["b"].alias("suggested")).select(F.col("a").alias("scanner"), "suggested"), "relink-found")
+        after = work.keep(left.join(best.select(F.col("scanner").alias("a")), "a", "left_anti"), "relink-left")
+        found, left = found.unionByName(best), after
+    return rows.select("scanner").join(found, "scanner", "left")
 
 
 def unique_slugs(devices: DataFrame) -> DataFrame:
@@ -98,20 +133,19 @@ def device_online(entities: DataFrame) -> DataFrame:
 
 
 def dump_ages(dumps: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
-    """Which dumps re-anchor the ages: dump, newest, anchored (and source, if dumps have one).
+    """Which dumps re-anchor the ages: source, dump, newest, anchored.
 
-    A dump counts unless its newest stamp lies in the minute up to the last accepted one. The fold
-    runs over one row a dump (the newest stamp), sorted by source and dump, never over its adverts,
-    and carries one number from row to row; each source is a fold of its own.
+    A dump counts unless its newest stamp lies in the minute up to the last accepted one of its source. The
+    fold runs over one row a dump (the newest stamp), sorted by source and dump, never over its adverts,
+    and carries one number from row to row; a source, one installation's clock, is a fold of its own.
     """
-    keys = ["source"] if "source" in dumps.columns else []
-    per = dumps.groupBy(*keys, "dump").agg(F.max("last_seen").cast("double").alias("newest"))
+    per = dumps.groupBy("source", "dump").agg(F.max("last_seen").cast("double").alias("newest"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         source, before = None, None
         for b in batches:
             out = []
-            for key, newest in zip(b["source"] if keys else [None] * len(b), b["newest"], strict=True):
+            for key, newest in zip(b["source"], b["newest"], strict=True):
                 if key != source:
                     source, before = key, None
                 keep = not (before is not None and before - 60 < newest <= before)
@@ -119,7 +153,7 @@ def dump_ages(dumps: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
                 out.append(keep)
             yield b.assign(anchored=out)
 
-    ordered = (per.repartition(*keys) if keys else per.coalesce(1)).sortWithinPartitions(*keys, "dump")
+    ordered = per.repartition("source").sortWithinPartitions("source", "dump")
     return ordered.mapInPandas(run, ", ".join(f"`{c.name}` {c.dataType.simpleString()}" for c in per.schema) + ", anchored boolean")
 
 

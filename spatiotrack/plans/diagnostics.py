@@ -240,16 +240,51 @@ def a20_device_online(spark, sf):
     return dg.device_online(_entities(spark, sf))
 
 
-DUMPS = "dp AS (SELECT event_id // 100 AS dump, ((event_id // 100) * 37 % 90) * 10e0 + event_id % 7 AS last_seen FROM events), nw AS (SELECT dump, max(last_seen) AS newest, row_number() OVER (ORDER BY dump) AS n FROM dp GROUP BY 1)"
+# Dumps of eight installations, each with a clock of its own.
+DUMPS = "dp AS (SELECT (event_id // 100) % 8 AS source, event_id // 100 AS dump, ((event_id // 100) * 37 % 90) * 10e0 + event_id % 7 AS last_seen FROM events), nw AS (SELECT source, dump, max(last_seen) AS newest, row_number() OVER (PARTITION BY source ORDER BY dump) AS n FROM dp GROUP BY 1, 2)"
 
 
-@query(sql(DUMPS + ", k AS (SELECT dump, newest, n, true AS anchored, newest AS prev FROM nw WHERE n = 1 UNION ALL SELECT nw.dump, nw.newest, nw.n, NOT (k.prev - 60 < nw.newest AND nw.newest <= k.prev), CASE WHEN k.prev - 60 < nw.newest AND nw.newest <= k.prev THEN k.prev ELSE nw.newest END FROM k JOIN nw ON nw.n = k.n + 1)", "SELECT CAST(dump AS BIGINT) AS dump, newest, anchored FROM k", recursive=True))
+@query(sql(DUMPS + ", k AS (SELECT source, dump, newest, n, true AS anchored, newest AS prev FROM nw WHERE n = 1 UNION ALL SELECT nw.source, nw.dump, nw.newest, nw.n, NOT (k.prev - 60 < nw.newest AND nw.newest <= k.prev), CASE WHEN k.prev - 60 < nw.newest AND nw.newest <= k.prev THEN k.prev ELSE nw.newest END FROM k JOIN nw ON nw.source = k.source AND nw.n = k.n + 1)", "SELECT source, CAST(dump AS BIGINT) AS dump, newest, anchored FROM k", recursive=True))
 def st11_dump_ages(spark, sf):
     e = F.col("event_id")
-    d = fx.table(spark, sf, "events").select(F.expr("event_id div 100").alias("dump"), ((F.expr("event_id div 100") * 37 % 90) * 10.0 + e % 7).alias("last_seen"))
+    dump = F.expr("event_id div 100")
+    d = fx.table(spark, sf, "events").select((dump % 8).alias("source"), dump.alias("dump"), ((dump * 37 % 90) * 10.0 + e % 7).alias("last_seen"))
     return dg.dump_ages(d)
 
 
+# Dumps of seven installations every fifteen seconds; every sixth hears nothing new, and clocks are reset every forty.
+ALIVE = """dv AS (SELECT (event_id // 20) % 7 AS source, (event_id // 20) // 7 AS n, 'rx' || (user_id % 12) AS scanner, event_id FROM events),
+ds AS (SELECT source, n, scanner, max(2000e0 + (n - CASE WHEN n % 6 = 3 THEN 1 ELSE 0 END) * 15 - CASE WHEN (n // 40) % 2 = 1 THEN 900 ELSE 0 END - event_id * 7 % 50) AS last_seen FROM dv GROUP BY ALL),
+nw AS (SELECT source, n, max(last_seen) AS newest FROM ds GROUP BY ALL),
+k AS (SELECT source, n, newest AS prev, true AS anchored FROM nw WHERE n = 0
+  UNION ALL SELECT nw.source, nw.n, CASE WHEN k.prev - 60 < nw.newest AND nw.newest <= k.prev THEN k.prev ELSE nw.newest END, NOT (k.prev - 60 < nw.newest AND nw.newest <= k.prev) FROM k JOIN nw ON nw.source = k.source AND nw.n = k.n + 1),
+an AS (SELECT source, n, prev AS newest, 1000 + 15e0 * n + source AS moment, lead(n) OVER w AS next_n, lead(1000 + 15e0 * n + source) OVER w AS next_moment, (SELECT 1000 + 15e0 * max(n) + k.source FROM nw WHERE nw.source = k.source) AS last_moment FROM k WHERE anchored WINDOW w AS (PARTITION BY source ORDER BY n)),
+ag AS (SELECT an.*, scanner, newest - last_seen AS age FROM an JOIN ds USING (source, n)),
+ch AS (SELECT source, scanner, moment, 0 AS o, age <= 30 AS online FROM ag
+  UNION ALL SELECT source, scanner, moment + 30 - age, 1, false FROM ag WHERE age <= 30 AND moment + 30 - age < coalesce(next_moment, last_moment)
+  UNION ALL SELECT source, scanner, next_moment, 0, NULL FROM ag WHERE next_n IS NOT NULL AND (source, next_n, scanner) NOT IN (SELECT (source, n, scanner) FROM ds)),
+lg AS (SELECT *, row_number() OVER w AS i, lag(online) OVER w AS before FROM ch WINDOW w AS (PARTITION BY source, scanner ORDER BY moment, o))"""
+
+
+@query(sql(ALIVE, "SELECT CAST(source AS VARCHAR) AS source, scanner, moment, online FROM lg WHERE i = 1 OR online IS DISTINCT FROM before", recursive=True))
+def st11_liveness(spark, sf):
+    """Receivers that go quiet, come back or leave, from a stream of dumps that comes in three parts."""
+    from ..sources.files import work_folder
+    from ..streaming.liveness import OUT, liveness_stream
+    from ..streaming.tracker import run_to_end
+
+    e, n = F.col("event_id"), F.expr("(event_id div 20) div 7")
+    clock = 2000.0 + (n - F.when(n % 6 == 3, 1).otherwise(0)) * 15 - F.when(F.expr("((event_id div 20) div 7) div 40 % 2 = 1"), 900).otherwise(0)
+    source = F.expr("(event_id div 20) % 7")
+    dumps = fx.table(spark, sf, "events").select(source.cast("string").alias("source"), F.timestamp_seconds(1000 + n * 15 + source).alias("ts"), F.concat(F.lit("rx"), F.col("user_id") % 12).alias("scanner"), (clock - e * 7 % 50).alias("last_seen"), n.alias("n"))
+    folder, sink = work_folder(spark, "dumps"), work_folder(spark, "liveness")
+    last = dumps.agg(F.max("n")).first()[0] or 0
+    for k in range(3):
+        dumps.filter(F.expr(f"n * 3 div {last + 1} = {k}")).drop("n").write.mode("append").parquet(folder)
+        run_to_end(liveness_stream(spark.readStream.schema(dumps.drop("n").schema).parquet(folder)), sink, sink + "-state")
+    return spark.read.schema(OUT).parquet(sink).withColumnRenamed("at", "moment")
+
+
 @query(sql(DUMPS, "SELECT CAST(dump AS BIGINT) AS dump, newest FROM nw"))
 def a15_newest_stamp(spark, sf):
     d = fx.table(spark, sf, "events").select(F.expr("event_id div 100").alias("dump"), ((F.expr("event_id div 100") * 37 % 90) * 10.0 + F.col("event_id") % 7).alias("last_seen"))

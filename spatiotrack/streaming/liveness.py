@@ -81,8 +81,7 @@ def _dumps(rows: pd.DataFrame) -> Iterator[tuple[float, float, dict]]:
 
 
 def _frame(source, changes: list[tuple]) -> pd.DataFrame:
-    out = pd.DataFrame([(source, *c) for c in changes], columns=NAMES)
-    return out.astype({"online": "object"})
+    return pd.DataFrame([(source, *c) for c in changes], columns=NAMES).astype({"online": "boolean", "at": "float64"})
 
 
 def liveness_stream(dumps: DataFrame, s: Settings = DEFAULTS, late: str = "30 seconds") -> DataFrame:

@@ -94,3 +94,36 @@ def test_similar_names_are_suggested(spark):
     free = spark.createDataFrame([("kitchen_prob",), ("garage",)], "scanner string")
     got = {r.scanner: r.suggested for r in dg.suggest(unmatched, free).collect()}
     assert got == {"kitchen_probe": "kitchen_prob", "zzz": None}
+
+
+def test_peeling_ends_at_ambiguous_slugs_and_grows_with_the_input(spark):
+    # Two slugs that share both candidates stay open; of two that want one address the least gets it.
+    placed = spark.createDataFrame([("a_1", "cc0001"), ("b_1", "cc0001"), ("c_1", "dd0001"), ("d_1", "dd0001"), ("e_1", "not-hex"), ("f_1", None)], "slug string, uid string")
+    scanners = spark.createDataFrame([("11:22:33:cc:00:01", "X"), ("11:22:33:cc:00:02", "Y"), ("11:22:33:dd:00:03", "Z"), (None, "N"), ("11:22:33:ff:ff:ff", None)], "address string, name string")
+    got = {r.slug: r.address for r in match_scanners(placed, scanners).collect()}
+    assert got == {"c_1": "11:22:33:dd:00:03"}
+    many = spark.range(20000).selectExpr("concat('old_', id, '_', lower(lpad(hex(id * 16 + 8), 6, '0'))) AS slug", "cast(null AS string) AS uid")
+    addresses = spark.range(20000).selectExpr("concat('aa', 'bb', 'cc', lpad(hex(id * 16 + 8 + id % 3), 6, '0')) AS address", "concat('n ', id) AS name")
+    matched = match_scanners(many, addresses)
+    assert matched.count() == 20000 and matched.filter("tier = 2 and substring_index(slug, '_', -1) > right(address, 6)").count() == 0
+
+
+def test_suggestions_equal_all_pairs(spark):
+    import difflib
+    import random
+
+    rng = random.Random(8)
+    parts = "kitchen hall office lab probe room den attic garage north south 1 2 3 esp32 ble proxy küche".split()
+    names = sorted({"_".join(rng.sample(parts, rng.randint(1, 3))) for _ in range(260)})
+    free, rows = names[::2], [(n, rng.choice([None, None, None, "a1b2c3"])) for n in names[1::2]] + [("zzzzzz", None), ("", None), (free_token := "x_a1b2c3", None)]
+    free = [*free, "probe_a1b2c3", "qq"]
+    assert free_token
+    got = {r.scanner: r.suggested for r in dg.suggest(spark.createDataFrame(rows, "scanner string, uid string"), spark.createDataFrame([(n,) for n in free], "scanner string")).collect()}
+    for name, uid in rows:
+        token = uid or ("a1b2c3" if name.endswith("_a1b2c3") else None)
+        if token:
+            want = "probe_a1b2c3"
+        else:
+            ratio, _, best = max((difflib.SequenceMatcher(None, name, o).ratio(), -i, o) for i, o in enumerate(sorted(free)))
+            want = best if ratio >= 0.55 else None
+        assert got[name] == want, name
