@@ -9,7 +9,7 @@ from ..operators import calibration as cal
 from ..sources import files
 from ..sources import fixtures as fx
 from ..streaming import calibration as sc
-from .common import EDGES, RECEIVERS, solved, sql
+from .common import EDGES, RECEIVERS, SUPPLIED, solved, sql
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -45,9 +45,12 @@ def _pairs(spark, sf):
     return cal.usable_pairs(_samples(spark, sf), fx.receivers(spark))
 
 
-@query(sql(SAMPLES, "SELECT floor, tx, rx, round(true_m, 6) AS true_m FROM td"))
+APART = SUPPLIED + ", td AS (SELECT a.floor, a.scanner AS tx, b.scanner AS rx, sqrt(((a.x - b.x) / 40e0) * ((a.x - b.x) / 40e0) + ((a.y - b.y) / 40e0) * ((a.y - b.y) / 40e0) + coalesce(a.height - b.height, 0e0) * coalesce(a.height - b.height, 0e0)) AS true_m FROM rec a JOIN rec b ON a.floor = b.floor AND a.scanner <> b.scanner)"
+
+
+@query(sql(APART, "SELECT floor, tx, rx, round(true_m, 6) AS true_m FROM td"))
 def p7_true_distance(spark, sf):
-    return cal.true_distances(fx.receivers(spark)).select("floor", "tx", "rx", F.round("true_m", 6).alias("true_m"))
+    return cal.true_distances(fx.supplied(spark, sf)).select("floor", "tx", "rx", F.round("true_m", 6).alias("true_m"))
 
 
 @query(sql(SAMPLES, "SELECT tx, rx, round(measured_m, 6) AS measured_m, samples FROM md WHERE samples >= 5"))
@@ -208,13 +211,13 @@ def m4_selftest(spark, sf):
     return cal.selftest(_samples(spark, sf), fx.receivers(spark), fx.zones(spark)).drop("floor_seq")
 
 
-ERRORS = RECEIVERS + ", er AS (SELECT floor, scanner, rec_seq AS place, CASE WHEN rec_seq % 6 <> 5 THEN ((rec_seq * 37) % 23) / 8e0 END AS error_m FROM rec)"
+ERRORS = SUPPLIED + ", er AS (SELECT floor, scanner, rec_seq AS place, CASE WHEN rec_seq % 6 <> 5 THEN ((rec_seq * 37) % 23) / 8e0 END AS error_m FROM rec)"
 
 
 @query(sql(ERRORS, "SELECT floor, count(*) AS placed, count(error_m) AS solved, round(quantile_cont(error_m, 0.5), 3) AS cep50_m, round(quantile_cont(error_m, 0.95), 3) AS cep95_m, round(avg(error_m), 3) AS mean_m, round(max(error_m), 3) AS max_m, arg_max(scanner, struct_pack(a := coalesce(error_m, -1), b := -place)) AS worst FROM er GROUP BY GROUPING SETS ((floor), ())"))
 def a11_selftest_summary(spark, sf):
     k = F.col("rec_seq")
-    er = fx.receivers(spark).select("floor", "scanner", k.alias("place"), F.when(k % 6 != 5, ((k * 37) % 23) / 8.0).alias("error_m"))
+    er = fx.supplied(spark, sf).select("floor", "scanner", k.alias("place"), F.when(k % 6 != 5, ((k * 37) % 23) / 8.0).alias("error_m"))
     return cal.selftest_summary(er)
 
 
@@ -260,7 +263,7 @@ CHANGE = ERRORS + ", ol AS (SELECT CASE WHEN rec_seq % 5 <> 4 THEN ((rec_seq * 2
 @query(sql(CHANGE, "SELECT metric, now_m, baseline_m, round(now_m - baseline_m, 3) AS change_m, CASE WHEN round(now_m - baseline_m, 3) < 0 THEN 'improved' WHEN round(now_m - baseline_m, 3) > 0 THEN 'worse' ELSE 'same' END AS verdict FROM m JOIN n USING (metric)"))
 def k10_selftest_change(spark, sf):
     k = F.col("rec_seq")
-    r = fx.receivers(spark)
+    r = fx.supplied(spark, sf)
     rows = lambda error: r.select("floor", "scanner", k.alias("place"), error.alias("error_m"))
     new, old = rows(F.when(k % 6 != 5, ((k * 37) % 23) / 8.0)), rows(F.when(k % 5 != 4, ((k * 29) % 19) / 8.0))
     return sc.selftest_change(cal.selftest_summary(new), cal.selftest_summary(old))

@@ -13,6 +13,21 @@ rec AS (SELECT CAST(r // 4 AS INTEGER) AS floor_seq, 'f' || (r // 4) AS floor, C
   CAST(200 + (r % 2) * 1600 AS DOUBLE) AS x, CAST(200 + ((r % 4) // 2) * 1000 AS DOUBLE) AS y,
   CASE WHEN r % 3 = 0 THEN 2.2e0 END AS height, 0.9e0 + 0.02e0 * r AS correction, 40e0 AS scale FROM range(12) AS t(r))"""
 
+#: The same receivers, one for each supplier.
+SUPPLIED = RECEIVERS.replace("0.02e0 * r AS correction", "0.02e0 * (r % 12) AS correction").replace("FROM range(12) AS t(r)", "FROM (SELECT s_suppkey AS r FROM supplier)")
+
+# Six rooms a floor, in two rows, with integer wobble; on every third floor the second row is shifted, so that its corners lie on walls.
+ROOMS6 = """rm AS (SELECT p_partkey // 6 AS f, p_partkey % 6 AS seq, p_partkey AS k, (p_partkey % 6) % 3 AS cx, (p_partkey % 6) // 3 AS cy FROM part),
+vx AS (SELECT f, seq, k, i, seq * 4 + i AS v, CAST(cx * 204 + CASE WHEN f % 3 = 0 THEN cy * 100 ELSE 0 END + CASE WHEN i IN (1, 2) THEN 200 ELSE 0 END + (k * (7 + i * 5)) % 9 - 4 AS DOUBLE) AS x,
+  CAST(cy * 154 + CASE WHEN i IN (2, 3) THEN 150 ELSE 0 END + (k * (11 + i * 3)) % 7 - 3 AS DOUBLE) AS y FROM rm, range(4) AS t(i))"""
+
+#: Their walls, in the form of the fixture's edges.
+ROOM_EDGES = (
+    ROOMS6
+    + """,
+red AS (SELECT CAST(a.f AS INTEGER) AS floor_seq, CAST(a.seq AS INTEGER) AS zone_seq, 'room' || a.k AS zone, a.k % 11 = 5 AS no_go, a.i, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS bz FROM vx a JOIN vx b ON a.k = b.k AND b.i = (a.i + 1) % 4)"""
+)
+
 STATES = (
     TRUTH
     + ","

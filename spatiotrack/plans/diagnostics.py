@@ -10,7 +10,7 @@ from ..operators import calibration as cal
 from ..operators import diagnostics as dg
 from ..operators import links as lk
 from ..sources import fixtures as fx
-from .common import RECEIVERS, STATES, sql
+from .common import STATES, SUPPLIED, sql
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -176,13 +176,6 @@ def p13_online_states(spark, sf):
     return v.select("event_id", f.looks_online(F.col("s")).alias("online"), f.has_reading(F.col("s")).alias("reading"))
 
 
-@query(sql("v AS (SELECT event_id, (event_id % 4001) / 100e0 AS m FROM events)", "SELECT event_id, printf('%.1f', round(m, 1)) || ' m' AS label FROM v WHERE event_id % 4001 % 10 <> 5"))
-def p28_distance_label(spark, sf):
-    e = fx.table(spark, sf, "events").filter(F.col("event_id") % 4001 % 10 != 5)
-    return e.select("event_id", f.distance_label((F.col("event_id") % 4001) / 100.0).alias("label"))
-
-
-# All events: printf rounds by the exact value, but exact halves (x.25, x.75) to even.
 @query(sql("v AS (SELECT event_id, (event_id % 4001) / 100e0 AS m FROM events)", "SELECT event_id, printf('%.1f', CASE WHEN event_id % 4001 % 50 = 25 THEN m + 0.01e0 ELSE m END) || ' m' AS label FROM v"))
 def p28b_distance_label_all(spark, sf):
     e = fx.table(spark, sf, "events")
@@ -291,27 +284,28 @@ def a15_newest_stamp(spark, sf):
     return d.groupBy("dump").agg(F.max("last_seen").alias("newest"))
 
 
-TIERS = RECEIVERS + ", tg AS (SELECT scanner, rec_seq AS k, CASE WHEN rec_seq % 4 = 0 THEN rec_seq * 8e0 END AS age, CASE WHEN rec_seq % 4 = 1 THEN CASE WHEN rec_seq < 6 THEN 'on' ELSE 'off' END END AS s, CASE WHEN rec_seq % 4 = 2 THEN rec_seq > 5 END AS d, rec_seq = 3 AS r FROM rec)"
+TIERS = SUPPLIED + ", tk AS (SELECT scanner, rec_seq % 12 AS k FROM rec), tg AS (SELECT scanner, k, CASE WHEN k % 4 = 0 THEN k * 8e0 END AS age, CASE WHEN k % 4 = 1 THEN CASE WHEN k < 6 THEN 'on' ELSE 'off' END END AS s, CASE WHEN k % 4 = 2 THEN k > 5 END AS d, k = 3 AS r FROM tk)"
 
 
-def _tiers(spark):
-    r = fx.receivers(spark)
-    k = F.col("rec_seq")
+def _tiers(spark, sf):
+    r = fx.supplied(spark, sf)
+    k = F.col("rec_seq") % 12
     ages = r.filter(k % 4 == 0).select("scanner", (k * 8.0).alias("age"))
     status = r.filter(k % 4 == 1).select("scanner", F.when(k < 6, "on").otherwise("off").alias("state"), F.lit("connectivity").alias("device_class"))
     devices = r.filter(k % 4 == 2).select("scanner", (k > 5).alias("online"))
-    return r, ages, status, devices, r.filter("rec_seq = 3").select("scanner")
+    return r, ages, status, devices, r.filter(k == 3).select("scanner")
 
 
 @query(sql(TIERS, "SELECT scanner, CASE WHEN age IS NOT NULL THEN age <= 30 WHEN s IS NOT NULL THEN s = 'on' WHEN d IS NOT NULL THEN d ELSE r END AS online, CASE WHEN age IS NOT NULL THEN 1 WHEN s IS NOT NULL THEN 2 WHEN d IS NOT NULL THEN 3 ELSE 4 END AS tier FROM tg"))
 def st12_receiver_status(spark, sf):
-    return dg.receiver_status(*_tiers(spark))
+    return dg.receiver_status(*_tiers(spark, sf))
 
 
 @query(sql(TIERS, "SELECT scanner, CASE WHEN k % 5 = 0 THEN k < 6 WHEN age IS NOT NULL THEN age <= 30 WHEN s IS NOT NULL THEN s = 'on' WHEN d IS NOT NULL THEN d ELSE r END AS online, CASE WHEN k % 5 = 0 THEN 1 WHEN age IS NOT NULL THEN 2 WHEN s IS NOT NULL THEN 3 WHEN d IS NOT NULL THEN 4 ELSE 5 END AS tier FROM tg"))
 def st13_card_status(spark, sf):
-    r, *rest = _tiers(spark)
-    o = r.filter("rec_seq % 5 = 0").select("scanner", F.when(F.col("rec_seq") < 6, "on").otherwise("off").alias("state"))
+    r, *rest = _tiers(spark, sf)
+    k = F.col("rec_seq") % 12
+    o = r.filter(k % 5 == 0).select("scanner", F.when(k < 6, "on").otherwise("off").alias("state"))
     return dg.receiver_status(r, *rest, override=o)
 
 
@@ -335,9 +329,9 @@ def j20_via_device(spark, sf):
     return dg.via_device(t, reg, d)
 
 
-@query(sql(RECEIVERS + ", rp AS (SELECT scanner, CASE rec_seq % 3 WHEN 0 THEN 'unmatched' WHEN 1 THEN 'no_data' END AS cause FROM rec WHERE rec_seq <> 4), pn AS (SELECT scanner FROM rec WHERE rec_seq <> 7)", "SELECT scanner, cause AS status FROM rp WHERE cause IS NOT NULL AND scanner IN (SELECT scanner FROM pn) UNION ALL SELECT scanner, 'placed_since' FROM pn WHERE scanner NOT IN (SELECT scanner FROM rp)"))
+@query(sql(SUPPLIED + ", rp AS (SELECT scanner, CASE rec_seq % 3 WHEN 0 THEN 'unmatched' WHEN 1 THEN 'no_data' END AS cause FROM rec WHERE rec_seq <> 4), pn AS (SELECT scanner FROM rec WHERE rec_seq <> 7)", "SELECT scanner, cause AS status FROM rp WHERE cause IS NOT NULL AND scanner IN (SELECT scanner FROM pn) UNION ALL SELECT scanner, 'placed_since' FROM pn WHERE scanner NOT IN (SELECT scanner FROM rp)"))
 def j21_report_now(spark, sf):
-    r = fx.receivers(spark)
+    r = fx.supplied(spark, sf)
     k = F.col("rec_seq")
     report = r.filter(k != 4).select("scanner", F.when(k % 3 == 0, "unmatched").when(k % 3 == 1, "no_data").alias("cause"))
     return dg.report_now(report, r.filter(k != 7))
@@ -358,11 +352,11 @@ def a22_merged_floors(spark, sf):
 
 
 # Links.
-MATRIX = RECEIVERS + ", mx AS (SELECT a.floor, a.scanner AS tx, b.scanner AS rx, a.rec_seq AS i, b.rec_seq AS j, sqrt(((a.x - b.x) / 40e0) * ((a.x - b.x) / 40e0) + ((a.y - b.y) / 40e0) * ((a.y - b.y) / 40e0) + coalesce(a.height - b.height, 0e0) * coalesce(a.height - b.height, 0e0)) AS t FROM rec a JOIN rec b ON a.floor = b.floor AND a.scanner <> b.scanner), mm AS (SELECT *, t * (1 + ((i + j) % 3 - 1) * 0.015e0) AS true_m, t * (1 + ((i * 7 + j * 11) % 13 - 6) / 10e0) AS corrected_m FROM mx), lk AS (SELECT floor, least(tx, rx) AS a, greatest(tx, rx) AS b, min(t) AS live_m, arg_min(true_m, tx) AS true_m, avg(corrected_m) AS detected, arg_max(greatest(-1e0, least(1e0, corrected_m / true_m - 1)), struct_pack(p := abs(greatest(-1e0, least(1e0, corrected_m / true_m - 1))), q := CASE WHEN tx < rx THEN 1 ELSE 0 END)) AS worst FROM mm GROUP BY 1, 2, 3), hu AS (SELECT *, abs(live_m - true_m) > greatest(0.1e0, 0.02e0 * true_m) AS stale, 240 - (worst + 1) * 120 AS hue FROM lk)"
+MATRIX = SUPPLIED + ", mx AS (SELECT a.floor, a.scanner AS tx, b.scanner AS rx, a.rec_seq AS i, b.rec_seq AS j, sqrt(((a.x - b.x) / 40e0) * ((a.x - b.x) / 40e0) + ((a.y - b.y) / 40e0) * ((a.y - b.y) / 40e0) + coalesce(a.height - b.height, 0e0) * coalesce(a.height - b.height, 0e0)) AS t FROM rec a JOIN rec b ON a.floor = b.floor AND a.scanner <> b.scanner), mm AS (SELECT *, t * (1 + ((i + j) % 3 - 1) * 0.015e0) AS true_m, t * (1 + ((i * 7 + j * 11) % 13 - 6) / 10e0) AS corrected_m FROM mx), lk AS (SELECT floor, least(tx, rx) AS a, greatest(tx, rx) AS b, min(t) AS live_m, arg_min(true_m, tx) AS true_m, avg(corrected_m) AS detected, arg_max(greatest(-1e0, least(1e0, corrected_m / true_m - 1)), struct_pack(p := abs(greatest(-1e0, least(1e0, corrected_m / true_m - 1))), q := CASE WHEN tx < rx THEN 1 ELSE 0 END)) AS worst FROM mm GROUP BY 1, 2, 3), hu AS (SELECT *, abs(live_m - true_m) > greatest(0.1e0, 0.02e0 * true_m) AS stale, 240 - (worst + 1) * 120 AS hue FROM lk)"
 
 
-def _links(spark):
-    r = fx.receivers(spark)
+def _links(spark, sf):
+    r = fx.supplied(spark, sf)
     a = r.select("floor", F.col("scanner").alias("tx"), F.col("rec_seq").alias("i"))
     from ..operators.calibration import true_distances
 
@@ -375,35 +369,36 @@ def _links(spark):
 
 @query(sql(MATRIX, "SELECT floor, a, b, round(detected, 5) AS detected, round(worst, 5) AS worst, stale, round(hue, 3) AS hue, CASE WHEN stale THEN 'stale' WHEN hue < 90 THEN 'red' WHEN hue > 150 THEN 'blue' ELSE 'green' END AS band FROM hu"))
 def a17_links(spark, sf):
-    return _links(spark).select("floor", "a", "b", F.round("detected", 5).alias("detected"), F.round("worst", 5).alias("worst"), "stale", F.round("hue", 3).alias("hue"), "band")
+    return _links(spark, sf).select("floor", "a", "b", F.round("detected", 5).alias("detected"), F.round("worst", 5).alias("worst"), "stale", F.round("hue", 3).alias("hue"), "band")
 
 
 @query(sql(MATRIX, "SELECT floor, a, b, count(*) AS directions FROM (SELECT floor, least(tx, rx) AS a, greatest(tx, rx) AS b FROM mm) GROUP BY 1, 2, 3"))
 def j19_undirected_links(spark, sf):
     from ..operators.calibration import true_distances
 
-    t = true_distances(fx.receivers(spark))
+    t = true_distances(fx.supplied(spark, sf))
     return t.groupBy("floor", F.least("tx", "rx").alias("a"), F.greatest("tx", "rx").alias("b")).agg(F.count(F.lit(1)).alias("directions"))
 
 
 @query(sql(MATRIX + ", e AS (SELECT floor, a, b, live_m, a AS e FROM lk UNION ALL SELECT floor, a, b, live_m, b FROM lk), k AS (SELECT *, row_number() OVER (PARTITION BY floor, e ORDER BY round(live_m, 9), a, b) AS k FROM e)", "SELECT DISTINCT floor, a, b FROM k WHERE k <= 1"))
 def w8_nearest_links(spark, sf):
-    return lk.nearest_links(_links(spark).withColumn("live_m", F.round("live_m", 9)), 1).select("floor", "a", "b")
+    return lk.nearest_links(_links(spark, sf).withColumn("live_m", F.round("live_m", 9)), 1).select("floor", "a", "b")
 
 
-@query(sql(RECEIVERS, "SELECT floor, scanner, CAST(row_number() OVER (PARTITION BY floor ORDER BY rec_seq) - 1 AS INTEGER) AS i FROM rec"))
+@query(sql(SUPPLIED, "SELECT floor, scanner, CAST(row_number() OVER (PARTITION BY floor ORDER BY rec_seq) - 1 AS INTEGER) AS i FROM rec"))
 def w9_sibling_index(spark, sf):
     from pyspark.sql import Window
 
     w = Window.partitionBy("floor").orderBy("rec_seq")
-    return fx.receivers(spark).select("floor", "scanner", (F.row_number().over(w) - 1).alias("i"))
+    return fx.supplied(spark, sf).select("floor", "scanner", (F.row_number().over(w) - 1).alias("i"))
 
 
-@query(sql(RECEIVERS + ", s AS (SELECT * FROM (VALUES ('f0', 40e0), ('f1', 0e0), ('f2', NULL)) AS t(floor, scale))", "SELECT floor, scale FROM s WHERE scale > 0"))
+@query(sql("s AS (SELECT 'f' || n_nationkey AS floor, CASE n_nationkey % 4 WHEN 1 THEN 0e0 WHEN 2 THEN NULL WHEN 3 THEN -40e0 ELSE 40e0 + n_nationkey END AS scale FROM nation)", "SELECT floor, scale FROM s WHERE scale > 0"))
 def s10_scales(spark, sf):
     from ..operators.evaluation import usable_scales
 
-    rows = spark.range(3).select(F.concat(F.lit("f"), "id").alias("floor"), F.when(F.col("id") == 0, 40.0).when(F.col("id") == 1, 0.0).alias("scale"))
+    n = F.col("n_nationkey")
+    rows = fx.table(spark, sf, "nation").select(F.concat(F.lit("f"), n).alias("floor"), F.when(n % 4 == 1, 0.0).when(n % 4 == 3, -40.0).when(n % 4 == 0, 40.0 + n).alias("scale"))
     return usable_scales(rows)
 
 

@@ -11,7 +11,7 @@ from ..operators import readings as rd
 from ..operators import tracking as tk
 from ..operators import zones as zn
 from ..sources import fixtures as fx
-from .common import EDGES, READINGS, RECEIVERS, RECORDING, STATES, SUB_EDGES, TRUTH, WEIGHTED, point_zones, solved, sql
+from .common import EDGES, READINGS, RECEIVERS, RECORDING, ROOM_EDGES, STATES, SUB_EDGES, SUPPLIED, TRUTH, WEIGHTED, point_zones, solved, sql
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -136,11 +136,11 @@ def p18_solver_bounds(spark, sf):
     return rd.floor_bounds(_readings(spark, sf), fx.zones(spark)).select("device", "tick", "floor_seq", "minx", "miny", "maxx", "maxy")
 
 
-@query(sql(RECEIVERS + "," + EDGES + ", v AS (SELECT floor_seq, x, y FROM rec UNION ALL SELECT floor_seq, ax, ay FROM zed), b AS (SELECT floor_seq, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1 FROM v GROUP BY 1)", "SELECT floor_seq, x0 - 0.1e0 * greatest(x1 - x0, y1 - y0, 1e0) AS minx, y0 - 0.1e0 * greatest(x1 - x0, y1 - y0, 1e0) AS miny, x1 + 0.1e0 * greatest(x1 - x0, y1 - y0, 1e0) AS maxx, y1 + 0.1e0 * greatest(x1 - x0, y1 - y0, 1e0) AS maxy FROM b"))
+@query(sql(SUPPLIED + "," + ROOM_EDGES + ", v AS (SELECT floor_seq, x, y FROM rec UNION ALL SELECT floor_seq, ax, ay FROM red), b AS (SELECT floor_seq, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1 FROM v GROUP BY 1)", "SELECT floor_seq, x0 - 0.1e0 * greatest(x1 - x0, y1 - y0, 1e0) AS minx, y0 - 0.1e0 * greatest(x1 - x0, y1 - y0, 1e0) AS miny, x1 + 0.1e0 * greatest(x1 - x0, y1 - y0, 1e0) AS maxx, y1 + 0.1e0 * greatest(x1 - x0, y1 - y0, 1e0) AS maxy FROM b"))
 def p19_selftest_bounds(spark, sf):
     from ..operators.calibration import selftest_bounds
 
-    return selftest_bounds(fx.receivers(spark), fx.zones(spark))
+    return selftest_bounds(fx.supplied(spark, sf), fx.rooms(spark, sf))
 
 
 FIT = WEIGHTED + "," + "fixes AS (SELECT 'dev' || device AS device, tick, CAST(true_x + (event_id * 37) % 401 - 200 AS DOUBLE) AS fx, CAST(true_y + (event_id * 53) % 301 - 150 AS DOUBLE) AS fy FROM tr), fit AS (SELECT device, tick, floor_seq, fx, fy, count(*) AS n, sqrt(sum(w * pow(sqrt((x - fx) * (x - fx) + (y - fy) * (y - fy)) - r, 2)) / sum(w)) * sqrt(count(*) / greatest(count(*) - 2e0, 1e0)) / 40e0 AS rms_m FROM wt JOIN fixes USING (device, tick) GROUP BY ALL), sc AS (SELECT *, least(1e0, n / 5e0) AS coverage FROM fit), cf AS (SELECT *, 0.5e0 * coverage + 0.5e0 / (1 + (rms_m / 2) * (rms_m / 2)) AS conf FROM sc)"
@@ -203,9 +203,9 @@ def j16_no_go(spark, sf):
     return _located(spark, sf).filter("no_go").select("event_id")
 
 
-@query(sql(RECEIVERS + "," + EDGES + ", pts AS (SELECT scanner AS id, floor_seq, x AS px, y AS py FROM rec)," + point_zones("pts") + ", hit AS (SELECT id, arg_min(zone, zone_seq) AS zone FROM pz WHERE odd GROUP BY 1)", "SELECT scanner, coalesce(zone, '__unzoned__::' || floor) AS zone_group FROM rec LEFT JOIN hit ON id = scanner"))
+@query(sql(SUPPLIED + "," + ROOM_EDGES + ", pts AS (SELECT scanner AS id, floor_seq, x AS px, y AS py FROM rec)," + point_zones("pts", "red") + ", hit AS (SELECT id, arg_min(zone, zone_seq) AS zone FROM pz WHERE odd GROUP BY 1)", "SELECT scanner, coalesce(zone, '__unzoned__::' || floor) AS zone_group FROM rec LEFT JOIN hit ON id = scanner"))
 def j17_receiver_groups(spark, sf):
-    return zn.group_receivers(fx.receivers(spark), fx.zones(spark)).select("scanner", "zone_group")
+    return zn.group_receivers(fx.supplied(spark, sf), fx.rooms(spark, sf)).select("scanner", "zone_group")
 
 
 @query(sql(PTS + ", near AS (SELECT id, px, py, floor_seq, bool_or(odd OR d <= 1e-9) AS covered FROM pz WHERE NOT no_go GROUP BY ALL), cand AS (SELECT id, px, py, greatest(0e0, least(1e0, ((px - ax) * (bx - ax) + (py - ay) * (bz - ay)) / ((bx - ax) * (bx - ax) + (bz - ay) * (bz - ay)))) AS t, ax, ay, bx, bz FROM near JOIN zed USING (floor_seq) WHERE NOT covered AND NOT zed.no_go), q AS (SELECT id, ax + t * (bx - ax) AS qx, ay + t * (bz - ay) AS qy, px, py FROM cand), best AS (SELECT id, arg_min(qx, struct_pack(a := sqrt((px - qx) * (px - qx) + (py - qy) * (py - qy)), b := qx, c := qy)) AS qx, arg_min(qy, struct_pack(a := sqrt((px - qx) * (px - qx) + (py - qy) * (py - qy)), b := qx, c := qy)) AS qy FROM q GROUP BY 1)", "SELECT near.id AS event_id, round(coalesce(qx, px), 5) AS x, round(coalesce(qy, py), 5) AS y FROM near LEFT JOIN best USING (id) WHERE floor_seq <> 1"))
@@ -245,9 +245,9 @@ def g4_snap_no_go_moved(spark, sf):
     return out.select("event_id", F.round(F.sqrt((x - F.col("x0")) ** 2 + (y - F.col("y0")) ** 2), 4).alias("moved"), (inside & clear).alias("valid"))
 
 
-@query(sql(EDGES, "SELECT floor_seq, zone_seq, zone, round(abs(sum(ax * bz - bx * ay)) / 2, 6) AS area, min(ax) AS minx, min(ay) AS miny, max(ax) AS maxx, max(ay) AS maxy, round(0.05e0 * (max(ax) - min(ax) + max(ay) - min(ay)) / 2, 6) AS buffer FROM zed GROUP BY ALL"))
+@query(sql(ROOM_EDGES, "SELECT floor_seq, zone_seq, zone, round(abs(sum(ax * bz - bx * ay)) / 2, 6) AS area, min(ax) AS minx, min(ay) AS miny, max(ax) AS maxx, max(ay) AS maxy, round(0.05e0 * (max(ax) - min(ax) + max(ay) - min(ay)) / 2, 6) AS buffer FROM red GROUP BY ALL"))
 def g1_zone_shapes(spark, sf):
-    z = fx.zones(spark)
+    z = fx.rooms(spark, sf)
     ring = F.when(~F.col("poly") & (F.size("ring") == 4), g.by_angle(F.col("ring"))).otherwise(F.col("ring"))
     b = g.bounds(F.col("ring"))
     return z.withColumn("ring", ring).select("floor_seq", "zone_seq", "zone", F.round(g.area(F.col("ring")), 6).alias("area"), b["minx"].alias("minx"), b["miny"].alias("miny"), b["maxx"].alias("maxx"), b["maxy"].alias("maxy"), F.round((b["maxx"] - b["minx"] + b["maxy"] - b["miny"]) / 2 * 0.05, 6).alias("buffer"))

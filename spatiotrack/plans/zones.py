@@ -9,7 +9,7 @@ from ..functions import geometry as g
 from ..operators import adjust as ad
 from ..sources import files
 from ..sources import fixtures as fx
-from .common import sql
+from .common import ROOMS6, SUPPLIED, sql
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -96,19 +96,10 @@ def z6_squared_rooms(spark, sf):
     return z.select("k", F.when(k % 7 != 0, F.round(q["axis_deg"], 3)).alias("axis_deg"), F.round(q["fill"], 4).alias("fill"), q["squared"].alias("squared"), F.size(q["ring"]).alias("vertices"), F.round(g.area(q["ring"]), 2).alias("area"))
 
 
-# Six rooms a floor, in two rows, with integer wobble; on every third floor the second row is shifted, so that its corners lie on walls.
-ROOMS6 = """rm AS (SELECT p_partkey // 6 AS f, p_partkey % 6 AS seq, p_partkey AS k, (p_partkey % 6) % 3 AS cx, (p_partkey % 6) // 3 AS cy FROM part),
-vx AS (SELECT f, seq, i, seq * 4 + i AS v, CAST(cx * 204 + CASE WHEN f % 3 = 0 THEN cy * 100 ELSE 0 END + CASE WHEN i IN (1, 2) THEN 200 ELSE 0 END + (k * (7 + i * 5)) % 9 - 4 AS DOUBLE) AS x,
-  CAST(cy * 154 + CASE WHEN i IN (2, 3) THEN 150 ELSE 0 END + (k * (11 + i * 3)) % 7 - 3 AS DOUBLE) AS y FROM rm, range(4) AS t(i))"""
-
-
 def _rooms6(spark, sf):
     """grp, floor_seq, seq, fixed, ring."""
-    k, f = F.col("p_partkey"), F.expr("cast(p_partkey div 6 as int)")
-    cx, cy = (k % 6) % 3, F.expr("(p_partkey % 6) div 3")
-    shift = F.when(f % 3 == 0, cy * 100).otherwise(0)
-    corner = lambda i: F.struct((cx * 204 + shift + (200 if i in (1, 2) else 0) + (k * (7 + i * 5)) % 9 - 4).cast("double").alias("x"), (cy * 154 + (150 if i in (2, 3) else 0) + (k * (11 + i * 3)) % 7 - 3).cast("double").alias("y"))
-    return fx.table(spark, sf, "part").select(f.cast("string").alias("grp"), f.alias("floor_seq"), (k % 6).cast("int").alias("seq"), F.lit(False).alias("fixed"), F.array(*[corner(i) for i in range(4)]).alias("ring"))
+    z = ad.clean_rings(fx.rooms(spark, sf))
+    return z.select(F.col("floor_seq").cast("string").alias("grp"), "floor_seq", F.col("zone_seq").alias("seq"), F.lit(False).alias("fixed"), "ring")
 
 
 # All pairs of a floor from the nearest on, one at a time; labels are a list with one entry for each corner.
@@ -203,44 +194,42 @@ def a19_adjust_summary(spark, sf):
     return ad.summary(ad.change_report(ad.adjust_zones(_rooms(spark, sf))))
 
 
-# A layout document built from the fixture, read back through the parser.
-def _layout(spark):
-    r = fx.receivers(spark)
+# Layout documents of eight floors each, built from receivers by supplier and rooms by part, and read back through the parser.
+def _layout(spark, sf):
+    r = fx.supplied(spark, sf)
     rec = F.sort_array(F.collect_list(F.struct("rec_seq", F.struct(F.col("scanner").alias("entity_id"), F.struct("x", "y").alias("cords"), "height", "correction").alias("v"))))
     per = r.groupBy("floor_seq", "floor", "scale").agg(F.transform(rec, lambda v: v["v"]).alias("receivers"))
-    z = fx.zones(spark).groupBy("floor_seq").agg(F.sort_array(F.collect_list(F.struct("zone_seq", F.struct("zone_id", F.col("zone").alias("entity_id"), F.col("ring").alias("cords"), "poly", "no_go").alias("v")))).alias("z"))
+    z = fx.rooms(spark, sf).groupBy("floor_seq").agg(F.sort_array(F.collect_list(F.struct("zone_seq", F.struct("zone_id", F.col("zone").alias("entity_id"), F.col("ring").alias("cords"), "poly", "no_go").alias("v")))).alias("z"))
     f = per.join(z, "floor_seq").select("floor_seq", F.struct(F.col("floor").alias("name"), "scale", "receivers", F.transform("z", lambda v: v["v"]).alias("zones")).alias("f"))
-    doc = f.agg(F.to_json(F.struct(F.transform(F.sort_array(F.collect_list(F.struct("floor_seq", "f"))), lambda v: v["f"]).alias("floor"))).alias("value"))
+    floors = F.transform(F.sort_array(F.collect_list(F.struct("floor_seq", "f"))), lambda v: v["f"])
+    doc = f.groupBy(F.expr("floor_seq div 8")).agg(F.to_json(F.struct(floors.alias("floor"))).alias("value")).select("value")
     broken = spark.range(1).select(F.lit('{"floor": [{"name": "x", "rece').alias("value"))
     return files.parse_layout(doc.unionByName(broken))
 
 
-@query(sql("rec AS (SELECT CAST(r // 4 AS INTEGER) AS floor_seq, 'f' || (r // 4) AS floor, CAST(r % 4 AS INTEGER) AS rec_seq, 'rx' || r AS scanner, CASE WHEN r % 3 = 0 THEN 2.2e0 END AS height FROM range(12) AS t(r))", "SELECT * FROM rec"))
+@query(sql(SUPPLIED, "SELECT CAST(floor_seq % 8 AS INTEGER) AS floor_seq, floor, CAST(rec_seq % 4 AS INTEGER) AS rec_seq, scanner, height FROM rec"))
 def s14_placed_receivers(spark, sf):
-    return files.receivers(_layout(spark)).select("floor_seq", "floor", "rec_seq", "scanner", "height")
+    return files.receivers(_layout(spark, sf)).select("floor_seq", "floor", "rec_seq", "scanner", "height")
 
 
-@query(sql("rec AS (SELECT 'rx' || r AS scanner, CASE WHEN r % 3 = 0 THEN 2.2e0 END AS height, 0.9e0 + 0.02e0 * r AS correction FROM range(12) AS t(r))", "SELECT scanner, height, round(correction, 6) AS correction FROM rec"))
+@query(sql(SUPPLIED, "SELECT scanner, height, round(correction, 6) AS correction FROM rec"))
 def s16_selftest_receivers(spark, sf):
-    return files.selftest_receivers(_layout(spark)).select("scanner", "height", F.round("correction", 6).alias("correction"))
+    return files.selftest_receivers(_layout(spark, sf)).select("scanner", "height", F.round("correction", 6).alias("correction"))
 
 
-@query(sql("rec AS (SELECT 'rx' || r AS scanner, 40e0 AS scale FROM range(12) AS t(r))", "SELECT scanner, scale FROM rec"))
+@query(sql(SUPPLIED, "SELECT scanner, scale FROM rec"))
 def s15_calibration_receivers(spark, sf):
-    return files.calibration_receivers(_layout(spark)).select("scanner", "scale")
+    return files.calibration_receivers(_layout(spark, sf)).select("scanner", "scale")
 
 
-@query(sql("rec AS (SELECT 'rx' || r AS scanner FROM range(12) AS t(r))", "SELECT scanner FROM rec"))
+@query(sql(SUPPLIED, "SELECT scanner FROM rec"))
 def s17_placed_slugs(spark, sf):
-    return files.placed_slugs(_layout(spark))
-
-
-S4_ROWS = ", ".join(f"({floor}, {seq}, '{name}', {drawn}, {no_go}, {len(ring.split(','))})" for floor, seq, name, ring, drawn, no_go in fx.ZONES)
+    return files.placed_slugs(_layout(spark, sf))
 
 
-@query(sql(f"z AS (SELECT * FROM (VALUES {S4_ROWS}) AS t(floor_seq, zone_seq, zone, poly, no_go, vertices))", "SELECT * FROM z"))
+@query(sql(SUPPLIED + ", " + ROOMS6, "SELECT 'f' || f AS floor, CAST(seq AS INTEGER) AS zone_seq, 'z' || k AS zone_id, 'room' || k AS zone, k % 2 = 1 AS poly, k % 11 = 5 AS no_go, CAST(4 AS INTEGER) AS vertices FROM rm WHERE f IN (SELECT floor_seq FROM rec)"))
 def s4_layout_zones(spark, sf):
-    return files.zones(_layout(spark)).select("floor_seq", "zone_seq", "zone", "poly", "no_go", F.size("ring").alias("vertices"))
+    return files.zones(_layout(spark, sf)).select("floor", "zone_seq", "zone_id", "zone", "poly", "no_go", F.size("ring").alias("vertices"))
 
 
 @query(sql("v AS (SELECT o_custkey AS ent, o_orderkey AS id, CAST(o_totalprice AS DOUBLE) AS area FROM orders)", "SELECT ent, id, CAST(row_number() OVER (PARTITION BY ent ORDER BY area DESC, id) AS INTEGER) AS place FROM v"))

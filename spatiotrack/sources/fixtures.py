@@ -10,10 +10,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def receivers(spark: SparkSession) -> DataFrame:
-    """Twelve receivers, four on each of three floors: floor_seq, floor, rec_seq, scanner, x, y, height, correction, scale."""
+def _receivers(ids: DataFrame) -> DataFrame:
     r = F.col("id")
-    return spark.range(12).select(
+    return ids.select(
         F.expr("cast(id div 4 as int)").alias("floor_seq"),
         F.concat(F.lit("f"), F.expr("id div 4")).alias("floor"),
         r.cast("int").alias("rec_seq"),
@@ -21,11 +20,37 @@ def receivers(spark: SparkSession) -> DataFrame:
         (200 + (r % 2) * 1600).cast("double").alias("x"),
         (200 + F.expr("(id % 4) div 2") * 1000).cast("double").alias("y"),
         F.when(r % 3 == 0, 2.2).alias("height"),
-        (F.lit(0.9) + F.lit(0.02) * r).alias("correction"),
+        (F.lit(0.9) + F.lit(0.02) * (r % 12)).alias("correction"),
         F.lit(40.0).alias("scale"),
     )
 
 
+def receivers(spark: SparkSession) -> DataFrame:
+    """Twelve receivers, four on each of three floors: floor_seq, floor, rec_seq, scanner, x, y, height, correction, scale."""
+    return _receivers(spark.range(12))
+
+
+def supplied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for each supplier: a building of as many floors as it takes."""
+    return _receivers(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id")))
+
+
+def rooms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six hand-drawn rooms a floor, one for each part: floor_seq, floor, zone_seq, zone_id, zone, poly, no_go, ring.
+
+    In two rows, with integer wobble; on every third floor the second row is shifted, so that its corners lie on walls.
+    Rooms that are no polygon are stored row by row.
+    """
+    k, f = F.col("p_partkey"), F.expr("cast(p_partkey div 6 as int)")
+    cx, cy = (k % 6) % 3, F.expr("(p_partkey % 6) div 3")
+    shift = F.when(f % 3 == 0, cy * 100).otherwise(0)
+    corner = lambda i: F.struct((cx * 204 + shift + (200 if i in (1, 2) else 0) + (k * (7 + i * 5)) % 9 - 4).cast("double").alias("x"), (cy * 154 + (150 if i in (2, 3) else 0) + (k * (11 + i * 3)) % 7 - 3).cast("double").alias("y"))
+    ring = F.when(k % 2 == 1, F.array(*[corner(i) for i in range(4)])).otherwise(F.array(*[corner(i) for i in (0, 1, 3, 2)]))
+    return table(spark, sf_dir, "part").select(
+        f.alias("floor_seq"), F.concat(F.lit("f"), f).alias("floor"), (k % 6).cast("int").alias("zone_seq"), F.concat(F.lit("z"), k).alias("zone_id"), F.concat(F.lit("room"), k).alias("zone"), (k % 2 == 1).alias("poly"), (k % 11 == 5).alias("no_go"), ring.alias("ring"),
+    )
+
+
 # name, floors, ring, drawn as a polygon, forbidden
 ZONES = [
     (0, 0, "west", "200 200,900 200,200 1200,900 1200", False, False),
