@@ -48,15 +48,40 @@ def rank_floors(candidates: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
     return candidates.filter("n >= 3").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= s.candidates)
 
 
+def with_pieces(rows: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
+    """Adds ``piece``: the number of earlier gaps of more than ``stale_s`` in the device's history.
+
+    Nothing that a device carries outlives such a gap, so pieces can be worked on apart, and one device's
+    history of years is no longer one task's. Gaps are found on blocks of ticks as long as the gap, a
+    row for each device and block, added up before any shuffle: inside of a block there can be none.
+    Only blocks of devices that have a gap are joined back.
+    """
+    block = F.floor(F.col("tick") * s.tick_s / s.stale_s)
+    blocks = rows.groupBy("device", block.alias("__block")).agg(F.min("tick").alias("__first"), F.max("tick").alias("__last"))
+    order = Window.partitionBy("device").orderBy("__block")
+    gap = (F.col("__first") - F.lag("__last").over(order)) * s.tick_s > s.stale_s
+    cut = blocks.withColumn("__cut", F.coalesce(gap, F.lit(False)).cast("int")).withColumn("piece", F.sum("__cut").over(order).cast("int"))
+    cut = cut.withColumn("__pieces", F.max("piece").over(Window.partitionBy("device"))).filter("__pieces > 0").select("device", "__block", "piece")
+    joined = rows.withColumn("__block", block).join(small(cut), ["device", "__block"], "left")
+    return joined.withColumn("piece", F.coalesce("piece", F.lit(0))).drop("__block")
+
+
+def history(rows: DataFrame) -> list[str]:
+    """The columns whose rows share a memory."""
+    return ["device", "piece"] if "piece" in rows.columns else ["device"]
+
+
 def with_jump_weights(rows: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
-    """Adds previous_r and w. The previous radius counts only if it is from the device's last cycle with candidates."""
-    cycle = F.dense_rank().over(Window.partitionBy("device").orderBy("tick"))
+    """Adds previous_r and w. The previous radius counts only if it is from the device's last cycle with candidates, not over ``stale_s`` ago."""
+    own = history(rows)
+    cycle = F.dense_rank().over(Window.partitionBy(*own).orderBy("tick"))
     rows = rows.withColumn("cycle", cycle)
     # Receivers at one place share a memory: the last one placed wins.
-    same = Window.partitionBy("device", "floor_seq", "x", "y", "cycle")
+    same = Window.partitionBy(*own, "floor_seq", "x", "y", "cycle")
     rows = rows.withColumn("__kept", F.max(F.struct("rec_seq", "r")).over(same)["r"])
-    earlier = Window.partitionBy("device", "floor_seq", "x", "y").orderBy("cycle").rangeBetween(-1, -1)
-    rows = rows.withColumn("previous_r", F.max("__kept").over(earlier)).drop("__kept")
+    earlier = Window.partitionBy(*own, "floor_seq", "x", "y").orderBy("cycle").rangeBetween(-1, -1)
+    fresh = (F.col("tick") - F.max("tick").over(earlier)) * s.tick_s <= s.stale_s
+    rows = rows.withColumn("previous_r", F.when(fresh, F.max("__kept").over(earlier))).drop("__kept")
     return rows.withColumn("w", f.jump_weight(F.col("r"), F.col("previous_r"), f.min_weight_radius(F.col("scale"), s), s))
 
 

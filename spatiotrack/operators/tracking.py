@@ -134,15 +134,15 @@ def ordered_fold(rows: Iterator[tuple], s: Settings = DEFAULTS) -> Iterator[tupl
         yield device, tick, *fix
 
 
-def _fold(s: Settings):
+def _fold(s: Settings, own: list[str]):
     names = [c.split()[0] for c in FIX.split(", floors")[0].split(", ")] + ["floors"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["device", "tick", "floor_seq", *_SOLVED]
-        rows = (r for b in batches for r in b[columns].itertuples(index=False, name=None))
+        columns, n = [*own, "tick", "floor_seq", *_SOLVED], len(own)
+        rows = ((r[:n], *r[n:]) for b in batches for r in b[columns].itertuples(index=False, name=None))
         block = []
-        for fix in ordered_fold(rows, s):
-            block.append(fix)
+        for (device, *_), *fix in ordered_fold(rows, s):
+            block.append((device, *fix))
             if len(block) == 5000:
                 yield pd.DataFrame(block, columns=names)
                 block = []
@@ -162,8 +162,9 @@ def hypotheses(rows: DataFrame, zones: DataFrame, s: Settings = DEFAULTS) -> Dat
 
 
 def solved_hypotheses(weighted: DataFrame, zones: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
-    """The same of readings that have their jump weights."""
-    grouped = weighted.groupBy("device", "tick", "floor_seq", "scale").agg(
+    """The same of readings that have their jump weights; a column ``piece`` is kept."""
+    own = rd.history(weighted)
+    grouped = weighted.groupBy(*own, "tick", "floor_seq", "scale").agg(
         F.min("slant").alias("nearest_m"), F.sort_array(F.collect_list(F.struct("rec_seq", "x", "y", "r", "w"))).alias("points"),
         F.min("x").alias("rx0"), F.min("y").alias("ry0"), F.max("x").alias("rx1"), F.max("y").alias("ry1"),
     ).filter(F.size("points") >= 3)
@@ -174,9 +175,9 @@ def solved_hypotheses(weighted: DataFrame, zones: DataFrame, s: Settings = DEFAU
     x0, y0, x1, y1 = F.least("rx0", "zminx"), F.least("ry0", "zminy"), F.greatest("rx1", "zmaxx"), F.greatest("ry1", "zmaxy")
     m = s.bounds_margin * F.greatest(x1 - x0, y1 - y0, F.lit(1.0))
     # The rank needs only distances, so it is taken here, where rows still lie by device.
-    rank = F.row_number().over(Window.partitionBy("device", "tick").orderBy("nearest_m", "floor_seq"))
+    rank = F.row_number().over(Window.partitionBy(*own, "tick").orderBy("nearest_m", "floor_seq"))
     bounds = [(x0 - m).alias("minx"), (y0 - m).alias("miny"), (x1 + m).alias("maxx"), (y1 + m).alias("maxy")]
-    j = j.select("device", "tick", "floor_seq", "scale", rank.alias("rank"), F.size("points").alias("n"), "points", *bounds)
+    j = j.select(*own, "tick", "floor_seq", "scale", rank.alias("rank"), F.size("points").alias("n"), "points", *bounds)
     kept = [F.col(c).alias(f"b_{c}") for c in ("minx", "miny", "maxx", "maxy")]
     fixed = solve(j.select("*", *kept, f.min_weight_radius(F.col("scale"), s).alias("min_radius")))
 
@@ -187,18 +188,25 @@ def solved_hypotheses(weighted: DataFrame, zones: DataFrame, s: Settings = DEFAU
     scored = scored.join(zn.small(prepared), "floor_seq", "left")
     dead = F.coalesce(zn.in_no_go(F.col("fx"), F.col("fy"), F.col("zones")), F.lit(False))
     scored = scored.withColumn("conf", conf * F.when(dead, s.no_go_penalty).otherwise(1.0))
-    return scored.select("device", "tick", "floor_seq", "rank", "fx", "fy", "rms_m", "conf", "scale", *[F.col(f"b_{c}").alias(c) for c in ("minx", "miny", "maxx", "maxy")])
+    return scored.select(*own, "tick", "floor_seq", "rank", "fx", "fy", "rms_m", "conf", "scale", *[F.col(f"b_{c}").alias(c) for c in ("minx", "miny", "maxx", "maxy")])
 
 
 def fold_fixes(solved: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
-    """Elected, smoothed and clipped fixes of solved hypotheses."""
-    ordered = solved.withColumn("device", F.col("device").cast("string")).repartition("device").sortWithinPartitions("device", "tick", "floor_seq")
-    return ordered.mapInPandas(_fold(s), FIX)
+    """Elected, smoothed and clipped fixes of solved hypotheses; pieces of a history, where there are any, each for itself."""
+    own = rd.history(solved)
+    ordered = solved.withColumn("device", F.col("device").cast("string")).repartition(*own).sortWithinPartitions(*own, "tick", "floor_seq")
+    return ordered.mapInPandas(_fold(s, own), FIX)
 
 
-def track(states: DataFrame, receivers: DataFrame, zones: DataFrame, subzones: DataFrame | None = None, height: float | None = None, s: Settings = DEFAULTS) -> DataFrame:
-    """Published fixes: position snapped into the zones, zone, nearest zone, sub-zone, parent zone."""
+def track(states: DataFrame, receivers: DataFrame, zones: DataFrame, subzones: DataFrame | None = None, height: float | None = None, s: Settings = DEFAULTS, long_histories: bool = False) -> DataFrame:
+    """Published fixes: position snapped into the zones, zone, nearest zone, sub-zone, parent zone.
+
+    ``long_histories``: cut histories at their gaps, for one more pass over the readings, so that a few
+    devices with most of the ticks do not keep a task each; the result is the same.
+    """
     rows = rd.readings(states, receivers, height, s)
+    if long_histories:
+        rows = rd.with_pieces(rows, s)
     return placed_in_zones(fold_fixes(hypotheses(rows, zones, s), s), zones, subzones, s)
 
 

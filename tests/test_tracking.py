@@ -109,3 +109,40 @@ def test_tracking_finds_most_devices(spark, sf):
     out = tracking(spark, sf).join(fx.truth(spark, sf).select(F.concat(F.lit("dev"), "device").alias("device"), "tick", "true_floor"), ["device", "tick"])
     right, n = out.agg(F.count_if(F.col("floor_seq") == F.col("true_floor")), F.count(F.lit(1))).first()
     assert right / n > 0.9
+
+
+def test_pieces_of_a_history_fold_like_the_whole(spark):
+    import math
+
+    from spatiotrack.operators import readings as rd
+
+    # Gaps of 299 to 302 seconds and of hours, inside and across blocks, in two devices; a third has none.
+    rows, corners = [], [(0.0, 0.0), (800.0, 0.0), (0.0, 800.0)]
+    for device, gaps in (("a", [299, 300, 301, 302, 5000, 1]), ("b", [301, 301, 40000]), ("c", [300, 2])):
+        tick = 0
+        for k in range(60):
+            tick += gaps[(k // 8) % len(gaps)] if k % 8 == 7 else 1
+            for floor in (0, 1):
+                for i, (x, y) in enumerate(corners):
+                    r = math.hypot(x - 300 - 5 * k % 200, y - 200 - 40 * floor * (k % 5)) * (1 + 0.2 * ((k * 7 + i + floor) % 3))
+                    rows.append((device, tick, floor, f"f{floor}", i, x, y, r, r / 40 + floor, 40.0))
+    df = spark.createDataFrame(rows, "device string, tick int, floor_seq int, floor string, rec_seq int, x double, y double, r double, slant double, scale double")
+    zones = fx.zones(spark)
+    cut = rd.with_pieces(df)
+    assert {r.device: r.n for r in cut.groupBy("device").agg(F.max("piece").alias("n")).collect()} == {"a": 3, "b": 7, "c": 0}
+    key = lambda r: (r.device, r.tick)
+    whole = {key(r): r for r in tk.fold_fixes(tk.hypotheses(df, zones)).collect()}
+    pieces = {key(r): r for r in tk.fold_fixes(tk.hypotheses(cut, zones)).collect()}
+    assert whole.keys() == pieces.keys() and len(whole) == 180
+    assert all(whole[k].asDict() == pieces[k].asDict() for k in whole)
+
+
+def test_one_long_history_is_spread_over_tasks(spark):
+    from spatiotrack.operators import readings as rd
+
+    # A day of seconds in stretches of five minutes, six minutes apart.
+    ticks = spark.range(0, 86_400).selectExpr("'d' AS device", "cast(id + (id div 300) * 360 AS int) AS tick")
+    cut = rd.with_pieces(ticks)
+    assert cut.select("piece").distinct().count() == 288
+    sizes = [r.n for r in cut.repartition(8, "device", "piece").groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) == 8 and max(sizes) < 86_400 / 4
