@@ -17,10 +17,15 @@ from ..functions import geometry as g
 BROADCAST_BYTES = 32 << 20
 
 
-def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """``df`` marked for broadcast if its rows, written out, have at most ``limit`` bytes; Spark adds them up."""
+def is_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
+    """Whether the rows, written out, have at most ``limit`` bytes; Spark adds them up."""
     size = df.select(F.octet_length(F.to_json(F.struct("*"))).cast("long").alias("n")).agg(F.sum("n")).first()[0]
-    return F.broadcast(df) if (size or 0) <= limit else df
+    return (size or 0) <= limit
+
+
+def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` marked for broadcast if it is small."""
+    return F.broadcast(df) if is_small(df, limit) else df
 
 
 def prepared_zones(zones: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
