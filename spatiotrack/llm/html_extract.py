@@ -49,13 +49,16 @@ RAW = frozenset("script style textarea title noscript template iframe svg".split
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("html body address article aside blockquote center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section summary table tbody td tfoot th thead tr ul br".split())
 ENDS_P = BLOCKS - {"br", "html", "body"}
-SET_ASIDE = frozenset("ad ads advert advertisement advertising sponsor sponsored promo banner nav navbar navigation menu breadcrumb breadcrumbs sidebar masthead header footer cookie cookies consent notice notices popup modal newsletter subscribe signup login share sharing social related recommended comment comments reply replies disqus widget pagination pager toolbar".split())
-READERS = frozenset("comment comments reply replies disqus".split())
+#: Whole names of classes and ids; a name that only holds one of these says nothing.
+SET_ASIDE = frozenset("""ad ads advert advertisement advertising sponsor sponsored promo banner nav navbar navigation menu breadcrumb breadcrumbs sidebar masthead header footer
+ cookie cookies consent notice notices popup modal newsletter subscribe signup login share sharing social related recommended comment comments reply replies disqus widget pagination pager toolbar
+ ad-banner ad-slot ad-container cookie-notice cookie-banner cookie-consent site-header site-footer site-nav site-menu main-nav main-menu share-buttons social-share related-posts related-articles
+ newsletter-signup user-comments reader-comments post-comments comment-list comment-section comments-area""".split())
+READERS = frozenset("comment comments reply replies disqus user-comments reader-comments post-comments comment-list comment-section comments-area".split())
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*>?|<\?[^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
-_PARTS = re.compile(r"[-_]+")
 
 
 class _Element:
@@ -73,7 +76,8 @@ def _hash(x: str) -> int:
 
 def _open(parent: _Element, tag: str, attributes: str, roots: set[int]) -> _Element:
     names, main = "", tag in ("article", "main")
-    aside = tag in DROPPED
+    # The header of an article holds its headline; a page's header stands outside of articles.
+    aside = tag in DROPPED and not (tag == "header" and parent.article)
     readers = False
     if attributes and tag not in ("html", "body"):
         for key, value in _ATTRIBUTE.findall(attributes):
@@ -85,12 +89,9 @@ def _open(parent: _Element, tag: str, attributes: str, roots: set[int]) -> _Elem
                 aside = aside or value in ("navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert")
             elif key in ("class", "id"):
                 names += "." + value
-                for name in value.split():
-                    parts = _PARTS.split(name)
-                    ends = {parts[0], parts[-1], name}
-                    if ends & SET_ASIDE:
-                        aside = True
-                        readers = readers or bool(ends & READERS)
+                for name in value.replace("_", "-").split():
+                    aside = aside or name in SET_ASIDE
+                    readers = readers or name in READERS
     aside = aside or (parent.aside if not main else parent.readers or parent.tag in DROPPED)
     structural = tag in BLOCKS and tag != "br"
     path = _hash(f"{parent.path}/{tag}{names}") if structural else parent.path
@@ -274,7 +275,6 @@ def template_tokens(df: DataFrame, url: str = "url", html: str = "html", share:
     here = Window.partitionBy("host", "page", "class").orderBy("place", "token")
     placed = rows.select("host", "page", "token", "place").join(frequent.select("host", "token", "class"), ["host", "token"]).withColumn("rank", F.row_number().over(here))
     ranks = placed.groupBy("host", "token").agg(F.min("rank").alias("rank"), F.max("rank").alias("highest")).filter(F.col("rank") == F.col("highest")).drop("highest")
-    # Nesting: a path holds the path around it, so the element around a token is on each page that the token is on.
     members = Window.partitionBy("host", "class")
     valid = frequent.join(ranks, ["host", "token"]).withColumn("members", F.count(F.lit(1)).over(members)).filter("members >= 2").drop("members")
     valid = materialize(valid, "html-templates")

@@ -134,11 +134,12 @@ def pack_documents(df: DataFrame, length: int = LENGTH, end_id: int = END_ID, ke
     def piece(k):
         start = F.greatest(k * length, F.col("__at"))
         end = F.least((k + 1) * length, F.col("__at") + F.col("__n"))
-        return F.struct((start - F.col("__at")).alias("start"), (end - start).alias("length"), k.alias("sequence_id"), (start - k * length).alias("offset"))
+        # Ids are cut before pieces become rows, so that no row but the document's own holds all of them.
+        cut = F.substring("__ids", ((start - F.col("__at")) * 4 + 1).cast("int"), ((end - start) * 4).cast("int"))
+        return F.struct((start - F.col("__at")).alias("start"), (end - start).alias("length"), k.alias("sequence_id"), (start - k * length).alias("offset"), cut.alias("ids"))
 
-    pieces = placed.select("__key", "__n", "__ids", F.explode(F.transform(F.sequence(first, last), piece)).alias("p"))
-    cut = F.substring("__ids", (F.col("p.start") * 4 + 1).cast("int"), (F.col("p.length") * 4).cast("int"))
-    return pieces.select(F.col("__key").alias(key), "p.start", "p.length", F.col("__n").alias("doc_tokens"), "p.sequence_id", "p.offset", cut.alias("ids"))
+    pieces = placed.select("__key", "__n", F.explode(F.transform(F.sequence(first, last), piece)).alias("p"))
+    return pieces.select(F.col("__key").alias(key), "p.start", "p.length", F.col("__n").alias("doc_tokens"), "p.sequence_id", "p.offset", "p.ids")
 
 
 def sequences(pieces: DataFrame, length: int = LENGTH, pad_id: int = 0) -> DataFrame:

@@ -181,7 +181,7 @@ def held_out(key: str = "doc_id"):
 
 
 def fit_classifier(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES, seed: int = 11) -> Network:
-    """Learn from at most ``sample`` rows of each label, and ``sample_bytes`` of text."""
+    """Learn from at most ``sample`` rows of each label, and ``sample_bytes`` of text; a text of over an eighth of that is left out, so that it cannot take the place of all others."""
     ship(df.sparkSession)
     usable = labels.filter(~held_out(key) & F.col(key).isNotNull() & F.col(label).isin(0, 1)).groupBy(key).agg(F.min(label).alias("__label"))
     chosen = None
@@ -194,7 +194,7 @@ def fit_classifier(df: DataFrame, labels: DataFrame, key: str = "doc_id", text:
     spark = df.sparkSession
     small = F.broadcast(spark.createDataFrame(ids, chosen.schema))  # 2 * sample rows at most
     raw = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    rows = df.select(key, text).join(small, key).groupBy(key, "__label").agg(F.min(raw).alias("__raw"))
+    rows = df.select(key, text).join(small, key).groupBy(key, "__label").agg(F.min(raw).alias("__raw")).filter(F.octet_length("__raw") <= sample_bytes // 8)
     # A window over 2 * sample rows at most.
     so_far = F.sum(F.octet_length("__raw").cast("long")).over(Window.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key))
     got = rows.withColumn("__bytes", so_far).filter(F.col("__bytes") <= sample_bytes).orderBy(key).select("__raw", "__label").toArrow()

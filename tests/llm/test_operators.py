@@ -91,6 +91,27 @@ def test_shards_are_written(spark, docs, tmp_path):
     assert spark.read.parquet(str(tmp_path / "s")).count() == docs.count()
 
 
+def test_a_long_text_packs_in_linear_time(spark):
+    import time
+
+    took = []
+    for n in (1, 8):
+        df = spark.createDataFrame([(1, "word and other things " * 50_000 * n)], "doc_id long, text string")
+        start = time.perf_counter()
+        pieces = packing.pack_documents(df).select("start", "length", "doc_tokens", F.octet_length("ids").alias("bytes")).collect()
+        took.append(time.perf_counter() - start)
+        assert sum(r.length for r in pieces) == pieces[0].doc_tokens and all(r.bytes == 4 * r.length for r in pieces)
+    assert took[1] < 20 * took[0]
+
+
+def test_one_long_labelled_text_leaves_the_rest_to_learn_from(spark):
+    rows = [(i, ("good solid prose " if i % 2 else "buy now !!! ") * 6) for i in range(80)] + [(1000 + i, "x " * 3000) for i in range(20)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i, _ in rows], "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    net = quality_classifier.fit_classifier(docs, labels, sample_bytes=16_000)
+    assert len({round(r.score, 3) for r in quality_classifier.score_documents(docs, net).collect()}) > 1
+
+
 # 2
 PAGE = "<html><body><nav><a href=x>Home</a></nav><div class='cookie-notice'>We use cookies</div><article><h1>T {n}</h1><p>First &amp;  {n}\nline<p>Second {n}<br><div class=comments>nice!</div></article><aside>more</aside><footer>&copy; us</footer></body>"
 BARE = "<body><div class=top><a href=/>Home</a></div><div><p>Welcome to the site</p></div><div class=text><p>Text number {n} with many words of its own, {n} times</p><p>And more of {n}</p></div></body>"
@@ -124,6 +145,14 @@ def test_template_text_is_dropped_inside_articles_whatever_its_length(spark):
     assert got[100] == f"Own words 7 of page 7\n{line}\nShare this\nSummary\nEnd 7"
 
 
+def test_names_that_only_hold_a_listed_word_stay(spark):
+    six = "<article><header><h1>Headline {n}</h1></header><p>Intro {n}</p><div class='comment-on-law'><p>Real paragraph {n}</p></div><section id='share-prices'><p>Prices rose {n}.</p></section><p class='notice-period'>Period {n}</p><div class='related-work'>Work {n}</div><div class='reader_comments'>me too {n}</div><footer>tags {n}</footer></article>"
+    rows = [(i, f"http://a.org/{i}", "<header>Site</header>" + six.replace("{n}", str(i))) for i in range(6)] + [(50, "http://b.org", six.replace("{n}", "9"))]
+    got = {r.page_id: r.text for r in html_extract.extract_text(pages(spark, rows)).collect()}
+    for k, n in ((3, 3), (50, 9)):
+        assert got[k] == f"Headline {n}\nIntro {n}\nReal paragraph {n}\nPrices rose {n}.\nPeriod {n}\nWork {n}"
+
+
 def test_hidden_is_an_attribute_not_a_word():
     assert html_extract.extract("<div title='hidden gem'>seen</div><div hidden>not</div><p style='display: none'>nor this</p>", set(), set()) == "seen"
 
