@@ -299,12 +299,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", simi
     """
     ship(df.sparkSession)
     scratch = Scratch()
-    files = 2 * df.sparkSession.sparkContext.defaultParallelism
-
-    def keep(rows: DataFrame, name: str) -> DataFrame:
-        """Tables of names, pairs and hashes are written as no more files than twice the cores, which costs no memory: a task takes their partitions one by one."""
-        return scratch.keep(rows.coalesce(files), name)
-
+    keep = scratch.keep
     docs = df.select(F.col(key).alias("__key"), node_name(text).alias("node"), F.col(text).alias("body"))
     signed = materialize(docs.select("__key", "node", _band_udf(rows, bands)(F.col("body")).alias("bands")), "dedup-signatures")
     nodes = signed.groupBy("node").agg(F.min("__key").alias("rep"), F.first("bands").alias("bands"))
@@ -319,7 +314,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", simi
     # Only one row of each group of equal texts is fetched; keys and digests spread the rows evenly.
     same = docs["node"] == wanted["node"]
     texts = docs.join(wanted, same & docs["__key"].eqNullSafe(wanted["__key"])).select(docs["node"], docs["__key"], docs["body"])
-    texts = scratch.keep(texts.groupBy("node", "__key").agg(F.first("body").alias("body")).select("node", "body"), "dedup-texts")
+    texts = keep(texts.groupBy("node", "__key").agg(F.first("body").alias("body")).select("node", "body"), "dedup-texts")
 
     # One pair for each node first: most buckets then lie inside one component and need no more.
     spokes = members.filter("node <> hub")
