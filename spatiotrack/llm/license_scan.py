@@ -9,8 +9,8 @@ functions, and each minimum is a band of one row: windows of resemblance s meet
 least ``CONTAINMENT`` of the template's different shingles occur in the document near the place
 that the window points to.
 
-Everything runs as DataFrame expressions. Where the library is small (its shingles are counted, see
-``SMALL_LIBRARY``), its minima are part of the plan: documents are not shuffled, and only hits are
+Everything runs as DataFrame expressions. Where the library is small (its values and bytes are counted, see
+``SMALL_LIBRARY`` and ``SMALL_BYTES``), its minima are part of the plan: documents are not shuffled, and only hits are
 joined with the templates. A larger library is a table: the windows' minima of documents and templates
 are joined by level and band, and hits fetch shingles by row. Both ways give equal results.
 
@@ -30,6 +30,8 @@ SHINGLE = 5
 BANDS = 4
 CONTAINMENT = 0.8
 SMALL_LIBRARY = 20_000
+#: Bytes of windows and shingles that are broadcast.
+SMALL_BYTES = 32 << 20
 #: Window size in shingles, step in a document, least shingles of a template that uses it.
 LEVELS = ((1, 1, 1), (4, 2, 5), (16, 8, 23))
 
@@ -95,51 +97,67 @@ def _arrays() -> list[tuple[int, int, int]]:
     return [(size, j, step) for size, step, _ in LEVELS for j in range(1 if size == 1 else BANDS)]
 
 
-def template_windows(spark: SparkSession, templates: list[tuple[str, str, str]] | DataFrame) -> DataFrame:
-    """template, license, t_sh, level, band, t_start, value: all windows of each template."""
-    base = with_shingles(template_table(spark, templates), "text", ["template", "license"]).filter("sh is not null")
+def template_shingles(spark: SparkSession, templates: list[tuple[str, str, str]] | DataFrame) -> DataFrame:
+    """template, license, t_sh: a row for each template with a shingle."""
+    base = with_shingles(template_table(spark, templates), "text", ["template", "license"])
+    # Grouped before the filter, which else is pushed into the shingles' expressions and computes them for each word.
+    return base.groupBy("template", "license").agg(F.first("sh").alias("t_sh")).filter("t_sh is not null")
+
+
+def template_windows(shingles: DataFrame) -> DataFrame:
+    """template, license, level, band, t_start, value, t_before: all windows of each template, a few dozen bytes each.
+
+    ``t_before`` is the value of the window one document step earlier (null where there is none).
+    """
+    base = shingles.withColumnRenamed("t_sh", "sh")
     made = with_minima(base, ["template", "license"], (1, 1))
     n = F.size("sh")
     level = F.lit(LEVELS[0][0])
     for size, _, least in LEVELS[1:]:
         level = F.when(n >= least, size).otherwise(level)
 
-    def listed(size: int, j: int) -> Column:
-        return F.transform(F.col(f"a{size}_{j}"), lambda v, i: F.struct(F.lit(size).alias("level"), F.lit(j).alias("band"), i.alias("t_start"), v.alias("value")))
+    def listed(size: int, j: int, step: int) -> Column:
+        a = f"a{size}_{j}"
+        return F.transform(F.col(a), lambda v, i: F.struct(F.lit(size).alias("level"), F.lit(j).alias("band"), i.alias("t_start"), v.alias("value"), F.when(i >= step, F.get(a, i - step)).alias("t_before")))
+
+    windows = [listed(*x) for x in _arrays()]
+    return made.select("template", "license", level.alias("__level"), F.inline(F.concat(*windows))).filter("level = __level").drop("__level")
+
 
-    windows = [listed(size, j) for size, j, _ in _arrays()]
-    return made.select("template", "license", F.col("sh").alias("t_sh"), level.alias("__level"), F.inline(F.concat(*windows))).filter("level = __level").drop("__level")
+def _first_hits(hits: DataFrame) -> DataFrame:
+    """Hits whose window does not go on from another hit: one that follows, window by window, points to the same place of the same template."""
+    return hits.filter(~F.coalesce(F.col("before") == F.col("t_before"), F.lit(False)))
 
 
-def _small_library(made: DataFrame, windows: DataFrame, arrays: list[tuple[int, int, int]], known: dict) -> DataFrame:
+def _small_library(made: DataFrame, windows: DataFrame, shingles: DataFrame, arrays: list[tuple[int, int, int]], known: dict) -> DataFrame:
     """Hits (row, key, sh, and a template's window), the library's minima being literals of the plan."""
     literal = {x: F.array(*[F.lit(v) for v in sorted(known[x])]) for x in known}
     names = [f"a{size}_{j}" for size, j, _ in arrays]
     shared = [F.array_intersect(f"a{size}_{j}", literal[size, j]).alias(f"c{size}_{j}") for size, j, _ in arrays]
     made = made.select("__row", "__key", "sh", *names, *shared)
-    none = F.expr("cast(array() as array<struct<level: int, band: int, start: int, value: bigint>>)")
+    none = F.expr("cast(array() as array<struct<level: int, band: int, start: int, value: bigint, before: bigint>>)")
 
     def hits(size: int, j: int, step: int) -> Column:
         a, c = f"a{size}_{j}", f"c{size}_{j}"
         places = F.filter(F.sequence(F.lit(0), F.size(a) - 1), lambda i: F.array_contains(F.col(c), F.get(a, i)))
-        found_here = F.transform(places, lambda i: F.struct(F.lit(size).alias("level"), F.lit(j).alias("band"), (i * step).alias("start"), F.get(a, i).alias("value")))
+        found_here = F.transform(places, lambda i: F.struct(F.lit(size).alias("level"), F.lit(j).alias("band"), (i * step).alias("start"), F.get(a, i).alias("value"), F.when(i > 0, F.get(a, i - 1)).alias("before")))
         return F.when(F.size(c) > 0, found_here).otherwise(none)
 
     # Outer, so that no filter is inferred from the array, which would compute it twice.
     spread = made.select("__row", "__key", "sh", F.inline_outer(F.concat(*[hits(*x) for x in arrays])))
-    return spread.join(F.broadcast(windows), ["level", "band", "value"])
+    return _first_hits(spread.join(F.broadcast(windows), ["level", "band", "value"])).join(F.broadcast(shingles), ["template", "license"])
 
 
-def _large_library(made: DataFrame, windows: DataFrame, arrays: list[tuple[int, int, int]]) -> DataFrame:
+def _large_library(made: DataFrame, windows: DataFrame, shingles: DataFrame, arrays: list[tuple[int, int, int]]) -> DataFrame:
     """The same hits by joins of tables; shingles are fetched for hits only."""
     made = materialize(made, "license-windows")
 
     def listed(size: int, j: int, step: int) -> Column:
-        return F.transform(F.col(f"a{size}_{j}"), lambda v, i: F.struct(F.lit(size).alias("level"), F.lit(j).alias("band"), (i * step).alias("start"), v.alias("value")))
+        a = f"a{size}_{j}"
+        return F.transform(F.col(a), lambda v, i: F.struct(F.lit(size).alias("level"), F.lit(j).alias("band"), (i * step).alias("start"), v.alias("value"), F.when(i > 0, F.get(a, i - 1)).alias("before")))
 
     spread = made.select("__row", F.explode(F.concat(*[listed(*x) for x in arrays])).alias("w")).select("__row", "w.*")
-    hits = spread.join(windows.drop("t_sh"), ["level", "band", "value"])
-    shingles = windows.select("template", "license", "t_sh").dropDuplicates(["template", "license"])
+    hits = _first_hits(spread.join(windows, ["level", "band", "value"]))
     return hits.join(shingles, ["template", "license"]).join(made.select("__row", "__key", "sh"), "__row")
 
 
@@ -151,15 +169,19 @@ def scan_licenses(
     ``templates`` are rows or a table (template, license, text).
     """
     spark = df.sparkSession
-    windows = template_windows(spark, TEMPLATES if templates is None else templates)
+    shingles = template_shingles(spark, TEMPLATES if templates is None else templates)
+    windows = template_windows(shingles)
     numbered = df.select(F.col(key).alias("__key"), F.col(text).alias("__text"), F.monotonically_increasing_id().alias("__row"))
     made = with_minima(with_shingles(numbered, "__text", ["__row", "__key"]), ["__row", "__key"], (LEVELS[1][1], LEVELS[2][1]))
-    if windows.select("level", "band", "value").distinct().count() <= small_library * BANDS:
+    # What would be broadcast is added up: 64 bytes a window, eight a shingle.
+    values, rows = windows.agg(F.count_distinct("level", "band", "value"), F.count("*")).first()
+    size = 64 * rows + 8 * (shingles.agg(F.sum(F.size("t_sh"))).first()[0] or 0)
+    if values <= small_library * BANDS and size <= SMALL_BYTES:
         found = windows.groupBy("level", "band").agg(F.collect_set("value")).collect()
         known = {(r[0], r[1]): r[2] for r in found}
-        joined = _small_library(made, windows, [x for x in _arrays() if x[:2] in known], known)
+        joined = _small_library(made, windows, shingles, [x for x in _arrays() if x[:2] in known], known)
     else:
-        joined = _large_library(made, materialize(windows, "license-templates"), _arrays())
+        joined = _large_library(made, materialize(windows, "license-templates"), shingles, _arrays())
     n = F.size("t_sh")
     room = F.greatest(F.lit(8), (n / 4).cast("int"))
     begin = F.greatest(F.col("start") - F.col("t_start") - room, F.lit(0))

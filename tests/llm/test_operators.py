@@ -612,6 +612,21 @@ def test_a_large_library_gives_the_same_licenses(spark):
     assert Counter(small) == Counter(large) and len(small) >= 60
 
 
+def test_a_full_license_text_is_found_and_its_windows_are_small(spark):
+    rng = random.Random(4)
+    vocabulary = [f"w{rng.randrange(10**6)}" for _ in range(1500)]
+    long = " ".join(rng.choice(vocabulary) for _ in range(5600))
+    templates = spark.createDataFrame([("full", "X-1.0", long), ("other", "Y-1.0", words(300, 5))], "template string, license string, text string")
+    shingles = license_scan.template_shingles(spark, templates)
+    windows = license_scan.template_windows(shingles).collect()
+    assert sum(len(str(tuple(r))) for r in windows) < 10 << 20 and "t_sh" not in windows[0].asDict()
+    altered = [" ".join(w if rng.random() > share / 5 else "zz" for w in long.split()) for share in (0.05, 0.15)]
+    rows = [(0, "before " * 40 + long + " after" * 40), (1, altered[0]), (2, altered[1]), (3, " ".join(long.split()[:2000])), (4, words(400, 9))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = [{(r.doc_id, r.template, round(r.containment, 6), r.first_word) for r in license_scan.scan_licenses(docs, templates, small_library=n).collect()} for n in (20_000, 0)]
+    assert found[0] == found[1] and {x[0] for x in found[0]} == {0, 1, 2}
+
+
 def test_license_matches_equal_brute_force(spark):
     """Every template whose shingles a text contains to 0.8 within a window of its length is found, and no other."""
     rng = random.Random(32)
