@@ -22,6 +22,8 @@ import base64
 import json
 import os
 import re
+import sys
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -88,6 +90,14 @@ class Encoder:
         return out
 
 
+def _little(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit integers; faster than numpy for a few of them."""
+    made = array("I", ids)
+    if sys.byteorder == "big":
+        made.byteswap()
+    return made.tobytes()
+
+
 def _cache(vocabulary: str) -> Encoder:
     """The tokenizer's ids: the rank file holds the ids of the JSON file of the same name, without its added tokens."""
     if vocabulary not in _caches:
@@ -96,7 +106,7 @@ def _cache(vocabulary: str) -> Encoder:
 
         enc = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=load_ranks(rank_path(vocabulary)), special_tokens={})
         one = enc.encode_ordinary
-        _caches[vocabulary] = Encoder(PieceCache(lambda pieces: [np.array(one(p), "<u4").tobytes() for p in pieces]), load_added(vocabulary))
+        _caches[vocabulary] = Encoder(PieceCache(lambda pieces: [_little(one(p)) for p in pieces]), load_added(vocabulary))
     return _caches[vocabulary]
 
 

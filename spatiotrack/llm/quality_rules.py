@@ -42,6 +42,8 @@ MAX_REPEAT = 30
 #: with label 1 fall outside of these bands, 40 per cent of those with label 0 do.
 LOWER = 3.0
 UPPER = 2.4
+#: Nats to which quartiles are told apart.
+GRAIN = 1e-5
 SHORT_BYTES = 1500.0
 LEAST_DEVIATION = 0.02
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -339,10 +341,17 @@ def score_texts(texts: DataFrame, counted: DataFrame, models: DataFrame, order:
 
 
 def bands(scored: DataFrame, identity: str, lang: str = "lang") -> DataFrame:
-    """Middle and robust deviation of each language, every different text counted once."""
+    """Middle and robust deviation of each language, every different text counted once.
+
+    Quartiles are exact to ``GRAIN`` nats: texts are counted by value, so a language has some ten thousand
+    rows however many texts it has, and the same quartiles in any layout.
+    """
     texts = scored.filter(F.col("nats").isNotNull() & (F.col("n_words") >= MIN_WORDS)).select(F.col(lang).alias("__lang"), identity, "nats").dropDuplicates(["__lang", identity])
-    q = texts.groupBy("__lang").agg(F.percentile_approx("nats", [0.25, 0.5, 0.75], 10_000).alias("q"))
-    return q.select("__lang", F.col("q")[1].alias("__middle"), F.greatest((F.col("q")[2] - F.col("q")[0]) / 1.349, F.lit(LEAST_DEVIATION)).alias("__deviation"))
+    counts = texts.groupBy("__lang", F.round(F.col("nats") / GRAIN).cast("long").alias("__value")).agg(F.count("*").alias("__n"))
+    so_far, whole = Window.partitionBy("__lang").orderBy("__value"), Window.partitionBy("__lang")
+    placed = counts.withColumn("__up_to", F.sum("__n").over(so_far)).withColumn("__all", F.sum("__n").over(whole))
+    at = lambda share: F.min(F.when(F.col("__up_to") >= share * F.col("__all"), F.col("__value"))) * GRAIN
+    return placed.groupBy("__lang").agg(at(0.5).alias("__middle"), F.greatest((at(0.75) - at(0.25)) / 1.349, F.lit(LEAST_DEVIATION)).alias("__deviation"))
 
 
 def judge(scored: DataFrame, text_bytes: str, identity: str, lang: str = "lang", lower: float = LOWER, upper: float = UPPER) -> DataFrame:

@@ -40,21 +40,26 @@ class PieceCache:
         if self.remember is not None and len(self.spaced) + len(self.plain) > self.remember:
             self.plain.clear()
             self.spaced.clear()
-        new, heads = set(), set()
-        for t in self._few(texts):
-            parts = split(t)
-            heads.add(parts[0])
-            new.update(parts[1:])
-        new.difference_update(self.spaced)
-        heads.difference_update(self.plain)
-        found = self.encode([" " + p for p in new] + list(heads))
         spaced, plain = self.spaced, self.plain
+        rows: list[list] = []
+        #: Row, place and piece of each piece that is not known.
+        gaps: list[tuple[int, int, str]] = []
+        for i, t in enumerate(self._few(texts)):
+            parts = split(t)
+            found = list(map(spaced.get, parts))
+            found[0] = plain.get(parts[0])
+            k = -1
+            for _ in range(found.count(None)):
+                k = found.index(None, k + 1)
+                gaps.append((i, k, parts[k]))
+            rows.append(found)
+        new, heads = list({p for _, k, p in gaps if k}), list({p for _, k, p in gaps if not k})
+        found = self.encode([" " + p for p in new] + heads)
         spaced.update(zip(new, found, strict=False))
         plain.update(zip(heads, found[len(new) :], strict=True))
-        out = []
-        for t in self._few(texts):
-            parts = split(t)
-            out.append(plain[parts[0]] + b"".join([spaced[p] for p in parts[1:]]))
+        for i, k, p in gaps:
+            rows[i][k] = spaced[p] if k else plain[p]
+        out = [b"".join(r) for r in rows]
         for p in new:
             if len(p) > LONGEST:
                 del spaced[p]

@@ -246,6 +246,18 @@ def test_rules_give_a_verdict_for_every_row(spark, docs, none):
     assert quality_rules.quality_rules(none).count() == 0
 
 
+def test_bands_are_exact_and_do_not_depend_on_the_layout(spark):
+    rng = np.random.default_rng(5)
+    values = rng.normal(2.0, 0.3, 20_000)
+    rows = [("en", i.to_bytes(4, "big"), float(v), 99) for i, v in enumerate(values)] + [("fr", b"x", 1.5, 99), ("fr", b"x", 1.5, 99), ("de", b"y", None, 99)]
+    df = spark.createDataFrame(rows, "lang string, same binary, nats double, n_words long")
+    found = [sorted(map(tuple, quality_rules.bands(df.repartition(n), "same").collect())) for n in (1, 8, 64)]
+    assert found[0] == found[1] == found[2] and [r[0] for r in found[0]] == ["en", "fr"]
+    order = np.sort(values)
+    q1, q2, q3 = (order[int(np.ceil(p * len(order))) - 1] for p in (0.25, 0.5, 0.75))
+    assert abs(found[0][0][1] - q2) <= quality_rules.GRAIN and abs(found[0][0][2] - (q3 - q1) / 1.349) <= 2 * quality_rules.GRAIN
+
+
 def test_odd_texts_leave_the_bands(spark):
     rows = [(i, words(200, i), "en", "s", 1) for i in range(200)] + [(900, "".join(random.Random(5).choice("qxzjkvw#$%7 ") for _ in range(1500)), "en", "s", 1)]
     out = {r.doc_id: r.kept for r in quality_rules.quality_rules(spark.createDataFrame(rows, SCHEMA)).collect()}
