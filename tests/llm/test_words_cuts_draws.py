@@ -208,8 +208,9 @@ def test_query_of_words_equals_the_library(spark, sf, library):
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest())
 
 
-def test_query_of_middles_equals_its_sql(spark, sf, duck):
-    rows, want = q.op12_fill_in_middle(spark, sf), duck.sql(q.OP12_SQL)
+@pytest.mark.parametrize("name", ["op12_fill_in_middle", "op13_importance_resampling"])
+def test_queries_equal_their_sql(spark, sf, duck, name):
+    rows, want = q.QUERIES[name](spark, sf), duck.sql(q.ORACLES[name])
     assert rows.columns == want.columns and sorted(map(tuple, rows.collect()), key=str) == sorted(want.fetchall(), key=str)
 
 
