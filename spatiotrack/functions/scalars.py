@@ -173,3 +173,10 @@ def legacy_id(entity_id: Column) -> Column:
 
 def updated_or_zero(c: Column) -> Column:
     return F.coalesce(c.try_cast("double"), F.lit(0.0))
+
+
+def grid_step(scale: Column, zoom: Column, feet: Column, least_px: float = 45.0) -> Column:
+    """struct<units, px>: of a grid in metres or feet, the fewest whole units a line that are ``least_px`` apart on screen; null without a scale."""
+    unit = F.when(feet, scale * 0.3048).otherwise(scale)
+    units = F.greatest(F.lit(1), F.ceil(F.lit(least_px) / (unit * zoom)).cast("int"))
+    return F.when((scale > 0) & (zoom > 0), F.struct(units.alias("units"), (units * unit).alias("px")))

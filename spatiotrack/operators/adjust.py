@@ -243,6 +243,12 @@ def _largest(rings: list[np.ndarray]) -> np.ndarray | None:
     return max(rings, key=lambda r: abs(rg.signed_area(r)), default=None)
 
 
+def whole_rings(zones: DataFrame, ring: str = "ring") -> DataFrame:
+    """``zones`` with rings that cross themselves replaced by the largest part of what they enclose (even-odd), empty where there is none; others stay as they are."""
+    valid = ring_map(lambda r: None if r is None else r if len(r) < 3 else (_points(rg.largest_part(_array(r))) or []))
+    return zones.withColumn(ring, valid(F.col(ring)))
+
+
 def overlap_area(a: list, b: list) -> float:
     return float(sum(rg.signed_area(r) for r in rg.clip(_array(a), _array(b), keep_inside=True)))
 
@@ -335,13 +341,15 @@ def _clamped(ring: list, clamp: list | None) -> dict:
 def _adjusted(rows: DataFrame, straighten: bool, s: Settings, walls: DataFrame | None = None) -> DataFrame:
     """RESULT of ``rows`` (grp, floor_seq, seq, name, ring); ``walls`` (grp, wall): a fixed ring of each group that also clamps."""
     work = WorkTables()
+    rows = whole_rings(rows)
     z = squared_rings(rows, s) if straighten else rows.withColumn("square", F.lit(None).cast(SQUARED))
     z = work.keep(z.withColumn("squared", F.coalesce(F.col("square.squared"), F.lit(False))).withColumn("made", F.coalesce(F.col("square.ring"), F.col("ring"))).drop("square"), "rings-squared")
     usable = z.filter(F.size("ring") >= 3)
     rings = usable.select("grp", "seq", F.lit(False).alias("fixed"), F.col("made").alias("ring"))
     if walls is not None:
         rings = rings.unionByName(walls.select("grp", F.lit(FIXED).alias("seq"), F.lit(True).alias("fixed"), F.col("wall").alias("ring")))
-    half = usable.select("grp", "seq", "ring").join(weld(rings, work, s), ["grp", "seq"])
+    # A ring that welding made cross itself keeps its largest part.
+    half = usable.select("grp", "seq", "ring").join(whole_rings(weld(rings, work, s), "welded"), ["grp", "seq"])
     keeps = F.coalesce((F.size("welded") >= 3) & (g.area(F.col("welded")) >= 0.5 * g.area(F.col("ring"))), F.lit(False))
     # Written once before it is used twice: higher-order functions that a plan holds twice were seen to disagree.
     half = work.keep(half.withColumn("kept", keeps), "rings-half")

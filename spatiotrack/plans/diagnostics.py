@@ -200,6 +200,14 @@ def p31_recency_bucket(spark, sf):
     return e.select("i", f.recency_bucket(F.col("i"), F.lit(91)).alias("bucket"))
 
 
+@query(sql("v AS (SELECT event_id, CASE WHEN event_id % 13 = 0 THEN 0e0 ELSE 10e0 + event_id % 90 END AS scale, (1 + event_id % 17) / 8e0 AS zoom, event_id % 2 = 1 AS feet FROM events), u AS (SELECT *, CASE WHEN feet THEN scale * 0.3048e0 ELSE scale END AS unit FROM v)", "SELECT event_id, CASE WHEN scale > 0 THEN CAST(greatest(1, ceil(45e0 / (unit * zoom))) AS INTEGER) END AS units, CASE WHEN scale > 0 THEN round(greatest(1, ceil(45e0 / (unit * zoom))) * unit, 6) END AS px FROM u"))
+def p32_grid_step(spark, sf):
+    e = F.col("event_id")
+    scale = F.when(e % 13 == 0, 0.0).otherwise(10.0 + e % 90)
+    step = f.grid_step(scale, (1 + e % 17) / 8.0, e % 2 == 1)
+    return fx.table(spark, sf, "events").select("event_id", step["units"].alias("units"), F.round(step["px"], 6).alias("px"))
+
+
 @query(sql("v AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'sensor.phone' || event_id || '_phone' || event_id || '_bps_zone' WHEN 1 THEN 'sensor.a_b_a_b_bps_floor' WHEN 2 THEN 'sensor.phone_bps_zone' ELSE 'sensor.phone_phone_bps_sub_zone' END AS id FROM events)", "SELECT event_id, event_id % 4 < 2 AS legacy FROM v"))
 def p33_legacy_ids(spark, sf):
     e = F.col("event_id")
