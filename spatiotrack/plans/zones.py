@@ -103,7 +103,7 @@ def _rooms6(spark, sf):
 
 
 # Rings that cross themselves once: two triangles, of which the larger stays; every third ring is a plain rectangle.
-@query(sql("v AS (SELECT p_partkey AS k, 50e0 + p_partkey % 40 AS w, 20e0 + p_partkey % 17 AS a, 20e0 + (p_partkey * 7) % 23 AS b FROM part)", "SELECT k, CAST(CASE WHEN k % 3 = 0 THEN 4 ELSE 3 END AS INTEGER) AS vertices, round(CASE WHEN k % 3 = 0 THEN w * a ELSE greatest(a, b) * greatest(a, b) * w / (2 * (a + b)) END, 4) AS area FROM v WHERE k % 3 = 0 OR a <> b"))
+@query(sql("v AS (SELECT p_partkey AS k, 50e0 + p_partkey % 40 AS w, 20e0 + p_partkey % 17 AS a, 20e0 + (p_partkey * 7) % 23 AS b FROM part)", "SELECT k, CAST(CASE WHEN k % 3 = 0 THEN 4 ELSE 3 END AS INTEGER) AS vertices, round(CASE WHEN k % 3 = 0 THEN w * a ELSE greatest(a, b) * greatest(a, b) * w / (2 * (a + b)) END, 7) AS area FROM v WHERE k % 3 = 0 OR a <> b"))
 def z2_largest_part(spark, sf):
     k = F.col("p_partkey")
     w, a, b = 50.0 + k % 40, 20.0 + k % 17, 20.0 + (k * 7) % 23
@@ -112,7 +112,8 @@ def z2_largest_part(spark, sf):
     ring = F.when(k % 3 == 0, F.array(at(zero, zero), at(w, zero), at(w, a), at(zero, a))).otherwise(F.array(at(zero, zero), at(w, a), at(w, zero), at(zero, b)))
     rings = fx.table(spark, sf, "part").filter((k % 3 == 0) | (a != b)).select(k.alias("k"), ring.alias("ring"))
     z = ad.whole_rings(rings)
-    return z.select("k", F.size("ring").alias("vertices"), F.round(g.area(F.col("ring")), 4).alias("area"))
+    # Seven places, as areas lie half-way between numbers of four, five and six.
+    return z.select("k", F.size("ring").alias("vertices"), F.round(g.area(F.col("ring")), 7).alias("area"))
 
 
 # All pairs of a floor from the nearest on, one at a time; labels are a list with one entry for each corner.
