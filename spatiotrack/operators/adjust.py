@@ -14,6 +14,7 @@ from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +24,11 @@ from ..functions import rings as rg
 from ..sources.files import WorkTables
 
 
+def met(left: DataFrame, right: DataFrame, on: list[str] | str, how: str = "inner") -> DataFrame:
+    """A join of tables that grow alike: always by shuffle, as the few bytes of packed rings in a file would let Spark send millions of them through the driver."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def settings(options: dict | None, s: Settings = DEFAULTS) -> Settings:
     """Settings with those options that are given."""
     return replace(s, **{k: v for k, v in (options or {}).items() if v is not None})
@@ -147,19 +153,19 @@ def corner_clusters(rings: DataFrame, work: WorkTables, s: Settings = DEFAULTS)
     pairs = near_pairs(places, s.tolerance_px).select("grp", "d", F.col("ca").alias("a"), F.col("cb").alias("b"), "ca", "cb")
     pairs = work.keep(pairs, "corner-pairs")
     ends = pairs.select("grp", F.explode(F.array("ca", "cb")).alias("c")).distinct()
-    rest, held = v.join(ends, ["grp", "c"], "left_anti"), work.keep(v.join(ends, ["grp", "c"], "left_semi"), "corners-near")
+    rest, held = met(v, ends, ["grp", "c"], "left_anti"), work.keep(met(v, ends, ["grp", "c"], "left_semi"), "corners-near")
     rest = work.keep(rest, "corners-apart")
     while not pairs.isEmpty():
         rings_of = held.select("grp", "c", "seq")
-        shared = pairs.select("grp", "a", "b", "ca", "cb").join(rings_of.withColumnRenamed("c", "ca"), ["grp", "ca"]).join(rings_of.withColumnRenamed("c", "cb"), ["grp", "cb", "seq"], "left_semi")
-        left = work.keep(pairs.join(shared.select("grp", "a", "b").distinct(), ["grp", "a", "b"], "left_anti"), "corner-pairs")
+        shared = met(met(pairs.select("grp", "a", "b", "ca", "cb"), rings_of.withColumnRenamed("c", "ca"), ["grp", "ca"]), rings_of.withColumnRenamed("c", "cb"), ["grp", "cb", "seq"], "left_semi")
+        left = work.keep(met(pairs, shared.select("grp", "a", "b").distinct(), ["grp", "a", "b"], "left_anti"), "corner-pairs")
         first = left.select("grp", F.explode(F.array("ca", "cb")).alias("c"), F.struct("d", "a", "b", "ca", "cb").alias("e")).groupBy("grp", "c").agg(F.min("e").alias("e"))
         chosen = first.groupBy("grp", "e").count().filter("count = 2")
         merged = work.keep(chosen.select("grp", F.greatest("e.ca", "e.cb").alias("old"), F.least("e.ca", "e.cb").alias("new")), "corner-merges")
 
         def renamed(df: DataFrame, column: str, merged: DataFrame = merged) -> DataFrame:
             to = merged.select("grp", F.col("old").alias(column), F.col("new").alias("__new"))
-            return df.join(to, ["grp", column], "left").withColumn(column, F.coalesce("__new", column)).drop("__new")
+            return met(df, to, ["grp", column], "left").withColumn(column, F.coalesce("__new", column)).drop("__new")
 
         after = work.keep(renamed(renamed(left, "ca"), "cb").filter("ca <> cb"), "corner-pairs")
         now = work.keep(renamed(held, "c"), "corners-near")
@@ -178,7 +184,7 @@ def near_pairs(places: DataFrame, tolerance: float) -> DataFrame:
     a = places.select("grp", F.col("c").alias("ca"), F.col("x").alias("ax"), F.col("y").alias("ay"), cell("x").alias("cx"), cell("y").alias("cy"))
     b = places.select("grp", F.col("c").alias("cb"), F.col("x").alias("bx"), F.col("y").alias("by"), F.inline(near))
     dx, dy = F.col("ax") - F.col("bx"), F.col("ay") - F.col("by")
-    found = a.join(b, ["grp", "cx", "cy"]).filter("ca < cb").withColumn("d", F.sqrt(dx * dx + dy * dy))
+    found = met(a, b, ["grp", "cx", "cy"]).filter("ca < cb").withColumn("d", F.sqrt(dx * dx + dy * dy))
     return found.filter((F.col("d") <= tolerance) & ((dx != 0) | (dy != 0))).select("grp", "d", "ca", "cb")
 
 
@@ -208,7 +214,7 @@ def walls_near(corners: DataFrame, rings: DataFrame, s: Settings = DEFAULTS) ->
     y2 = F.coalesce(y_at(F.least(high, (F.col("cx") + 1) * cell + tol)), F.col("by"))
     e = e.withColumn("cy", F.explode(F.sequence(F.floor((F.least(y1, y2) - tol) / cell - 1e-9), F.floor((F.greatest(y1, y2) + tol) / cell + 1e-9))))
     p = corners.select("grp", "seq", "v", "x", "y", F.floor(F.col("x") / cell).alias("cx"), F.floor(F.col("y") / cell).alias("cy"))
-    j = p.join(e, ["grp", "cx", "cy"]).filter("seq <> wall_seq")
+    j = met(p, e, ["grp", "cx", "cy"]).filter("seq <> wall_seq")
     dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
     j = j.withColumn("size", F.greatest(F.sqrt(dx * dx + dy * dy), F.lit(1e-300)))
     j = j.withColumn("along", ((F.col("x") - F.col("ax")) * dx + (F.col("y") - F.col("ay")) * dy) / F.col("size"))
@@ -229,11 +235,11 @@ def weld(rings: DataFrame, work: WorkTables, s: Settings = DEFAULTS) -> DataFram
     still = to.filter("not fixed and to_x = x and to_y = y")
     feet = work.keep(walls_near(still, rings, s), "corners-on-walls")
     own = feet.select("grp", "v", F.col("x").alias("__fx"), F.col("y").alias("__fy"))
-    moved = to.join(own, ["grp", "v"], "left").withColumn("to_x", F.coalesce("__fx", "to_x")).withColumn("to_y", F.coalesce("__fy", "to_y"))
+    moved = met(to, own, ["grp", "v"], "left").withColumn("to_x", F.coalesce("__fx", "to_x")).withColumn("to_y", F.coalesce("__fy", "to_y"))
     corners = moved.filter("not fixed").select("grp", "seq", F.col("vertex").alias("k"), F.lit(0.0).alias("along"), F.lit(-1).cast("long").alias("v"), F.struct(F.col("to_x").alias("x"), F.col("to_y").alias("y")).alias("p"))
     start = moved.filter("not fixed").select("grp", F.col("seq").alias("wall_seq"), F.col("vertex").alias("wall"), "to_x", "to_y")
     gx, gy = F.col("x") - F.col("to_x"), F.col("y") - F.col("to_y")
-    added = feet.filter("not wall_fixed").join(start, ["grp", "wall_seq", "wall"]).select("grp", F.col("wall_seq").alias("seq"), F.col("wall").alias("k"), F.sqrt(gx * gx + gy * gy).alias("along"), "v", F.struct("x", "y").alias("p"))
+    added = met(feet.filter("not wall_fixed"), start, ["grp", "wall_seq", "wall"]).select("grp", F.col("wall_seq").alias("seq"), F.col("wall").alias("k"), F.sqrt(gx * gx + gy * gy).alias("along"), "v", F.struct("x", "y").alias("p"))
     walk = F.transform(F.sort_array(F.collect_list(F.struct("k", "along", "v", "p"))), lambda w: w["p"])
     thin = ring_map(lambda r: _points(dedupe(_array(r), s.min_edge_px)))
     return corners.unionByName(added).groupBy("grp", "seq").agg(walk.alias("welded")).withColumn("welded", thin("welded"))
@@ -243,10 +249,29 @@ def _largest(rings: list[np.ndarray]) -> np.ndarray | None:
     return max(rings, key=lambda r: abs(rg.signed_area(r)), default=None)
 
 
+def _whole(rings: pa.Array) -> pa.Array:
+    """The rings of a batch, looked at together by their number of corners; only those that cross themselves are cut one by one."""
+    sizes = pc.fill_null(pc.list_value_length(rings), -1).to_numpy(zero_copy_only=False)
+    flat = rings.flatten()
+    points = np.stack([flat.field(c).to_numpy(zero_copy_only=False).astype(float) for c in ("x", "y")], axis=1)
+    start = np.concatenate([[0], np.cumsum(np.maximum(sizes, 0))[:-1]]).astype(np.int64)
+    take, new = np.arange(len(rings)), []
+    for n in np.unique(sizes[sizes >= 3]):
+        rows = np.flatnonzero(sizes == n)
+        for some in np.array_split(rows, max(1, len(rows) * int(n) // 500_000)):
+            r = points[start[some][:, None] + np.arange(n)]
+            crossed = rg.crossed(r)
+            turn = np.roll(r, -1, axis=1)
+            nothing = ~crossed & (np.abs((r[:, :, 0] * turn[:, :, 1] - turn[:, :, 0] * r[:, :, 1]).sum(axis=1) / 2) < rg.EPS)
+            for k in np.flatnonzero(crossed | nothing):
+                take[some[k]] = len(rings) + len(new)
+                new.append([] if nothing[k] else _points(_largest(rg.crossed_parts(r[k]))) or [])
+    return pa.concat_arrays([rings, pa.array(new, rings.type)]).take(pa.array(take)) if new else rings
+
+
 def whole_rings(zones: DataFrame, ring: str = "ring") -> DataFrame:
     """``zones`` with rings that cross themselves replaced by the largest part of what they enclose (even-odd), empty where there is none; others stay as they are."""
-    valid = ring_map(lambda r: None if r is None else r if len(r) < 3 else (_points(rg.largest_part(_array(r))) or []))
-    return zones.withColumn(ring, valid(F.col(ring)))
+    return zones.withColumn(ring, F.arrow_udf(_whole, POINTS)(F.col(ring)))
 
 
 def overlap_area(a: list, b: list) -> float:
@@ -272,9 +297,9 @@ def overlaps(shapes: DataFrame, least: float = rg.EPS) -> DataFrame:
 
     names = ["place", "seq", "ring", "minx", "miny", "maxx", "maxy", "level"]
     own = cells(b, "level").select("grp", "cx", "cy", F.col("level").alias("at"), *[F.col(c).alias(f"o_{c}") for c in names])
-    seek = cells(b.join(tops, "grp").withColumn("at", F.explode(F.sequence("level", "__top"))), "at").select("grp", "cx", "cy", "at", *names)
+    seek = cells(met(b, tops, "grp").withColumn("at", F.explode(F.sequence("level", "__top"))), "at").select("grp", "cx", "cy", "at", *names)
     # Of rings of one level, each pair is met from both sides: once is enough.
-    j = own.join(seek, ["grp", "at", "cx", "cy"]).filter("o_level > level or o_place < place")
+    j = met(own, seek, ["grp", "at", "cx", "cy"]).filter("o_level > level or o_place < place")
     x, y, size = F.greatest("minx", "o_minx"), F.greatest("miny", "o_miny"), F.pow(F.lit(2.0), F.col("at"))
     j = j.filter((x < F.least("maxx", "o_maxx")) & (y < F.least("maxy", "o_maxy")) & (F.floor(x / size) == F.col("cx")) & (F.floor(y / size) == F.col("cy")))
     common = ring_map(overlap_area, "double", pa.float64())
@@ -306,18 +331,18 @@ def without_overlaps(shapes: DataFrame, work: WorkTables) -> DataFrame:
     shapes = work.keep(shapes.select("grp", "seq", "ring", place.alias("place"), same.alias("__copy")), "rings-welded")
     first = shapes.filter("__copy = 1 and size(ring) >= 3")
     pairs = work.keep(overlaps(first), "ring-overlaps")
-    pending = first.join(pairs.select("grp", "seq").distinct(), ["grp", "seq"], "left_semi").select("grp", "seq", "place", "ring")
-    free = first.join(pairs.select("grp", "seq").distinct(), ["grp", "seq"], "left_anti").select("grp", "seq", "place", "ring", F.lit(True).alias("cuts"))
+    pending = met(first, pairs.select("grp", "seq").distinct(), ["grp", "seq"], "left_semi").select("grp", "seq", "place", "ring")
+    free = met(first, pairs.select("grp", "seq").distinct(), ["grp", "seq"], "left_anti").select("grp", "seq", "place", "ring", F.lit(True).alias("cuts"))
     final = work.keep(free, "rings-final")
     pending = work.keep(pending, "rings-pending")
     while not pending.isEmpty():
-        waits = pairs.join(pending.select("grp", F.col("seq").alias("larger")), ["grp", "larger"], "left_semi").select("grp", "seq").distinct()
-        ready = pending.join(waits, ["grp", "seq"], "left_anti")
+        waits = met(pairs, pending.select("grp", F.col("seq").alias("larger")), ["grp", "larger"], "left_semi").select("grp", "seq").distinct()
+        ready = met(pending, waits, ["grp", "seq"], "left_anti")
         holders = final.filter("cuts").select("grp", F.col("seq").alias("larger"), F.col("place").alias("__place"), F.col("ring").alias("__ring"))
-        taken = pairs.join(holders, ["grp", "larger"]).groupBy("grp", "seq").agg(F.sort_array(F.collect_list(F.struct(F.col("__place").alias("place"), F.col("__ring").alias("ring")))).alias("others"))
-        cut = ready.join(taken, ["grp", "seq"], "left").withColumn("left", ring_map(_cut)("ring", "others"))
+        taken = met(pairs, holders, ["grp", "larger"]).groupBy("grp", "seq").agg(F.sort_array(F.collect_list(F.struct(F.col("__place").alias("place"), F.col("__ring").alias("ring")))).alias("others"))
+        cut = met(ready, taken, ["grp", "seq"], "left").withColumn("left", ring_map(_cut)("ring", "others"))
         done = work.keep(cut.select("grp", "seq", "place", F.coalesce("left", "ring").alias("ring"), F.col("left").isNotNull().alias("cuts")), "rings-final")
-        after = work.keep(pending.join(done, ["grp", "seq"], "left_anti"), "rings-pending")
+        after = work.keep(met(pending, done, ["grp", "seq"], "left_anti"), "rings-pending")
         work.drop(pending)
         final, pending = final.unionByName(done), after
     rest = shapes.filter("__copy > 1 or size(ring) < 3").select("grp", "seq", "ring")
@@ -349,21 +374,21 @@ def _adjusted(rows: DataFrame, straighten: bool, s: Settings, walls: DataFrame |
     if walls is not None:
         rings = rings.unionByName(walls.select("grp", F.lit(FIXED).alias("seq"), F.lit(True).alias("fixed"), F.col("wall").alias("ring")))
     # A ring that welding made cross itself keeps its largest part.
-    half = usable.select("grp", "seq", "ring").join(whole_rings(weld(rings, work, s), "welded"), ["grp", "seq"])
+    half = met(usable.select("grp", "seq", "ring"), whole_rings(weld(rings, work, s), "welded"), ["grp", "seq"])
     keeps = F.coalesce((F.size("welded") >= 3) & (g.area(F.col("welded")) >= 0.5 * g.area(F.col("ring"))), F.lit(False))
     # Written once before it is used twice: higher-order functions that a plan holds twice were seen to disagree.
     half = work.keep(half.withColumn("kept", keeps), "rings-half")
     done = without_overlaps(half.select("grp", "seq", F.when(F.col("kept"), F.col("welded")).otherwise(F.col("ring")).alias("ring")), work)
     note = F.when(~F.col("kept"), "kept as drawn: over half of its area would be lost").otherwise("")
-    done = done.join(half.select("grp", "seq", "kept"), ["grp", "seq"]).withColumn("note", note)
+    done = met(done, half.select("grp", "seq", "kept"), ["grp", "seq"]).withColumn("note", note)
     if walls is not None:
         clamp = ring_map(_clamped, f"struct<ring:{POINTS},ok:boolean>", pa.struct([("ring", _POINTS), ("ok", pa.bool_())]))
-        done = done.join(walls.select("grp", "wall"), "grp", "left").withColumn("clamp", clamp("ring", "wall"))
+        done = met(done, walls.select("grp", "wall"), "grp", "left").withColumn("clamp", clamp("ring", "wall"))
         done = done.withColumn("ring", F.col("clamp.ring")).withColumn("note", F.when(F.col("clamp.ok"), F.col("note")).otherwise("not inside its parent zone"))
     done = work.keep(done.select("grp", "seq", F.col("ring").alias("new"), "note"), "rings-adjusted")
     work.keep_only(z, done)
     tidy = lambda c: F.transform(c, lambda p: F.struct(F.round(p["x"], 3).alias("x"), F.round(p["y"], 3).alias("y")))
-    out = z.join(done, ["grp", "seq"], "left")
+    out = met(z, done, ["grp", "seq"], "left")
     skipped = F.when(F.size("ring") < 3, "skipped (invalid polygon)").otherwise("")
     return out.select("floor_seq", "seq", "name", "squared", F.coalesce("note", skipped).alias("note"), tidy(F.col("ring")).alias("old"), tidy(F.coalesce("new", "ring")).alias("ring"))
 
@@ -386,7 +411,7 @@ def adjust_subzones(zones: DataFrame, subzones: DataFrame, options: dict | None
     walls = named.groupBy("floor_seq", "parent").agg(F.max_by("ring", F.struct("by_id", "zone_seq")).alias("wall"))
     subs = clean_rings(subzones.withColumn("poly", F.lit(True))).filter(F.size("ring") >= 3)
     rows = subs.select(group("parent").alias("grp"), "floor_seq", F.col("sub_seq").alias("seq"), F.col("sub_zone").alias("name"), "ring")
-    used = walls.join(subs.select("floor_seq", "parent").distinct(), ["floor_seq", "parent"], "left_semi").select(group("parent").alias("grp"), "wall")
+    used = met(walls, subs.select("floor_seq", "parent").distinct(), ["floor_seq", "parent"], "left_semi").select(group("parent").alias("grp"), "wall")
     return _adjusted(rows, straighten, settings(options), used)
 
 
@@ -412,4 +437,4 @@ def corner_pairs(vertices: DataFrame, tolerance: float) -> DataFrame:
     a = vertices.select("floor_seq", F.col("ring").alias("a_ring"), F.col("vertex").alias("a_vertex"), F.col("x").alias("ax"), F.col("y").alias("ay"), cell("x").alias("cx"), cell("y").alias("cy"))
     b = vertices.select("floor_seq", F.col("ring").alias("b_ring"), F.col("vertex").alias("b_vertex"), F.col("x").alias("bx"), F.col("y").alias("by"), F.inline(near))
     d = F.sqrt(F.pow(F.col("ax") - F.col("bx"), 2) + F.pow(F.col("ay") - F.col("by"), 2))
-    return a.join(b, ["floor_seq", "cx", "cy"]).filter("a_ring < b_ring").withColumn("d", d).filter(F.col("d") <= tolerance).select("floor_seq", "a_ring", "a_vertex", "b_ring", "b_vertex", "d")
+    return met(a, b, ["floor_seq", "cx", "cy"]).filter("a_ring < b_ring").withColumn("d", d).filter(F.col("d") <= tolerance).select("floor_seq", "a_ring", "a_vertex", "b_ring", "b_vertex", "d")
