@@ -31,7 +31,7 @@ ROOMS = "rm AS (SELECT c_custkey // 4 AS floor_seq, c_custkey % 4 AS seq, c_cust
 
 def _rooms(spark, sf):
     k = F.col("c_custkey")
-    c = fx.table(spark, sf, "customer").select(F.expr("cast(c_custkey div 4 as int)").alias("floor_seq"), (k % 4).cast("int").alias("zone_seq"), k.alias("k"))
+    c = fx.spread(fx.table(spark, sf, "customer").select("c_custkey"), "c_custkey").select(F.expr("cast(c_custkey div 4 as int)").alias("floor_seq"), (k % 4).cast("int").alias("zone_seq"), k.alias("k"))
 
     def corner(i: int):
         x = F.col("zone_seq") * 204 + (200 if i in (1, 2) else 0) + (F.col("k") * (7 + i * 5)) % 9 - 4
@@ -91,7 +91,7 @@ def z6_squared_rooms(spark, sf):
     at = lambda x, y: F.struct((500 + x * F.cos(turn) - y * F.sin(turn)).alias("x"), (400 + x * F.sin(turn) + y * F.cos(turn)).alias("y"))
     zero = F.lit(0.0)
     ring = F.when(k % 7 == 0, F.array(at(zero, zero), at(w, zero), at(zero, h))).otherwise(F.array(at(zero, zero), at(w, zero), at(w, h), at(zero, h)))
-    z = ad.squared_rings(fx.table(spark, sf, "part").select(F.col("p_partkey").alias("k")).withColumn("ring", ring))
+    z = ad.squared_rings(fx.spread(fx.table(spark, sf, "part").select(F.col("p_partkey").alias("k")), "k").withColumn("ring", ring))
     q = F.col("square")
     return z.select("k", F.when(k % 7 != 0, F.round(q["axis_deg"], 3)).alias("axis_deg"), F.round(q["fill"], 4).alias("fill"), q["squared"].alias("squared"), F.size(q["ring"]).alias("vertices"), F.round(g.area(q["ring"]), 2).alias("area"))
 
@@ -105,12 +105,13 @@ def _rooms6(spark, sf):
 # Rings that cross themselves once: two triangles, of which the larger stays; every third ring is a plain rectangle.
 @query(sql("v AS (SELECT p_partkey AS k, 50e0 + p_partkey % 40 AS w, 20e0 + p_partkey % 17 AS a, 20e0 + (p_partkey * 7) % 23 AS b FROM part)", "SELECT k, CAST(CASE WHEN k % 3 = 0 THEN 4 ELSE 3 END AS INTEGER) AS vertices, round(CASE WHEN k % 3 = 0 THEN w * a ELSE greatest(a, b) * greatest(a, b) * w / (2 * (a + b)) END, 7) AS area FROM v WHERE k % 3 = 0 OR a <> b"))
 def z2_largest_part(spark, sf):
-    k = F.col("p_partkey")
+    k = F.col("k")
     w, a, b = 50.0 + k % 40, 20.0 + k % 17, 20.0 + (k * 7) % 23
     at = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
     zero = F.lit(0.0)
     ring = F.when(k % 3 == 0, F.array(at(zero, zero), at(w, zero), at(w, a), at(zero, a))).otherwise(F.array(at(zero, zero), at(w, a), at(w, zero), at(zero, b)))
-    rings = fx.table(spark, sf, "part").filter((k % 3 == 0) | (a != b)).select(k.alias("k"), ring.alias("ring"))
+    parts = fx.spread(fx.table(spark, sf, "part").select(F.col("p_partkey").alias("k")), "k")
+    rings = parts.filter((k % 3 == 0) | (a != b)).select("k", ring.alias("ring"))
     z = ad.whole_rings(rings)
     # Seven places, as areas lie half-way between numbers of four, five and six.
     return z.select("k", F.size("ring").alias("vertices"), F.round(g.area(F.col("ring")), 7).alias("area"))
@@ -182,7 +183,7 @@ def z9_overlaps_removed(spark, sf):
     rooms = fx.table(spark, sf, "part").select(f.cast("string").alias("grp"), (k % 6).cast("int").alias("seq"), F.array(at(x, y), at(x + w, y), at(x + w, y + h), at(x, y + h)).alias("ring"))
     after = ad.without_overlaps(rooms, files.WorkTables()).select("grp", "seq", F.round(g.area(F.col("ring")), 3).alias("area_after"))
     before = rooms.select("grp", "seq", F.round(g.area(F.col("ring")), 3).alias("area_before"))
-    return before.join(after, ["grp", "seq"]).select(F.col("grp").cast("int").alias("floor_seq"), "seq", "area_before", "area_after")
+    return ad.met(before, after, ["grp", "seq"]).select(F.col("grp").cast("int").alias("floor_seq"), "seq", "area_before", "area_after")
 
 
 @query()
