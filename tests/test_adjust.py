@@ -4,10 +4,12 @@ import random
 
 import numpy as np
 import plain_adjust as plain
+import pyarrow as pa
 import pytest
 
 from spatiotrack.functions import rings as rg
 from spatiotrack.operators import adjust as ad
+from spatiotrack.sources import fixtures as fx
 from spatiotrack.sources.files import WorkTables
 
 ROWS = "floor_seq int, zone_seq int, zone string, zone_id string, poly boolean, ring array<struct<x:double,y:double>>"
@@ -148,3 +150,24 @@ def test_parts_of_rings_that_cross_themselves():
             got |= rg.inside(p, part)
         # Holes of a part are not told apart from it, so parts may cover more, never less.
         assert (got | ~want).mean() > 0.995 and all(rg.signed_area(q) > 0 or len(found) == 1 for q in found)
+
+
+def test_rings_meet_by_shuffle_and_not_through_the_driver(spark):
+    rings = frame(spark, plan(random.Random(1), 2, 2)).selectExpr("cast(floor_seq as string) grp", "floor_seq", "zone_seq seq", "false fixed", "ring")
+    v = rings.selectExpr("grp", "floor_seq", "seq", "seq ring", "posexplode(ring) (vertex, p)").selectExpr("*", "p.x", "p.y", "seq * 4l + vertex v", "seq * 4l + vertex c")
+    for df in (ad.corner_pairs(v, 22.0), ad.near_pairs(v, 22.0), ad.walls_near(v, rings), ad.overlaps(rings.selectExpr("grp", "seq", "seq place", "ring"))):
+        shown = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in shown and "Broadcast" not in shown
+
+
+def test_rings_of_a_batch_are_cut_as_one_by_one():
+    rng = random.Random(4)
+    rings = [None, []] + [ad._points(np.array([(rng.randint(0, 8), rng.randint(0, 8)) for _ in range(rng.randint(1, 9))], float)) for _ in range(200)]
+    one = [r if r is None or len(r) < 3 else ad._points(rg.largest_part(ad._array(r))) or [] for r in rings]
+    assert ad._whole(pa.array(rings)).to_pylist() == one
+
+
+def test_rooms_of_one_file_are_made_by_many_tasks(spark, sf):
+    from spatiotrack.plans import zones
+
+    assert all(df.rdd.getNumPartitions() > 1 for df in (zones._rooms(spark, sf), fx.rooms(spark, sf), zones.z2_largest_part(spark, sf), zones.z6_squared_rooms(spark, sf)))
