@@ -203,3 +203,24 @@ def test_permutations_of_typed_tokens(spark):
     assert got == [True, True, False, False, False, False, True]
     names = [("Büro Süd", "buro_sud"), ("Straße", "strasse"), ("Œuvre", "oeuvre"), ("Łódź", "lodz"), ("  --x--  ", "x"), ("日本", "")]
     assert [r[0] for r in spark.createDataFrame(names, "name string, slug string").select(f.slugify(F.col("name")) == F.col("slug")).collect()] == [True] * len(names)
+
+
+def test_dump_ages_of_one_long_source_are_those_of_one_fold(spark):
+    rng, rows, want = random.Random(5), [], {}
+    for source in ("long", "stuck", "short"):
+        before, now = None, 5000.0
+        for dump in range({"long": 3000, "stuck": 400, "short": 3}[source]):
+            now += rng.choice([-70, -61, -60, -59.5, -20, 0, 0, 0.25, 1, 15]) if source != "stuck" else 0 if dump != 200 else -30
+            newest = None if source == "long" and dump % 701 == 5 else now + (rng.random() * 0 if source == "stuck" else rng.choice([0, 0, -3, 2]))
+            rows.append((source, dump, newest))
+            value = float("nan") if newest is None else newest
+            keep = not (before is not None and before - 60 < value <= before)
+            before = value if keep else before
+            want[source, dump] = keep
+    got = dg.dump_ages(spark.createDataFrame(rows, "source string, dump long, last_seen double"))
+    assert {(r["source"], r["dump"]): r["anchored"] for r in got.collect()} == want
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # which would merge parts as small as these
+    try:
+        assert got.select("source", F.spark_partition_id().alias("p")).distinct().filter("source = 'long'").count() > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
