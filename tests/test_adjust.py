@@ -171,3 +171,22 @@ def test_rooms_of_one_file_are_made_by_many_tasks(spark, sf):
     from spatiotrack.plans import zones
 
     assert all(df.rdd.getNumPartitions() > 1 for df in (zones._rooms(spark, sf), fx.rooms(spark, sf), zones.z2_largest_part(spark, sf), zones.z6_squared_rooms(spark, sf)))
+
+
+def test_overlaps_of_a_batch_are_those_of_each_pair():
+    rng = random.Random(8)
+    rings = [ad._points(r) for r in plan(rng, 4, 4)] + [ad._points(room(rng, 200 * i, 0, 200, 150, 0)) for i in range(4)]
+    rings += [ad._points(np.array([(0, 0), (300, 0), (300, 90), (120, 90), (120, 200), (0, 200)], float)), ad._points(np.array([(120, 90), (240, 90), (240, 200), (120, 200)], float))]
+    pairs = [(a, b) for a in rings for b in rings]
+    want = [ad.overlap_area(a, b) for a, b in pairs]
+    got = ad._common(pa.array([a for a, _ in pairs]), pa.array([b for _, b in pairs])).to_pylist()
+    assert got == want and 0 < sum(w > rg.EPS for w in want) < len(want)
+
+
+def test_rooms_that_share_a_wall_are_not_clipped(monkeypatch):
+    rng = random.Random(8)
+    # Neighbours whose common wall is aslant, as welding leaves them.
+    slant = [(200 + rng.uniform(-9, 9), 0.0), (200 + rng.uniform(-9, 9), 150.0)]
+    left, right = np.array([(0, 0), slant[0], slant[1], (0, 150)], float), np.array([slant[0], (400, 0), (400, 150), slant[1]], float)
+    monkeypatch.setattr(ad, "overlap_area", lambda a, b: pytest.fail("clipped"))
+    assert ad._common(pa.array([ad._points(left)] * 3), pa.array([ad._points(right)] * 3)).to_pylist() == [0.0] * 3
