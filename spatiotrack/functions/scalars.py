@@ -40,11 +40,11 @@ def scanner_of(entity_id: Column) -> Column:
 
 def metres(value: Column, unit: Column) -> Column:
     """A length in metres; an unknown unit counts as metres."""
-    out = value
+    by = F.lit(1.0)
     for name, factor in UNIT_METRES.items():
         if factor != 1.0:
-            out = F.when(unit == name, value * factor).otherwise(out)
-    return out
+            by = F.when(unit == name, factor).otherwise(by)
+    return value * by
 
 
 def corrected(value: Column, correction: Column) -> Column:

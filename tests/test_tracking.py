@@ -146,3 +146,21 @@ def test_one_long_history_is_spread_over_tasks(spark):
     assert cut.select("piece").distinct().count() == 288
     sizes = [r.n for r in cut.repartition(8, "device", "piece").groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
     assert len(sizes) == 8 and max(sizes) < 86_400 / 4
+
+
+def test_methods_of_the_readings_chain_are_short_enough_to_be_compiled(spark, sf):
+    """The JVM leaves methods of over 8,000 bytes to its interpreter."""
+    import re
+
+    from spatiotrack.plans import tracking as tr
+
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for query in (tr.p3_corrected, tr.a1_candidate_floors, tr.nearest_floor, tr.p20_fit_score):
+            plan = query(spark, sf)._jdf.queryExecution()
+            shown = plan.explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen"))
+            sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", shown)]
+            assert sizes and max(sizes) < 8000, (query.__name__, sizes)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
