@@ -17,10 +17,17 @@ def owned_sensors(states: DataFrame, registry: DataFrame, platform: str = DISTAN
     return states.filter(F.col("entity_id").contains(DISTANCE_MARK)).join(own, "entity_id", "left_semi")
 
 
-def enough_sensors(states: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
-    """Ticks with fewer sensors than three in all, over all devices, are skipped whole."""
-    counts = states.groupBy("tick").agg(F.count_distinct("entity_id").alias("__n"))
-    return states.join(counts.filter(F.col("__n") >= s.least_sensors).select("tick"), "tick", "left_semi")
+def enough_sensors(states: DataFrame, s: Settings = DEFAULTS, tasks: int | None = None) -> DataFrame:
+    """Ticks with fewer sensors than three in all, over all devices, are skipped whole.
+
+    ``tasks``: over how many tasks the sensors of all ticks are dealt out, if not as many as a shuffle
+    has. There are few ticks, so states never meet them by a shuffle on the tick while their list is small.
+    """
+    keys = ["tick", "entity_id"]
+    seen = states.select(*keys)
+    once = (seen.repartition(tasks, *keys) if tasks else seen).distinct()
+    counts = once.groupBy("tick").agg(F.count("entity_id").alias("__n"))
+    return states.join(small(counts.filter(F.col("__n") >= s.least_sensors).select("tick")), "tick", "left_semi")
 
 
 def readings(states: DataFrame, receivers: DataFrame, height: float | None = None, s: Settings = DEFAULTS) -> DataFrame:

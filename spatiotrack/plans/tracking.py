@@ -57,7 +57,7 @@ def s3_split_entity(spark, sf):
 
 @query(sql(STATES + ", n AS (SELECT tick FROM st GROUP BY tick HAVING count(DISTINCT entity_id) >= 3)", "SELECT tick, count(*) AS n_states FROM st WHERE tick IN (SELECT tick FROM n) GROUP BY tick"))
 def st1_sensor_gate(spark, sf):
-    return rd.enough_sensors(_states(spark, sf)).groupBy("tick").agg(F.count(F.lit(1)).alias("n_states"))
+    return rd.enough_sensors(_states(spark, sf), tasks=fx.tasks(spark, sf)).groupBy("tick").agg(F.count(F.lit(1)).alias("n_states"))
 
 
 @query(sql(STATES, "SELECT event_id, entity_id, try_cast(state AS DOUBLE) AS value FROM st WHERE try_cast(state AS DOUBLE) IS NOT NULL"))

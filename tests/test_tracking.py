@@ -164,3 +164,15 @@ def test_methods_of_the_readings_chain_are_short_enough_to_be_compiled(spark, sf
             assert sizes and max(sizes) < 8000, (query.__name__, sizes)
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
+def test_more_events_make_more_tasks_and_states_do_not_meet_ticks_by_shuffle(spark, sf, monkeypatch):
+    from spatiotrack.operators import readings as rd
+    from spatiotrack.sources import fixtures as fx
+
+    few = fx.tasks(spark, sf)
+    monkeypatch.setattr(fx, "EVENTS_A_TASK", 50)
+    assert fx.tasks(spark, sf) == 20 > few and fx.truth(spark, sf).rdd.getNumPartitions() == 20
+    states = fx.sensor_states(spark, sf)
+    shown = rd.enough_sensors(states, tasks=20)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in shown and "SortMergeJoin" not in shown and "hashpartitioning(tick" in shown and ", 20), REPARTITION_BY_NUM" in shown
