@@ -149,7 +149,10 @@ FIT = WEIGHTED + "," + "fixes AS (SELECT 'dev' || device AS device, tick, CAST(t
 def _scores(spark, sf):
     rec = fx.recording(spark, sf).select(F.col("ent").alias("device"), "tick", F.col("x").alias("fx"), F.col("y").alias("fy"))
     fixes = rec.join(fx.receivers(spark).select("floor_seq").distinct().hint("broadcast"), how="cross")
-    return rd.fit_score(rd.with_jump_weights(_readings(spark, sf)), fixes)
+    # As many tasks as the readings' making has: windows by device need no other shuffle, nor do the join and the sums by key.
+    n, keys = fx.tasks(spark, sf), ["device", "tick", "floor_seq"]
+    points = rd.with_jump_weights(_readings(spark, sf).repartition(n, "device"))
+    return rd.fit_score(points.repartition(n, *keys), fixes.repartition(n, *keys))
 
 
 @query(sql(FIT, "SELECT device, tick, floor_seq, round(rms_m, 5) AS rms_m, coverage, round(conf, 5) AS conf FROM cf"))
