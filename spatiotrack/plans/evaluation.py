@@ -111,7 +111,8 @@ mf AS (SELECT ent, floor AS main_floor FROM (SELECT *, row_number() OVER (PARTIT
 @query(sql(SCORE, "SELECT ent, n, duration_s, floor_flaps, zone_flaps, rms_m_mean, conf_mean, main_floor, 40e0 AS px_per_m, " + ", ".join(f"round({c} + 1e-7, 5) AS {c}" for c in _SCORED) + ", series, 'm' AS units FROM hd JOIN mf USING (ent) JOIN (SELECT * FROM published UNION ALL SELECT * FROM raw) USING (ent)"))
 def score_recording(spark, sf):
     scales = fx.receivers(spark).select("floor", "scale").distinct()
-    out = ev.score(_rec(spark, sf), scales, (1000.0, 700.0), WAY)
+    # All steps are by tracker, so this one shuffle, over as many tasks as there are events for, serves them.
+    out = ev.score(_rec(spark, sf).repartition(fx.tasks(spark, sf), "ent"), scales, (1000.0, 700.0), WAY)
     # Many of these are exact halves of the last place; a shift puts them on one side here and in SQL.
     return out.withColumns({c: F.round(F.col(c) + 1e-7, 5) for c in _SCORED})
 
