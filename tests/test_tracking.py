@@ -176,3 +176,15 @@ def test_more_events_make_more_tasks_and_states_do_not_meet_ticks_by_shuffle(spa
     states = fx.sensor_states(spark, sf)
     shown = rd.enough_sensors(states, tasks=20)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in shown and "SortMergeJoin" not in shown and "hashpartitioning(tick" in shown and ", 20), REPARTITION_BY_NUM" in shown
+
+
+def test_fit_scores_and_recordings_are_dealt_out_by_the_number_of_events(spark, sf, monkeypatch):
+    from spatiotrack.plans import evaluation as evl
+    from spatiotrack.plans import tracking as tr
+    from spatiotrack.sources import fixtures as fx
+
+    monkeypatch.setattr(fx, "EVENTS_A_TASK", 50)
+    for query, by in ((tr.p21_no_go_penalty, "hashpartitioning(device"), (evl.score_recording, "hashpartitioning(ent")):
+        shown = query(spark, sf)._jdf.queryExecution().executedPlan().toString()
+        dealt = [line for line in shown.splitlines() if by in line]
+        assert dealt and all(", 20), REPARTITION_BY_NUM" in line for line in dealt), dealt
