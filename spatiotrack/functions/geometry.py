@@ -25,8 +25,25 @@ def segment_distance(px: Column, py: Column, e: Column) -> Column:
     return F.sqrt(gx * gx + gy * gy)
 
 
+def _feet(px: Column, py: Column, es: Column) -> Column:
+    """Each edge's start and direction, and at which share ``t`` of it the point's foot lies: worked out once, as Spark works out a lambda's expression at each place where it is used."""
+
+    def foot(e: Column) -> Column:
+        dx, dy = e["bx"] - e["ax"], e["by"] - e["ay"]
+        length = dx * dx + dy * dy
+        t = F.when(length == 0, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((px - e["ax"]) * dx + (py - e["ay"]) * dy) / length)))
+        return F.struct(e["ax"].alias("ax"), e["ay"].alias("ay"), dx.alias("dx"), dy.alias("dy"), t.alias("t"))
+
+    return F.transform(F.transform(es, foot), lambda f: F.struct((f["ax"] + f["t"] * f["dx"]).alias("x"), (f["ay"] + f["t"] * f["dy"]).alias("y")))
+
+
+def _to(px: Column, py: Column, p: Column) -> Column:
+    gx, gy = px - p["x"], py - p["y"]
+    return F.sqrt(gx * gx + gy * gy)
+
+
 def boundary_distance(px: Column, py: Column, es: Column) -> Column:
-    return F.array_min(F.transform(es, lambda e: segment_distance(px, py, e)))
+    return F.array_min(F.transform(_feet(px, py, es), lambda p: _to(px, py, p)))
 
 
 def inside(px: Column, py: Column, es: Column) -> Column:
@@ -47,11 +64,9 @@ def distance(px: Column, py: Column, es: Column) -> Column:
     return F.when(inside(px, py, es), F.lit(0.0)).otherwise(boundary_distance(px, py, es))
 
 
-def nearest_on_edge(px: Column, py: Column, e: Column) -> Column:
-    dx, dy = e["bx"] - e["ax"], e["by"] - e["ay"]
-    length = dx * dx + dy * dy
-    t = F.when(length == 0, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((px - e["ax"]) * dx + (py - e["ay"]) * dy) / length)))
-    return F.struct(segment_distance(px, py, e).alias("d"), (e["ax"] + t * dx).alias("x"), (e["ay"] + t * dy).alias("y"))
+def nearest_on_edges(px: Column, py: Column, es: Column) -> Column:
+    """struct<d, x, y>: the nearest point of all edges, and how far away it is."""
+    return F.array_min(F.transform(_feet(px, py, es), lambda p: F.struct(_to(px, py, p).alias("d"), p["x"].alias("x"), p["y"].alias("y"))))
 
 
 def area(ring: Column) -> Column:

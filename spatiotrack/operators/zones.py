@@ -74,7 +74,7 @@ def snap_plain(px: Column, py: Column, zs: Column) -> Column:
     """
     covered = F.exists(allowed(zs), lambda z: g.covers(px, py, z["edges"]))
     all_edges = F.flatten(F.transform(allowed(zs), lambda z: z["edges"]))
-    nearest = F.array_min(F.transform(all_edges, lambda e: g.nearest_on_edge(px, py, e)))
+    nearest = g.nearest_on_edges(px, py, all_edges)
     own = F.struct(px.alias("x"), py.alias("y"))
     return F.when(covered | (F.size(all_edges) == 0), own).otherwise(F.struct(nearest["x"].alias("x"), nearest["y"].alias("y")))
 

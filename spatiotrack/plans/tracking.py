@@ -260,7 +260,8 @@ def g1_zone_shapes(spark, sf):
 def g2_containment(spark, sf):
     r = fx.recording(spark, sf).select("event_id", "floor_seq", "x", "y").join(zn.small(zn.prepared_zones(fx.zones(spark))), "floor_seq")
     x, y = F.col("x"), F.col("y")
-    rows = F.transform("zones", lambda z: F.struct(z["zone_seq"].alias("zone_seq"), g.inside(x, y, z["edges"]).alias("inside"), g.covers(x, y, z["edges"]).alias("covers"), F.round(g.boundary_distance(x, y, z["edges"]), 6).alias("boundary")))
+    told = F.transform("zones", lambda z: F.struct(z["zone_seq"].alias("zone_seq"), g.inside(x, y, z["edges"]).alias("inside"), g.boundary_distance(x, y, z["edges"]).alias("d")))
+    rows = F.transform(told, lambda z: F.struct(z["zone_seq"].alias("zone_seq"), z["inside"].alias("inside"), (z["inside"] | (z["d"] <= g.TOUCH)).alias("covers"), F.round(z["d"], 6).alias("boundary")))
     return r.select("event_id", F.inline(rows))
 
 

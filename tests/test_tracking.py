@@ -188,3 +188,21 @@ def test_fit_scores_and_recordings_are_dealt_out_by_the_number_of_events(spark,
         shown = query(spark, sf)._jdf.queryExecution().executedPlan().toString()
         dealt = [line for line in shown.splitlines() if by in line]
         assert dealt and all(", 20), REPARTITION_BY_NUM" in line for line in dealt), dealt
+
+
+def test_the_foot_on_a_side_is_worked_out_once_for_each_zone(spark, sf):
+    """Spark works out a lambda's expression at each place where it stands: the share of the side at which the foot lies stands there once."""
+    from pyspark.sql import functions as F
+
+    from spatiotrack.functions import geometry as g
+    from spatiotrack.plans import tracking as tr
+
+    def feet(df):
+        return df._jdf.queryExecution().analyzed().toString().count("greatest(")
+
+    assert feet(tr.g2_containment(spark, sf)) == 1
+    ring = F.expr("array(named_struct('ax', 0D, 'ay', 0D, 'bx', 4D, 'by', 0D), named_struct('ax', 4D, 'ay', 0D, 'bx', 4D, 'by', 0D))")
+    at = spark.range(1).select(g.nearest_on_edges(F.lit(1.0), F.lit(3.0), ring).alias("p"), g.boundary_distance(F.lit(7.0), F.lit(4.0), ring).alias("d"))
+    assert feet(at) == 2
+    row = at.first()
+    assert tuple(row["p"]) == (3.0, 1.0, 0.0) and row["d"] == 5.0
