@@ -33,6 +33,9 @@ STATE = "device string, updated double, track string"
 STEP = "kind int, device string, tick int, floor_seq int, x double, y double, raw_x double, raw_y double, rms_m double, conf double, floors map<int,double>, updated double, track string"
 NAMES = [c.split()[0] for c in STEP.split(", ")]
 
+#: Readings of one task: a larger batch makes more tasks, not larger ones, whatever number of partitions the session has.
+ROWS_A_TASK = 250_000
+
 #: A floor that the layout no longer has: none of the valid ones.
 GONE = -1
 
@@ -124,26 +127,30 @@ class LiveTracker:
         # The floors of one layout document: a name and a number each.
         floors = {r["floor"]: r["floor_seq"] for r in plan.floors.select("floor", "floor_seq").collect()}
 
+        n = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-states.count() // ROWS_A_TASK))
+        dealt = lambda df: df.repartition(n, "device")
+
         last = gate.groupBy("device").agg(F.max("tick").alias("__last"))
-        rows = rd.readings(states, plan.receivers, plan.tracker_height(), s).join(last, "device", "left").filter("__last is null or tick > __last")
+        rows = dealt(rd.readings(states, plan.receivers, plan.tracker_height(), s)).join(dealt(last), "device", "left").filter("__last is null or tick > __last")
         new = work.keep(rows.select("device", F.col("tick").cast("int").alias("tick"), "floor_seq", "floor", F.col("rec_seq").cast("int").alias("rec_seq"), "x", "y", "r", "slant", "scale"), "live-readings")
 
         numbers = small(plan.floors.select("floor", "floor_seq"))
         both = gate.join(numbers, "floor").withColumn("__old", F.lit(True)).unionByName(new.withColumn("__old", F.lit(False)))
-        weighted = rd.with_jump_weights(both, s).filter(~F.col("__old"))
+        weighted = rd.with_jump_weights(dealt(both), s).filter(~F.col("__old"))
         solved = tk.solved_hypotheses(weighted, plan.zones, s)
 
-        newest = gate.select("device", "tick").unionByName(new.select("device", "tick")).groupBy("device").agg(F.max("tick").alias("tick"))
+        newest = dealt(gate.select("device", "tick").unionByName(new.select("device", "tick"))).groupBy("device").agg(F.max("tick").alias("tick"))
         now = float(newest.agg(F.max("tick")).first()[0] or 0) * s.tick_s
         kind = lambda df, k: df.withColumn("kind", F.lit(k))
         steps = kind(carried.drop("updated"), _CARRIED).unionByName(kind(solved, _FIX), allowMissingColumns=True)
-        ordered = steps.repartition("device").sortWithinPartitions("device", "kind", "tick", "floor_seq")
+        ordered = dealt(steps).sortWithinPartitions("device", "kind", "tick", "floor_seq")
         folded = work.keep(ordered.mapInPandas(_fold(floors, now, s), STEP), "live-steps")
 
         fixes = folded.filter(F.col("kind") == _FIX).select("device", "tick", "floor_seq", "x", "y", "raw_x", "raw_y", "rms_m", "conf", "floors")
         parts.write(tk.placed_in_zones(fixes, plan.zones, plan.subzones, s), "fixes", batch)
         parts.write(folded.filter(F.col("kind") == _PRUNED).select("device"), "pruned", batch)
-        kept = gate.unionByName(new.drop("floor_seq")).join(newest, ["device", "tick"], "left_semi").filter(F.col("tick") * s.tick_s >= now - s.stale_s)
+        keys = ["device", "tick"]
+        kept = gate.unionByName(new.drop("floor_seq")).repartition(n, *keys).join(newest.repartition(n, *keys), keys, "left_semi").filter(F.col("tick") * s.tick_s >= now - s.stale_s)
         parts.write(kept.select(*[c.split()[0] for c in GATE.split(", ")]), "gate", batch)
         parts.write(folded.filter(F.col("kind") == _CARRIED).select("device", "updated", "track"), "state", batch)
         for name in ("gate", "state"):

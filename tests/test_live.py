@@ -115,3 +115,15 @@ def test_late_ticks_pruning_and_batches_run_again(spark, tmp_path):
     live.layout = lambda: Layout.read(spark, path)
     live(states(spark, [403], ["ben"]), 5)
     assert ("ben", 403) in rows_of(live.fixes()) and ("ben", 402) not in rows_of(live.fixes())
+
+
+def test_a_larger_batch_makes_more_tasks_and_not_larger_ones(spark, tmp_path, monkeypatch):
+    from spatiotrack.streaming import live as lv
+
+    path, seen, solved = str(tmp_path / "layout"), [], tk.solved_hypotheses
+    monkeypatch.setattr(lv, "ROWS_A_TASK", 4)
+    monkeypatch.setattr(tk, "solved_hypotheses", lambda weighted, *rest: (seen.append(weighted.rdd.getNumPartitions()), solved(weighted, *rest))[1])
+    store(spark, path, document([("ground", "g"), ("up", "u")]))
+    live = LiveTracker(spark, lambda: Layout.read(spark, path), str(tmp_path / "out"))
+    live(states(spark, range(1, 9)), 0)
+    assert seen == [32] and live.fixes().count()
