@@ -191,23 +191,26 @@ def solved_hypotheses(weighted: DataFrame, zones: DataFrame, s: Settings = DEFAU
     return scored.select(*own, "tick", "floor_seq", "rank", "fx", "fy", "rms_m", "conf", "scale", *[F.col(f"b_{c}").alias(c) for c in ("minx", "miny", "maxx", "maxy")])
 
 
-def fold_fixes(solved: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
+def fold_fixes(solved: DataFrame, s: Settings = DEFAULTS, tasks: int | None = None) -> DataFrame:
     """Elected, smoothed and clipped fixes of solved hypotheses; pieces of a history, where there are any, each for itself."""
     own = rd.history(solved)
-    ordered = solved.withColumn("device", F.col("device").cast("string")).repartition(*own).sortWithinPartitions(*own, "tick", "floor_seq")
+    ordered = solved.withColumn("device", F.col("device").cast("string")).repartition(*([tasks] if tasks else []), *own).sortWithinPartitions(*own, "tick", "floor_seq")
     return ordered.mapInPandas(_fold(s, own), FIX)
 
 
-def track(states: DataFrame, receivers: DataFrame, zones: DataFrame, subzones: DataFrame | None = None, height: float | None = None, s: Settings = DEFAULTS, long_histories: bool = False) -> DataFrame:
+def track(states: DataFrame, receivers: DataFrame, zones: DataFrame, subzones: DataFrame | None = None, height: float | None = None, s: Settings = DEFAULTS, long_histories: bool = False, tasks: int | None = None) -> DataFrame:
     """Published fixes: position snapped into the zones, zone, nearest zone, sub-zone, parent zone.
 
     ``long_histories``: cut histories at their gaps, for one more pass over the readings, so that a few
-    devices with most of the ticks do not keep a task each; the result is the same.
+    devices with most of the ticks do not keep a task each; the result is the same. ``tasks``: over how many tasks histories are dealt out, if
+    not as many as a shuffle has.
     """
     rows = rd.readings(states, receivers, height, s)
     if long_histories:
         rows = rd.with_pieces(rows, s)
-    return placed_in_zones(fold_fixes(hypotheses(rows, zones, s), s), zones, subzones, s)
+    if tasks:
+        rows = rows.repartition(tasks, *rd.history(rows))
+    return placed_in_zones(fold_fixes(hypotheses(rows, zones, s), s, tasks), zones, subzones, s)
 
 
 def placed_in_zones(fixes: DataFrame, zones: DataFrame, subzones: DataFrame | None = None, s: Settings = DEFAULTS) -> DataFrame:

@@ -387,7 +387,7 @@ dead AS (SELECT DISTINCT id FROM pz WHERE no_go AND odd AND d > 1e-9)"""
 
 @query(sql(FIXES, "SELECT device, tick, floor_seq, round(fx, 1) AS fx, round(fy, 1) AS fy, round(rms_m, 4) AS rms_m, round((0.5e0 * least(1e0, n / 5e0) + 0.5e0 / (1 + (rms_m / 2e0) * (rms_m / 2e0))) * (CASE WHEN id IN (SELECT id FROM dead) THEN 0.15e0 ELSE 1e0 END), 4) AS conf FROM fs", recursive=True))
 def m1_trilaterate(spark, sf):
-    h = tk.hypotheses(_readings(spark, sf), fx.zones(spark))
+    h = tk.hypotheses(_readings(spark, sf).repartition(fx.tasks(spark, sf), "device"), fx.zones(spark))
     return h.select("device", "tick", "floor_seq", F.round("fx", 1).alias("fx"), F.round("fy", 1).alias("fy"), F.round("rms_m", 4).alias("rms_m"), F.round("conf", 4).alias("conf"))
 
 
@@ -401,14 +401,15 @@ o AS (SELECT device AS ent, CAST(tick AS DOUBLE) AS t, fx AS zx, fy AS zy, floor
 @query(sql(PUBLISHED, "SELECT ch.device, ch.tick, ch.floor_seq, round(least(greatest(k.x, x0), x1), 2) AS x, round(least(greatest(k.y, y0), y1), 2) AS y, round(fx, 2) AS raw_x, round(fy, 2) AS raw_y, round(rms_m, 4) AS rms_m, round(conf, 4) AS conf FROM ch JOIN k ON k.ent = ch.device AND k.t = ch.tick", recursive=True))
 def st_published_fixes(spark, sf):
     """Solved, elected, smoothed and clipped fixes: the chain up to where zones come in."""
-    fixes = tk.fold_fixes(tk.hypotheses(_readings(spark, sf), fx.zones(spark)))
+    n = fx.tasks(spark, sf)
+    fixes = tk.fold_fixes(tk.hypotheses(_readings(spark, sf).repartition(n, "device"), fx.zones(spark)), tasks=n)
     return fixes.select("device", "tick", "floor_seq", *[F.round(c, 2).alias(c) for c in ("x", "y", "raw_x", "raw_y")], F.round("rms_m", 4).alias("rms_m"), F.round("conf", 4).alias("conf"))
 
 
 @query()
 def tracking(spark, sf):
     """The flagship: states in, published fixes out."""
-    fixes = tk.track(_states(spark, sf), fx.receivers(spark), fx.zones(spark), fx.subzones(spark))
+    fixes = tk.track(_states(spark, sf), fx.receivers(spark), fx.zones(spark), fx.subzones(spark), tasks=fx.tasks(spark, sf))
     return tk.publish(fixes).drop("floors")
 
 

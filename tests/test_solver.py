@@ -54,3 +54,17 @@ def test_planted_receiver_biases_are_found():
     tx, rx = (np.array(v) for v in zip(*[(i, j) for i in range(n) for j in range(n) if i != j], strict=True))
     receive, send = fit_biases(tx, rx, rx_true[rx] + tx_true[tx], np.ones(len(tx)), n)
     assert receive == pytest.approx(rx_true, abs=1e-4) and send == pytest.approx(tx_true, abs=1e-4)
+
+
+def test_a_problem_goes_its_own_way_whichever_are_solved_beside_it():
+    """Settled problems make room for others; each ends where it does alone, also with as many receivers as numpy adds up in turns."""
+    rng = np.random.default_rng(5)
+    for k in (3, 4, 9):
+        n = 300
+        x, y, r = rng.uniform(0, 900, (n, k)), rng.uniform(0, 900, (n, k)), rng.uniform(1, 700, (n, k))
+        w = np.where(rng.random((n, k)) < 0.9, rng.random((n, k)), 0.0)
+        lower, upper = np.full((n, 2), -50.0), np.full((n, 2), 950.0)
+        args = (x, y, r, w, lower, upper, np.full(n, 20.0))
+        whole = trilaterate(*args)
+        assert np.array_equal(whole, trilaterate(*args, at_once=7))
+        assert np.array_equal(whole, np.concatenate([trilaterate(*[a[i : i + 1] for a in args]) for i in range(n)]))

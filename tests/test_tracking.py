@@ -206,3 +206,23 @@ def test_the_foot_on_a_side_is_worked_out_once_for_each_zone(spark, sf):
     assert feet(at) == 2
     row = at.first()
     assert tuple(row["p"]) == (3.0, 1.0, 0.0) and row["d"] == 5.0
+
+
+def test_the_chain_is_dealt_out_by_the_number_of_events(spark, sf, monkeypatch):
+    from spatiotrack.plans import tracking as tr
+    from spatiotrack.sources import fixtures as fx
+
+    monkeypatch.setattr(fx, "EVENTS_A_TASK", 50)
+    for query, n in ((tr.m1_trilaterate, 1), (tr.st_published_fixes, 2), (tr.tracking, 2)):
+        shown = query(spark, sf)._jdf.queryExecution().executedPlan().toString()
+        dealt = [line for line in shown.splitlines() if "hashpartitioning(device" in line]
+        assert len(dealt) == n and all(", 20), REPARTITION_BY_NUM" in line for line in dealt), dealt
+
+
+def test_entity_ids_are_cut_without_patterns(spark):
+    ids = ["sensor.dev1_distance_to_rx3", "sensor.a_distance_to_b_distance_to_c", "sensor.sensor.x_distance_to_y", "x_distance_to_", "_distance_to_z", "größe.sensor.ä_distance_to_ö", "a\nsensor.b_distance_to_c\nd", "sensorx_distance_to_y", "sensor.plain", None]
+    df = spark.createDataFrame([(i,) for i in ids], "e string").select("e", f.device_of(F.col("e")).alias("d"), f.scanner_of(F.col("e")).alias("s"))
+    want = [("dev1", "rx3"), ("a", "b_distance_to_c"), ("sensor.x", "y"), ("x", ""), ("", "z"), ("größe.sensor.ä", "ö"), ("a\nsensor.b", "c\nd"), ("sensorx", "y"), ("plain", None), (None, None)]
+    assert [(r.d, r.s) for r in df.collect()] == want
+    shown = df._jdf.queryExecution().analyzed().toString()
+    assert "regexp" not in shown and "split" not in shown
