@@ -49,17 +49,23 @@ def _boxed(px: Column, py: Column, z: Column, room: Column | float = 0.0) -> Col
     return px.between(b["minx"] - room, b["maxx"] + room) & py.between(b["miny"] - room, b["maxy"] + room)
 
 
+def covered_by(px: Column, py: Column, z: Column) -> Column:
+    return F.when(_boxed(px, py, z, g.TOUCH), g.covers(px, py, z["edges"])).otherwise(False)
+
+
 def zone_at(px: Column, py: Column, zs: Column) -> Column:
     """First zone in file order that covers the point, else the one whose boundary is nearest among those within their buffer."""
-    first = F.get(F.filter(allowed(zs), lambda z: F.when(_boxed(px, py, z, g.TOUCH), g.covers(px, py, z["edges"])).otherwise(False)), F.lit(0))["zone"]
+    first = F.get(F.filter(allowed(zs), lambda z: covered_by(px, py, z)), F.lit(0))["zone"]
     near = F.filter(allowed(zs), lambda z: F.when(_boxed(px, py, z, z["buffer"]), g.boundary_distance(px, py, z["edges"]) < z["buffer"]).otherwise(False))
     soft = F.array_min(F.transform(near, lambda z: F.struct(g.boundary_distance(px, py, z["edges"]).alias("d"), z["zone"].alias("zone"))))["zone"]
     return F.coalesce(first, soft, F.lit(UNKNOWN))
 
 
 def nearest_zone(px: Column, py: Column, zs: Column) -> Column:
+    """The allowed zone at the least distance, the first in file order of several; only points off all zones are measured against each."""
+    at = F.get(F.filter(allowed(zs), lambda z: F.when(_boxed(px, py, z, g.TOUCH), g.distance(px, py, z["edges"]) == 0).otherwise(False)), F.lit(0))["zone"]
     ranked = F.transform(allowed(zs), lambda z: F.struct(g.distance(px, py, z["edges"]).alias("d"), z["zone_seq"].alias("zone_seq"), z["zone"].alias("zone")))
-    return F.coalesce(F.array_min(ranked)["zone"], F.lit(UNKNOWN))
+    return F.coalesce(at, F.array_min(ranked)["zone"], F.lit(UNKNOWN))
 
 
 def in_no_go(px: Column, py: Column, zs: Column) -> Column:
@@ -72,7 +78,7 @@ def snap_plain(px: Column, py: Column, zs: Column) -> Column:
 
     For floors without forbidden zones: the nearest point of a union is the nearest of its members'.
     """
-    covered = F.exists(allowed(zs), lambda z: g.covers(px, py, z["edges"]))
+    covered = F.exists(allowed(zs), lambda z: covered_by(px, py, z))
     all_edges = F.flatten(F.transform(allowed(zs), lambda z: z["edges"]))
     nearest = g.nearest_on_edges(px, py, all_edges)
     own = F.struct(px.alias("x"), py.alias("y"))
@@ -98,14 +104,14 @@ def prepared_subzones(subzones: DataFrame, zones: DataFrame) -> DataFrame:
     """One row a floor: subzones array in file order, the parent's name looked up by zone id."""
     names = zones.select("floor_seq", F.coalesce("zone_id", "zone").alias("parent"), F.col("zone").alias("parent_zone")).groupBy("floor_seq", "parent").agg(F.last("parent_zone").alias("parent_zone"))
     named = subzones.filter(F.size("ring") >= 3).join(names, ["floor_seq", "parent"], "left")
-    row = F.struct("sub_seq", "sub_zone", F.coalesce("parent_zone", "parent").alias("parent"), g.edges(F.col("ring")).alias("edges"))
+    row = F.struct("sub_seq", "sub_zone", F.coalesce("parent_zone", "parent").alias("parent"), g.edges(F.col("ring")).alias("edges"), g.bounds(F.col("ring")).alias("box"))
     return named.groupBy("floor_seq").agg(F.sort_array(F.collect_list(row)).alias("__subs"))
 
 
 def locate_subzone(points: DataFrame, subzones: DataFrame, zones: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
     """``points`` and sub_zone, sub_parent: strict, no buffer, boundary included."""
     joined = points.join(small(prepared_subzones(subzones, zones)), "floor_seq", "left")
-    hit = F.get(F.filter("__subs", lambda z: g.covers(F.col(x), F.col(y), z["edges"])), F.lit(0))
+    hit = F.get(F.filter("__subs", lambda z: covered_by(F.col(x), F.col(y), z)), F.lit(0))
     return joined.select(*points.columns, F.coalesce(hit["sub_zone"], F.lit(UNKNOWN)).alias("sub_zone"), hit["parent"].alias("sub_parent"))
 
 

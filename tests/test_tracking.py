@@ -226,3 +226,19 @@ def test_entity_ids_are_cut_without_patterns(spark):
     assert [(r.d, r.s) for r in df.collect()] == want
     shown = df._jdf.queryExecution().analyzed().toString()
     assert "regexp" not in shown and "split" not in shown
+
+
+def test_zones_are_measured_only_where_their_box_holds_the_point(spark):
+    """On borders, corners and off all zones: the same as measured against every zone."""
+    from spatiotrack.functions import geometry as g
+
+    spots = [(x, y) for x in (150.0, 200.0, 500.0, 900.0, 925.0, 950.0, 1300.0, 1400.0, 1401.0, 1800.0, 1900.0) for y in (100.0, 200.0, 500.0, 700.0, 700.5, 1200.0, 1300.0)]
+    rows = points(spark, [(k, i, *p) for k in range(4) for i, p in enumerate(spots)])
+    prepared = zn.prepared_zones(fx.zones(spark))
+    x, y = F.col("x"), F.col("y")
+    every = F.array_min(F.transform(zn.allowed(F.col("zones")), lambda z: F.struct(g.distance(x, y, z["edges"]).alias("d"), z["zone_seq"].alias("k"), z["zone"].alias("zone"))))["zone"]
+    out = rows.join(prepared, "floor_seq").select(zn.nearest_zone(x, y, F.col("zones")).alias("got"), F.coalesce(every, F.lit("unknown")).alias("want")).collect()
+    assert len(out) == 3 * len(spots) and all(r.got == r.want for r in out)
+    snapped = rows.join(prepared, "floor_seq").select(zn.snap_plain(x, y, F.col("zones")).alias("p"))
+    shown = snapped._jdf.queryExecution().analyzed().toString()
+    assert shown.count(".box") >= 4
