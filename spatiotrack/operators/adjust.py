@@ -88,10 +88,67 @@ def square(r: np.ndarray, s: Settings = DEFAULTS) -> tuple[np.ndarray, bool]:
     return out, True
 
 
+def _cluster_all(v: np.ndarray, tolerance: float) -> np.ndarray:
+    """``_cluster`` of each row."""
+    order = np.argsort(v, axis=1, kind="stable")
+    ordered = np.take_along_axis(v, order, axis=1)
+    run = np.cumsum(np.diff(ordered, axis=1, prepend=ordered[:, :1]) > tolerance, axis=1) + np.arange(len(v))[:, None] * v.shape[1]
+    out = np.empty_like(v)
+    np.put_along_axis(out, order, (np.bincount(run.ravel(), ordered.ravel()) / np.maximum(np.bincount(run.ravel()), 1))[run], axis=1)
+    return out
+
+
+def _square_all(r: np.ndarray, s: Settings) -> tuple[np.ndarray, ...]:
+    """Of rings (m, n, 2): axis (degrees), share of the rectangle that is filled, whether squared, what results; last, for which this holds: those clearly convex that lose no corner."""
+    ok, h = rg.convex_hulls(r)
+    r, h = r[ok], h[ok]
+    axis, box = rg.smallest_rectangles(h)
+    d = np.roll(r, -1, axis=1) - r
+    length = np.hypot(d[:, :, 0], d[:, :, 1])
+    gap = np.abs(np.degrees(np.arctan2(d[:, :, 1], d[:, :, 0])) % 90 - (np.degrees(axis) % 90)[:, None])
+    straight = np.where(np.minimum(gap, 90 - gap) < s.angle_deg, length, 0.0).sum(axis=1)
+    area = np.abs(rg.areas(r))
+    boxy = (straight / length.sum(axis=1) >= s.boxy_aligned) & (area / box >= s.boxy_fill)
+    c, n = r.mean(axis=1), np.roll(r, -1, axis=1)
+    cross = r[:, :, 0] * n[:, :, 1] - n[:, :, 0] * r[:, :, 1]
+    whole = cross.sum(axis=1)
+    c = np.where(whole[:, None] != 0, ((r + n) * cross[:, :, None]).sum(axis=1) / (3 * np.where(whole, whole, 1.0))[:, None], c)[:, None]
+    turn = np.moveaxis(np.array([[np.cos(axis), -np.sin(axis)], [np.sin(axis), np.cos(axis)]]), 2, 0)
+    flat = (r - c) @ turn
+    out = np.stack([_cluster_all(flat[:, :, 0], s.tolerance_px), _cluster_all(flat[:, :, 1], s.tolerance_px)], axis=2) @ turn.swapaxes(1, 2) + c
+    side = out - np.roll(out, 1, axis=1)
+    apart = (np.hypot(side[:, :, 0], side[:, :, 1]) >= s.min_edge_px).all(axis=1)
+    squared = boxy & (np.abs(rg.areas(out)) >= area * 0.5)
+    ok[np.flatnonzero(ok)[boxy & ~apart]] = False
+    sure = ~boxy | apart
+    return np.degrees(axis[sure]) % 90, area[sure] / box[sure], squared[sure], np.where(squared[:, None, None], out, r)[sure], ok
+
+
 def _array(ring) -> np.ndarray:
     return np.array([[q["x"], q["y"]] for q in ring], float).reshape(-1, 2)
 
 
+def _square_one(ring: list | None, s: Settings) -> dict | None:
+    r = _array(ring or [])
+    if len(r) < 3:
+        return None
+    axis, box = rg.smallest_rectangle(r)
+    out, did = square(r, s)
+    return {"axis_deg": float(np.degrees(axis) % 90), "fill": float(abs(rg.signed_area(r)) / box) if box else 0.0, "squared": did, "ring": _points(out)}
+
+
+def _squared(rings: pa.Array, s: Settings) -> pa.Array:
+    """A batch of rings looked at together by their number of corners; what is not clearly convex, or loses corners, one by one."""
+    alone, new = np.ones(len(rings), bool), []
+    for rows, r in _alike(rings):
+        *made, out, ok = _square_all(r, s)
+        new.append((rows[ok], pa.StructArray.from_arrays([*map(pa.array, made), _lists(out)], fields=list(_SQUARED))))
+        alone[rows[ok]] = False
+    rows = np.flatnonzero(alone)
+    new.append((rows, pa.array([_square_one(x, s) for x in rings.take(pa.array(rows)).to_pylist()], _SQUARED)))
+    return _placed(len(rings), new)
+
+
 SQUARED = "struct<axis_deg:double,fill:double,squared:boolean,ring:array<struct<x:double,y:double>>>"
 
 
@@ -101,22 +158,14 @@ def squared_rings(zones: DataFrame, s: Settings = DEFAULTS, ring: str = "ring",
     One ring a row, whatever floor it is on; null for a ring of fewer than three points.
     """
 
-    def one(points) -> dict | None:
-        r = _array(points or [])
-        if len(r) < 3:
-            return None
-        axis, box = rg.smallest_rectangle(r)
-        out, did = square(r, s)
-        return {"axis_deg": float(np.degrees(axis) % 90), "fill": float(abs(rg.signed_area(r)) / box) if box else 0.0, "squared": did, "ring": [{"x": float(x), "y": float(y)} for x, y in out]}
-
-    kind = pa.struct([("axis_deg", pa.float64()), ("fill", pa.float64()), ("squared", pa.bool_()), ("ring", pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))])
-    made = F.arrow_udf(lambda rings: pa.array([one(r) for r in rings.to_pylist()], kind), SQUARED)
+    made = F.arrow_udf(lambda rings: _squared(rings, s), SQUARED)
     return zones.withColumn(to, made(F.col(ring)))
 
 
-
 POINTS = "array<struct<x:double,y:double>>"
 _POINTS = pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))
+_SQUARED = pa.struct([("axis_deg", pa.float64()), ("fill", pa.float64()), ("squared", pa.bool_()), ("ring", _POINTS)])
+_CLAMPED = pa.struct([("ring", _POINTS), ("ok", pa.bool_())])
 
 #: A fixed ring's number, after those of all movable ones.
 FIXED = 1 << 30
@@ -241,7 +290,7 @@ def weld(rings: DataFrame, work: WorkTables, s: Settings = DEFAULTS) -> DataFram
     gx, gy = F.col("x") - F.col("to_x"), F.col("y") - F.col("to_y")
     added = met(feet.filter("not wall_fixed"), start, ["grp", "wall_seq", "wall"]).select("grp", F.col("wall_seq").alias("seq"), F.col("wall").alias("k"), F.sqrt(gx * gx + gy * gy).alias("along"), "v", F.struct("x", "y").alias("p"))
     walk = F.transform(F.sort_array(F.collect_list(F.struct("k", "along", "v", "p"))), lambda w: w["p"])
-    thin = ring_map(lambda r: _points(dedupe(_array(r), s.min_edge_px)))
+    thin = F.arrow_udf(lambda rings: _thinned(rings, s.min_edge_px), POINTS)
     return corners.unionByName(added).groupBy("grp", "seq").agg(walk.alias("welded")).withColumn("welded", thin("welded"))
 
 
@@ -257,6 +306,34 @@ def _unpacked(rings: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return sizes, np.concatenate([[0], np.cumsum(np.maximum(sizes, 0))[:-1]]).astype(np.int64), points
 
 
+def _alike(*rings: pa.Array, cost: int = 40):
+    """Rows of a batch whose rings, of three corners at least, have equally many, and these rings (m, n, 2): some at a time, by about ``cost`` bytes for each pair of corners."""
+    sizes, start, points = zip(*map(_unpacked, rings), strict=True)
+    if not len(sizes[0]):
+        return
+    kinds, kind = np.unique(np.stack(sizes, axis=1), axis=0, return_inverse=True)
+    for k in np.flatnonzero((kinds >= 3).all(axis=1)):
+        rows, n = np.flatnonzero(kind.ravel() == k), kinds[k]
+        for some in np.array_split(rows, max(1, len(rows) * int(n.sum()) ** 2 * cost // 80_000_000)):
+            yield some, *[p[at[some][:, None] + np.arange(m)] for p, at, m in zip(points, start, n, strict=True)]
+
+
+def _lists(r: np.ndarray, keep: np.ndarray | None = None) -> pa.Array:
+    """Rings (m, n, 2), of which some corners may be left out."""
+    keep = np.ones(r.shape[:2], bool) if keep is None else keep
+    p = r[keep]
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(keep.sum(axis=1))]), pa.int32()), pa.StructArray.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], fields=list(_POINTS.value_type)))
+
+
+def _placed(n: int, made: list[tuple[np.ndarray, pa.Array]]) -> pa.Array:
+    """A batch of ``n`` rows from values and the rows they are for; later ones count."""
+    take, at = np.zeros(n, np.int64), 0
+    for rows, values in made:
+        take[rows] = at + np.arange(len(values))
+        at += len(values)
+    return pa.concat_arrays([values for _, values in made]).take(pa.array(take))
+
+
 def _whole(rings: pa.Array) -> pa.Array:
     """The rings of a batch, looked at together by their number of corners; only those that cross themselves are cut one by one."""
     sizes, start, points = _unpacked(rings)
@@ -274,6 +351,18 @@ def _whole(rings: pa.Array) -> pa.Array:
     return pa.concat_arrays([rings, pa.array(new, rings.type)]).take(pa.array(take)) if new else rings
 
 
+def _thinned(rings: pa.Array, least: float) -> pa.Array:
+    """``dedupe`` of a batch: only rings with corners closer than ``least`` to the one before are gone through."""
+    sizes, start, points = _unpacked(rings)
+    sizes = np.maximum(sizes, 0)
+    before = np.arange(len(points)) - 1
+    before[start[sizes > 0]] += sizes[sizes > 0]
+    close = ~(np.hypot(*(points - points[before]).T) >= least)
+    rows = np.unique(np.repeat(np.arange(len(rings)), sizes)[close])
+    new = [_points(dedupe(_array(r), least)) for r in rings.take(pa.array(rows)).to_pylist()]
+    return _placed(len(rings), [(np.arange(len(rings)), rings.cast(_POINTS)), (rows, pa.array(new, _POINTS))])
+
+
 def whole_rings(zones: DataFrame, ring: str = "ring") -> DataFrame:
     """``zones`` with rings that cross themselves replaced by the largest part of what they enclose (even-odd), empty where there is none; others stay as they are."""
     return zones.withColumn(ring, F.arrow_udf(_whole, POINTS)(F.col(ring)))
@@ -284,16 +373,18 @@ def overlap_area(a: list, b: list) -> float:
 
 
 def _common(rings: pa.Array, others: pa.Array) -> pa.Array:
-    """Overlap areas of a batch: pairs of rings that a side of either parts, as most neighbours', are told together and share nothing; only the others are clipped."""
-    (n, at, p), (k, other_at, q) = _unpacked(rings), _unpacked(others)
+    """Overlap areas of a batch: pairs of rings that a side of either parts, as most neighbours', are told together and share nothing; the others are clipped, together where one ring at most is left."""
     out = np.zeros(len(rings))
-    clipped = np.ones(len(rings), bool)
-    for i, j in {(i, j) for i, j in zip(n.tolist(), k.tolist(), strict=True) if i >= 3 and j >= 3}:
-        rows = np.flatnonzero((n == i) & (k == j))
-        for some in np.array_split(rows, max(1, len(rows) * (i + j) ** 2 // 2_000_000)):
-            a, b = p[at[some][:, None] + np.arange(i)], q[other_at[some][:, None] + np.arange(j)]
-            clipped[some] = ~(rg.parted(a, b) | rg.parted(b, a))
-    for r in np.flatnonzero(clipped):
+    alone = np.ones(len(rings), bool)
+    for rows, a, b in _alike(rings, others, cost=400):
+        alone[rows] = False
+        rest = ~(rg.parted(a, b) | rg.parted(b, a))
+        rows = rows[rest]
+        count, clipped = rg.clip_all(a[rest], b[rest], keep_inside=True)
+        for k, r in clipped:
+            out[rows[k]] = rg.areas(r)
+        alone[rows[count < 0]] = True
+    for r in np.flatnonzero(alone):
         out[r] = overlap_area(rings[r].as_py(), others[r].as_py())
     return pa.array(out)
 
@@ -382,6 +473,26 @@ def _clamped(ring: list, clamp: list | None) -> dict:
     return {"ring": _points(rg.tidy(inner)), "ok": True}
 
 
+def _all_clamped(rings: pa.Array, walls: pa.Array) -> pa.Array:
+    """``_clamped`` of a batch: rings inside their walls are told together, the others are clipped together where one ring at most is left."""
+    n = len(rings)
+    kept = lambda rows, ok: pa.StructArray.from_arrays([rings.take(pa.array(rows)).cast(_POINTS), pa.array(np.full(len(rows), ok))], fields=list(_CLAMPED))
+    new, alone = [(np.arange(n), kept(np.arange(n), True))], []
+    for rows, r, wall in _alike(rings, walls, cost=400):
+        wall = rg.all_turned(wall)
+        rest = ~(rg.all_inside(r, wall) | (rg.all_distances(r, wall) < rg.EPS)).all(axis=1)
+        rows = rows[rest]
+        count, clipped = rg.clip_all(r[rest], wall[rest], keep_inside=True)
+        new.append((rows[count == 0], kept(rows[count == 0], False)))
+        for k, inner in clipped:
+            large = np.abs(rg.areas(inner)) > 1
+            new.append((rows[k[~large]], kept(rows[k[~large]], False)))
+            new.append((rows[k[large]], pa.StructArray.from_arrays([_lists(inner[large], rg.bends(inner[large])), pa.array(large[large])], fields=list(_CLAMPED))))
+        alone += rows[count < 0].tolist()
+    new.append((np.array(alone, np.int64), pa.array([_clamped(rings[k].as_py(), walls[k].as_py()) for k in alone], _CLAMPED)))
+    return _placed(n, new)
+
+
 def _adjusted(rows: DataFrame, straighten: bool, s: Settings, walls: DataFrame | None = None) -> DataFrame:
     """RESULT of ``rows`` (grp, floor_seq, seq, name, ring); ``walls`` (grp, wall): a fixed ring of each group that also clamps."""
     work = WorkTables()
@@ -401,7 +512,7 @@ def _adjusted(rows: DataFrame, straighten: bool, s: Settings, walls: DataFrame |
     note = F.when(~F.col("kept"), "kept as drawn: over half of its area would be lost").otherwise("")
     done = met(done, half.select("grp", "seq", "kept"), ["grp", "seq"]).withColumn("note", note)
     if walls is not None:
-        clamp = ring_map(_clamped, f"struct<ring:{POINTS},ok:boolean>", pa.struct([("ring", _POINTS), ("ok", pa.bool_())]))
+        clamp = F.arrow_udf(_all_clamped, f"struct<ring:{POINTS},ok:boolean>")
         done = met(done, walls.select("grp", "wall"), "grp", "left").withColumn("clamp", clamp("ring", "wall"))
         done = done.withColumn("ring", F.col("clamp.ring")).withColumn("note", F.when(F.col("clamp.ok"), F.col("note")).otherwise("not inside its parent zone"))
     done = work.keep(done.select("grp", "seq", F.col("ring").alias("new"), "note"), "rings-adjusted")

@@ -190,3 +190,42 @@ def test_rooms_that_share_a_wall_are_not_clipped(monkeypatch):
     left, right = np.array([(0, 0), slant[0], slant[1], (0, 150)], float), np.array([slant[0], (400, 0), (400, 150), slant[1]], float)
     monkeypatch.setattr(ad, "overlap_area", lambda a, b: pytest.fail("clipped"))
     assert ad._common(pa.array([ad._points(left)] * 3), pa.array([ad._points(right)] * 3)).to_pylist() == [0.0] * 3
+
+
+def odd_rings(rng):
+    """Rooms turned and not, either way round, some with corners on walls or close together, and rings of any shape."""
+    out = [room(rng, 0, 0, rng.uniform(30, 300), rng.uniform(30, 300), rng.choice([0, 2, 9, 30])) for _ in range(150)]
+    for i, r in enumerate(out[:75]):
+        a = rng.uniform(0, 6)
+        out[i] = (r @ np.array([[np.cos(a), -np.sin(a)], [np.sin(a), np.cos(a)]]) + rng.uniform(0, 500))[:: rng.choice([1, -1])]
+    out += [np.insert(r, 1, r[0] * 0.4 + r[1] * 0.6 + rng.choice([0, 1e-9, 2]), axis=0) for r in out[:40]]
+    return out + [np.array([(rng.randint(0, 90), rng.randint(0, 90)) for _ in range(rng.randint(3, 9))], float) for _ in range(80)]
+
+
+def test_rings_of_a_batch_are_squared_and_thinned_as_one_by_one():
+    rings = [None, []] + [ad._points(r) for r in odd_rings(random.Random(11))]
+    assert ad._squared(pa.array(rings), ad.DEFAULTS).to_pylist() == [ad._square_one(r, ad.DEFAULTS) for r in rings]
+    assert ad._thinned(pa.array(rings), 3.0).to_pylist() == [None if r is None else ad._points(ad.dedupe(ad._array(r), 3.0)) for r in rings]
+
+
+def test_rings_of_a_batch_are_clipped_as_one_by_one():
+    rng = random.Random(12)
+    rings = odd_rings(rng)
+    pairs = [(a, rng.choice([a + rng.choice([0, 10, 50]), rng.choice(rings)])) for a in rings]
+    # Shared walls, corners on walls, and the same box.
+    pairs += [tuple(room(rng, *[rng.randrange(0, 60, 10) for _ in "xy"], *[rng.randrange(10, 60, 10) for _ in "wh"], 0) for _ in "ab") for _ in range(150)]
+    a, b = (pa.array([ad._points(p[k]) for p in pairs]) for k in (0, 1))
+    assert ad._all_clamped(a, b).to_pylist() == [ad._clamped(x, y) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)]
+    assert ad._common(a, b).to_pylist() == [ad.overlap_area(x, y) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)]
+    assert ad._all_clamped(a.slice(3, 2), pa.array([None, []], a.type)).to_pylist() == [{"ring": x, "ok": True} for x in a.slice(3, 2).to_pylist()]
+
+
+def test_ordinary_rooms_are_not_looked_at_one_by_one(monkeypatch):
+    rng = random.Random(13)
+    rooms = [room(rng, 0, 0, 200, 150, 6) for _ in range(50)]
+    reach = [np.array([(120, 40), (240, 40), (240, 110), (120, 110), (117, 70)], float) for _ in rooms]
+    for name in ("square", "dedupe", "_array", "overlap_area", "_clamped"):
+        monkeypatch.setattr(ad, name, lambda *_, name=name: pytest.fail(name))
+    a, b = (pa.array([ad._points(r) for r in rings]) for rings in (reach, rooms))
+    assert all(x["squared"] for x in ad._squared(b, ad.DEFAULTS).to_pylist()) and ad._thinned(b, 3.0).to_pylist() == b.to_pylist()
+    assert all(x["ok"] and max(p["x"] for p in x["ring"]) < 210 for x in ad._all_clamped(a, b).to_pylist()) and min(ad._common(a, b).to_pylist()) > 1
