@@ -169,7 +169,7 @@ _CLAMPED = pa.struct([("ring", _POINTS), ("ok", pa.bool_())])
 
 #: A fixed ring's number, after those of all movable ones.
 FIXED = 1 << 30
-#: Side of the cells that walls are entered in, in tolerances.
+#: Side of the cells that corners and walls are entered in, in tolerances.
 CELL = 4
 
 
@@ -202,8 +202,9 @@ def corner_clusters(rings: DataFrame, work: WorkTables, s: Settings = DEFAULTS)
     pairs = near_pairs(places, s.tolerance_px).select("grp", "d", F.col("ca").alias("a"), F.col("cb").alias("b"), "ca", "cb")
     pairs = work.keep(pairs, "corner-pairs")
     ends = pairs.select("grp", F.explode(F.array("ca", "cb")).alias("c")).distinct()
-    rest, held = met(v, ends, ["grp", "c"], "left_anti"), work.keep(met(v, ends, ["grp", "c"], "left_semi"), "corners-near")
-    rest = work.keep(rest, "corners-apart")
+    told = work.keep(met(v, ends.withColumn("__near", F.lit(True)), ["grp", "c"], "left"), "corners-near")
+    rest, held = (told.filter(f"__near is {some} null").drop("__near") for some in ("", "not"))
+    rounds: list[DataFrame] = []
     while not pairs.isEmpty():
         rings_of = held.select("grp", "c", "seq")
         shared = met(met(pairs.select("grp", "a", "b", "ca", "cb"), rings_of.withColumnRenamed("c", "ca"), ["grp", "ca"]), rings_of.withColumnRenamed("c", "cb"), ["grp", "cb", "seq"], "left_semi")
@@ -218,20 +219,22 @@ def corner_clusters(rings: DataFrame, work: WorkTables, s: Settings = DEFAULTS)
 
         after = work.keep(renamed(renamed(left, "ca"), "cb").filter("ca <> cb"), "corner-pairs")
         now = work.keep(renamed(held, "c"), "corners-near")
-        work.drop(pairs, left, held, merged)
-        pairs, held = after, now
+        work.drop(pairs, left, merged, *rounds)
+        pairs, held, rounds = after, now, [now]
     return rest.unionByName(held)
 
 
 def near_pairs(places: DataFrame, tolerance: float) -> DataFrame:
     """Pairs of different places (grp, c, x, y) within the tolerance: grp, d, ca < cb.
 
-    An equi-join on grid cells of the tolerance's size, each place in its own and the eight around it.
+    An equi-join on grid cells, each place in its own and on the other side in all, mostly one or two, that hold a point within the tolerance.
     """
-    cell = lambda c: F.floor(F.col(c) / tolerance)
-    near = F.array(*[F.struct((cell("x") + i).alias("cx"), (cell("y") + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    cell = lambda c, by=0.0: F.floor((F.col(c) + by) / (tolerance * CELL))
+    # A little more, so that no rounding at a cell's edge parts a pair.
+    wide = tolerance * 1.001
+    cells = lambda c: F.explode(F.sequence(cell(c, -wide), cell(c, wide)))
     a = places.select("grp", F.col("c").alias("ca"), F.col("x").alias("ax"), F.col("y").alias("ay"), cell("x").alias("cx"), cell("y").alias("cy"))
-    b = places.select("grp", F.col("c").alias("cb"), F.col("x").alias("bx"), F.col("y").alias("by"), F.inline(near))
+    b = places.select("grp", F.col("c").alias("cb"), F.col("x").alias("bx"), F.col("y").alias("by"), cells("x").alias("cx")).withColumn("cy", cells("by"))
     dx, dy = F.col("ax") - F.col("bx"), F.col("ay") - F.col("by")
     found = met(a, b, ["grp", "cx", "cy"]).filter("ca < cb").withColumn("d", F.sqrt(dx * dx + dy * dy))
     return found.filter((F.col("d") <= tolerance) & ((dx != 0) | (dy != 0))).select("grp", "d", "ca", "cb")
@@ -306,13 +309,13 @@ def _unpacked(rings: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return sizes, np.concatenate([[0], np.cumsum(np.maximum(sizes, 0))[:-1]]).astype(np.int64), points
 
 
-def _alike(*rings: pa.Array, cost: int = 40):
-    """Rows of a batch whose rings, of three corners at least, have equally many, and these rings (m, n, 2): some at a time, by about ``cost`` bytes for each pair of corners."""
+def _alike(*rings: pa.Array, cost: int = 40, least: int = 3, most: int = 512):
+    """Rows of a batch whose rings, of ``least`` corners or more and ``most`` in all, have equally many, and these rings (m, n, 2): some at a time, by about ``cost`` bytes for each pair of corners."""
     sizes, start, points = zip(*map(_unpacked, rings), strict=True)
     if not len(sizes[0]):
         return
     kinds, kind = np.unique(np.stack(sizes, axis=1), axis=0, return_inverse=True)
-    for k in np.flatnonzero((kinds >= 3).all(axis=1)):
+    for k in np.flatnonzero((kinds >= least).all(axis=1) & (kinds.sum(axis=1) <= most)):
         rows, n = np.flatnonzero(kind.ravel() == k), kinds[k]
         for some in np.array_split(rows, max(1, len(rows) * int(n.sum()) ** 2 * cost // 80_000_000)):
             yield some, *[p[at[some][:, None] + np.arange(m)] for p, at, m in zip(points, start, n, strict=True)]
@@ -477,8 +480,10 @@ def _all_clamped(rings: pa.Array, walls: pa.Array) -> pa.Array:
     """``_clamped`` of a batch: rings inside their walls are told together, the others are clipped together where one ring at most is left."""
     n = len(rings)
     kept = lambda rows, ok: pa.StructArray.from_arrays([rings.take(pa.array(rows)).cast(_POINTS), pa.array(np.full(len(rows), ok))], fields=list(_CLAMPED))
-    new, alone = [(np.arange(n), kept(np.arange(n), True))], []
+    new = [(np.arange(n), kept(np.arange(n), True))]
+    alone = pc.fill_null(pc.and_(*[pc.greater_equal(pc.list_value_length(x), 3) for x in (rings, walls)]), False).to_numpy(zero_copy_only=False).copy()
     for rows, r, wall in _alike(rings, walls, cost=400):
+        alone[rows] = False
         wall = rg.all_turned(wall)
         rest = ~(rg.all_inside(r, wall) | (rg.all_distances(r, wall) < rg.EPS)).all(axis=1)
         rows = rows[rest]
@@ -488,8 +493,9 @@ def _all_clamped(rings: pa.Array, walls: pa.Array) -> pa.Array:
             large = np.abs(rg.areas(inner)) > 1
             new.append((rows[k[~large]], kept(rows[k[~large]], False)))
             new.append((rows[k[large]], pa.StructArray.from_arrays([_lists(inner[large], rg.bends(inner[large])), pa.array(large[large])], fields=list(_CLAMPED))))
-        alone += rows[count < 0].tolist()
-    new.append((np.array(alone, np.int64), pa.array([_clamped(rings[k].as_py(), walls[k].as_py()) for k in alone], _CLAMPED)))
+        alone[rows[count < 0]] = True
+    rows = np.flatnonzero(alone)
+    new.append((rows, pa.array([_clamped(rings[k].as_py(), walls[k].as_py()) for k in rows], _CLAMPED)))
     return _placed(n, new)
 
 
@@ -535,7 +541,9 @@ def adjust_subzones(zones: DataFrame, subzones: DataFrame, options: dict | None
     A parent is named by its id, or by its name where it has no id or no zone has that id; of several the last.
     Sub-zones of fewer than three points are left out.
     """
-    group = lambda parent: F.to_json(F.struct("floor_seq", F.col(parent).alias("parent")))
+    # Floor, parent and the floor's length, which keeps them apart; what differs comes first, as sorting looks at few bytes.
+    floor, none = F.col("floor_seq").cast("string"), F.lit("")
+    group = lambda parent: F.concat(F.coalesce(floor, none), F.coalesce(F.concat(F.lit(":"), parent), none), F.lit(":"), F.coalesce(F.length(floor).cast("string"), none))
     z = clean_rings(zones).filter(F.size("ring") >= 3)
     named = z.select("floor_seq", "zone_seq", "ring", F.inline(F.array(F.struct(F.coalesce("zone_id", "zone").alias("parent"), F.lit(1).alias("by_id")), F.struct(F.col("zone").alias("parent"), F.lit(0).alias("by_id")))))
     walls = named.groupBy("floor_seq", "parent").agg(F.max_by("ring", F.struct("by_id", "zone_seq")).alias("wall"))
@@ -545,12 +553,23 @@ def adjust_subzones(zones: DataFrame, subzones: DataFrame, options: dict | None
     return _adjusted(rows, straighten, settings(options), used)
 
 
+def _moved(old: pa.Array, new: pa.Array) -> pa.Array:
+    """How far the old corner that is farthest from the new ring lies from it; null where either has no corner."""
+    out = np.full(len(old), np.nan)
+    for rows, p, r in _alike(old, new, cost=100, least=1, most=1 << 31):
+        # Of long rings some corners at a time.
+        for some in np.array_split(p, max(1, p.shape[1] * r.shape[1] // 200_000), axis=1):
+            gx, gy = rg.all_gaps(some, r)
+            out[rows] = np.fmax(out[rows], np.sqrt(gx * gx + gy * gy).min(axis=2).max(axis=1))
+    return pa.array(out, from_pandas=True)
+
+
 def change_report(result: DataFrame) -> DataFrame:
     """Per ring: largest move of a vertex, change of area, vertices before and after."""
-    es = g.edges(F.col("ring"))
-    move = F.array_max(F.transform("old", lambda p: g.boundary_distance(p["x"], p["y"], es)))
-    before, after = g.area(F.col("old")), g.area(F.col("ring"))
-    return result.select("floor_seq", "seq", "name", "squared", F.round(move, 1).alias("max_move_px"), F.round(F.when(before > 0, (after - before) / before * 100).otherwise(0.0), 1).alias("area_change_pct"), F.size("old").alias("vertices_before"), F.size("ring").alias("vertices_after"), "note")
+    move = F.arrow_udf(_moved, "double")("old", "ring")
+    r = result.withColumn("__move", move).withColumn("__before", g.area(F.col("old"))).withColumn("__after", g.area(F.col("ring")))
+    before, after = F.col("__before"), F.col("__after")
+    return r.select("floor_seq", "seq", "name", "squared", F.round("__move", 1).alias("max_move_px"), F.round(F.when(before > 0, (after - before) / before * 100).otherwise(0.0), 1).alias("area_change_pct"), F.size("old").alias("vertices_before"), F.size("ring").alias("vertices_after"), "note")
 
 
 def summary(report: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import numpy as np
 import plain_adjust as plain
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from spatiotrack.functions import rings as rg
 from spatiotrack.operators import adjust as ad
@@ -228,4 +229,32 @@ def test_ordinary_rooms_are_not_looked_at_one_by_one(monkeypatch):
         monkeypatch.setattr(ad, name, lambda *_, name=name: pytest.fail(name))
     a, b = (pa.array([ad._points(r) for r in rings]) for rings in (reach, rooms))
     assert all(x["squared"] for x in ad._squared(b, ad.DEFAULTS).to_pylist()) and ad._thinned(b, 3.0).to_pylist() == b.to_pylist()
+    moves = ad._moved(b, a).to_pylist()
+    assert all(m == pytest.approx(rg.boundary_distance(p, q).max(), abs=1e-9) for m, p, q in zip(moves, rooms, reach, strict=True))
     assert all(x["ok"] and max(p["x"] for p in x["ring"]) < 210 for x in ad._all_clamped(a, b).to_pylist()) and min(ad._common(a, b).to_pylist()) > 1
+
+
+def test_long_rings_and_points_move_as_far_as_one_by_one():
+    circle = lambda n, r: np.stack([r * np.cos(np.arange(n) * 2 * np.pi / n), r * np.sin(np.arange(n) * 2 * np.pi / n)], axis=1)
+    old, new = [circle(700, 90), np.array([(3, 4)], float), np.zeros((0, 2)), circle(9, 5)], [circle(600, 100), np.array([(0, 0), (0, 0)], float), circle(5, 1), np.zeros((0, 2))]
+    got = ad._moved(pa.array([*map(ad._points, old), None], ad._POINTS), pa.array([*map(ad._points, new), None], ad._POINTS)).to_pylist()
+    assert got[0] == pytest.approx(rg.boundary_distance(old[0], new[0]).max(), abs=1e-9) and got[1:] == [5.0, None, None, None]
+    a, b = (pa.array([ad._points(r)]) for r in (circle(400, 90), circle(401, 91) + 20))
+    assert ad._all_clamped(a, b).to_pylist() == [ad._clamped(a[0].as_py(), b[0].as_py())]
+
+
+def test_parents_of_any_name_are_told_apart(spark):
+    """No floor and parent make the same group as others, a missing parent's neither."""
+    box = [(0.0, 0.0), (80.0, 0.0), (80.0, 80.0), (0.0, 80.0)]
+    names = [("1", "2:1"), ("1:2", "1"), ("1", None), ("", None), (None, None), ("1:", None), ("1", ""), (None, ":1"), ("", "1")]
+    df = spark.createDataFrame([(f, 0, "s", p, box) for f, p in names], "floor_seq string, sub_seq int, sub_zone string, parent string, ring array<struct<x:double,y:double>>")
+    zones = frame(spark, []).withColumn("floor_seq", F.lit(None).cast("string"))
+    assert [len(r.ring) for r in ad.adjust_subzones(zones, df).collect()] == [4] * len(names)
+
+
+def test_near_places_are_those_of_all_pairs(spark):
+    rng = random.Random(14)
+    places = [("f", i, float(rng.randint(-150, 150)), float(rng.choice([-176, -88, -22, 0, 66, 88, 110]) + rng.choice([0, 0, 22, -22, 5]))) for i in range(150)]
+    got = {(r.ca, r.cb): r.d for r in ad.near_pairs(spark.createDataFrame(places, "grp string, c long, x double, y double"), 22.0).collect()}
+    want = {(i, j): np.sqrt((x - u) ** 2 + (y - v) ** 2) for _, i, x, y in places for _, j, u, v in places if i < j and 0 < np.sqrt((x - u) ** 2 + (y - v) ** 2) <= 22}
+    assert got == pytest.approx(want)
