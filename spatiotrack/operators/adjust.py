@@ -170,7 +170,7 @@ _CLAMPED = pa.struct([("ring", _POINTS), ("ok", pa.bool_())])
 #: A fixed ring's number, after those of all movable ones.
 FIXED = 1 << 30
 #: Side of the cells that corners and walls are entered in, in tolerances.
-CELL = 4
+CELL = 8
 
 
 def _points(r: np.ndarray | None) -> list[dict] | None:
